@@ -66,20 +66,22 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list
 
 def append_columns(
     df: DataFrame,
-    kernel: Callable[[], Callable[[list[str]], list[pa.Array]]],
+    kernel: Callable[[], Callable[..., list[pa.Array]]],
     fields: list[T.StructField],
     text: str = "text",
+    also: str | None = None,
 ) -> DataFrame:
     """All columns of `df` and those that the kernel makes of its text column.
 
     `kernel` is called once in each task and returns the function that maps a list
-    of texts to one array per field.  A column of `df` with the name of a new field
+    of texts (and one of the values of the column `also`, if named) to one array per field.  A column of `df` with the name of a new field
     is replaced.  No shuffle; memory is bounded by SLICE_BYTES.
     """
     names = {f.name for f in fields}
     base = df if not names & set(df.columns) else df.drop(*[c for c in df.columns if c in names])
     out = T.StructType(base.schema.fields + fields)
     at = base.columns.index(text)
+    beside = None if also is None else base.columns.index(also)
     kinds = [_arrow_type(f.dataType) for f in fields]
     new_names = [f.name for f in fields]
 
@@ -88,7 +90,8 @@ def append_columns(
         for batch in batches:
             for begin, part in slices(batch.column(at)):
                 cut = batch.slice(begin, len(part))
-                made = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(work(part), kinds, strict=True)]
+                found = work(part) if beside is None else work(part, cut.column(beside).to_pylist())
+                made = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(list(cut.columns) + made, names=list(cut.schema.names) + new_names)
 
     return base.mapInArrow(run, out)
