@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tankline.llm import bpe, langid, quality_fm, repetition, token_counts, token_files
+from tankline.llm import bpe, langid, quality_fm, repetition, token_counts, token_files, warc
 from tankline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_suffix_array_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op5_token_counts": op5_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op7_warc": op7_warc,
     "op8_suffix_array_rules": op8_suffix_array_rules,
     "op9_rank_order_langid": op9_rank_order_langid,
 }

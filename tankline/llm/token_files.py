@@ -28,11 +28,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tankline.llm.common import fresh_path, slices
+from tankline.llm.files import open_store
 from tankline.llm.vocab import Vocabulary, encoder
 
 MAGIC = b"TKIDS1\n\x00"
@@ -41,12 +41,6 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 256, 4096, 65_536
 LEVEL = 3
 
 
-def _open(path: str):
-    if "://" not in path and not path.startswith("file:"):
-        path = "file://" + path
-    return arrow_fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
-
-
 def sample_documents(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     """At most `most` documents: those whose hashed ids are smallest.  Ids are chosen before texts are read."""
     chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow().column(0).to_pylist()
@@ -96,7 +90,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, out: str, shards: int |
     trained = train_dictionary(docs, shared)
     dictionary = spark.sparkContext.broadcast(trained)
     digest = hashlib.sha256(trained).hexdigest()
-    store, root = _open(out)
+    store, root = open_store(out)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/dictionary-{digest}") as f:
         f.write(trained)
@@ -110,7 +104,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, out: str, shards: int |
     def save(batches):
         from pyspark import TaskContext
 
-        store, root = _open(out)
+        store, root = open_store(out)
         name = number = None
         for batch in batches:
             if batch.num_rows and name is None:
@@ -161,12 +155,12 @@ def read_index(store, name: str) -> tuple[dict, np.ndarray]:
 
 def read_document(out: str, path: str, doc_id: int) -> np.ndarray | None:
     """Ids of one document of a shard, by its index alone."""
-    store, name = _open(path)
+    store, name = open_store(path)
     info, index = read_index(store, name)
     k = int(np.searchsorted(index[0], doc_id))
     if k >= len(index[0]) or index[0][k] != doc_id:
         return None
-    folder, root = _open(out)
+    folder, root = open_store(out)
     with folder.open_input_file(f"{root}/dictionary-{info['dictionary']}") as f:
         trained = f.read()
     with store.open_input_file(name) as f:
@@ -187,8 +181,8 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     def load(batches):
         for batch in batches:
             for shard in batch.to_pylist():
-                store, name = _open(shard["path"])
-                folder, root = _open(out)
+                store, name = open_store(shard["path"])
+                folder, root = open_store(out)
                 with folder.open_input_file(f"{root}/dictionary-{shard['dictionary']}") as f:
                     trained = f.read()
                 unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
