@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tankline.llm import bpe, jaccard, langid, quality_fm, repetition, token_counts, token_files, warc
+from tankline.llm import bpe, decontaminate, jaccard, langid, lm_scoring, quality_fm, repetition, token_counts, token_files, warc
 from tankline.llm.common import table
 
 
@@ -23,10 +23,19 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target corpus is the documents that labels mark as good."""
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -47,8 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_token_files": op2_token_files,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_edit_decontamination": op4_edit_decontamination,
     "op5_token_counts": op5_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op6_cross_entropy_difference": op6_cross_entropy_difference,
     "op7_warc": op7_warc,
     "op8_suffix_array_rules": op8_suffix_array_rules,
     "op9_rank_order_langid": op9_rank_order_langid,
