@@ -1,20 +1,54 @@
-"""A corpus pipeline of five stages, each one operator over all that the stage before it kept."""
+"""A corpus pipeline of five stages, each one operator over all that the stage before it kept.
+
+Stages add their verdicts under names that start with an underscore and return the
+columns of documents as they came, so extra columns pass through.  A document is known by
+its doc_id; rows without one stay.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tankline.llm import repetition
+from tankline.llm import bpe, decontaminate, jaccard, quality_fm, repetition
 from tankline.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
-    verdicts = repetition.with_verdicts(docs)
-    return verdicts.where("kept").select(*docs.columns)
+    return repetition.with_verdicts(docs, prefix="_rules_").where("_rules_kept").select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a factorisation machine, fitted on the labelled ones among them, scores as good."""
+    machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
+    return quality_fm.with_scores(docs, machine, "_quality_score").where(F.col("_quality_score") >= quality_fm.KEEP_AT).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of alike documents the one with the smallest doc_id."""
+    others = jaccard.jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item lies."""
+    return decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), "_leaks").where(F.size("_leaks") == 0).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("byte_bpe", byte_bpe),
+]
 #: Suffix arrays, trained models and edit distances have no SQL form.
 ORACLE_SQL = None
 

@@ -11,7 +11,7 @@ a fifth as many word edits (insertions, deletions, replacements) as the item has
    edits give few differing places.
 3. *Bit sampling.*  `WALKS` walks with `DRAWS` draws of `SAMPLE` places each; a window and an item of one length
    are candidates if they agree on all places of any draw.  With half of the places differing, a draw
-   agrees with probability 0.5^SAMPLE, and all 128 draws miss with probability below 0.001.
+   agrees with probability 0.5^SAMPLE, and all 192 draws miss with probability below 0.00001.
 4. *Exact.*  A candidate is kept if the semi-global edit distance between the item and the words
    around the window is within the bound.
 
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tankline.llm.common import append_columns
 
 LEAST_WORDS = 5
-WALKS, DRAWS, SAMPLE = 16, 8, 3
+WALKS, DRAWS, SAMPLE = 16, 12, 4
 GRAM = 3
 BLOCK_BYTES = 32_000_000
 #: ASCII punctuation and controls become spaces, capitals small.
@@ -83,7 +83,7 @@ class Items:
         self.steps = 2 * int(self.lengths.max()) if len(self.lengths) else 0
         rng = np.random.default_rng(seed)
         self.bits = rng.integers(1, 1 << 62, (WALKS, max(1, self.steps)), np.int64) | 1
-        self.places = {int(n): np.sort(np.random.default_rng(seed + int(n)).integers(0, 2 * int(n), (WALKS, DRAWS, SAMPLE)), axis=2) for n in np.unique(self.lengths)}
+        self.places = {int(n): np.sort(np.random.default_rng(seed + int(n)).integers(0, 3 * int(n) // 2, (WALKS, DRAWS, SAMPLE)), axis=2) for n in np.unique(self.lengths)}
         self.buckets: dict[int, dict[tuple[int, int, int], list[int]]] = {}
         for n in self.places:
             own = np.flatnonzero(self.lengths == n)
@@ -95,20 +95,27 @@ class Items:
 
     def sketch(self, windows: np.ndarray, n: int) -> np.ndarray:
         """Keys of all draws (windows, WALKS, DRAWS) of windows of n words."""
-        count = len(windows)
-        padded = np.concatenate((windows, np.full((count, 1), -1, np.int64)), axis=1)
-        keys = np.zeros((count, WALKS, DRAWS), np.uint64)
-        at_row = np.arange(count)
-        for walk in range(WALKS):
-            at = np.zeros(count, np.int64)
-            wanted = self.places[n][walk]
-            for step in range(int(wanted.max()) + 1):
-                word = padded[at_row, at]
-                for draw, place in zip(*np.nonzero(wanted == step), strict=True):
-                    mixed = (word + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(place + 1)
-                    keys[:, walk, draw] = (keys[:, walk, draw] ^ mixed) * np.uint64(0xBF58476D1CE4E5B9)
-                bit = (((word + 2) * self.bits[walk, step]) >> 33) & 1
-                at = np.minimum(at + bit, n)
+        keys = np.zeros((len(windows), WALKS, DRAWS), np.uint64)
+        places = self.places[n]
+        steps = int(places.max()) + 1
+        walks = np.arange(WALKS)
+        for lo in range(0, len(windows), 2000):
+            part = windows[lo : lo + 2000]
+            padded = np.concatenate((part, np.full((len(part), 1), -1, np.int64)), axis=1)
+            rows = np.arange(len(part))[:, None]
+            at = np.zeros((len(part), WALKS), np.int64)
+            written = np.empty((steps, len(part), WALKS), np.int64)
+            for step in range(steps):
+                word = padded[rows, at]
+                written[step] = word
+                at += (((word + 2) * self.bits[:, step]) >> 33) & 1
+                np.minimum(at, n, out=at)
+            for draw in range(DRAWS):
+                key = np.zeros((len(part), WALKS), np.uint64)
+                for k in range(SAMPLE):
+                    word = written[places[:, draw, k], :, walks].T
+                    key = (key ^ (word + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+                keys[lo : lo + 2000, :, draw] = key
         return keys
 
     def leaks(self, texts: list[str]) -> list[list[dict]]:
@@ -154,7 +161,9 @@ class Items:
                         for k_item in table.get((draw, key), ()):
                             found.add((int(d[r]), k_item, int(s[r])))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, k_item, s in found:
+        for d, k_item, s in sorted(found):
+            if best.get((d, k_item), (1,))[0] == 0:
+                continue  # nothing is nearer than no edit
             size, most = int(self.lengths[k_item]), most_edits(int(self.lengths[k_item]))
             lo, hi = max(int(begin[d]), s - most), min(int(begin[d + 1]) - GRAM, s + size + most)
             distance = semi_global(self.words[k_item], seq[lo:hi])
@@ -197,8 +206,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> Da
         def kernel(shared=shared):
             return lambda texts: [pa.array(shared.value.leaks(texts), pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("at_word", pa.int32())])))]
 
-        more = append_columns(out, kernel, [T.StructField("_leaks_of_block", LEAKS)])
-        out = more.withColumn(name, F.concat(name, "_leaks_of_block")).drop("_leaks_of_block")
+        block = f"{name}_of_block"
+        out = append_columns(out, kernel, [T.StructField(block, LEAKS)]).withColumn(name, F.concat(name, block)).drop(block)
     return out
 
 

@@ -178,9 +178,10 @@ def measure(texts: list[str], min_repeat: int = MIN_REPEAT, max_covered: float =
     return [n_words, chars, symbols, dup_lines, n_repeat, covered, most, failed, kept]
 
 
-def with_verdicts(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """All columns of `docs` and those of FIELDS; one narrow pass, no shuffle."""
-    return append_columns(docs, lambda: lambda texts: measure(texts, min_repeat, max_covered, max_longest), FIELDS)
+def with_verdicts(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, prefix: str = "") -> DataFrame:
+    """All columns of `docs` and those of FIELDS under `prefix`; one narrow pass, no shuffle."""
+    fields = [T.StructField(prefix + f.name, f.dataType) for f in FIELDS]
+    return append_columns(docs, lambda: lambda texts: measure(texts, min_repeat, max_covered, max_longest), fields)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ class Encoder:
     the library when only lengths are wanted.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lengths: bool, known=None, most: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, lengths: bool, known=None, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.v, self.lengths, self.known, self.most = vocabulary, lengths, known, most
         self.cache: dict = {}
