@@ -5,12 +5,28 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-
-import numpy as np
+from array import array
 
 from tankline.llm.chunks import cuttable
 
 
+def split_chunk(chunk: str) -> list[str]:
+    """Parts of a chunk that the byte-level pattern keeps apart: letters or digits, then what begins with a full
+    stop or comma, then what follows it on a new line.  The first part keeps the chunk's leading space."""
+    out = []
+    while True:
+        dot, comma = chunk.find("."), chunk.find(",")
+        at = dot if comma < 0 or 0 <= dot < comma else comma
+        if at < 1 or not chunk[at - 1].isalnum():
+            return [*out, chunk]
+        tail = chunk[at:]
+        out.append(chunk[:at])
+        if len(tail) < 3 or tail[1] != "\n" or tail[2].isspace():
+            return [*out, tail]
+        out += [tail[0], "\n"]
+        chunk = tail[2:]
+
+
 class Vocabulary:
     """A tokenizer file as the driver read it; what is broadcast is its contents, never a path."""
 
@@ -36,10 +52,11 @@ class Encoder:
     the library when only lengths are wanted.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lengths: bool, known=None, most: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, lengths: bool, known=None, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.v, self.lengths, self.known, self.most = vocabulary, lengths, known, most
         self.cache: dict = {}
+        self.bare: dict = {}
         if vocabulary.kind == "sentencepiece":
             import sentencepiece
 
@@ -51,11 +68,33 @@ class Encoder:
             tokenizer = Tokenizer.from_str(vocabulary.raw.decode("utf-8"))
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self.library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            if lengths:
+                self.library = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            else:
+                self.library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _make(self, texts: list[str]) -> list:
         ids = self.library(texts) if texts else []
-        return [len(x) for x in ids] if self.lengths else [np.array(x, "<u4").tobytes() for x in ids]
+        return [len(x) for x in ids] if self.lengths else [array("I", x).tobytes() for x in ids]
+
+    def _compose(self, chunks: list[str]) -> None:
+        """Remember chunks by what their parts encode to: a base with the space, then bare parts."""
+        cache, known = self.cache, self.bare
+        whole = [c for c in chunks if "." not in c and "," not in c]
+        cut = [(c, split_chunk(c)) for c in chunks if "." in c or "," in c]
+        bases = {p[0] for _, p in cut}.difference(cache, whole)
+        bare = {x for _, p in cut for x in p[1:]}
+        if len(known) + len(bare) > self.most // 4:
+            known.clear()
+        bare = [x for x in bare if x not in known]
+        whole += bases
+        made = self._make([" " + x for x in whole] + bare)
+        cache.update(zip(whole, made, strict=False))
+        known.update(zip(bare, made[len(whole) :], strict=True))
+        if self.lengths:
+            cache.update((c, cache[p[0]] + sum([known[x] for x in p[1:]])) for c, p in cut if len(p) > 1)
+        else:
+            cache.update((c, cache[p[0]] + b"".join([known[x] for x in p[1:]])) for c, p in cut if len(p) > 1)
 
     def __call__(self, texts: list[str]) -> list:
         """One value for each text, from the library or from chunks that it has encoded."""
@@ -71,13 +110,15 @@ class Encoder:
                 whole.append(i)
         need = [c for c in fresh if c not in cache]
         if len(cache) + len(need) > self.most:
+            # the chunks at hand stay, as frequent ones are always among them
+            stay = {c: cache[c] for c in fresh if c in cache}
             cache.clear()
-            need = list(fresh)
+            cache.update(stay)
         if self.known is not None and need:
             found = self.known(need)
             cache.update((c, n) for c, n in zip(need, found, strict=True) if n)
             need = [c for c, n in zip(need, found, strict=True) if not n]
-        cache.update(zip(need, self._make([" " + c for c in need]), strict=True))
+        self._compose(need)
         out: list = [None] * len(texts)
         for i, v in zip(whole, self._make([texts[i] for i in whole]), strict=True):
             out[i] = v
