@@ -9,11 +9,12 @@ Two documents link when 100 * |A and B| >= 80 * |A or B|.  The join loses no lin
    shared passages make no postings except for documents that consist of them.  Which ones count as frequent
    only steers the work: a bounded summary of every task's shingles is summed, the foremost `FREQUENT` are
    broadcast (0.5 MB at most).  Only shingles with two documents or more go on.
-3. *Chains.*  Neighbours by size under one shingle (a linear number of pairs) are tested first.  They
-   join almost all copies of a large group before any of its pairs is formed.
-4. *Tiles.*  Shingles whose documents lie in different components become tiles, split into a grid where
+3. *Chains and hubs.*  Under each shingle every document is tested against its next `NEIGHBOURS` by size (all pairs,
+   if there are no more), then those outside the largest component against its best-linked members.  Both are a linear
+   number of pairs and join almost all copies of a large group before any other of its pairs is formed.
+4. *Tiles.*  Shingles with more documents that still lie in different components become tiles, split into a grid where
    a shingle has more than `TILE` documents.  Inside a tile documents are sorted by size, and only sizes within a
-   band of 4 to 5 meet; hashed bitmap signatures (two bits or more a shingle, folded to the narrower of
+   band of 4 to 5 meet; hashed bitmap signatures (four bits or more a shingle, folded to the narrower of
    the two) are compared in numpy blocks: |A xor B| of bit counts bounds the overlap from above.
 5. *Exact.*  Pairs that the bound lets through are intersected as sorted arrays.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankline.llm.chunks import Remembered
@@ -37,7 +38,8 @@ WIDTH = 5
 #: Percent of the union that must be shared.
 PERCENT = 80
 FREQUENT, SUMMARY, LEAST = 65_536, 65_536, 8
-TILE = 4096
+#: Neighbours by size that are tested under each shingle, hubs tested for each document, documents in a tile.
+NEIGHBOURS, HUBS, TILE = 7, 3, 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 WORD_KIND = "doc_id long, n int, h1 long, h2 long, prefix array<long>, bits binary"
 
@@ -69,8 +71,8 @@ def shingles(text: str, words: Remembered) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of at least two bits a shingle: 2^k bits, k from 6 to 14."""
-    width = 1 << min(14, max(6, int(2 * len(hashes) - 1).bit_length()))
+    """A hashed bitmap of at least four bits a shingle: 2^k bits, k from 6 to 15."""
+    width = 1 << min(15, max(6, int(4 * len(hashes) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[((hashes >> np.uint64(7)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -155,42 +157,38 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shared_postings(reps: DataFrame) -> DataFrame:
-    """token, doc, n of shingles with two documents or more, and the next two documents by size where they may link."""
-    kind = "token long, doc long, n int, next1 long, next2 long"
+    """token, doc, n of shingles with two documents or more, and the next `NEIGHBOURS` documents by size where they may link."""
     rows = reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n")
-    return rows.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(_posting_runs, kind)
+    return rows.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(_posting_runs, "token long, doc long, n int, next array<long>")
 
 
 def _posting_runs(batches):
-    """Rows of tokens that occur twice or more, each with its next two documents; looks two rows ahead and one back."""
+    """Rows of tokens that occur twice or more; looks `NEIGHBOURS` rows ahead and one back, so a batch and these are in memory."""
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
     done = 0  # rows at the start of `held` that have been given out
 
     def give(cols, lo, hi):
         token, doc, n = cols
         size = len(token)
-        same1, same2 = np.zeros(size, bool), np.zeros(size, bool)
-        same1[:-1] = token[1:] == token[:-1]
-        same2[:-2] = token[2:] == token[:-2]
-        back = np.zeros(size, bool)
-        back[1:] = same1[:-1]
-        next1, next2 = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        i = np.flatnonzero(same1)
-        i = i[_alike(n[i], n[i + 1])]
-        next1[i] = doc[i + 1]
-        i = np.flatnonzero(same2)
-        i = i[_alike(n[i], n[i + 2])]
-        next2[i] = doc[i + 2]
-        keep = np.flatnonzero((same1 | back)[lo:hi]) + lo
+        runs = np.zeros(size, bool)
+        found = np.full((NEIGHBOURS, size), -1, np.int64)
+        for gap in range(1, NEIGHBOURS + 1):
+            i = np.flatnonzero(token[gap:] == token[:-gap]) if size > gap else np.zeros(0, np.int64)
+            if gap == 1:
+                runs[i] = runs[i + 1] = True
+            i = i[_alike(n[i], n[i + gap])]
+            found[gap - 1, i] = doc[i + gap]
+        keep = np.flatnonzero(runs[lo:hi]) + lo
+        found = found[:, keep].T
+        valid = found >= 0
+        bounds = np.concatenate(([0], np.cumsum(valid.sum(axis=1)))).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(token[keep]), pa.array(doc[keep]), pa.array(n[keep].astype(np.int32)), pa.array(next1[keep]), pa.array(next2[keep])],
-            names=["token", "doc", "n", "next1", "next2"],
+            [pa.array(token[keep]), pa.array(doc[keep]), pa.array(n[keep].astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(found[valid]))], names=["token", "doc", "n", "next"]
         )
 
     for batch in batches:
         cols = [np.concatenate((h, np.asarray(c).astype(np.int64))) for h, c in zip(held, batch.columns, strict=True)]
-        size = len(cols[0])
-        hi = max(done, size - 2)
+        hi = max(done, len(cols[0]) - NEIGHBOURS)
         if hi > done:
             yield give(cols, done, hi)
         begin = max(0, hi - 1)
@@ -315,6 +313,27 @@ def exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows with the component of their document."""
+    return rows.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+
+
+def hub_pairs(rows: DataFrame, links: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs a, b of a document and the best-linked members of the component that most documents of its token belong to.
+
+    A linear number: `HUBS` for each document and token."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("degree"), "node"))
+    ranked = ends.join(joined, "node").withColumn("place", place).where(F.col("place") <= HUBS).select("component", F.col("node").alias("hub"))
+    most = rows.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"))
+    strays = rows.join(most, "token").where("comp <> major").select("doc", "major").distinct()
+    return strays.join(ranked.withColumnRenamed("component", "major"), "major").select(*_ordered("doc", "hub")).distinct()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -323,20 +342,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reps = found.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     postings = materialize(shared_postings(reps), "postings")
     bits = found.select("doc_id", "n", "bits")
-    # chains: neighbours by size
-    near = postings.select(F.col("doc").alias("a"), F.explode(F.array("next1", "next2")).alias("b")).where("b >= 0 and a != b")
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    chains = materialize(exact_links(materialize(bounded(near, bits), "chain-pairs"), docs), "chain-links")
-    joined = materialize(components(chains), "chain-components")
-    # tiles: what lies in different components
-    rows = postings.select("token", "doc", "n").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    rows = materialize(rows, "tile-rows")
-    split = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count("*") / TILE).cast("int").alias("grid")).where("least < most")
-    rows = rows.join(split.select("token", "grid"), "token").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("grid").cast("long")).cast("int"))
+    # chains: neighbours by size, which are all pairs of a shingle with few documents
+    near = postings.select(F.col("doc").alias("a"), F.explode("next").alias("b")).where("a != b").select(*_ordered("a", "b")).distinct()
+    links = materialize(exact_links(materialize(bounded(near, bits), "chain-pairs"), docs), "chain-links")
+    joined = materialize(components(links), "chain-components")
+    # what is left: shingles with more documents, in different components
+    many = postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > NEIGHBOURS + 1)
+    rows = materialize(postings.select("token", "doc", "n").join(many, "token"), "tile-rows")
+    # hubs
+    more = exact_links(materialize(bounded(hub_pairs(_labelled(rows, joined), links, joined), bits), "hub-pairs"), docs)
+    links = materialize(links.unionByName(more).distinct(), "hub-links")
+    joined = materialize(components(links), "hub-components")
+    # tiles
+    rows = _labelled(rows, joined).withColumn("grid", F.ceil(F.col("m") / TILE).cast("int"))
+    split = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    rows = rows.join(split.select("token"), "token", "left_semi").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("grid").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     rest = tiles(rows.join(bits.select(F.col("doc_id").alias("doc"), "bits"), "doc"))
-    links = chains.unionByName(materialize(exact_links(materialize(rest, "tile-pairs"), docs), "tile-links"))
+    links = links.unionByName(materialize(exact_links(materialize(rest, "tile-pairs"), docs), "tile-links"))
     final = materialize(components(links), "components")
     whole = found.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
