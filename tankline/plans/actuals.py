@@ -404,7 +404,7 @@ def merge_sides(stop):
 @query(
     "W1_too_close", "event",
     """WITH g AS (SELECT user_id, event_id, LAG(event_id) OVER (PARTITION BY user_id, event_type ORDER BY happened, event_id) AS previous_id, epoch_us(happened)-LAG(epoch_us(happened)) OVER (PARTITION BY user_id, event_type ORDER BY happened, event_id) AS gap FROM event WHERE event_type IN ('view','click'))
-    SELECT user_id, event_id, previous_id, gap//1000000 AS gap_s FROM g WHERE gap<=120*60000000""",
+    SELECT user_id, event_id, previous_id, gap//1000000 AS gap_s FROM g WHERE gap<=7200000000""",
 )
 def too_close(event):
     return windows.too_close(event.where("event_type in ('view', 'click')"), ["user_id", "event_type"], "happened", "event_id", 120).select("user_id", "event_id", "previous_id", "gap_s")

@@ -19,7 +19,7 @@ RULES = {
     "unit_not_entered": "SELECT stop_id AS subject_id, 'amber' AS severity, '' AS detail FROM stop WHERE TRIM(unit_raw)=''",
     "driver_not_entered": "SELECT stop_id AS subject_id, 'red' AS severity, '' AS detail FROM stop WHERE TRIM(driver_raw)=''",
     "not_on_roster": "SELECT stop_id AS subject_id, 'red' AS severity, CAST(card_id AS VARCHAR) AS detail FROM stop WHERE driver_id IS NULL",
-    "too_close": """SELECT stop_id AS subject_id, 'amber' AS severity, CAST(gap//60000000 AS VARCHAR)||':'||CAST(p AS VARCHAR) AS detail FROM (SELECT stop_id, LAG(stop_id) OVER (PARTITION BY card_id, station_id ORDER BY occurred_at, stop_id) AS p, epoch_us(occurred_at)-LAG(epoch_us(occurred_at)) OVER (PARTITION BY card_id, station_id ORDER BY occurred_at, stop_id) AS gap FROM stop WHERE station_id IS NOT NULL) WHERE gap<=120*60000000""",
+    "too_close": """SELECT stop_id AS subject_id, 'amber' AS severity, CAST(gap//60000000 AS VARCHAR)||':'||CAST(p AS VARCHAR) AS detail FROM (SELECT stop_id, LAG(stop_id) OVER (PARTITION BY card_id, station_id ORDER BY occurred_at, stop_id) AS p, epoch_us(occurred_at)-LAG(epoch_us(occurred_at)) OVER (PARTITION BY card_id, station_id ORDER BY occurred_at, stop_id) AS gap FROM stop WHERE station_id IS NOT NULL) WHERE gap<=7200000000""",
     "charges_no_fuel": """SELECT stop_id AS subject_id, 'amber' AS severity, products AS detail FROM (SELECT stop_id, SUM(CASE WHEN product IN ('TA','DF') THEN qty_c ELSE 0 END) AS fuel, SUM(amount_c) AS amount, ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT product)), ',') AS products FROM line GROUP BY 1)
       WHERE fuel<=0 AND amount>0 AND stop_id IN (SELECT stop_id FROM stop)""",
     "def_in_canada": "SELECT stop_id AS subject_id, 'amber' AS severity, CAST(CAST(SUM(amount_c) AS BIGINT) AS VARCHAR) AS detail FROM line WHERE product='DF' AND stop_id IN (SELECT stop_id FROM stop WHERE currency='CAD') GROUP BY 1",
