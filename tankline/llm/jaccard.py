@@ -40,6 +40,8 @@ PERCENT = 80
 FREQUENT, SUMMARY, LEAST = 65_536, 65_536, 8
 #: Neighbours by size that are tested under each shingle, hubs tested for each document, documents in a tile.
 NEIGHBOURS, HUBS, TILE = 7, 3, 4096
+#: Hashed places of the filter before joins.
+FILTER_BITS = 23
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 WORD_KIND = "doc_id long, n int, h1 long, h2 long, prefix array<long>, bits binary"
 
@@ -197,8 +199,38 @@ def _posting_runs(batches):
         yield give(held, done, len(held[0]))
 
 
+def _place(doc: str):
+    return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS)).cast("int")
+
+
+def among(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `df` (doc_id, ...) whose hashed id is that of a wanted document, and few others.
+
+    A filter before a join, so that rows which no pair names aren't shuffled.  It is a bitmap of fixed size (1 MB) made
+    from at most 2^FILTER_BITS places; a full one filters nothing, and the join that follows is exact."""
+    places = wanted.select(_place("doc_id").alias("p")).distinct().toArrow().column(0).to_numpy()
+    marks = np.zeros(1 << FILTER_BITS, bool)
+    marks[places] = True
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def run(batches):
+        marks = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            last = batch.num_columns - 1
+            kept = batch.filter(pa.array(marks[np.asarray(batch.column(last))]))
+            yield pa.RecordBatch.from_arrays(kept.columns[:last], names=kept.schema.names[:last])
+
+    return df.withColumn("_place", _place("doc_id")).mapInArrow(run, df.schema)
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """The documents that pairs name."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
 def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs a, b whose bitmaps allow a link."""
+    bits = among(bits, _named(pairs))
 
     def run(batches):
         for batch in batches:
@@ -306,9 +338,8 @@ def exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             rows = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    found = texts.join(wanted, "doc_id", "left_semi").mapInArrow(arrays, "doc_id long, s binary")
+    texts = among(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), _named(pairs))
+    found = texts.mapInArrow(arrays, "doc_id long, s binary")
     both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -341,16 +372,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = materialize(found.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = found.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     postings = materialize(shared_postings(reps), "postings")
-    bits = found.select("doc_id", "n", "bits")
+    bits = found.select("doc_id", "n", "bits").where("doc_id is not null")
     # chains: neighbours by size, which are all pairs of a shingle with few documents
-    near = postings.select(F.col("doc").alias("a"), F.explode("next").alias("b")).where("a != b").select(*_ordered("a", "b")).distinct()
+    near = materialize(postings.select(F.col("doc").alias("a"), F.explode("next").alias("b")).where("a != b").select(*_ordered("a", "b")).distinct(), "near-pairs")
     links = materialize(exact_links(materialize(bounded(near, bits), "chain-pairs"), docs), "chain-links")
     joined = materialize(components(links), "chain-components")
     # what is left: shingles with more documents, in different components
     many = postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > NEIGHBOURS + 1)
     rows = materialize(postings.select("token", "doc", "n").join(many, "token"), "tile-rows")
     # hubs
-    more = exact_links(materialize(bounded(hub_pairs(_labelled(rows, joined), links, joined), bits), "hub-pairs"), docs)
+    hubs = materialize(hub_pairs(_labelled(rows, joined), links, joined), "hubs")
+    more = exact_links(materialize(bounded(hubs, bits), "hub-pairs"), docs)
     links = materialize(links.unionByName(more).distinct(), "hub-links")
     joined = materialize(components(links), "hub-components")
     # tiles
@@ -359,7 +391,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = rows.join(split.select("token"), "token", "left_semi").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("grid").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rest = tiles(rows.join(bits.select(F.col("doc_id").alias("doc"), "bits"), "doc"))
+    rows = materialize(rows, "tiles")
+    rest = tiles(rows.join(among(bits, rows.select(F.col("doc").alias("doc_id"))).select(F.col("doc_id").alias("doc"), "bits"), "doc"))
     links = links.unionByName(materialize(exact_links(materialize(rest, "tile-pairs"), docs), "tile-links"))
     final = materialize(components(links), "components")
     whole = found.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
