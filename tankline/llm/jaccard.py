@@ -50,7 +50,7 @@ _WORDS: list[Remembered] = []
 
 def _word_hashes() -> Remembered:
     if not _WORDS:
-        _WORDS.append(Remembered(xxhash.xxh3_64_intdigest, 300_000))
+        _WORDS.append(Remembered(xxhash.xxh3_64_intdigest, 120_000))
     return _WORDS[0]
 
 
@@ -203,24 +203,30 @@ def _place(doc: str):
     return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS)).cast("int")
 
 
-def among(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `df` (doc_id, ...) whose hashed id is that of a wanted document, and few others.
-
-    A filter before a join, so that rows which no pair names aren't shuffled.  It is a bitmap of fixed size (1 MB) made
-    from at most 2^FILTER_BITS places; a full one filters nothing, and the join that follows is exact."""
+def _marks(spark, wanted: DataFrame):
+    """Broadcast bitmap of the hashed places of wanted documents: 1 MB, made from at most 2^FILTER_BITS places."""
     places = wanted.select(_place("doc_id").alias("p")).distinct().toArrow().column(0).to_numpy()
     marks = np.zeros(1 << FILTER_BITS, bool)
     marks[places] = True
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    return spark.sparkContext.broadcast(np.packbits(marks))
 
-    def run(batches):
-        marks = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            last = batch.num_columns - 1
-            kept = batch.filter(pa.array(marks[np.asarray(batch.column(last))]))
-            yield pa.RecordBatch.from_arrays(kept.columns[:last], names=kept.schema.names[:last])
 
-    return df.withColumn("_place", _place("doc_id")).mapInArrow(run, df.schema)
+def _marked(batches, packed: np.ndarray):
+    """Batches without the rows whose place (the last column, which is dropped) isn't marked."""
+    for batch in batches:
+        last = batch.num_columns - 1
+        place = np.asarray(batch.column(last))
+        kept = batch.filter(pa.array(((packed[place >> 3] >> (7 - (place & 7))) & 1).astype(bool)))
+        yield pa.RecordBatch.from_arrays(kept.columns[:last], names=kept.schema.names[:last])
+
+
+def among(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `df` (doc_id, ...) whose hashed id is that of a wanted document, and few others.
+
+    A filter before a join, so that rows which no pair names aren't shuffled.  Its bitmap has a fixed size; a full one
+    filters nothing, and the join that follows is exact."""
+    shared = _marks(df.sparkSession, wanted)
+    return df.withColumn("_place", _place("doc_id")).mapInArrow(lambda batches: _marked(batches, shared.value), df.schema)
 
 
 def _named(pairs: DataFrame) -> DataFrame:
@@ -322,7 +328,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def arrays(batches):
         words = _word_hashes()
-        for batch in batches:
+        for batch in _marked(batches, shared.value):
             for begin, texts in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array([shingles(t, words).tobytes() for t in texts], pa.binary())], names=["doc_id", "s"])
 
@@ -338,7 +344,8 @@ def exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             rows = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
 
-    texts = among(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), _named(pairs))
+    shared = _marks(docs.sparkSession, _named(pairs))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("_place", _place("doc_id"))
     found = texts.mapInArrow(arrays, "doc_id long, s binary")
     both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
