@@ -1,43 +1,69 @@
 """Cross-entropy difference of matched language models (operator 6).
 
-Two interpolated bigram models share one vocabulary: the `VOCABULARY` most frequent words of the whole
-corpus, all others being one unknown word.  The target model is estimated from the rows marked
-as target, the background model from all rows.  A document's score is the mean over its tokens of
+Two interpolated bigram models share one vocabulary: every word of the corpus.  The target model is estimated from the
+rows marked as target, the background model from all rows.  A document's score is the mean over its tokens of
 
     -log P_target(w | h)  -  -log P_background(w | h)
+    P(w | h) = WEIGHT * c(h, w) / c(h) + (1 - WEIGHT) * (c(w) + ADDED) / (tokens + ADDED * vocabulary)
 
-so lower means closer to the target.  Word counts and bigram counts cover every row: tasks sum their own, one
-exchange sums them over all.  Bigrams share 2^BUCKET_BITS hashed counters, so that a model has a fixed size
-(about 9 MB) to broadcast.
+so lower means closer to the target.  All counts are exact, of words and pairs as they stand (none is hashed, capped or
+made unknown), and are tables that grow with the corpus:
 
-Defined results: texts without words have 0 tokens and null losses; with no target rows the target model is
-the smoothed uniform one; repeated rows count each time.
+1. *Counts.*  Tasks sum their own words and pairs, one exchange each sums them over all.
+2. *Losses.*  A pair's counts meet those of its two words by equi-joins, which gives both losses of every pair.
+3. *Sums.*  A document's pairs, each once with its number, meet their losses by an equi-join and are summed by row.
+
+Frequent words and pairs would be hot keys of these joins.  Those with at least one in `HOT` of all tokens are at most
+`HOT`, whatever the corpus, so they are broadcast; any other key has less than that share.
+
+Defined results: texts without words have 0 tokens and null losses; the start of a text is a history seen once a row;
+with no target rows the target model is the smoothed uniform one; repeated rows count each time.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tankline.llm.common import append_columns, materialize, slices
+from tankline.llm.common import materialize, slices
 
-VOCABULARY, BUCKET_BITS, CHUNK = 32_768, 20, 1024
+#: Keys with at least this part of all tokens (one in HOT) are broadcast.
+HOT = 1 << 16
 #: Weight of the bigram estimate beside the unigram one, and added counts.
 WEIGHT, ADDED = 0.6, 0.5
+#: Entries that a task holds before it gives them on.
+HELD = 400_000
+#: What stands before the first word of a text; no word is empty.
+START = b""
 
 
 def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
+def pairs(words: list[bytes]) -> zip:
+    """Each word with the one before it."""
+    return zip([START, *words], words)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), n, n_target over all rows."""
+    rows = _counted(docs, lambda words: words, lambda keys: [pa.array(keys, pa.binary())], ["word"])
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """before, word (binary), n, n_target over all rows."""
+    rows = _counted(docs, pairs, lambda keys: [pa.array([k[side] for k in keys], pa.binary()) for side in (0, 1)], ["before", "word"])
+    return rows.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def _counted(docs: DataFrame, keys_of, columns_of, names: list[str]) -> DataFrame:
+    """Sums of each task over its rows text, is_target; a key can come more than once."""
+    names = [*names, "n", "n_target"]
 
     def count(batches):
         sums = (Counter(), Counter())
@@ -45,143 +71,106 @@ def word_counts(docs: DataFrame) -> DataFrame:
             marks = batch.column(1).to_pylist()
             for begin, texts in slices(batch.column(0)):
                 for text, mark in zip(texts, marks[begin : begin + len(texts)], strict=True):
-                    sums[bool(mark)].update(tokens(text))
-            if len(sums[0]) + len(sums[1]) > 1_000_000:
-                yield from give(sums)
-                sums = (Counter(), Counter())
+                    sums[bool(mark)].update(keys_of(tokens(text)))
+                    if len(sums[0]) + len(sums[1]) > HELD:
+                        yield from give(sums)
+                        sums = (Counter(), Counter())
         yield from give(sums)
 
     def give(sums):
-        words = list(sums[0].keys() | sums[1].keys())
-        for lo in range(0, len(words), 50_000):
-            part = words[lo : lo + 50_000]
-            target = [sums[1][w] for w in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([sums[0][w] + t for w, t in zip(part, target, strict=True)], pa.int64()), pa.array(target, pa.int64())], names=["word", "n", "n_target"])
-
-    rows = docs.select("text", "is_target").mapInArrow(count, "word binary, n long, n_target long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-class Numbering:
-    """Word numbers: 0 starts a text, 1 is unknown, the vocabulary follows."""
-
-    def __init__(self, words: list[bytes]):
-        self.numbers = {w: i + 2 for i, w in enumerate(words)}
-        self.size = len(words) + 2
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words, the words before them and where each text begins."""
-        parts = []
-        for text in texts:
-            w = tokens(text)
-            parts.append(np.fromiter(map(self.numbers.get, w, repeat(1)), np.int64, len(w)))
-        lengths = np.array([len(p) for p in parts], np.int64)
-        word = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        before = np.zeros(len(word), np.int64)
-        before[1:] = word[:-1]
-        begin = np.cumsum(lengths) - lengths
-        before[begin[lengths > 0]] = 0
-        return word, before, lengths
-
-    def buckets(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        mixed = (before * self.size + word).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def bigram_counts(docs: DataFrame, numbering) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of all buckets over all rows and over target rows."""
-
-    def count(batches):
-        sums = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        keys = list(sums[0].keys() | sums[1].keys())
+        for lo in range(0, len(keys), 50_000):
+            part = keys[lo : lo + 50_000]
+            target = [sums[1][k] for k in part]
+            n = [sums[0][k] + t for k, t in zip(part, target, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns_of(part), pa.array(n, pa.int64()), pa.array(target, pa.int64())], names=names)
+
+    kinds = [f"{name} {'long' if name.startswith('n') else 'binary'}" for name in names]
+    return docs.select("text", "is_target").mapInArrow(count, ", ".join(kinds))
+
+
+def with_counts(rows: DataFrame, side: str, counts: DataFrame, total: int) -> DataFrame:
+    """All columns and <side>_n, <side>_target, the counts of the word in the column `side`.
+
+    Hot words come from a broadcast table; their rows take part in the other join under a key that no word equals, spread by
+    the pair."""
+    mine = counts.select(F.col("word").alias(f"_{side}"), F.col("n").alias(f"{side}_n"), F.col("n_target").alias(f"{side}_target"))
+    hot = mine.where(F.col(f"{side}_n") * HOT >= total).withColumnsRenamed({f"{side}_n": "_hot_n", f"{side}_target": "_hot_target"})
+    rows = rows.join(F.broadcast(hot), F.col(side) == F.col(f"_{side}"), "left").drop(f"_{side}")
+    # white space stands in no word
+    rows = rows.withColumn("_key", F.when(F.col("_hot_n").isNull(), F.col(side)).otherwise(F.concat("before", F.lit(b" "), "word")))
+    rest = mine.where(F.col(f"{side}_n") * HOT < total)
+    out = rows.join(rest.hint("merge"), F.col("_key") == F.col(f"_{side}"), "left")
+    found = {f"{side}_{k}": F.coalesce(f"_hot_{k}", f"{side}_{k}") for k in ("n", "target")}
+    return out.withColumns(found).drop("_key", f"_{side}", "_hot_n", "_hot_target")
+
+
+def pair_losses(docs: DataFrame) -> tuple[DataFrame, int]:
+    """before, word, n, target_loss, background_loss of every pair of the rows text, is_target; and the number of all tokens."""
+    words = materialize(word_counts(docs), "word-counts")
+    total, marked, size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count("*")).first()
+    starts, marked_starts = docs.agg(F.count("*"), F.count_if(F.col("is_target"))).first()
+    start = docs.sparkSession.createDataFrame([(bytearray(START), starts, marked_starts)], words.schema)
+    rows = with_counts(pair_counts(docs), "before", words.unionByName(start), total)
+    rows = with_counts(rows, "word", words, total)
+
+    def loss(n: str, kind: str, tokens: int) -> Column:
+        unigram = (F.col(f"word_{kind}") + ADDED) / F.lit(tokens + ADDED * max(size, 1))
+        return -F.log(WEIGHT * F.col(n) / F.greatest(F.col(f"before_{kind}"), F.lit(1)) + (1 - WEIGHT) * unigram)
+
+    losses = rows.select("before", "word", "n", loss("n_target", "target", marked).alias("target_loss"), loss("n", "n", total).alias("background_loss"))
+    return materialize(losses, "pair-losses"), total
+
+
+def with_losses(rows: DataFrame, losses: DataFrame, total: int) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, difference (means over tokens) of the rows row_id, doc_id, text."""
+    both = ["target_loss", "background_loss"]
+    top = losses.where(F.col("n") * HOT >= total).select("before", "word", *both).toArrow()
+    known = {(h, w): (a, b) for h, w, a, b in zip(*(c.to_pylist() for c in top.columns), strict=True)}
+    hot = rows.sparkSession.sparkContext.broadcast(known)
+
+    def heads(batches):
+        """Of each row its number of tokens and the sums over its hot pairs."""
+        get, none = hot.value.get, (0.0, 0.0)
         for batch in batches:
-            marks = np.array([bool(x) for x in batch.column(1).to_pylist()])
-            for begin, texts in slices(batch.column(0)):
-                word, before, lengths = numbering.value.ids(texts)
-                bucket = numbering.value.buckets(word, before)
-                target = np.repeat(marks[begin : begin + len(texts)], lengths)
-                sums[0] += np.bincount(bucket, minlength=1 << BUCKET_BITS)
-                sums[1] += np.bincount(bucket[target], minlength=1 << BUCKET_BITS)
-        yield from give({k: sums[:, k * CHUNK : (k + 1) * CHUNK] for k in range((1 << BUCKET_BITS) // CHUNK)}, np.int32 if sums.max() < 1 << 31 else np.int64)
-
-    def give(chunks, kind):
-        keys = list(chunks)
-        for lo in range(0, len(keys), 64):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[lo : lo + 64], pa.int32()), pa.array([np.ascontiguousarray(chunks[k], kind).tobytes() for k in keys[lo : lo + 64]], pa.binary())], names=["chunk", "counts"]
-            )
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
+            for begin, texts in slices(batch.column(1)):
+                out = []
+                for text in texts:
+                    words = tokens(text)
+                    found = [get(p, none) for p in pairs(words)]
+                    out.append((len(words), sum(x[0] for x in found), sum(x[1] for x in found)))
+                n, a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=["row_id", "n_tokens", *both])
+
+    def others(batches):
+        """The other pairs of each row with their number."""
+        known, held = hot.value, ([], [], [], [])
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = raw.as_buffer()
-                got = np.frombuffer(raw, np.int32 if raw.size == 8 * CHUNK else np.int64).reshape(2, CHUNK)
-                sums[k] = sums[k] + got if k in sums else got.astype(np.int64)
-        yield from give(sums, np.int64)
-
-    kind = "chunk int, counts binary"
-    parts = docs.select("text", "is_target").mapInArrow(count, kind)
-    rows = parts.repartition("chunk").mapInArrow(add, kind).toArrow()
-    out = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-    for k, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        out[:, k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(raw, np.int64).reshape(2, CHUNK)
-    return out[0], out[1]
-
-
-class Model:
-    """Smoothed unigram probabilities and bigram counters of one corpus."""
-
-    def __init__(self, words: np.ndarray, starts: int, bigrams: np.ndarray):
-        self.history = words.astype(np.float32)
-        self.history[0] = starts
-        total = words.sum() + ADDED * len(words)
-        self.unigram = ((words + ADDED) / total).astype(np.float32)
-        self.bigrams = bigrams.astype(np.float32)
-
-    def losses(self, word, before, bucket) -> np.ndarray:
-        seen = np.minimum(self.bigrams[bucket], self.history[before])
-        return -np.log(WEIGHT * seen / np.maximum(self.history[before], 1) + (1 - WEIGHT) * self.unigram[word])
-
-
-def train(docs: DataFrame):
-    """The shared numbering and both models, from rows text, is_target."""
-    counts = materialize(word_counts(docs), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
-    total, marked = docs.agg(F.count("*"), F.count_if(F.col("is_target"))).first()
-    all_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    numbering = Numbering(top.column("word").to_pylist())
-    shared = docs.sparkSession.sparkContext.broadcast(numbering)
-    bigrams = bigram_counts(docs, shared)
-    models = []
-    for k, starts in ((0, total), (1, marked)):
-        known = top.column(1 + k).to_numpy().astype(np.float64)
-        words = np.concatenate(([0.0, float(all_words[k]) - known.sum()], known))
-        models.append(Model(words, starts, bigrams[k]))
-    return shared, docs.sparkSession.sparkContext.broadcast(models)
-
-
-def with_losses(docs: DataFrame, numbering, models) -> DataFrame:
-    """All columns and n_tokens, target_loss, background_loss, difference (means over tokens)."""
-
-    def kernel():
-        words, (background, target) = numbering.value, models.value
-
-        def work(texts):
-            word, before, lengths = words.ids(texts)
-            bucket = words.buckets(word, before)
-            ends = np.cumsum(lengths)
-            out = [lengths]
-            for model in (target, background):
-                sums = np.concatenate(([0.0], np.cumsum(model.losses(word, before, bucket), dtype=np.float64)))
-                with np.errstate(invalid="ignore"):
-                    out.append((sums[ends] - sums[ends - lengths]) / np.where(lengths > 0, lengths, np.nan))
-            out.append(out[1] - out[2])
-            return [out[0], *(pa.array(x, pa.float64(), mask=lengths == 0) for x in out[1:])]
-
-        return work
-
-    fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "difference"))]
-    return append_columns(docs, kernel, fields)
+            ids = batch.column(0).to_pylist()
+            for begin, texts in slices(batch.column(1)):
+                for row, text in zip(ids[begin : begin + len(texts)], texts, strict=True):
+                    for p, k in Counter(pairs(tokens(text))).items():
+                        if p not in known:
+                            for into, x in zip(held, (row, *p, k), strict=True):
+                                into.append(x)
+                    if len(held[0]) > 50_000:
+                        yield give(held)
+                        held = ([], [], [], [])
+        yield give(held)
+
+    def give(held):
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(held, kinds, strict=True)], names=["row_id", "before", "word", "k"])
+
+    texts = rows.select("row_id", "text")
+    rest = texts.mapInArrow(others, "row_id long, before binary, word binary, k long")
+    cold = losses.where(F.col("n") * HOT < total).drop("n").hint("merge")
+    sums = rest.join(cold, ["before", "word"]).select("row_id", F.lit(0).cast("long").alias("n_tokens"), *[(F.col("k") * F.col(c)).alias(c) for c in both])
+    heads = texts.mapInArrow(heads, "row_id long, n_tokens long, target_loss double, background_loss double")
+    every = heads.unionByName(sums).groupBy("row_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", *both)])
+    mean = {c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")) for c in both}
+    out = rows.select("row_id", "doc_id").join(every.hint("merge"), "row_id").withColumns(mean)
+    return out.select("doc_id", "n_tokens", *both, (F.col("target_loss") - F.col("background_loss")).alias("difference"))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -189,4 +178,6 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     marks = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marks = marks.hint("merge")  # the list grows with the corpus: one plan at every size
-    return with_losses(rows, *train(rows.join(marks, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target")))).drop("text")
+    marked = rows.join(marks, "doc_id", "left").withColumns({"is_target": F.coalesce("is_target", F.lit(False)), "row_id": F.monotonically_increasing_id()})
+    marked = materialize(marked, "marked-rows")  # row numbers must not be drawn again
+    return with_losses(marked, *pair_losses(marked))

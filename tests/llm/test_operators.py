@@ -198,6 +198,38 @@ def test_cross_entropy_difference(spark, docs, none):
     assert lm_scoring.cross_entropy_difference(docs, targets.limit(0)).count() == len(ODD) * 2
 
 
+def test_cross_entropy_difference_counts_every_word_and_pair(spark):
+    """More words than any fixed vocabulary, and hot, rare and repeated pairs, against plain counting."""
+    rng = random.Random(8)
+    texts = [" ".join(["The"] * rng.randint(0, 3) + [f"w{int(60_000 * rng.random() ** 2)}" for _ in range(rng.randint(0, 60))] + ["the end"] * rng.randint(0, 2)) for _ in range(2600)] + [None, "", "x", "x"]
+    rows = [(None if i % 97 == 0 else i // 2 if i % 50 == 1 else i, t) for i, t in enumerate(texts)]
+    marked = {i for i in range(0, 2600, 7)}
+    words, pairs, total, vocabulary = ({}, {}), ({}, {}), [0, 0], set()
+    for i, t in rows:
+        w = (t or "").lower().split()
+        vocabulary |= set(w)
+        for k in [0, 1] if i in marked else [0]:
+            total[k] += len(w)
+            for h, x in zip(["", *w], w, strict=False):
+                pairs[k][h, x] = pairs[k].get((h, x), 0) + 1
+                words[k][x] = words[k].get(x, 0) + 1
+            words[k][""] = words[k].get("", 0) + 1
+    wanted = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        loss = [0.0, 0.0]
+        for k in (0, 1):
+            for h, x in zip(["", *w], w, strict=False):
+                uni = (words[k].get(x, 0) + 0.5) / (total[k] + 0.5 * len(vocabulary))
+                loss[k] -= np.log(0.6 * pairs[k].get((h, x), 0) / max(1, words[k].get(h, 0)) + 0.4 * uni) / len(w)
+        wanted.append((-1 if i is None else i, len(w), round(loss[1], 7), round(loss[0], 7)) if w else (-1 if i is None else i, 0, 99.0, 99.0))
+    assert len(vocabulary) > 32_768
+    targets = spark.createDataFrame([(i,) for i in marked], "doc_id long")
+    found = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), targets).fillna({"doc_id": -1, "target_loss": 99.0, "background_loss": 99.0}).collect()
+    found = sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in found)
+    assert np.allclose(np.array(found), np.array(sorted(wanted)), atol=1e-6)
+
+
 def test_warc(spark):
     rows = [(5, "http://a/", "<p>é</p>"), (2, "http://b/\nX", "<p>é</p>"), (9, None, None), (7, "http://c/", ""), (8, "http://d/", "y" * 70000), (None, "http://e/", "<p>é</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
