@@ -170,6 +170,23 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.where("item_id < 0")).count() == 0
 
 
+def test_long_items_are_found_at_the_edit_bound():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    for n in (51, 60, 200, 400, 1000):
+        items = [rng.choices(words, k=n) for _ in range(6)]
+        block = decontaminate.Items(list(range(6)), [" ".join(w) for w in items])
+        texts, wanted = [], []
+        for i in range(24):
+            w = list(items[i % 6])
+            for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+                w[at : at + 1] = rng.choice([[], [rng.choice(words)], [w[at], rng.choice(words)]])
+            texts.append(" ".join(rng.choices(words, k=rng.randint(0, 300)) + w + rng.choices(words, k=rng.randint(0, 300))))
+            wanted.append((i, i % 6))
+        found = [(i, x["item_id"]) for i, leaks in enumerate(block.leaks(texts)) for x in leaks]
+        assert set(found) <= set(wanted) and len(found) >= 0.99 * len(wanted), (n, len(found))
+
+
 def test_edit_distance():
     def plain(item, words):
         row = [0] * (len(words) + 1)
