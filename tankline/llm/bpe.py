@@ -16,6 +16,7 @@ its UTF-8 bytes; repeated rows are independent; extra columns are kept.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 
 import numpy as np
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tankline.llm.chunks import Remembered, cuttable
+from tankline.llm.chunks import cuttable
 from tankline.llm.common import append_columns
+from tankline.llm.memory import Remembered, working_set
 
 MASK = (1 << 64) - 1
 #: Odd 64-bit multipliers that spread a bucket's displacement over the slots.
@@ -158,12 +160,12 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes and decodes with one vocabulary; `tables` is what the driver broadcasts."""
 
-    def __init__(self, tables: tuple[list[bytes], PerfectHash, str], most: int = 250_000):
-        self.tokens, self.hash, pattern = tables
+    def __init__(self, tables: tuple[list[bytes], PerfectHash, str, str]):
+        self.tokens, self.hash, pattern, _ = tables
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.split = regex.compile(pattern).findall
-        self.pieces = Remembered(self._piece, most)
-        self.spaced = Remembered(lambda chunk: self._chunk(" " + chunk), most)
+        self.pieces = Remembered(self._piece)
+        self.spaced = Remembered(lambda chunk: self._chunk(" " + chunk))
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -186,20 +188,16 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def tables(path: str, pattern: str) -> tuple[list[bytes], PerfectHash, str]:
+def tables(path: str, pattern: str) -> tuple[list[bytes], PerfectHash, str, str]:
+    """Entries, their hash, the pattern, and a digest that tells vocabularies apart."""
     tokens = load_ranks(path)
-    return tokens, PerfectHash(tokens), pattern
-
-
-#: One codec in a worker for each broadcast, so that caches outlive a task.
-_CODECS: dict[int, Codec] = {}
+    digest = hashlib.sha256(repr((tokens, pattern)).encode()).hexdigest()
+    return tokens, PerfectHash(tokens), pattern, digest
 
 
 def _codec(shared) -> Codec:
-    if shared.value is not None and (key := hash((len(shared.value[0]), shared.value[0][-1], shared.value[2]))) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
-    return _CODECS[key]
+    """One codec in a worker, so that its caches outlive a task."""
+    return working_set(("bpe", shared.value[3]), lambda: Codec(shared.value))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

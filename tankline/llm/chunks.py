@@ -16,21 +16,3 @@ ODD = re.compile(r" (?:\s|\Z)")
 
 def cuttable(text: str, specials: tuple[str, ...] = ()) -> bool:
     return ODD.search(text) is None and not any(s in text for s in specials)
-
-
-class Remembered(dict):
-    """A bounded cache: what two generations of `most` entries hold; a miss is made by `make`."""
-
-    def __init__(self, make, most: int = 250_000):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value

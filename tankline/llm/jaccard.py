@@ -1,57 +1,68 @@
 """N-gram Jaccard join: exact components of documents whose five-word shingle sets are alike (operator 3).
 
-Two documents link when 100 * |A and B| >= 80 * |A or B|.  The join loses no link:
-
-1. *Classes.*  Documents with the same set (128-bit digest) become one class, whose smallest doc_id
-   stands for it from here on.
-2. *Postings.*  Under any one order of all shingles, two linked sets share one of the first
-   n - ceil(0.8 n) + 1 of each.  The order puts shingles that are frequent in the corpus last, so that
-   shared passages make no postings except for documents that consist of them.  Which ones count as frequent
-   only steers the work: a bounded summary of every task's shingles is summed, the foremost `FREQUENT` are
-   broadcast (0.5 MB at most).  Only shingles with two documents or more go on.
-3. *Chains and hubs.*  Under each shingle every document is tested against its next `NEIGHBOURS` by size (all pairs,
-   if there are no more), then those outside the largest component against its best-linked members.  Both are a linear
-   number of pairs and join almost all copies of a large group before any other of its pairs is formed.
-4. *Tiles.*  Shingles with more documents that still lie in different components become tiles, split into a grid where
-   a shingle has more than `TILE` documents.  Inside a tile documents are sorted by size, and only sizes within a
-   band of 4 to 5 meet; hashed bitmap signatures (four bits or more a shingle, folded to the narrower of
-   the two) are compared in numpy blocks: |A xor B| of bit counts bounds the overlap from above.
-5. *Exact.*  Pairs that the bound lets through are intersected as sorted arrays.
+Two documents link when 100 * |A and B| >= 80 * |A or B|.  The work is done by *tiles*: groups of documents that share a
+shingle or a component and lie in one band of sizes.  All pairs of a tile meet in numpy blocks:
+
+* hashed bitmap signatures first: |A xor B| of the bit counts (folded to the narrower of the two) bounds the overlap from above;
+* documents of pairs that pass bring their sorted arrays of 64-bit shingles, whose exact intersection decides.
+
+A tile gives out only links that join two of its components, so what leaves it is linear in its documents, and pairs that
+are in one component already are not looked at.  No link between components is lost:
+
+1. *Classes.*  Documents with the same set (128-bit digest) become one class, which its smallest doc_id stands for from here on,
+   so r copies of a text cost r rows and no pair.
+2. *Postings.*  Under any one order of all shingles, two linked sets share one of the first n - ceil(0.8 n) + 1 of each.  The
+   order puts shingles that are frequent in the corpus last (`frequent_shingles`, a bounded summary), so that shared passages make no
+   postings except for documents that consist of them.  Only shingles with two classes of like size go on.  Those that more than
+   `TILE` documents hold skip the exchange by shingle, as it is known that they are shared.
+3. *Anchor tiles.*  Each class goes to the tile of one of its shared shingles, the one with the smallest hash, and its band; a tile with too
+   many documents is cut at random.  Two alike sets mostly choose alike, and random cuts of a large group join within.
+4. *Hub tiles.*  Under each shingle whose classes lie in different components, the classes outside the one with most of them
+   meet `HUBS` members of that one.  Both steps are linear and join nearly all of a large group.
+5. *Full tiles.*  What is left is done exactly.  Under each such shingle let M be the component with most of its classes.  Classes
+   outside M meet each other in tiles of the shingle and band (cut into a grid of blocks if large), and they meet all of M in tiles of M, to which M's
+   classes come once however many shingles they share.
 
 Defined results: texts without words (null, empty, blank) have no shingles and link with nothing; texts with fewer than five
-words have one shingle, the whole sequence; repeated rows each give a row; long texts are taken whole.
+words have one shingle, the whole sequence; repeated rows each give a row, and rows with one doc_id count as one document that
+has the links of all of them; a null doc_id takes part with its text, and its component_id is null only if no linked row has an id;
+long texts are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.chunks import Remembered
 from tankline.llm.common import materialize, slices
 from tankline.llm.components import components
+from tankline.llm.memory import Remembered, working_set
 
 WIDTH = 5
 #: Percent of the union that must be shared.
 PERCENT = 80
 FREQUENT, SUMMARY, LEAST = 65_536, 65_536, 8
-#: Neighbours by size that are tested under each shingle, hubs tested for each document, documents in a tile.
-NEIGHBOURS, HUBS, TILE = 7, 3, 4096
-#: Hashed places of the filter before joins.
+#: Documents and shingles of a tile before it is cut; members of a component that strays meet first.
+TILE, TILE_SHINGLES, HUBS = 1024, 1 << 20, 4
+#: A band of sizes is this wide; documents near its upper end are also in the next one.
+BAND = 1.25**4
+#: Bits of a signature for each shingle: the one that moves, and the one that is made from arrays.
+THIN, WIDE = 2, 8
+#: Bits of the filter before joins.
 FILTER_BITS = 23
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-WORD_KIND = "doc_id long, n int, h1 long, h2 long, prefix array<long>, bits binary"
-
-_WORDS: list[Remembered] = []
+#: Rows without doc_id are known by their text, above all ids.
+NAMELESS = 1 << 62
+TILE_ROWS = "key long, side int, node long, n int, comp long"
 
 
 def _word_hashes() -> Remembered:
-    if not _WORDS:
-        _WORDS.append(Remembered(xxhash.xxh3_64_intdigest, 120_000))
-    return _WORDS[0]
+    return working_set("jaccard", lambda: Remembered(xxhash.xxh3_64_intdigest))
 
 
 def shingles(text: str, words: Remembered) -> np.ndarray:
@@ -72,21 +83,42 @@ def shingles(text: str, words: Remembered) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of at least four bits a shingle: 2^k bits, k from 6 to 15."""
-    width = 1 << min(15, max(6, int(4 * len(hashes) - 1).bit_length()))
+def bitmap(hashes: np.ndarray, density: int) -> np.ndarray:
+    """A hashed bitmap of at least `density` bits a shingle: 2^k bits, k from 6 to 17."""
+    width = 1 << min(17, max(6, int(density * len(hashes) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[((hashes >> np.uint64(7)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def fold(rows: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of a wider signature at the width of a narrower one."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] | rows[:, half:]
+    return rows
+
+
 def needed(n: int) -> int:
     """Fewest shingles that a set of n shares with any set it links with."""
     return -(-PERCENT * n // 100)
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """The most frequent shingles, rarest first; every task sums its own in a bounded summary."""
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _alike(a, b):
+    """Sizes that can link; of numbers, arrays or columns."""
+    return (100 * a >= PERCENT * b) & (100 * b >= PERCENT * a)
+
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, rarest first, and the least number of documents of each; every task sums its own in a bounded summary."""
 
     def summarize(batches):
         words = _word_hashes()
@@ -110,297 +142,334 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
     sums = docs.select("text").mapInArrow(summarize, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = sums.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    return top.column("h").to_numpy()[::-1].view(np.uint64)
+    return top.column("h").to_numpy()[::-1].view(np.uint64), top.column("n").to_numpy()[::-1]
 
 
-def sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, set size, digest, prefix and bitmap of every document."""
-    order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """node, doc_id, set size, digest, signature and prefix of every row; shingles of the prefix that many documents hold apart from the others."""
+    keys, counts = frequent
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], order, counts[order] > TILE))
 
     def run(batches):
         words = _word_hashes()
-        known, ranks = shared.value
+        known, ranks, many = shared.value
         for batch in batches:
             for begin, texts in slices(batch.column(1)):
-                n, h1, h2, prefix, bits = [], [], [], [], []
+                n, h1, h2, rare, hot, bits = [], [], [], [], [], []
                 for text in texts:
                     s = shingles(text, words)
                     digest = xxhash.xxh3_128_intdigest(s.tobytes())
                     n.append(len(s))
                     h1.append((digest >> 64) - (1 << 63))
                     h2.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                    if not len(s):
-                        prefix.append(np.zeros(0, np.int64))
-                        bits.append(b"")
-                        continue
-                    if len(known):
+                    size = len(s) - needed(len(s)) + 1 if len(s) else 0
+                    first, late = s, s[:0]
+                    if len(known) and len(s):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         common = known[at] == s
-                        late = s[common][np.argsort(ranks[at[common]], kind="stable")]
-                        ordered = np.concatenate((s[~common], late))
-                    else:
-                        ordered = s
-                    prefix.append(ordered[: len(s) - needed(len(s)) + 1].view(np.int64))
-                    bits.append(bitmap(s).tobytes())
-                bounds = np.cumsum([0] + [len(p) for p in prefix]).astype(np.int32)
+                        first, at = s[~common], np.sort(ranks[at[common]])
+                        late = keys[at[: max(0, size - len(first))]]
+                    big = many[np.searchsorted(known, late)] if len(late) else np.zeros(0, bool)
+                    rare.append(np.concatenate((first[:size], late[~big])).view(np.int64))
+                    hot.append(late[big].view(np.int64))
+                    bits.append(bitmap(s, THIN).tobytes() if len(s) else b"")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(texts)), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(prefix))), pa.array(bits, pa.binary())],
-                    names=["doc_id", "n", "h1", "h2", "prefix", "bits"],
-                )
+                    [batch.column(0).slice(begin, len(texts)), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(rare), _lists(hot), pa.array(bits, pa.binary())],
+                    names=["doc_id", "n", "h1", "h2", "rare", "hot", "bits"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, WORD_KIND)
+    found = docs.mapInArrow(run, "doc_id long, n int, h1 long, h2 long, rare array<long>, hot array<long>, bits binary")
+    return found.withColumn("node", node("h1"))
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes that can link."""
-    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)), pa.array(np.concatenate(parts)))
 
 
-def shared_postings(reps: DataFrame) -> DataFrame:
-    """token, doc, n of shingles with two documents or more, and the next `NEIGHBOURS` documents by size where they may link."""
-    rows = reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n")
-    return rows.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(_posting_runs, "token long, doc long, n int, next array<long>")
-
-
-def _posting_runs(batches):
-    """Rows of tokens that occur twice or more; looks `NEIGHBOURS` rows ahead and one back, so a batch and these are in memory."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    done = 0  # rows at the start of `held` that have been given out
-
-    def give(cols, lo, hi):
-        token, doc, n = cols
-        size = len(token)
-        runs = np.zeros(size, bool)
-        found = np.full((NEIGHBOURS, size), -1, np.int64)
-        for gap in range(1, NEIGHBOURS + 1):
-            i = np.flatnonzero(token[gap:] == token[:-gap]) if size > gap else np.zeros(0, np.int64)
-            if gap == 1:
-                runs[i] = runs[i + 1] = True
-            i = i[_alike(n[i], n[i + gap])]
-            found[gap - 1, i] = doc[i + gap]
-        keep = np.flatnonzero(runs[lo:hi]) + lo
-        found = found[:, keep].T
-        valid = found >= 0
-        bounds = np.concatenate(([0], np.cumsum(valid.sum(axis=1)))).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(token[keep]), pa.array(doc[keep]), pa.array(n[keep].astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(found[valid]))], names=["token", "doc", "n", "next"]
-        )
-
-    for batch in batches:
-        cols = [np.concatenate((h, np.asarray(c).astype(np.int64))) for h, c in zip(held, batch.columns, strict=True)]
-        hi = max(done, len(cols[0]) - NEIGHBOURS)
-        if hi > done:
-            yield give(cols, done, hi)
-        begin = max(0, hi - 1)
-        held, done = [c[begin:] for c in cols], hi - begin
-    if len(held[0]) > done:
-        yield give(held, done, len(held[0]))
+def node(digest: str) -> Column:
+    """What a row is known by: its doc_id, or its text."""
+    return F.coalesce("doc_id", F.lit(NAMELESS) + F.shiftrightunsigned(digest, 2))
 
 
-def _place(doc: str):
-    return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS)).cast("int")
+def classes_of(found: DataFrame) -> DataFrame:
+    """node (the smallest), n, digest, signature and prefix of each distinct set; copies meet within tasks before the exchange."""
+    best = F.min_by(F.struct("rare", "hot", "bits"), "node")
+    return found.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("node").alias("node"), best.alias("_s")).select("node", "n", "h1", "h2", "_s.*")
 
 
-def _marks(spark, wanted: DataFrame):
-    """Broadcast bitmap of the hashed places of wanted documents: 1 MB, made from at most 2^FILTER_BITS places."""
-    places = wanted.select(_place("doc_id").alias("p")).distinct().toArrow().column(0).to_numpy()
-    marks = np.zeros(1 << FILTER_BITS, bool)
-    marks[places] = True
-    return spark.sparkContext.broadcast(np.packbits(marks))
+def shared_postings(reps: DataFrame) -> DataFrame:
+    """token, node, n of shingles that two classes or more of like size hold."""
+    rows = reps.select(F.explode("rare").alias("token"), "node", "n")
+    runs = rows.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_runs, "token long, node long, n int")
+    return runs.unionByName(reps.select(F.explode("hot").alias("token"), "node", "n"))
 
 
-def _marked(batches, packed: np.ndarray):
-    """Batches without the rows whose place (the last column, which is dropped) isn't marked."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and size those with a neighbour of the same token and like size; a batch is in memory."""
+    held = np.zeros((3, 0), np.int64)
+    near = np.zeros(0, bool)  # whether a held row has such a neighbour before it
     for batch in batches:
-        last = batch.num_columns - 1
-        place = np.asarray(batch.column(last))
-        kept = batch.filter(pa.array(((packed[place >> 3] >> (7 - (place & 7))) & 1).astype(bool)))
-        yield pa.RecordBatch.from_arrays(kept.columns[:last], names=kept.schema.names[:last])
+        rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
+        rows, before = np.concatenate((held, rows), axis=1), np.concatenate((near, np.zeros(rows.shape[1], bool)))
+        if not rows.shape[1]:
+            continue
+        pair = (rows[0, 1:] == rows[0, :-1]) & _alike(rows[2, 1:], rows[2, :-1])
+        before[1:] |= pair
+        keep = before[:-1] | pair
+        held, near = rows[:, -1:], before[-1:]
+        yield _posting_batch(rows[:, :-1][:, keep])
+    yield _posting_batch(held[:, near])
 
 
-def among(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `df` (doc_id, ...) whose hashed id is that of a wanted document, and few others.
+def _posting_batch(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["token", "node", "n"])
 
-    A filter before a join, so that rows which no pair names aren't shuffled.  Its bitmap has a fixed size; a full one
-    filters nothing, and the join that follows is exact."""
-    shared = _marks(df.sparkSession, wanted)
-    return df.withColumn("_place", _place("doc_id")).mapInArrow(lambda batches: _marked(batches, shared.value), df.schema)
 
+# Tiles
 
-def _named(pairs: DataFrame) -> DataFrame:
-    """The documents that pairs name."""
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
-
-def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs a, b whose bitmaps allow a link."""
-    bits = among(bits, _named(pairs))
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for i, (n, m, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 4, 3, 5)), strict=True)):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                width = min(len(u), len(v))
-                keep.append(n + m >= 9 * int(np.bitwise_count(fold(u[None], width)[0] ^ fold(v[None], width)[0]).sum()))
-            rows = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
-
-    one = bits.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    two = bits.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "xa", "nb", "xb")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def fold(rows: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps of a wider signature at the width of a narrower one."""
-    while rows.shape[1] > words:
-        half = rows.shape[1] // 2
-        rows = rows[:, :half] | rows[:, half:]
-    return rows
-
-
-def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], block: np.ndarray, lo: int, hi: int):
-    """Pairs of a tile that lie in different components and in one size band and whose bit counts allow a link."""
-    sizes = np.array([len(b) // 8 for b in bits])
-    for width in np.unique(sizes):
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tiles of rows sorted by key, one at a time."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if held and keys[s] != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = keys[s]
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def near_pairs(n: np.ndarray, side: np.ndarray, label: np.ndarray, bits: list[np.ndarray]):
+    """Blocks (i, j, bits that differ) of pairs of a tile that lie in one size band, on different sides and under different labels,
+    and whose bit counts allow a link.  Documents come sorted by size; `label` may change between blocks."""
+    widths = np.array([len(b) for b in bits])
+    for width in np.unique(widths):
         for wide in (width, 2 * width):
-            left, right = np.flatnonzero(sizes == width), np.flatnonzero(sizes == wide)
+            left, right = np.flatnonzero(widths == width), np.flatnonzero(widths == wide)
             if not len(left) or not len(right):
                 continue
-            x = np.frombuffer(b"".join(bits[i] for i in left), np.uint64).reshape(len(left), -1)
-            y = fold(np.frombuffer(b"".join(bits[i] for i in right), np.uint64).reshape(len(right), -1), width)
+            x = np.stack([bits[i] for i in left])
+            y = fold(np.stack([bits[i] for i in right]), int(width))
             first, last = np.searchsorted(n[right], -(-PERCENT * n[left] // 100), "left"), np.searchsorted(n[right], 100 * n[left] // PERCENT, "right")
             step = max(1, 1_000_000 // max(1, 256 * int(width)))
             for s in range(0, len(left), step):
                 part = slice(s, min(len(left), s + step))
-                begin, end = int(first[part].min()), int(last[part].max())
-                for t in range(begin, end, 256):
-                    there = slice(t, min(end, t + 256))
-                    away = np.bitwise_count(x[part, None, :] ^ y[None, there, :]).sum(axis=2, dtype=np.int64)
+                for t in range(int(first[part].min()), int(last[part].max()), 256):
+                    there = slice(t, t + 256)
                     i, j = left[part][:, None], right[there][None, :]
-                    ok = (n[i] + n[j] >= 9 * away) & (comp[i] != comp[j]) & _alike(n[i], n[j])
-                    if lo != hi:
-                        ok &= block[i] != block[j]
+                    ok = (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j])) & _alike(n[i], n[j])
                     if width == wide:
                         ok &= i < j
-                    p, q = np.nonzero(ok)
+                    if not ok.any():
+                        continue
+                    away = np.bitwise_count(x[part, None, :] ^ y[None, there, :]).sum(axis=2, dtype=np.int64)
+                    p, q = np.nonzero(ok & (n[i] + n[j] >= 9 * away))
                     if len(p):
-                        yield doc[left[part][p]], doc[right[there][q]]
+                        yield left[part][p], right[there][q], away[p, q]
+
+
+def _columns(tile: pa.Table) -> tuple[np.ndarray, ...]:
+    return tuple(tile.column(c).to_numpy().astype(np.int64) for c in ("n", "side", "comp", "node"))
+
+
+def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each tile that have a partner by their signatures."""
+    for tile in _grouped(batches):
+        n, side, comp, _ = _columns(tile)
+        some = np.zeros(len(n), bool)
+        if (comp != comp[0]).any():
+            bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in tile.column("bits").combine_chunks()]
+            for i, j, _ in near_pairs(n, side, comp, bits):
+                some[i] = some[j] = True
+        if some.any():
+            yield from tile.filter(pa.array(some)).drop_columns(["bits"]).combine_chunks().to_batches()
+
+
+def tile_links(nodes: np.ndarray, n: np.ndarray, side: np.ndarray, comp: np.ndarray, arrays: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of a tile: of each pair of components that links join within it, a path."""
+    label, links = comp.copy(), []
+    for i, j, away in near_pairs(n, side, label, [bitmap(a, WIDE) for a in arrays]):
+        order = np.argsort(away, kind="stable")
+        i, j = i[order], j[order]
+        at = 0
+        while at < len(i):
+            p, q = int(i[at]), int(j[at])
+            at += 1
+            if label[p] == label[q] or not linked(arrays[p], arrays[q]):
+                continue
+            links.append((int(nodes[p]), int(nodes[q])))
+            label[label == label[q]] = label[p]
+            live = label[i[at:]] != label[j[at:]]
+            i, j, at = i[at:][live], j[at:][live], 0
+    return links
 
 
-def tiles(rows: DataFrame) -> DataFrame:
-    """Distinct candidate pairs a, b of rows token, lo, hi, doc, n, comp, block, bits."""
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links a, b of each tile."""
+    for tile in _grouped(batches):
+        n, side, comp, nodes = _columns(tile)
+        arrays = [np.frombuffer(b.as_buffer(), np.uint64) for b in tile.column("s").combine_chunks()]
+        if links := tile_links(nodes, n, side, comp, arrays):
+            a, b = np.array(links, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    def run(batches):
-        key, held = None, []
 
-        def done():
-            table = pa.Table.from_batches(held)
-            found = [x for x in tile_pairs(*(table.column(k).to_numpy() for k in ("doc", "n", "comp")), table.column("bits").to_pylist(), table.column("block").to_numpy(), key[1], key[2])]
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _in_tiles(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(work, schema)
 
-        for batch in batches:
-            keys = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if e == s:
-                    continue
-                own = tuple(keys[:, s].tolist())
-                if key is not None and own != key:
-                    yield from done()
-                    held.clear()
-                key = own
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield from done()
-
-    sorted_rows = rows.select("token", "lo", "hi", "doc", "n", "comp", "block", "bits").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "doc")
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of distinct pairs a, b that link, by intersecting their sorted shingle arrays."""
-
-    def arrays(batches):
-        words = _word_hashes()
-        for batch in _marked(batches, shared.value):
-            for begin, texts in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array([shingles(t, words).tobytes() for t in texts], pa.binary())], names=["doc_id", "s"])
+
+def arrays_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, s (sorted shingles) of the rows that `wanted` may name, once for each task.
+
+    A bitmap of fixed size holds the hashed nodes of `wanted`.  It only spares work before the join: a full one filters nothing."""
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
+    marks = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b"))
+    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for k, part in marks.toLocalIterator():  # 4096 bytes a row, 2^FILTER_BITS bits in all
+        packed[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
+        words, marks, seen = _word_hashes(), shared.value, set()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both))
-            rows = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
+            place = np.asarray(batch.column(2))
+            kept = batch.filter(pa.array(((marks[place >> 3] >> (place & 7)) & 1).astype(bool)))
+            for begin, texts in slices(kept.column(1)):
+                nodes, out = kept.column(0).slice(begin, len(texts)).to_pylist(), []
+                for k, text in zip(nodes, texts, strict=True):
+                    s = shingles(text, words).tobytes()
+                    mark = (k, xxhash.xxh3_64_intdigest(s))
+                    if mark not in seen:
+                        seen.add(mark)
+                        out.append((k, s))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["node", "s"])
 
-    shared = _marks(docs.sparkSession, _named(pairs))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("_place", _place("doc_id"))
-    found = texts.mapInArrow(arrays, "doc_id long, s binary")
-    both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return docs.withColumn("place", place).select("node", "text", "place").mapInArrow(run, "node long, s binary")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+class Tiles:
+    """Tiles over one corpus: nodes with their signatures, and texts for the arrays."""
 
+    def __init__(self, texts: DataFrame, bits: DataFrame):
+        self.texts, self.bits = texts, bits
 
-def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows with the component of their document."""
-    return rows.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    def links(self, members: DataFrame, label: str) -> DataFrame:
+        """Links that join components of members key, side, node, n, comp."""
+        rows = members.join(self.bits.hint("merge"), "node").select(*[c.split()[0] for c in TILE_ROWS.split(", ")], "bits")
+        passed = materialize(_in_tiles(rows, _flag, TILE_ROWS), f"{label}-flagged")
+        arrays = arrays_of(self.texts, passed.select("node").distinct())
+        both = passed.join(arrays.hint("merge"), "node").select("key", "side", "node", "n", "comp", "s")
+        return materialize(_in_tiles(both, _link, "a long, b long"), f"{label}-links")
+
+
+def band() -> Column:
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
+
+
+def _pieces(count: str = "m", size: str = "w") -> Column:
+    """Into how many a tile is cut, by its documents and their shingles."""
+    return F.greatest(F.ceil(F.col(count) / TILE), F.ceil(F.col(size) / TILE_SHINGLES)).cast("int")
+
+
+def _part(column: str, pieces: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(salt)), F.col(pieces).cast("long")).cast("int")
 
 
-def hub_pairs(rows: DataFrame, links: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs a, b of a document and the best-linked members of the component that most documents of its token belong to.
+def anchor_tiles(anchors: DataFrame) -> DataFrame:
+    """Each class of rows node, n, token under its token."""
+    picked = anchors.withColumn("band", band())
+    sums = picked.groupBy("token", "band").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1").withColumn("pieces", _pieces())
+    rows = picked.join(sums.hint("merge"), ["token", "band"])
+    return rows.select(F.xxhash64("token", "band", _part("node", "pieces", 1)).alias("key"), F.lit(-1).alias("side"), "node", "n", F.col("node").alias("comp"))
 
-    A linear number: `HUBS` for each document and token."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("degree"), "node"))
-    ranked = ends.join(joined, "node").withColumn("place", place).where(F.col("place") <= HUBS).select("component", F.col("node").alias("hub"))
-    most = rows.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"))
-    strays = rows.join(most, "token").where("comp <> major").select("doc", "major").distinct()
-    return strays.join(ranked.withColumnRenamed("component", "major"), "major").select(*_ordered("doc", "hub")).distinct()
+
+def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows with the component of their node."""
+    return rows.join(joined.hint("merge"), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+
+def split_tokens(rows: DataFrame) -> DataFrame:
+    """token, node, n, comp, major, kinds of the classes outside the component with most classes of their token, if there are two or more."""
+    most = rows.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("major"), F.count("*").alias("kinds"))
+    return rows.join(most.where("kinds > 1").hint("merge"), "token").where("comp <> major")
+
+
+def hub_tiles(strays: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Classes outside the major component of a token together with a few of its members."""
+    outside = strays.select("node", "n", "comp", "major").distinct()
+    sums = outside.groupBy("major").agg(F.count("*").alias("m"), F.sum("n").alias("w")).withColumn("pieces", _pieces())
+    picks = nodes.groupBy("comp").agg(*[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k))).alias(f"_{k}") for k in range(HUBS)])
+    hubs = picks.select(F.col("comp").alias("major"), F.explode(F.array_distinct(F.array(*[f"_{k}" for k in range(HUBS)]))).alias("_h"))
+    hubs = hubs.join(sums.hint("merge"), "major").select("_h.*", F.col("major").alias("comp"), "major", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("part"))
+    rows = outside.join(sums.hint("merge"), "major").withColumn("part", _part("node", "pieces", 2)).select("node", "n", "comp", "major", "part")
+    return rows.unionByName(hubs).select(F.xxhash64(F.lit(2), "major", "part").alias("key"), F.lit(-1).alias("side"), "node", "n", "comp")
+
+
+def shingle_tiles(strays: DataFrame) -> DataFrame:
+    """Classes outside the major component of their token by token and band, in a grid of blocks if they are many."""
+    rows = strays.where("kinds > 2").withColumn("_own", band())
+    up = F.floor(F.log(F.col("n") * (100 / PERCENT) + 1) / F.log(F.lit(BAND))).cast("int")
+    rows = rows.withColumn("band", F.explode(F.array_distinct(F.array("_own", up))))
+    sums = rows.groupBy("token", "band").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    rows = rows.join(sums.where("lo < hi").withColumn("pieces", _pieces()).hint("merge"), ["token", "band"])
+    rows = rows.withColumn("block", _part("node", "pieces", 3)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    side = F.when(F.col("pieces") == 1, -1).when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return rows.select(F.xxhash64("token", "band", F.least("block", "other"), F.greatest("block", "other")).alias("key"), side.cast("int").alias("side"), "node", "n", "comp")
+
+
+def component_tiles(strays: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All classes of a component with the classes that share a shingle with it: blocks of the one by blocks of the others."""
+    inside = nodes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumn("pieces", _pieces()).withColumnRenamed("comp", "major")
+    outside = strays.select("node", "n", "comp", "major").distinct().join(inside.hint("merge"), "major").where((100 * F.col("n") >= PERCENT * F.col("lo")) & (PERCENT * F.col("n") <= 100 * F.col("hi")))
+    sums = outside.groupBy("major").agg(F.count("*").alias("sm"), F.sum("n").alias("sw")).withColumn("cuts", _pieces("sm", "sw"))
+    members = nodes.withColumn("major", F.col("comp")).join(sums.hint("merge"), "major").join(inside.select("major", "pieces").hint("merge"), "major")
+    members = members.select("major", _part("node", "pieces", 4).alias("block"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(0).alias("side"), "node", "n", "comp")
+    others = outside.join(sums.hint("merge"), "major").select("major", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("block"), _part("node", "cuts", 5).alias("cut"), F.lit(1).alias("side"), "node", "n", "comp")
+    return members.unionByName(others).select(F.xxhash64(F.lit(6), "major", "block", "cut").alias("key"), "side", "node", "n", "comp")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """doc_id, n_shingles, component_id for every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(sets(docs, frequent_shingles(docs)), "sets")
-    classes = materialize(found.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = found.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = materialize(classes_of(found), "classes")
     postings = materialize(shared_postings(reps), "postings")
-    bits = found.select("doc_id", "n", "bits").where("doc_id is not null")
-    # chains: neighbours by size, which are all pairs of a shingle with few documents
-    near = materialize(postings.select(F.col("doc").alias("a"), F.explode("next").alias("b")).where("a != b").select(*_ordered("a", "b")).distinct(), "near-pairs")
-    links = materialize(exact_links(materialize(bounded(near, bits), "chain-pairs"), docs), "chain-links")
-    joined = materialize(components(links), "chain-components")
-    # what is left: shingles with more documents, in different components
-    many = postings.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > NEIGHBOURS + 1)
-    rows = materialize(postings.select("token", "doc", "n").join(many, "token"), "tile-rows")
-    # hubs
-    hubs = materialize(hub_pairs(_labelled(rows, joined), links, joined), "hubs")
-    more = exact_links(materialize(bounded(hubs, bits), "hub-pairs"), docs)
-    links = materialize(links.unionByName(more).distinct(), "hub-links")
-    joined = materialize(components(links), "hub-components")
-    # tiles
-    rows = _labelled(rows, joined).withColumn("grid", F.ceil(F.col("m") / TILE).cast("int"))
-    split = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-    rows = rows.join(split.select("token"), "token", "left_semi").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("grid").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
-    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = materialize(rows, "tiles")
-    rest = tiles(rows.join(among(bits, rows.select(F.col("doc").alias("doc_id"))).select(F.col("doc_id").alias("doc"), "bits"), "doc"))
-    links = links.unionByName(materialize(exact_links(materialize(rest, "tile-pairs"), docs), "tile-links"))
-    final = materialize(components(links), "components")
-    whole = found.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    nameless = reps.agg(F.max("node")).first()[0]
+    texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "node")
+    if nameless is not None and nameless >= NAMELESS:
+        texts = texts.unionByName(_nameless(docs))
+    tiles = Tiles(texts, reps.select("node", "bits"))
+    anchors = materialize(postings.groupBy("node", "n").agg(F.min_by("token", F.xxhash64("token")).alias("token")), "anchors")
+    joined = materialize(components(tiles.links(anchor_tiles(anchors), "anchor")), "anchor-components")
+    for label in ("hub", "full"):
+        nodes = _labelled(anchors.select("node", "n"), joined)
+        strays = materialize(split_tokens(materialize(_labelled(postings, joined), f"{label}-rows")), f"{label}-strays")
+        members = hub_tiles(strays, nodes) if label == "hub" else shingle_tiles(strays).unionByName(component_tiles(strays, nodes))
+        links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tiles.links(members, label))
+        joined = materialize(components(links), f"{label}-components")
+    whole = found.select("doc_id", "n", "h1", "h2", F.col("node").alias("own")).join(reps.select("n", "h1", "h2", "node").hint("merge"), ["n", "h1", "h2"], "left").join(joined.hint("merge"), "node", "left")
+    least = F.coalesce("component", "node", "own")
+    return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(least < NAMELESS, least).alias("component_id"))
+
+
+def _nameless(docs: DataFrame) -> DataFrame:
+    """node, text of rows without doc_id; their digest is made again."""
+
+    def run(batches):
+        words = _word_hashes()
+        for batch in batches:
+            for begin, texts in slices(batch.column(0)):
+                digests = [(xxhash.xxh3_128_intdigest(shingles(t, words).tobytes()) >> 64) - (1 << 63) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(digests, pa.int64())], names=["text", "h1"])
+
+    rows = docs.where("doc_id is null").select("text").mapInArrow(run, "text string, h1 long").withColumn("doc_id", F.lit(None).cast("long"))
+    return rows.select(node("h1").alias("node"), "text")

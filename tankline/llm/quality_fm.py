@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tankline.llm.chunks import Remembered
 from tankline.llm.common import append_columns, held_out
+from tankline.llm.memory import Remembered, working_set
 
 BITS, FACTORS = 16, 8
 TRAIN_DOCS, EPOCHS, BATCH, RATE, DECAY = 12_000, 8, 256, 0.1, 1e-5
@@ -52,7 +52,7 @@ class Features:
     """Index and value lists of texts."""
 
     def __init__(self):
-        self.numbers = Remembered(lambda w: xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1), 300_000)
+        self.numbers = Remembered(lambda w: xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))
 
     def __call__(self, texts: list[str], recorded: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Indexes and values of all documents one after the other, and where each begins."""
@@ -142,13 +142,8 @@ class Machine:
         return self
 
 
-_FEATURES: list[Features] = []
-
-
 def _features() -> Features:
-    if not _FEATURES:
-        _FEATURES.append(Features())
-    return _FEATURES[0]
+    return working_set("quality", Features)
 
 
 def _inputs(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import os
 from array import array
 
 from tankline.llm.chunks import cuttable
+from tankline.llm.memory import working_set
 
 
 def split_chunk(chunk: str) -> list[str]:
@@ -129,14 +130,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(shared, lengths: bool, known=None, tag: str = "") -> Encoder:
     """One encoder in a worker for each vocabulary and use, so that its cache outlives a task."""
-    key = (shared.value.key, lengths, tag)
-    if key not in _ENCODERS:
-        for old in [k for k in _ENCODERS if k[1] == lengths]:
-            del _ENCODERS[old]
-        _ENCODERS[key] = Encoder(shared.value, lengths, known)
-    return _ENCODERS[key]
+    return working_set(("vocabulary", shared.value.key, lengths, tag), lambda: Encoder(shared.value, lengths, known))

@@ -46,15 +46,75 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("neighbours", "hubs", "tile", "frequent"), [(7, 3, 4096, 65536), (1, 1, 5, 4), (2, 1, 7, 65536)])
-def test_components(spark, monkeypatch, neighbours, hubs, tile, frequent):
-    for name, value in (("NEIGHBOURS", neighbours), ("HUBS", hubs), ("TILE", tile), ("FREQUENT", frequent)):
+@pytest.fixture
+def counted(monkeypatch):
+    """Rows of every table that the join writes."""
+    rows, write = {}, jaccard.materialize
+
+    def counting(df, label):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counting)
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "hubs", "tile", "frequent"), [(7, 3, 1024, 65536), (1, 1, 3, 4), (2, 1, 7, 65536), (3, 2, 2, 65536)])
+def test_components(spark, monkeypatch, counted, seed, hubs, tile, frequent):
+    for name, value in (("HUBS", hubs), ("TILE", tile), ("FREQUENT", frequent), ("LEAST", 2)):
         monkeypatch.setattr(jaccard, name, value)
-    monkeypatch.setattr(jaccard, "LEAST", 2)
-    rows = corpus(neighbours)
+    rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, component_id string, n long").repartition(5)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
     assert found == brute(rows)
+    assert counted["anchor-links"] > 0
+    assert tile > 3 or counted["hub-links"] > 0
+
+
+def test_full_tiles_alone(spark, monkeypatch, counted):
+    """Without links from anchors and hubs the full tiles find all."""
+    write = jaccard.Tiles.links
+    monkeypatch.setattr(jaccard.Tiles, "links", lambda self, members, label: write(self, members if label == "full" else members.limit(0), label))
+    monkeypatch.setattr(jaccard, "TILE", 5)
+    monkeypatch.setattr(jaccard, "LEAST", 2)
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == brute(rows)
+    assert counted["full-links"] > 0
+
+
+def test_copies_cost_no_more_than_their_number(spark, counted):
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    before = dict(counted)
+    copies = spark.createDataFrame([r for r in rows for _ in range(12)], "doc_id long, text string").repartition(3)
+    found = jaccard.jaccard_components(copies).collect()
+    assert len(found) == 12 * len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == once
+    assert counted.pop("sets") == 12 * before.pop("sets")
+    # counts of shingles, and with them their order, are others; the work is the same
+    assert {k: (n, before[k]) for k, n in counted.items() if n > 1.5 * before[k] + 20} == {}
+
+
+def test_rows_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w59", "x")
+    alone = [(None, "a b c d e f g"), (None, "a b c d e f g h i j k"), (None, "a b c d e f g h i j k l")]
+    rows = [(None, text), (9, near), (None, text), (4, "other words"), (None, None), *alone]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == sorted(
+        [(None, 56, 9), (9, 56, 9), (None, 56, 9), (4, 1, 4), (None, 0, None), (None, 3, None), (None, 7, None), (None, 8, None)], key=str
+    )
+
+
+def test_one_id_for_two_texts(spark):
+    """Rows with one doc_id are one document with the links of both."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (7, a.replace("a39", "x")), (6, b.replace("b39", "x"))]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(5, 5), (6, 5), (7, 5)}
 
 
 def test_empty_table(spark):
