@@ -1,183 +1,240 @@
 """Cross-entropy difference of matched language models (operator 6).
 
 Two interpolated bigram models share one vocabulary: every word of the corpus.  The target model is estimated from the
-rows marked as target, the background model from all rows.  A document's score is the mean over its tokens of
+rows marked as target, the background model from all rows, and each document is scored by both without its own part in them
+(its counts are taken off, so no document vouches for itself).  The score is the mean over its tokens of
 
     -log P_target(w | h)  -  -log P_background(w | h)
     P(w | h) = WEIGHT * c(h, w) / c(h) + (1 - WEIGHT) * (c(w) + ADDED) / (tokens + ADDED * vocabulary)
 
-so lower means closer to the target.  All counts are exact, of words and pairs as they stand (none is hashed, capped or
-made unknown), and are tables that grow with the corpus:
+so lower means closer to the target.  A history that was not seen leaves the unigram part alone; with the end of a text as one more thing
+that can follow a word, the probabilities after any history sum to one.
 
-1. *Counts.*  Tasks sum their own words and pairs, one exchange each sums them over all.
-2. *Losses.*  A pair's counts meet those of its two words by equi-joins, which gives both losses of every pair.
-3. *Sums.*  A document's pairs, each once with its number, meet their losses by an equi-join and are summed by row.
+All counts are of all words and pairs as they stand, none is capped, cut off or made unknown; words and pairs are known by
+64-bit fingerprints.  Texts lie in blocks of about `BLOCK_BYTES`, and blocks ask for the counts of what they hold:
 
-Frequent words and pairs would be hot keys of these joins.  Those with at least one in `HOT` of all tokens are at most
-`HOT`, whatever the corpus, so they are broadcast; any other key has less than that share.
+1. *Asking.*  A block sums its own words and pairs and sends each once, with its numbers, sorted and packed, to the bucket of its fingerprint.
+2. *Answering.*  A bucket sums its fingerprints over all blocks and answers each block in the order in which it asked, so an answer
+   needs no fingerprints.  Bucket totals (tokens, distinct words) go along.
+3. *Scoring.*  A block meets its answers and scores its documents.
 
-Defined results: texts without words have 0 tokens and null losses; the start of a text is a history seen once a row;
-with no target rows the target model is the smoothed uniform one; repeated rows count each time.
+A fingerprint comes at most once from each block, so a frequent word is no hot key, and blocks and buckets grow in number with the corpus,
+not in size.
+
+Defined results: texts without words have 0 tokens and null losses; with no target rows the target model is the uniform one;
+repeated rows count each time, and only one of them is taken off; a document longer than a block is a block of its own.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import materialize, slices
+from tankline.llm.memory import Remembered, working_set
 
-#: Keys with at least this part of all tokens (one in HOT) are broadcast.
-HOT = 1 << 16
+#: Text of a block; at about six bytes a word, a bucket gets some two million fingerprints for BUCKET_BYTES of text.
+BLOCK_BYTES, BUCKET_BYTES = 24_000_000, 16_000_000
+#: Target ids are broadcast up to this many (8 bytes each), and joined by exchange beyond it.
+BROADCAST_IDS = 4_000_000
 #: Weight of the bigram estimate beside the unigram one, and added counts.
 WEIGHT, ADDED = 0.6, 0.5
-#: Entries that a task holds before it gives them on.
-HELD = 400_000
-#: What stands before the first word of a text; no word is empty.
-START = b""
+#: Odd multipliers that make fingerprints of words and pairs from hashes of words.
+FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Hash of what stands before the first word.
+START = np.uint64(0x165667B19E3779F9)
+ASKED = "block int, bucket int, size int, keys binary, n binary, n_target binary, words binary"
+ANSWERED = "block int, bucket int, size int, n binary, n_target binary, tokens long, target_tokens long, vocabulary long"
 
 
 def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
-def pairs(words: list[bytes]) -> zip:
-    """Each word with the one before it."""
-    return zip([START, *words], words)
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary), n, n_target over all rows."""
-    rows = _counted(docs, lambda words: words, lambda keys: [pa.array(keys, pa.binary())], ["word"])
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """before, word (binary), n, n_target over all rows."""
-    rows = _counted(docs, pairs, lambda keys: [pa.array([k[side] for k in keys], pa.binary()) for side in (0, 1)], ["before", "word"])
-    return rows.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def _counted(docs: DataFrame, keys_of, columns_of, names: list[str]) -> DataFrame:
-    """Sums of each task over its rows text, is_target; a key can come more than once."""
-    names = [*names, "n", "n_target"]
-
-    def count(batches):
-        sums = (Counter(), Counter())
-        for batch in batches:
-            marks = batch.column(1).to_pylist()
-            for begin, texts in slices(batch.column(0)):
-                for text, mark in zip(texts, marks[begin : begin + len(texts)], strict=True):
-                    sums[bool(mark)].update(keys_of(tokens(text)))
-                    if len(sums[0]) + len(sums[1]) > HELD:
-                        yield from give(sums)
-                        sums = (Counter(), Counter())
-        yield from give(sums)
-
-    def give(sums):
-        keys = list(sums[0].keys() | sums[1].keys())
-        for lo in range(0, len(keys), 50_000):
-            part = keys[lo : lo + 50_000]
-            target = [sums[1][k] for k in part]
-            n = [sums[0][k] + t for k, t in zip(part, target, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns_of(part), pa.array(n, pa.int64()), pa.array(target, pa.int64())], names=names)
-
-    kinds = [f"{name} {'long' if name.startswith('n') else 'binary'}" for name in names]
-    return docs.select("text", "is_target").mapInArrow(count, ", ".join(kinds))
-
-
-def with_counts(rows: DataFrame, side: str, counts: DataFrame, total: int) -> DataFrame:
-    """All columns and <side>_n, <side>_target, the counts of the word in the column `side`.
-
-    Hot words come from a broadcast table; their rows take part in the other join under a key that no word equals, spread by
-    the pair."""
-    mine = counts.select(F.col("word").alias(f"_{side}"), F.col("n").alias(f"{side}_n"), F.col("n_target").alias(f"{side}_target"))
-    hot = mine.where(F.col(f"{side}_n") * HOT >= total).withColumnsRenamed({f"{side}_n": "_hot_n", f"{side}_target": "_hot_target"})
-    rows = rows.join(F.broadcast(hot), F.col(side) == F.col(f"_{side}"), "left").drop(f"_{side}")
-    # white space stands in no word
-    rows = rows.withColumn("_key", F.when(F.col("_hot_n").isNull(), F.col(side)).otherwise(F.concat("before", F.lit(b" "), "word")))
-    rest = mine.where(F.col(f"{side}_n") * HOT < total)
-    out = rows.join(rest.hint("merge"), F.col("_key") == F.col(f"_{side}"), "left")
-    found = {f"{side}_{k}": F.coalesce(f"_hot_{k}", f"{side}_{k}") for k in ("n", "target")}
-    return out.withColumns(found).drop("_key", f"_{side}", "_hot_n", "_hot_target")
-
-
-def pair_losses(docs: DataFrame) -> tuple[DataFrame, int]:
-    """before, word, n, target_loss, background_loss of every pair of the rows text, is_target; and the number of all tokens."""
-    words = materialize(word_counts(docs), "word-counts")
-    total, marked, size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count("*")).first()
-    starts, marked_starts = docs.agg(F.count("*"), F.count_if(F.col("is_target"))).first()
-    start = docs.sparkSession.createDataFrame([(bytearray(START), starts, marked_starts)], words.schema)
-    rows = with_counts(pair_counts(docs), "before", words.unionByName(start), total)
-    rows = with_counts(rows, "word", words, total)
-
-    def loss(n: str, kind: str, tokens: int) -> Column:
-        unigram = (F.col(f"word_{kind}") + ADDED) / F.lit(tokens + ADDED * max(size, 1))
-        return -F.log(WEIGHT * F.col(n) / F.greatest(F.col(f"before_{kind}"), F.lit(1)) + (1 - WEIGHT) * unigram)
-
-    losses = rows.select("before", "word", "n", loss("n_target", "target", marked).alias("target_loss"), loss("n", "n", total).alias("background_loss"))
-    return materialize(losses, "pair-losses"), total
-
-
-def with_losses(rows: DataFrame, losses: DataFrame, total: int) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, difference (means over tokens) of the rows row_id, doc_id, text."""
-    both = ["target_loss", "background_loss"]
-    top = losses.where(F.col("n") * HOT >= total).select("before", "word", *both).toArrow()
-    known = {(h, w): (a, b) for h, w, a, b in zip(*(c.to_pylist() for c in top.columns), strict=True)}
-    hot = rows.sparkSession.sparkContext.broadcast(known)
-
-    def heads(batches):
-        """Of each row its number of tokens and the sums over its hot pairs."""
-        get, none = hot.value.get, (0.0, 0.0)
-        for batch in batches:
-            for begin, texts in slices(batch.column(1)):
-                out = []
-                for text in texts:
-                    words = tokens(text)
-                    found = [get(p, none) for p in pairs(words)]
-                    out.append((len(words), sum(x[0] for x in found), sum(x[1] for x in found)))
-                n, a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=["row_id", "n_tokens", *both])
-
-    def others(batches):
-        """The other pairs of each row with their number."""
-        known, held = hot.value, ([], [], [], [])
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for begin, texts in slices(batch.column(1)):
-                for row, text in zip(ids[begin : begin + len(texts)], texts, strict=True):
-                    for p, k in Counter(pairs(tokens(text))).items():
-                        if p not in known:
-                            for into, x in zip(held, (row, *p, k), strict=True):
-                                into.append(x)
-                    if len(held[0]) > 50_000:
-                        yield give(held)
-                        held = ([], [], [], [])
-        yield give(held)
-
-    def give(held):
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(held, kinds, strict=True)], names=["row_id", "before", "word", "k"])
-
-    texts = rows.select("row_id", "text")
-    rest = texts.mapInArrow(others, "row_id long, before binary, word binary, k long")
-    cold = losses.where(F.col("n") * HOT < total).drop("n").hint("merge")
-    sums = rest.join(cold, ["before", "word"]).select("row_id", F.lit(0).cast("long").alias("n_tokens"), *[(F.col("k") * F.col(c)).alias(c) for c in both])
-    heads = texts.mapInArrow(heads, "row_id long, n_tokens long, target_loss double, background_loss double")
-    every = heads.unionByName(sums).groupBy("row_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", *both)])
-    mean = {c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")) for c in both}
-    out = rows.select("row_id", "doc_id").join(every.hint("merge"), "row_id").withColumns(mean)
-    return out.select("doc_id", "n_tokens", *both, (F.col("target_loss") - F.col("background_loss")).alias("difference"))
+def _hashes(text: str, known: Remembered) -> np.ndarray:
+    words = tokens(text)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _known() -> Remembered:
+    return working_set("language models", lambda: Remembered(xxhash.xxh3_64_intdigest))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * SECOND
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprints(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a text's word hashes: those of its histories (the start, then its words), and those of its pairs."""
+    before = np.concatenate((np.array([START], np.uint64), own))
+    return _mixed(before * FIRST), _mixed((before[:-1] * SECOND + np.uint64(1)) ^ (own * FIRST + np.uint64(3)))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, so that the high ones, mostly zero, take no room."""
+    kind = np.min_scalar_type(int(values.max())) if len(values) else np.dtype(np.uint8)
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), kind.itemsize).T
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack(raw: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], size)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel()
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(raw: bytes, size: int) -> np.ndarray:
+    return np.cumsum(_unpack(raw, size).astype(np.uint64), dtype=np.uint64)
+
+
+class Block:
+    """Fingerprints of all places of some texts."""
+
+    def __init__(self, texts: list[str], target: np.ndarray):
+        known = _known()
+        found = [_hashes(t, known) for t in texts]
+        self.target, self.lengths = target, np.array([len(x) for x in found], np.int64)
+        both = [fingerprints(x) for x in found if len(x)]
+        none = [np.zeros(0, np.uint64)]
+        #: All histories (one more than words for each text with any), and all pairs, text by text.
+        self.history, self.pair = np.concatenate([h for h, _ in both] or none), np.concatenate([p for _, p in both] or none)
+        full = np.flatnonzero(self.lengths)
+        self.pair_doc, self.history_doc = np.repeat(np.arange(len(texts)), self.lengths), np.repeat(full, self.lengths[full] + 1)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct fingerprints, their counts, those in target texts, which of them are words, and the place of each occurrence among them."""
+        every = np.concatenate((self.history, self.pair))
+        keys, where, n = np.unique(every, return_inverse=True, return_counts=True)
+        doc = np.concatenate((self.history_doc, self.pair_doc))
+        in_target = np.bincount(where[self.target[doc]], minlength=len(keys))
+        word = np.zeros(len(keys), bool)
+        word[where[: len(self.history)]] = True
+        return keys, n, in_target, word, where
+
+
+def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """What each block holds, bucket by bucket; rows block, is_target, text come sorted by block."""
+    for number, rows in _blocks(batches):
+        block = Block(*_texts(rows))
+        keys, n, in_target, word, _ = block.sums()
+        cuts = np.searchsorted(keys, _borders(buckets))
+        out = []
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):  # a bucket without keys is asked for its totals
+            out.append((number, k, int(hi - lo), _pack_sorted(keys[lo:hi]), _pack(n[lo:hi]), _pack(in_target[lo:hi]), _pack(word[lo:hi])))
+        yield _batch(out, ASKED)
+
+
+def _borders(buckets: int) -> np.ndarray:
+    """Where the fingerprints of each bucket begin, and the end of the last."""
+    step = (1 << 64) // buckets + 1
+    return np.array([min(k * step, (1 << 64) - 1) for k in range(buckets + 1)], np.uint64)
+
+
+def _texts(rows: pa.Table) -> tuple[list[str], np.ndarray]:
+    return [t or "" for t in rows.column("text").to_pylist()], np.array(rows.column("is_target").to_pylist(), bool)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    number, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if held and own[s] != number:
+                yield number, pa.Table.from_batches(held)
+                held = []
+            number = int(own[s])
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts over all blocks for what each block asked; rows come sorted by bucket."""
+    start = _mixed(np.array([START], np.uint64) * FIRST)[0]
+    for bucket, rows in _blocks(b.select(["bucket", "block", "size", "keys", "n", "n_target", "words"]) for b in batches):
+        asked = rows.to_pylist()
+        sizes = [r["size"] for r in asked]
+        every = np.concatenate([_unpack_sorted(r["keys"], r["size"]) for r in asked])
+        keys, where = np.unique(every, return_inverse=True)
+        n, in_target = (np.bincount(where, np.concatenate([_unpack(r[c], r["size"]) for r in asked]), len(keys)).astype(np.int64) for c in ("n", "n_target"))
+        word = np.zeros(len(keys), bool)
+        word[where] = np.concatenate([_unpack(r["words"], r["size"]) for r in asked]).astype(bool)
+        word &= keys != start
+        totals = int(n[word].sum()), int(in_target[word].sum()), int(word.sum())
+        at = 0
+        for r, size in zip(asked, sizes, strict=True):
+            own = where[at : at + size]
+            at += size
+            yield _batch([(r["block"], bucket, size, _pack(n[own]), _pack(in_target[own]), *totals)], ANSWERED)
+
+
+def _losses(n: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], tokens_: np.ndarray, vocabulary: int) -> np.ndarray:
+    """-log P of each token from counts of its pair, history and word, those of its own text, and all other tokens."""
+    pair, history, word = (a - b for a, b in zip(n, own, strict=True))
+    unigram = (word + ADDED) / (tokens_ + ADDED * vocabulary)
+    seen = history > 0
+    return -np.log(np.where(seen, WEIGHT * pair / np.maximum(history, 1), 0) + np.where(seen, 1 - WEIGHT, 1) * unigram)
+
+
+def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    """doc_id, n_tokens and mean losses of a block's documents."""
+    texts, target = _texts(rows)
+    block = Block(texts, target)
+    keys, _, _, _, where = block.sums()
+    got = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+    counts = [np.concatenate([_unpack(r[c], r["size"]).astype(np.int64) for r in got]) for c in ("n", "n_target")]
+    total, in_target, vocabulary = (sum(r[c] for r in got) for c in ("tokens", "target_tokens", "vocabulary"))
+    doc = np.concatenate((block.history_doc, block.pair_doc))
+    mine, back, times = np.unique(doc * max(1, len(keys)) + where, return_inverse=True, return_counts=True)
+    own = times[back]  # of each occurrence, how often its text has it
+    # a text's histories are its start and its words, so the word of pair i is history i + 1 of the same text
+    pair = np.arange(len(block.pair)) + len(block.history)
+    history = np.arange(len(block.pair)) + np.cumsum(np.concatenate(([True], block.pair_doc[1:] != block.pair_doc[:-1]))) - 1 if len(pair) else pair
+    places = (pair, history, history + 1)
+    lengths, sums = block.lengths[block.pair_doc], []
+    for n, tokens_, off in ((counts[1], in_target, target[block.pair_doc]), (counts[0], total, np.ones(len(pair), bool))):
+        loss = _losses(tuple(n[where[p]] for p in places), tuple(own[p] * off for p in places), tokens_ - lengths * off, vocabulary)
+        sums.append(np.bincount(block.pair_doc, loss, len(texts)))
+    some = block.lengths > 0
+    means = [pa.array(s / np.maximum(block.lengths, 1), mask=~some) for s in sums]
+    difference = pa.array((sums[0] - sums[1]) / np.maximum(block.lengths, 1), mask=~some)
+    return pa.table([rows.column("doc_id"), pa.array(block.lengths), *means, difference], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+
+def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """doc_id, text, is_target."""
+    marks = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
+    few = marks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(marks) if few else marks, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id and losses of every document; `targets` lists the doc_ids of the target corpus."""
-    marks = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    marks = marks.hint("merge")  # the list grows with the corpus: one plan at every size
-    marked = rows.join(marks, "doc_id", "left").withColumns({"is_target": F.coalesce("is_target", F.lit(False)), "row_id": F.monotonically_increasing_id()})
-    marked = materialize(marked, "marked-rows")  # row numbers must not be drawn again
-    return with_losses(marked, *pair_losses(marked))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    blocks, buckets = int(size // BLOCK_BYTES) + 1, int(size // BUCKET_BYTES) + 1
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    rows = _marked(docs, targets).select(block.alias("block"), "doc_id", "text", "is_target").repartition(blocks, "block")
+    asked = rows.sortWithinPartitions("block").mapInArrow(lambda batches: ask(batches, buckets), ASKED)
+    answered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWERED)
+    kind = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
+    return rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, kind)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -215,8 +216,10 @@ def test_cross_entropy_difference(spark, docs, none):
     assert lm_scoring.cross_entropy_difference(docs, targets.limit(0)).count() == len(ODD) * 2
 
 
-def test_cross_entropy_difference_counts_every_word_and_pair(spark):
-    """More words than any fixed vocabulary, and hot, rare and repeated pairs, against plain counting."""
+def test_cross_entropy_difference_counts_every_word_and_pair(spark, monkeypatch):
+    """More words than any fixed vocabulary, hot, rare and repeated pairs, and many blocks and buckets, against plain counting."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 70_000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 150_000)
     rng = random.Random(8)
     texts = [" ".join(["The"] * rng.randint(0, 3) + [f"w{int(60_000 * rng.random() ** 2)}" for _ in range(rng.randint(0, 60))] + ["the end"] * rng.randint(0, 2)) for _ in range(2600)] + [None, "", "x", "x"]
     rows = [(None if i % 97 == 0 else i // 2 if i % 50 == 1 else i, t) for i, t in enumerate(texts)]
@@ -230,15 +233,18 @@ def test_cross_entropy_difference_counts_every_word_and_pair(spark):
             for h, x in zip(["", *w], w, strict=False):
                 pairs[k][h, x] = pairs[k].get((h, x), 0) + 1
                 words[k][x] = words[k].get(x, 0) + 1
-            words[k][""] = words[k].get("", 0) + 1
+            words[k][""] = words[k].get("", 0) + bool(w)
     wanted = []
     for i, t in rows:
         w = (t or "").lower().split()
         loss = [0.0, 0.0]
+        own_pairs, own_words = Counter(zip(["", *w], w, strict=False)), Counter(["", *w])
         for k in (0, 1):
+            off = k == 0 or i in marked
             for h, x in zip(["", *w], w, strict=False):
-                uni = (words[k].get(x, 0) + 0.5) / (total[k] + 0.5 * len(vocabulary))
-                loss[k] -= np.log(0.6 * pairs[k].get((h, x), 0) / max(1, words[k].get(h, 0)) + 0.4 * uni) / len(w)
+                uni = (words[k].get(x, 0) - off * own_words[x] + 0.5) / (total[k] - off * len(w) + 0.5 * len(vocabulary))
+                before = words[k].get(h, 0) - off * own_words[h]
+                loss[k] -= np.log(0.6 * (pairs[k].get((h, x), 0) - off * own_pairs[h, x]) / before + 0.4 * uni if before else uni) / len(w)
         wanted.append((-1 if i is None else i, len(w), round(loss[1], 7), round(loss[0], 7)) if w else (-1 if i is None else i, 0, 99.0, 99.0))
     assert len(vocabulary) > 32_768
     targets = spark.createDataFrame([(i,) for i in marked], "doc_id long")
