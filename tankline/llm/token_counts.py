@@ -2,11 +2,10 @@
 
 Tier one is a compact hash table of the token lengths of frequent pre-tokens (cut
 at spaces, see :mod:`tankline.llm.chunks`), broadcast to all workers.  Which ones are
-frequent comes from a first pass in which each task counts its own pre-tokens in a
-bounded summary and passes on only those that make up at least `share` of it, so no
-pre-token is ever shuffled; a pre-token enters the table if it has at least `share`
-of all, so the table has at most 1/share entries.  The table only saves work: tier two encodes
-every miss with the tokenizer's library and remembers it in a bounded worker cache.
+frequent comes from a first pass over all texts: each task counts its own pre-tokens in a bounded summary and gives
+on one row, the packed summary of at most `FREQUENT` of them.  Summaries are merged by a tree of tasks, `FAN` at a time, so no pre-token
+is ever shuffled and the driver gets one summary.  The table only saves work: tier two encodes
+every miss with the tokenizer's library and remembers it in a bounded worker cache.  Both tiers compare whole pre-tokens.
 
 Defined results: null counts as the empty text (0 bytes, 0 tokens); repeated rows
 are independent; extra columns are kept by :func:`with_counts`.
@@ -14,104 +13,96 @@ are independent; extra columns are kept by :func:`with_counts`.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tankline.llm.common import append_columns, slices
-from tankline.llm.vocab import Vocabulary, encoder
+from tankline.llm.common import append_columns, materialize, slices
+from tankline.llm.memory import LONG
+from tankline.llm.vocab import Encoder, Vocabulary, encoder
 
-#: A pre-token is frequent from this share of all pre-tokens on; the table has at most 1 / SHARE entries.
-SHARE = 1 / 262_144
-#: Entries of a task's summary before the rare ones go.
-SUMMARY = 400_000
+#: Pre-tokens in a summary and in the table, those that a task holds meanwhile, and summaries merged by one task.
+FREQUENT, HELD, FAN = 65_536, 400_000, 64
+SUMMARY = "task long, packed binary"
+
+
+def pack(counts: dict[str, int]) -> bytes:
+    """Pre-tokens (which hold no space) and their counts."""
+    names = " ".join(counts).encode("utf-8", "surrogatepass")
+    return len(counts).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(np.array(list(counts.values()), "<i8").tobytes() + names)
+
+
+def unpack(raw: bytes) -> Counter:
+    n = int.from_bytes(raw[:4], "little")
+    body = zstandard.ZstdDecompressor().decompress(raw[4:])
+    return Counter(dict(zip(body[8 * n :].decode("utf-8", "surrogatepass").split(" ") if n else (), np.frombuffer(body[: 8 * n], "<i8").tolist(), strict=True)))
 
 
 class LengthTable:
-    """Open addressing over 64-bit keys: 10 bytes a slot, at most half full."""
-
-    def __init__(self, keys: np.ndarray, lengths: np.ndarray):
-        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.lengths = np.zeros(1 << self.bits, np.uint16)
-        mask = (1 << self.bits) - 1
-        for k, n in zip(keys.tolist(), lengths.tolist(), strict=True):
-            at = k & mask
-            while self.lengths[at] and self.keys[at] != k:
-                at = (at + 1) & mask
-            self.keys[at], self.lengths[at] = k, n
-        self.depth = 1
-        used = self.lengths > 0
-        if used.any():
-            slot = np.flatnonzero(used)
-            away = (slot - (self.keys[slot] & np.uint64(mask)).astype(np.int64)) & mask
-            self.depth = int(away.max()) + 1
-
-    def __call__(self, chunks: list[str]) -> list[int]:
-        keys = np.fromiter((_key(c) for c in chunks), np.uint64, len(chunks))
-        mask = np.uint64((1 << self.bits) - 1)
-        out = np.zeros(len(keys), np.int64)
-        at = keys & mask
-        open_ = np.arange(len(keys))
-        for _ in range(self.depth):
-            slot = at[open_]
-            hit = (self.keys[slot] == keys[open_]) & (self.lengths[slot] > 0)
-            out[open_[hit]] = self.lengths[slot[hit]]
-            open_ = open_[~hit & (self.lengths[slot] > 0)]
-            at[open_] = (at[open_] + np.uint64(1)) & mask
-        return out.tolist()
-
-
-def _key(chunk: str) -> int:
-    return xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"))
-
-
-def frequent_chunks(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """Pre-tokens that make up at least `share` of all, by tasks' bounded summaries."""
-
-    def summarize(batches):
-        counts: Counter = Counter()
-        total = 0
-        for batch in batches:
-            for _, texts in slices(batch.column(0)):
-                for t in texts:
-                    parts = t.split(" ")
-                    del parts[0]
-                    counts.update(parts)
-                    total += len(parts)
-                floor = 1
-                while len(counts) > SUMMARY:
-                    counts = Counter({c: n for c, n in counts.items() if n > floor})
-                    floor += 1
-        top = [(c, n) for c, n in counts.items() if n >= share * total and len(c) < 200]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([c for c, _ in top] + [None], pa.string()), pa.array([n for _, n in top] + [total], pa.int64())], names=["chunk", "n"]
-        )
-
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(summarize, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    total = F.broadcast(sums.where("chunk is null").select(F.col("n").alias("total")))  # one row
-    return sums.where("chunk is not null").join(total, F.col("n") >= F.col("total") * share)
-
-
-def length_table(docs: DataFrame, vocabulary, share: float = SHARE) -> LengthTable:
-    """The table for the frequent pre-tokens of `docs`; lengths are encoded by tasks, at most 1/share rows come back."""
-
-    def measure(batches):
-        work = encoder(vocabulary, True, tag="table")
-        for batch in batches:
-            chunks = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(c) for c in chunks], pa.uint64()).view(pa.int64()), pa.array(work._make([" " + c for c in chunks]), pa.int64())], names=["key", "length"]
-            )
-
-    rows = frequent_chunks(docs, share).select("chunk").mapInArrow(measure, "key long, length long").where("length between 1 and 65535").toArrow()
-    return LengthTable(rows.column("key").to_numpy().view(np.uint64), rows.column("length").to_numpy())
+    """Frequent pre-tokens and their lengths: their text and two bytes each where it moves, a hash table with whole keys where it is used."""
+
+    def __init__(self, chunks: list[str], lengths: list[int]):
+        self.names = " ".join(chunks).encode("utf-8", "surrogatepass")
+        self.sizes = np.array(lengths, np.uint16)
+        self.key = hashlib.sha256(self.names).hexdigest()
+
+    def lengths(self) -> dict[str, int]:
+        return dict(zip(self.names.decode("utf-8", "surrogatepass").split(" ") if len(self.sizes) else (), self.sizes.tolist(), strict=True))
+
+
+def _most(counts: Counter) -> dict[str, int]:
+    return dict(counts.most_common(FREQUENT)) if len(counts) > FREQUENT else counts
+
+
+def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the task's foremost pre-tokens."""
+    from pyspark import TaskContext
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for _, texts in slices(batch.column(0)):
+            for t in texts:
+                counts.update(t.split(" ")[1:])
+            floor = 1
+            while len(counts) > HELD:
+                counts = Counter({c: n for c, n in counts.items() if n > floor})
+                floor += 1
+    # one that a task meets once saves nothing; the empty one stands in white-space runs, which are not cut
+    some = _most(Counter({c: n for c, n in counts.items() if n > 1 and 0 < len(c) <= LONG}))
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(some)], pa.binary())], names=["task", "packed"])
+
+
+def merged(summaries: pa.Table) -> pa.Table:
+    """One summary of several."""
+    counts: Counter = Counter()
+    for raw in summaries.column("packed"):
+        counts.update(unpack(raw.as_py()))
+    return pa.table([pa.array([summaries.column("task")[0].as_py()], pa.int64()), pa.array([pack(_most(counts))], pa.binary())], names=["task", "packed"])
+
+
+def frequent_chunks(texts: DataFrame) -> list[str]:
+    """The foremost pre-tokens of all texts, at most `FREQUENT`."""
+    found = materialize(texts.mapInArrow(summarize, SUMMARY), "summaries")
+    left = found.count()
+    while left > FAN:
+        left = -(-left // FAN)
+        found = materialize(found.groupBy(F.pmod("task", F.lit(left)).alias("part")).applyInArrow(merged, SUMMARY).withColumn("task", F.pmod("task", F.lit(left))), "summaries")
+    rows = found.orderBy("task").toArrow()  # at most FAN rows
+    return sorted(unpack(merged(rows).column("packed")[0].as_py())) if rows.num_rows else []
+
+
+def length_table(texts: DataFrame, vocabulary: Vocabulary) -> LengthTable:
+    """The table for the frequent pre-tokens of `texts`."""
+    chunks = [c for c in frequent_chunks(texts) if not any(x in c for x in vocabulary.specials) and not c[0].isspace()]
+    pairs = [(c, n) for c, n in zip(chunks, Encoder(vocabulary, True).chunks(chunks), strict=True) if n < 65_536]
+    return LengthTable([c for c, _ in pairs], [n for _, n in pairs])
 
 
 def with_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -119,12 +110,10 @@ def with_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     context = docs.sparkSession.sparkContext
     vocabulary = Vocabulary(path)
     shared = context.broadcast(vocabulary)
-    known = context.broadcast(length_table(docs.select(F.col(text).alias("text")), shared)) if vocabulary.cut else None
-
-    tag = uuid.uuid4().hex
+    table = context.broadcast(length_table(docs.select(F.col(text).cast("string").alias("text")), vocabulary)) if vocabulary.cut else None
 
     def kernel():
-        work = encoder(shared, True, known.value if known is not None else None, tag)
+        work = encoder(shared, True, table)
         return lambda texts: [work(texts)]
 
     return append_columns(docs, kernel, [T.StructField("n_tokens", T.LongType())], text)

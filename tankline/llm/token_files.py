@@ -9,13 +9,14 @@ ascending doc_id order, the documents of a lower shard come before those of a hi
 
 The index keeps the dictionary's SHA-256 and, for each document, id, offset, size and
 token count, so that one short document costs two small reads and one decompression.
+Documents without doc_id come first; the index tells how many they are.
 
 Encoding happens before the exchange, which therefore moves compressed ids only.  A
 task writes its shard under a name of its own attempt and reports it; only reported
 shards are read, so lost or repeated attempts do no harm.
 
-Defined results: null is the empty text and holds the end id alone; equal doc_ids are
-ordered by their frames; an empty table gives no shard and no rows.
+Defined results: a null text is the empty one and holds the end id alone; null doc_ids come first and stay null;
+equal doc_ids are ordered by their frames; an empty table gives no shard and no rows.
 """
 
 from __future__ import annotations
@@ -63,8 +64,9 @@ def train_dictionary(docs: DataFrame, shared) -> bytes:
         return b""
 
 
-def compressed(docs: DataFrame, shared, dictionary, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, frame: each document's ids and the end id, compressed alone."""
+def compressed(docs: DataFrame, shared, dictionary, end_id: int, borders: list[int]) -> DataFrame:
+    """doc_id, n_tokens, frame, shard: each document's ids and the end id, compressed alone; ids above a border are in a later shard."""
+    edges = np.array(borders, np.int64)
 
     def run(batches):
         work = encoder(shared, False)
@@ -73,12 +75,14 @@ def compressed(docs: DataFrame, shared, dictionary, end_id: int) -> DataFrame:
         for batch in batches:
             for begin, texts in slices(batch.column(1)):
                 ids = [x + tail for x in work(texts)]
+                named = batch.column(0).slice(begin, len(texts))
+                shard = np.searchsorted(edges, np.asarray(named.fill_null(np.iinfo(np.int64).min))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(pack.compress, ids), pa.binary())],
-                    names=["doc_id", "n_tokens", "frame"],
+                    [named, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(pack.compress, ids), pa.binary()), pa.array(shard)],
+                    names=["doc_id", "n_tokens", "frame", "shard"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, frame binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, frame binary, shard int")
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, out: str, shards: int | None = None) -> DataFrame:
@@ -97,8 +101,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, out: str, shards: int |
     # shard borders from the ids alone; they only balance the shards
     cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000).alias("q")).first()[0] if shards > 1 else None
     borders = sorted(set(cuts or []))
-    shard = F.aggregate(F.array(*[F.lit(int(b)) for b in borders]), F.lit(0), lambda n, b: n + (F.col("doc_id") > b).cast("int")) if borders else F.lit(0)
-    rows = compressed(docs, shared, dictionary, end_id).withColumn("shard", F.coalesce(shard, F.lit(0)))
+    rows = compressed(docs, shared, dictionary, end_id, [int(b) for b in borders])
     n = len(borders) + 1
 
     def save(batches):
@@ -112,7 +115,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, out: str, shards: int |
                 name = f"{root}/shard-{number:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
                 f = store.open_output_stream(name)
                 f.write(MAGIC)
-                at, ids, offsets, sizes, counts = len(MAGIC), [], [], [], []
+                at, ids, offsets, sizes, counts, nameless = len(MAGIC), [], [], [], [], 0
             for frame in batch.column(2):
                 raw = frame.as_buffer()
                 offsets.append(at)
@@ -120,12 +123,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, out: str, shards: int |
                 at += raw.size
                 f.write(raw)
             if batch.num_rows:
-                ids.append(np.array(batch.column(0).fill_null(-1)))
+                ids.append(np.array(batch.column(0).fill_null(0)))
+                nameless += batch.column(0).null_count
                 counts.append(np.array(batch.column(1)))
         if name is None:
             return
         ids, counts = np.concatenate(ids), np.concatenate(counts)
-        head = json.dumps({"dictionary": digest, "docs": len(ids), "ids": "little-endian unsigned 32-bit"}).encode()
+        head = json.dumps({"dictionary": digest, "docs": len(ids), "nameless": nameless, "ids": "little-endian unsigned 32-bit"}).encode()
         index = struct.pack("<I", len(head)) + head + b"".join(np.asarray(x, "<i8").tobytes() for x in (ids, offsets, sizes, counts))
         f.write(index)
         f.write(struct.pack("<Q", len(index)) + MAGIC)
@@ -157,7 +161,7 @@ def read_document(out: str, path: str, doc_id: int) -> np.ndarray | None:
     """Ids of one document of a shard, by its index alone."""
     store, name = open_store(path)
     info, index = read_index(store, name)
-    k = int(np.searchsorted(index[0], doc_id))
+    k = info["nameless"] + int(np.searchsorted(index[0][info["nameless"] :], doc_id))
     if k >= len(index[0]) or index[0][k] != doc_id:
         return None
     folder, root = open_store(out)
@@ -200,7 +204,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
                             hi += 1
                         docs = [unpack.decompress(f.read(int(s))) for s in sizes[lo:hi]]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[lo:hi]), pa.array(starts[lo:hi]), pa.array(counts[lo:hi]), pa.array(docs, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"]
+                            [pa.array(ids[lo:hi], mask=np.arange(lo, hi) < info["nameless"]), pa.array(starts[lo:hi]), pa.array(counts[lo:hi]), pa.array(docs, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"]
                         )
                         lo = hi
 

@@ -7,25 +7,13 @@ import json
 import os
 from array import array
 
+import numpy as np
+
 from tankline.llm.chunks import cuttable
-from tankline.llm.memory import working_set
-
-
-def split_chunk(chunk: str) -> list[str]:
-    """Parts of a chunk that the byte-level pattern keeps apart: letters or digits, then what begins with a full
-    stop or comma, then what follows it on a new line.  The first part keeps the chunk's leading space."""
-    out = []
-    while True:
-        dot, comma = chunk.find("."), chunk.find(",")
-        at = dot if comma < 0 or 0 <= dot < comma else comma
-        if at < 1 or not chunk[at - 1].isalnum():
-            return [*out, chunk]
-        tail = chunk[at:]
-        out.append(chunk[:at])
-        if len(tail) < 3 or tail[1] != "\n" or tail[2].isspace():
-            return [*out, tail]
-        out += [tail[0], "\n"]
-        chunk = tail[2:]
+from tankline.llm.memory import ENTRY, LONG, working_set
+
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
 
 
 class Vocabulary:
@@ -49,15 +37,14 @@ class Vocabulary:
 class Encoder:
     """Ids (as little-endian unsigned 32-bit bytes) or counts of whole texts.
 
-    `known` maps a list of chunks to lengths, 0 where it has none; it is asked before
-    the library when only lengths are wanted.
+    Chunks that a worker has not met are encoded together, as one text: each begins with a space, so each of its
+    tokens that begins with one begins a chunk.  `pinned` chunks are always known.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lengths: bool, known=None, most: int = 700_000):
+    def __init__(self, vocabulary: Vocabulary, lengths: bool, pinned: dict | None = None, most: int = 150_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.v, self.lengths, self.known, self.most = vocabulary, lengths, known, most
-        self.cache: dict = {}
-        self.bare: dict = {}
+        self.v, self.lengths, self.pinned, self.most = vocabulary, lengths, pinned or {}, most
+        self.cache, self.held = dict(self.pinned), 0
         if vocabulary.kind == "sentencepiece":
             import sentencepiece
 
@@ -69,67 +56,63 @@ class Encoder:
             tokenizer = Tokenizer.from_str(vocabulary.raw.decode("utf-8"))
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            if lengths:
-                self.library = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            else:
-                self.library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.leads = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+            self.leads[[i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith(SPACE)]] = True
 
-    def _make(self, texts: list[str]) -> list:
+    def whole(self, texts: list[str]) -> list:
+        """By the library alone."""
         ids = self.library(texts) if texts else []
         return [len(x) for x in ids] if self.lengths else [array("I", x).tobytes() for x in ids]
 
-    def _compose(self, chunks: list[str]) -> None:
-        """Remember chunks by what their parts encode to: a base with the space, then bare parts."""
-        cache, known = self.cache, self.bare
-        whole = [c for c in chunks if "." not in c and "," not in c]
-        cut = [(c, split_chunk(c)) for c in chunks if "." in c or "," in c]
-        bases = {p[0] for _, p in cut}.difference(cache, whole)
-        bare = {x for _, p in cut for x in p[1:]}
-        if len(known) + len(bare) > self.most // 4:
-            known.clear()
-        bare = [x for x in bare if x not in known]
-        whole += bases
-        made = self._make([" " + x for x in whole] + bare)
-        cache.update(zip(whole, made, strict=False))
-        known.update(zip(bare, made[len(whole) :], strict=True))
+    def chunks(self, chunks: list[str]) -> list:
+        """Of chunks without their leading space."""
+        if not chunks:
+            return []
+        ids = np.array(self.library([" " + " ".join(chunks)])[0], "<u4")
+        begin = np.flatnonzero(self.leads[ids])
+        if len(begin) != len(chunks):  # a vocabulary that doesn't keep the space at a token's head
+            return self.whole([" " + c for c in chunks])
+        ends = np.append(begin[1:], len(ids))
         if self.lengths:
-            cache.update((c, cache[p[0]] + sum([known[x] for x in p[1:]])) for c, p in cut if len(p) > 1)
-        else:
-            cache.update((c, cache[p[0]] + b"".join([known[x] for x in p[1:]])) for c, p in cut if len(p) > 1)
+            return (ends - begin).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * begin).tolist(), (4 * ends).tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> list:
         """One value for each text, from the library or from chunks that it has encoded."""
         if not self.v.cut:
-            return self._make(texts)
-        cache, split, whole = self.cache, {}, []
-        fresh: set[str] = set()
+            return self.whole(texts)
+        split, fresh, odd = {}, set(), []
         for i, t in enumerate(texts):
             if cuttable(t, self.v.specials):
                 split[i] = parts = t.split(" ")
                 fresh.update(parts[1:])
             else:
-                whole.append(i)
-        need = [c for c in fresh if c not in cache]
-        if len(cache) + len(need) > self.most:
+                odd.append(i)
+        need = list(fresh.difference(self.cache))
+        self.held += sum(map(len, need)) + ENTRY * len(need)
+        if self.held > self.most:
             # the chunks at hand stay, as frequent ones are always among them
-            stay = {c: cache[c] for c in fresh if c in cache}
-            cache.clear()
-            cache.update(stay)
-        if self.known is not None and need:
-            found = self.known(need)
-            cache.update((c, n) for c, n in zip(need, found, strict=True) if n)
-            need = [c for c, n in zip(need, found, strict=True) if not n]
-        self._compose(need)
+            stay = {c: self.cache[c] for c in fresh.difference(need) if len(c) <= LONG}
+            self.cache = self.pinned | stay
+            self.held = sum(map(len, stay)) + ENTRY * len(stay)
+        cache = self.cache
+        cache.update(zip(need, self.chunks(need), strict=True))
         out: list = [None] * len(texts)
-        for i, v in zip(whole, self._make([texts[i] for i in whole]), strict=True):
+        for i, v in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = v
-        heads = self._make([parts[0] for parts in split.values()])
+        heads = self.whole([parts[0] for parts in split.values()])
         get = cache.__getitem__
         for (i, parts), head in zip(split.items(), heads, strict=True):
             out[i] = head + (sum(map(get, parts[1:])) if self.lengths else b"".join(map(get, parts[1:])))
+        for c in need:
+            if len(c) > LONG:
+                del cache[c]
         return out
 
 
-def encoder(shared, lengths: bool, known=None, tag: str = "") -> Encoder:
+def encoder(shared, lengths: bool, table=None) -> Encoder:
     """One encoder in a worker for each vocabulary and use, so that its cache outlives a task."""
-    return working_set(("vocabulary", shared.value.key, lengths, tag), lambda: Encoder(shared.value, lengths, known))
+    key = ("vocabulary", shared.value.key, lengths, table.value.key if table is not None else None)
+    return working_set(key, lambda: Encoder(shared.value, lengths, table.value.lengths() if table is not None else None))

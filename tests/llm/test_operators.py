@@ -69,6 +69,38 @@ def test_counts_and_files(spark, docs, none):
     assert model[0] == 0 and model[4] > 0
 
 
+def test_token_files_keep_null_ids(spark):
+    rows = [(None, "abc"), (-1, "x y"), (3, None), (None, "abc def"), (3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    found = token_files.round_trip(docs, P.path("byte_bpe_50k.json")).collect()
+    counts = sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in found) == counts
+    order = sorted(found, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == [None, None, -1, 3, 3]
+    assert [r.start for r in order] == [sum(x.n_tokens for x in order[:k]) for k in range(5)]
+
+
+def test_frequent_chunks_by_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "FAN", 2)
+    rows = [(i, f"a b{i % 3} b{i % 3} c d{i}") for i in range(90)]
+    texts = spark.createDataFrame(rows, "i int, text string").repartition(7).select("text")
+    assert token_counts.frequent_chunks(texts) == ["b0", "b1", "b2", "c"]
+    assert token_counts.frequent_chunks(texts.limit(0)) == []
+
+
+def test_two_vocabularies_in_one_worker(spark, tmp_path):
+    """Equal in size, last entry and pattern, and still not mixed up."""
+    letters = [bytes([b]) for b in range(256)]
+    out = []
+    for name, pair in (("one", b"ab"), ("two", b"cd")):
+        path = tmp_path / name
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate([*letters, pair, b"zz"])))
+        rows = bpe.encode(spark.createDataFrame([("abcd",)], "text string").coalesce(1), str(path), P.PATTERN).collect()
+        out.append(np.frombuffer(rows[0].ids, "<u4").tolist())
+    assert out == [[256, 99, 100], [97, 98, 256]]
+
+
 def test_one_document_by_its_index(spark, docs):
     out = f"{shared_dir(spark)}/one-document"
     manifest = token_files.write(docs, P.path("byte_bpe_50k.json"), 2, out, 2).collect()
