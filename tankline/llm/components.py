@@ -17,7 +17,7 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
         found = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         found = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return found.where("u > v").distinct()
+    return found.where("u > v")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,6 +33,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        edges = materialize(_stars(_stars(edges, True), False), "stars")
+        edges = materialize(_stars(_stars(edges, True), False).distinct(), "stars")
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

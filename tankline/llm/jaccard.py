@@ -6,7 +6,7 @@ shingle or a component and lie in one band of sizes.  All pairs of a tile meet i
 * hashed bitmap signatures first: |A xor B| of the bit counts (folded to the narrower of the two) bounds the overlap from above;
 * documents of pairs that pass bring their sorted arrays of 64-bit shingles, whose exact intersection decides.
 
-A tile gives out only links that join two of its components, so what leaves it is linear in its documents, and pairs that
+A tile gives out only which of its components links have joined, so what leaves it is linear in its documents, and pairs that
 are in one component already are not looked at.  No link between components is lost:
 
 1. *Classes.*  Documents with the same set (128-bit digest) become one class, which its smallest doc_id stands for from here on,
@@ -16,7 +16,8 @@ are in one component already are not looked at.  No link between components is l
    postings except for documents that consist of them.  Only shingles with two classes of like size go on.  Those that more than
    `TILE` documents hold skip the exchange by shingle, as it is known that they are shared.
 3. *Anchor tiles.*  Each class goes to the tile of one of its shared shingles, the one with the smallest hash, and its band; a tile with too
-   many documents is cut at random.  Two alike sets mostly choose alike, and random cuts of a large group join within.
+   many documents is cut at random.  Two alike sets mostly choose alike, and random cuts of a large group join within.  Each
+   class is in one tile, so the components of tiles are those of all links so far.
 4. *Hub tiles.*  Under each shingle whose classes lie in different components, the classes outside the one with most of them
    meet `HUBS` members of that one.  Both steps are linear and join nearly all of a large group.
 5. *Full tiles.*  What is left is done exactly.  Under each such shingle let M be the component with most of its classes.  Classes
@@ -293,9 +294,9 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from tile.filter(pa.array(some)).drop_columns(["bits"]).combine_chunks().to_batches()
 
 
-def tile_links(nodes: np.ndarray, n: np.ndarray, side: np.ndarray, comp: np.ndarray, arrays: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join the components of a tile: of each pair of components that links join within it, a path."""
-    label, links = comp.copy(), []
+def tile_labels(n: np.ndarray, side: np.ndarray, comp: np.ndarray, arrays: list[np.ndarray]) -> np.ndarray:
+    """Components of a tile's documents, where links have joined those that came in; the smallest of them stands for all."""
+    label = comp.copy()
     for i, j, away in near_pairs(n, side, label, [bitmap(a, WIDE) for a in arrays]):
         order = np.argsort(away, kind="stable")
         i, j = i[order], j[order]
@@ -305,21 +306,21 @@ def tile_links(nodes: np.ndarray, n: np.ndarray, side: np.ndarray, comp: np.ndar
             at += 1
             if label[p] == label[q] or not linked(arrays[p], arrays[q]):
                 continue
-            links.append((int(nodes[p]), int(nodes[q])))
-            label[label == label[q]] = label[p]
+            least, most = sorted((label[p], label[q]))
+            label[label == most] = least
             live = label[i[at:]] != label[j[at:]]
             i, j, at = i[at:][live], j[at:][live], 0
-    return links
+    return label
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links a, b of each tile."""
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: components that links of a tile join, and the one that they become."""
     for tile in _grouped(batches):
-        n, side, comp, nodes = _columns(tile)
-        arrays = [np.frombuffer(b.as_buffer(), np.uint64) for b in tile.column("s").combine_chunks()]
-        if links := tile_links(nodes, n, side, comp, arrays):
-            a, b = np.array(links, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        n, side, comp, _ = _columns(tile)
+        label = tile_labels(n, side, comp, [np.frombuffer(b.as_buffer(), np.uint64) for b in tile.column("s").combine_chunks()])
+        a, first = np.unique(comp[label != comp], return_index=True)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(label[label != comp][first])], names=["a", "b"])
 
 
 def _in_tiles(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
@@ -333,7 +334,7 @@ def arrays_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
     marks = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b"))
     packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for k, part in marks.toLocalIterator():  # 4096 bytes a row, 2^FILTER_BITS bits in all
+    for k, part in marks.collect():  # 4096 bytes a row, 2^FILTER_BITS bits in all
         packed[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
@@ -362,13 +363,13 @@ class Tiles:
     def __init__(self, texts: DataFrame, bits: DataFrame):
         self.texts, self.bits = texts, bits
 
-    def links(self, members: DataFrame, label: str) -> DataFrame:
-        """Links that join components of members key, side, node, n, comp."""
+    def joined(self, members: DataFrame, label: str) -> DataFrame:
+        """a, b: components that links join, of members key, side, node, n, comp."""
         rows = members.join(self.bits.hint("merge"), "node").select(*[c.split()[0] for c in TILE_ROWS.split(", ")], "bits")
         passed = materialize(_in_tiles(rows, _flag, TILE_ROWS), f"{label}-flagged")
         arrays = arrays_of(self.texts, passed.select("node").distinct())
         both = passed.join(arrays.hint("merge"), "node").select("key", "side", "node", "n", "comp", "s")
-        return materialize(_in_tiles(both, _link, "a long, b long"), f"{label}-links")
+        return materialize(_in_tiles(both, _join, "a long, b long"), f"{label}-links")
 
 
 def band() -> Column:
@@ -392,15 +393,16 @@ def anchor_tiles(anchors: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("token", "band", _part("node", "pieces", 1)).alias("key"), F.lit(-1).alias("side"), "node", "n", F.col("node").alias("comp"))
 
 
-def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows with the component of their node."""
-    return rows.join(joined.hint("merge"), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+def _labelled(rows: DataFrame, joined: DataFrame, of: str) -> DataFrame:
+    """Rows with the component of what is in the column `of`, that itself if it has joined none; from joined node, component."""
+    found = rows.join(joined.withColumnsRenamed({"node": "_of", "component": "_c"}).hint("merge"), F.col(of) == F.col("_of"), "left")
+    return found.withColumn("comp", F.coalesce("_c", of)).drop("_of", "_c")
 
 
 def split_tokens(rows: DataFrame) -> DataFrame:
-    """token, node, n, comp, major, kinds of the classes outside the component with most classes of their token, if there are two or more."""
+    """token, node, n, comp of tokens that lie in two components or more, with how many, and the one with most of their classes."""
     most = rows.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("major"), F.count("*").alias("kinds"))
-    return rows.join(most.where("kinds > 1").hint("merge"), "token").where("comp <> major")
+    return rows.join(most.where("kinds > 1").hint("merge"), "token")
 
 
 def hub_tiles(strays: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -449,15 +451,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         texts = texts.unionByName(_nameless(docs))
     tiles = Tiles(texts, reps.select("node", "bits"))
     anchors = materialize(postings.groupBy("node", "n").agg(F.min_by("token", F.xxhash64("token")).alias("token")), "anchors")
-    joined = materialize(components(tiles.links(anchor_tiles(anchors), "anchor")), "anchor-components")
-    for label in ("hub", "full"):
-        nodes = _labelled(anchors.select("node", "n"), joined)
-        strays = materialize(split_tokens(materialize(_labelled(postings, joined), f"{label}-rows")), f"{label}-strays")
-        members = hub_tiles(strays, nodes) if label == "hub" else shingle_tiles(strays).unionByName(component_tiles(strays, nodes))
-        links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tiles.links(members, label))
-        joined = materialize(components(links), f"{label}-components")
-    whole = found.select("doc_id", "n", "h1", "h2", F.col("node").alias("own")).join(reps.select("n", "h1", "h2", "node").hint("merge"), ["n", "h1", "h2"], "left").join(joined.hint("merge"), "node", "left")
-    least = F.coalesce("component", "node", "own")
+    joined = tiles.joined(anchor_tiles(anchors), "anchor")
+    if reps.groupBy("node").count().where("count > 1").isEmpty():
+        joined = joined.withColumnsRenamed({"a": "node", "b": "component"})
+    else:  # ids with two texts can be in two tiles
+        joined = components(joined)
+    nodes = materialize(_labelled(anchors.select("node", "n"), joined, "node"), "nodes")
+    rows = materialize(split_tokens(_labelled(postings, joined, "node")), "hub-rows")
+    joined = components(tiles.joined(hub_tiles(rows.where("comp <> major"), nodes), "hub"))
+    nodes = materialize(_labelled(nodes, joined, "comp"), "nodes")
+    rows = materialize(split_tokens(_labelled(rows.select("token", "node", "n", "comp"), joined, "comp")), "full-rows")
+    strays = rows.where("comp <> major")
+    joined = components(tiles.joined(shingle_tiles(strays).unionByName(component_tiles(strays, nodes)), "full"))
+    final = _labelled(nodes, joined, "comp").select("node", "comp").distinct()
+    whole = found.select("doc_id", "n", "h1", "h2", F.col("node").alias("own")).join(reps.select("n", "h1", "h2", "node").hint("merge"), ["n", "h1", "h2"], "left").join(final.hint("merge"), "node", "left")
+    least = F.coalesce("comp", "node", "own")
     return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(least < NAMELESS, least).alias("component_id"))
 
 

@@ -74,8 +74,8 @@ def test_components(spark, monkeypatch, counted, seed, hubs, tile, frequent):
 
 def test_full_tiles_alone(spark, monkeypatch, counted):
     """Without links from anchors and hubs the full tiles find all."""
-    write = jaccard.Tiles.links
-    monkeypatch.setattr(jaccard.Tiles, "links", lambda self, members, label: write(self, members if label == "full" else members.limit(0), label))
+    join = jaccard.Tiles.joined
+    monkeypatch.setattr(jaccard.Tiles, "joined", lambda self, members, label: join(self, members if label == "full" else members.limit(0), label))
     monkeypatch.setattr(jaccard, "TILE", 5)
     monkeypatch.setattr(jaccard, "LEAST", 2)
     rows = corpus(5)
