@@ -21,6 +21,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,9 +30,12 @@ from pyspark.sql import types as T
 
 from tankline.llm.chunks import cuttable
 from tankline.llm.common import append_columns
-from tankline.llm.memory import Remembered, working_set
+from tankline.llm.memory import ENTRY, LONG, Remembered, working_set
+from tankline.llm.words import numbered
 
 MASK = (1 << 64) - 1
+#: Bytes of remembered space-led chunks.
+SPACED_BYTES = 100_000_000
 #: Odd 64-bit multipliers that spread a bucket's displacement over the slots.
 STEP, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -165,7 +169,8 @@ class Codec:
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.split = regex.compile(pattern).findall
         self.pieces = Remembered(self._piece)
-        self.spaced = Remembered(lambda chunk: self._chunk(" " + chunk))
+        self.spaced: dict[str, bytes] = {}
+        self.held = 0
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -176,13 +181,38 @@ class Codec:
     def _chunk(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not cuttable(text):
-            return self._chunk(text)
-        parts = text.split(" ")
-        head = self._chunk(parts[0])
-        return head + b"".join(map(self.spaced.__getitem__, parts[1:]))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; each distinct space-led chunk of the texts is looked up once."""
+        out = [b""] * len(texts)
+        even = [i for i, t in enumerate(texts) if cuttable(t)]
+        for i in set(range(len(texts))).difference(even):
+            out[i] = self._chunk(texts[i])
+        distinct, numbers, offsets = numbered([texts[i] for i in even], lambda a: pc.split_pattern(a, " "))
+        rest = np.ones(len(numbers), bool)
+        rest[offsets[:-1]] = False  # what stands before a text's first space
+        numbers, offsets = numbers[rest], offsets - np.arange(len(offsets))
+        used = np.flatnonzero(np.bincount(numbers, minlength=len(distinct)))
+        values = np.empty(len(distinct), object)
+        values[used] = self._spaced(distinct.take(pa.array(used)).to_pylist())
+        parts = values[numbers]
+        for i, a, b in zip(even, offsets.tolist(), offsets[1:].tolist(), strict=False):
+            out[i] = self._chunk(texts[i].partition(" ")[0]) + b"".join(parts[a:b])
+        return out
+
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks with a space before them, remembered within the bound."""
+        values = list(map(self.spaced.get, chunks))
+        for k, v in enumerate(values):
+            if v is None:
+                c = chunks[k]
+                values[k] = v = self._chunk(" " + c)
+                if len(c) <= LONG:
+                    self.spaced[c] = v
+                    self.held += len(c) + len(v) + ENTRY
+        if self.held > SPACED_BYTES:
+            self.spaced = {c: v for c, v in zip(chunks, values, strict=True) if len(c) <= LONG}
+            self.held = sum(len(c) + len(v) + ENTRY for c, v in self.spaced.items())
+        return values
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -208,7 +238,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         codec = _codec(shared)
 
         def work(texts):
-            ids = [codec.encode(t) for t in texts]
+            ids = codec.encode(texts)
             return [pa.array(ids, pa.binary()), [len(x) // 4 for x in ids]]
 
         return work
@@ -224,7 +254,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
         codec = _codec(shared)
 
         def work(texts):
-            ids = [codec.encode(t) for t in texts]
+            ids = codec.encode(texts)
             back = [codec.decode(x) for x in ids]
             return [pa.array(ids, pa.binary()), [len(x) // 4 for x in ids], pa.array(back, pa.binary())]
 

@@ -36,13 +36,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tankline.llm.common import materialize, slices
 from tankline.llm.components import components
-from tankline.llm.memory import Remembered, working_set
+from tankline.llm.words import hashed
 
 WIDTH = 5
 #: Percent of the union that must be shared.
@@ -62,14 +63,13 @@ NAMELESS = 1 << 62
 TILE_ROWS = "key long, side int, node long, n int, comp long"
 
 
-def _word_hashes() -> Remembered:
-    return working_set("jaccard", lambda: Remembered(xxhash.xxh3_64_intdigest))
+def shingles(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text."""
+    words, offsets = hashed(texts, xxhash.xxh3_64_intdigest, pc.ascii_lower)
+    return [_shingles(words[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
-def shingles(text: str, words: Remembered) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles.  bytes.lower and bytes.split touch ASCII only."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    h = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
+def _shingles(h: np.ndarray) -> np.ndarray:
     if not len(h):
         return h
     if len(h) < WIDTH:
@@ -122,11 +122,10 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, rarest first, and the least number of documents of each; every task sums its own in a bounded summary."""
 
     def summarize(batches):
-        words = _word_hashes()
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for _, texts in slices(batch.column(0)):
-                own = np.concatenate([shingles(t, words) for t in texts])
+                own = np.concatenate(shingles(texts))
                 own.sort()
                 at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
                 n = np.diff(np.append(at, len(own)))
@@ -153,13 +152,11 @@ def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], order, counts[order] > TILE))
 
     def run(batches):
-        words = _word_hashes()
         known, ranks, many = shared.value
         for batch in batches:
             for begin, texts in slices(batch.column(1)):
                 n, h1, h2, rare, hot, bits = [], [], [], [], [], []
-                for text in texts:
-                    s = shingles(text, words)
+                for s in shingles(texts):
                     digest = xxhash.xxh3_128_intdigest(s.tobytes())
                     n.append(len(s))
                     h1.append((digest >> 64) - (1 << 63))
@@ -339,14 +336,13 @@ def arrays_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        words, marks, seen = _word_hashes(), shared.value, set()
+        marks, seen = shared.value, set()
         for batch in batches:
             place = np.asarray(batch.column(2))
             kept = batch.filter(pa.array(((marks[place >> 3] >> (place & 7)) & 1).astype(bool)))
             for begin, texts in slices(kept.column(1)):
                 nodes, out = kept.column(0).slice(begin, len(texts)).to_pylist(), []
-                for k, text in zip(nodes, texts, strict=True):
-                    s = shingles(text, words).tobytes()
+                for k, s in zip(nodes, map(np.ndarray.tobytes, shingles(texts)), strict=True):
                     mark = (k, xxhash.xxh3_64_intdigest(s))
                     if mark not in seen:
                         seen.add(mark)
@@ -473,10 +469,9 @@ def _nameless(docs: DataFrame) -> DataFrame:
     """node, text of rows without doc_id; their digest is made again."""
 
     def run(batches):
-        words = _word_hashes()
         for batch in batches:
             for begin, texts in slices(batch.column(0)):
-                digests = [(xxhash.xxh3_128_intdigest(shingles(t, words).tobytes()) >> 64) - (1 << 63) for t in texts]
+                digests = [(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63) for s in shingles(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(digests, pa.int64())], names=["text", "h1"])
 
     rows = docs.where("doc_id is null").select("text").mapInArrow(run, "text string, h1 long").withColumn("doc_id", F.lit(None).cast("long"))

@@ -31,15 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.memory import Remembered, working_set
+from tankline.llm.words import hashed
 
 #: Text of a block; at about six bytes a word, a bucket gets some two million fingerprints for BUCKET_BYTES of text.
-BLOCK_BYTES, BUCKET_BYTES = 24_000_000, 16_000_000
+BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 16_000_000
 #: Target ids are broadcast up to this many (8 bytes each), and joined by exchange beyond it.
 BROADCAST_IDS = 4_000_000
 #: Weight of the bigram estimate beside the unigram one, and added counts.
@@ -48,21 +49,8 @@ WEIGHT, ADDED = 0.6, 0.5
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Hash of what stands before the first word.
 START = np.uint64(0x165667B19E3779F9)
-ASKED = "block int, bucket int, size int, keys binary, n binary, n_target binary, words binary"
-ANSWERED = "block int, bucket int, size int, n binary, n_target binary, tokens long, target_tokens long, vocabulary long"
-
-
-def tokens(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
-
-
-def _hashes(text: str, known: Remembered) -> np.ndarray:
-    words = tokens(text)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def _known() -> Remembered:
-    return working_set("language models", lambda: Remembered(xxhash.xxh3_64_intdigest))
+ASKED = "block int, bucket int, w_size int, w_keys binary, w_n binary, w_target binary, p_size int, p_keys binary, p_n binary, p_target binary"
+ANSWERED = "block int, bucket int, w_size int, w_n binary, w_target binary, p_size int, p_n binary, p_target binary, tokens long, target_tokens long, vocabulary long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -97,39 +85,62 @@ def _unpack_sorted(raw: bytes, size: int) -> np.ndarray:
 
 
 class Block:
-    """Fingerprints of all places of some texts."""
-
-    def __init__(self, texts: list[str], target: np.ndarray):
-        known = _known()
-        found = [_hashes(t, known) for t in texts]
-        self.target, self.lengths = target, np.array([len(x) for x in found], np.int64)
-        both = [fingerprints(x) for x in found if len(x)]
-        none = [np.zeros(0, np.uint64)]
-        #: All histories (one more than words for each text with any), and all pairs, text by text.
-        self.history, self.pair = np.concatenate([h for h, _ in both] or none), np.concatenate([p for _, p in both] or none)
-        full = np.flatnonzero(self.lengths)
-        self.pair_doc, self.history_doc = np.repeat(np.arange(len(texts)), self.lengths), np.repeat(full, self.lengths[full] + 1)
+    """Fingerprints of all places of some texts: histories (one more than words for each text with any) and pairs, text by text."""
 
-    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct fingerprints, their counts, those in target texts, which of them are words, and the place of each occurrence among them."""
-        every = np.concatenate((self.history, self.pair))
-        keys, where, n = np.unique(every, return_inverse=True, return_counts=True)
-        doc = np.concatenate((self.history_doc, self.pair_doc))
-        in_target = np.bincount(where[self.target[doc]], minlength=len(keys))
-        word = np.zeros(len(keys), bool)
-        word[where[: len(self.history)]] = True
-        return keys, n, in_target, word, where
+    def __init__(self, texts: list[str]):
+        words, offsets = hashed(texts, xxhash.xxh3_64_intdigest, pc.utf8_lower)
+        self.lengths = np.diff(offsets)
+        full = np.flatnonzero(self.lengths)
+        begin = offsets[full] + np.arange(len(full))  # of each text among the histories
+        before = np.empty(len(words) + len(full), np.uint64)
+        at = np.ones(len(before), bool)
+        at[begin] = False
+        before[at], before[begin] = words, START
+        last = np.zeros(len(before), bool)
+        last[begin + self.lengths[full]] = True
+        self.history, self.pair = _mixed(before * FIRST), _mixed((before[~last] * SECOND + np.uint64(1)) ^ (words * FIRST + np.uint64(3)))
+        #: The history of each pair; its word is the next one.
+        self.place = np.flatnonzero(~last)
+        self.doc, self.history_doc = np.repeat(np.arange(len(texts)), self.lengths), np.repeat(full, self.lengths[full] + 1)
+
+
+def _sums(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints, how often each is there, and how often in target texts."""
+    distinct, n = np.unique(keys, return_counts=True)
+    some, k = np.unique(keys[target], return_counts=True)
+    in_target = np.zeros(len(distinct), np.int64)
+    in_target[np.searchsorted(distinct, some)] = k
+    return distinct, n, in_target
+
+
+def _within(keys: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """How often the text of each place has its fingerprint."""
+    out, bounds = np.empty(len(keys), np.int64), np.searchsorted(doc, np.arange(texts + 1))
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        if b > a:
+            _, back, times = np.unique(keys[a:b], return_inverse=True, return_counts=True)
+            out[a:b] = times[back]
+    return out
 
 
 def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """What each block holds, bucket by bucket; rows block, is_target, text come sorted by block."""
+    """What each block holds, bucket by bucket, words and pairs apart; rows block, is_target, text come sorted by block."""
+    borders = _borders(buckets)
     for number, rows in _blocks(batches):
-        block = Block(*_texts(rows))
-        keys, n, in_target, word, _ = block.sums()
-        cuts = np.searchsorted(keys, _borders(buckets))
+        texts, target = _texts(rows)
+        block = Block(texts)
+        del texts, rows
+        parts = []
+        for keys, doc in ((block.history, block.history_doc), (block.pair, block.doc)):
+            found = _sums(keys, target[doc])
+            parts.append((found, np.searchsorted(found[0], borders)))
         out = []
-        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):  # a bucket without keys is asked for its totals
-            out.append((number, k, int(hi - lo), _pack_sorted(keys[lo:hi]), _pack(n[lo:hi]), _pack(in_target[lo:hi]), _pack(word[lo:hi])))
+        for k in range(buckets):  # a bucket without keys is asked for its totals
+            row = [number, k]
+            for found, cuts in parts:
+                lo, hi = cuts[k], cuts[k + 1]
+                row += [int(hi - lo), _pack_sorted(found[0][lo:hi]), _pack(found[1][lo:hi]), _pack(found[2][lo:hi])]
+            out.append(tuple(row))
         yield _batch(out, ASKED)
 
 
@@ -170,27 +181,28 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts over all blocks for what each block asked; rows come sorted by bucket."""
     start = _mixed(np.array([START], np.uint64) * FIRST)[0]
-    for bucket, rows in _blocks(b.select(["bucket", "block", "size", "keys", "n", "n_target", "words"]) for b in batches):
+    for bucket, rows in _blocks(b.select(["bucket", *[c for c in b.schema.names if c != "bucket"]]) for b in batches):
         asked = rows.to_pylist()
-        sizes = [r["size"] for r in asked]
-        every = np.concatenate([_unpack_sorted(r["keys"], r["size"]) for r in asked])
-        keys, where = np.unique(every, return_inverse=True)
-        n, in_target = (np.bincount(where, np.concatenate([_unpack(r[c], r["size"]) for r in asked]), len(keys)).astype(np.int64) for c in ("n", "n_target"))
-        word = np.zeros(len(keys), bool)
-        word[where] = np.concatenate([_unpack(r["words"], r["size"]) for r in asked]).astype(bool)
-        word &= keys != start
-        totals = int(n[word].sum()), int(in_target[word].sum()), int(word.sum())
-        at = 0
-        for r, size in zip(asked, sizes, strict=True):
-            own = where[at : at + size]
-            at += size
-            yield _batch([(r["block"], bucket, size, _pack(n[own]), _pack(in_target[own]), *totals)], ANSWERED)
-
-
-def _losses(n: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], tokens_: np.ndarray, vocabulary: int) -> np.ndarray:
-    """-log P of each token from counts of its pair, history and word, those of its own text, and all other tokens."""
-    pair, history, word = (a - b for a, b in zip(n, own, strict=True))
-    unigram = (word + ADDED) / (tokens_ + ADDED * vocabulary)
+        counts, totals = [], None
+        for kind in ("w", "p"):
+            sizes = [r[f"{kind}_size"] for r in asked]
+            keys, where = np.unique(np.concatenate([_unpack_sorted(r[f"{kind}_keys"], r[f"{kind}_size"]) for r in asked]), return_inverse=True)
+            n, in_target = (np.bincount(where, np.concatenate([_unpack(r[f"{kind}_{c}"], r[f"{kind}_size"]) for r in asked]), len(keys)).astype(np.int64) for c in ("n", "target"))
+            if kind == "w":
+                word = keys != start
+                totals = int(n[word].sum()), int(in_target[word].sum()), int(word.sum())
+            counts.append((n, in_target, where, np.concatenate(([0], np.cumsum(sizes)))))
+        for i, r in enumerate(asked):
+            row = [r["block"], bucket]
+            for n, in_target, where, ends in counts:
+                own = where[ends[i] : ends[i + 1]]
+                row += [len(own), _pack(n[own]), _pack(in_target[own])]
+            yield _batch([(*row, *totals)], ANSWERED)
+
+
+def _losses(pair: np.ndarray, history: np.ndarray, word: np.ndarray, tokens: np.ndarray, vocabulary: int) -> np.ndarray:
+    """-log P of each token from the counts of its pair, history and word and of all tokens."""
+    unigram = (word + ADDED) / (tokens + ADDED * vocabulary)
     seen = history > 0
     return -np.log(np.where(seen, WEIGHT * pair / np.maximum(history, 1), 0) + np.where(seen, 1 - WEIGHT, 1) * unigram)
 
@@ -198,26 +210,21 @@ def _losses(n: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], tokens_: np.
 def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
     """doc_id, n_tokens and mean losses of a block's documents."""
     texts, target = _texts(rows)
-    block = Block(texts, target)
-    keys, _, _, _, where = block.sums()
+    block = Block(texts)
     got = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-    counts = [np.concatenate([_unpack(r[c], r["size"]).astype(np.int64) for r in got]) for c in ("n", "n_target")]
     total, in_target, vocabulary = (sum(r[c] for r in got) for c in ("tokens", "target_tokens", "vocabulary"))
-    doc = np.concatenate((block.history_doc, block.pair_doc))
-    mine, back, times = np.unique(doc * max(1, len(keys)) + where, return_inverse=True, return_counts=True)
-    own = times[back]  # of each occurrence, how often its text has it
-    # a text's histories are its start and its words, so the word of pair i is history i + 1 of the same text
-    pair = np.arange(len(block.pair)) + len(block.history)
-    history = np.arange(len(block.pair)) + np.cumsum(np.concatenate(([True], block.pair_doc[1:] != block.pair_doc[:-1]))) - 1 if len(pair) else pair
-    places = (pair, history, history + 1)
-    lengths, sums = block.lengths[block.pair_doc], []
-    for n, tokens_, off in ((counts[1], in_target, target[block.pair_doc]), (counts[0], total, np.ones(len(pair), bool))):
-        loss = _losses(tuple(n[where[p]] for p in places), tuple(own[p] * off for p in places), tokens_ - lengths * off, vocabulary)
-        sums.append(np.bincount(block.pair_doc, loss, len(texts)))
+    whole = lambda c, size: np.concatenate([_unpack(r[c], r[size]) for r in got]).astype(np.int64)
+    found = {}
+    for kind, keys, doc in (("w", block.history, block.history_doc), ("p", block.pair, block.doc)):
+        where = np.searchsorted(np.unique(keys), keys)
+        found[kind] = *(whole(f"{kind}_{c}", f"{kind}_size")[where] for c in ("n", "target")), _within(keys, doc, len(texts))
+    lengths, sums = block.lengths[block.doc], []
+    for k, tokens, off in ((1, in_target, target[block.doc].astype(np.int64)), (0, total, np.int64(1))):
+        pair, history, word = found["p"][k] - found["p"][2] * off, *(found["w"][k][at] - found["w"][2][at] * off for at in (block.place, block.place + 1))
+        sums.append(np.bincount(block.doc, _losses(pair, history, word, tokens - lengths * off, vocabulary), len(texts)))
     some = block.lengths > 0
-    means = [pa.array(s / np.maximum(block.lengths, 1), mask=~some) for s in sums]
-    difference = pa.array((sums[0] - sums[1]) / np.maximum(block.lengths, 1), mask=~some)
-    return pa.table([rows.column("doc_id"), pa.array(block.lengths), *means, difference], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+    means = [pa.array(s / np.maximum(block.lengths, 1), mask=~some) for s in (*sums, sums[0] - sums[1])]
+    return pa.table([rows.column("doc_id"), pa.array(block.lengths), *means], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
 
 def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:

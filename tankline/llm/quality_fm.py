@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tankline.llm.common import append_columns, held_out
-from tankline.llm.memory import Remembered, working_set
+from tankline.llm.words import hashed
 
 BITS, FACTORS = 16, 8
 TRAIN_DOCS, EPOCHS, BATCH, RATE, DECAY = 12_000, 8, 256, 0.1, 1e-5
@@ -48,19 +48,21 @@ def _bin(value: float, share: int) -> int:
     return min(BINS - 1, int((value**0.5) * BINS) if share else int(np.log2(value + 1)))
 
 
+def _number(word: bytes) -> int:
+    """A word's feature, and above it its length."""
+    return len(word) << 32 | xxhash.xxh32_intdigest(word) & ((1 << BITS) - 1)
+
+
 class Features:
     """Index and value lists of texts."""
 
-    def __init__(self):
-        self.numbers = Remembered(lambda w: xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))
-
     def __call__(self, texts: list[str], recorded: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Indexes and values of all documents one after the other, and where each begins."""
         ids, docs, structure = [], [], []
+        numbers, offsets = hashed(texts, _number)
         for k, text in enumerate(texts):
-            words = text.split()
-            n = len(words)
-            own = np.fromiter(map(self.numbers.__getitem__, words), np.int64, n)
+            found = numbers[offsets[k] : offsets[k + 1]].astype(np.int64)
+            n, own = len(found), found & 0xFFFFFFFF
             ids.append(own)
             docs.append(n)
             raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -72,7 +74,7 @@ class Features:
             heads = np.flatnonzero(np.concatenate(([True], kinds[1:] != kinds[:-1]))) if n else np.zeros(0, np.int64)
             most = int(np.diff(np.append(heads, n)).max()) if n else 0
             structure.append([
-                n, len(raw), len(lines), max(map(len, words), default=0), size / max(1, n), hist[65:91].sum() / size, hist[48:58].sum() / size,
+                n, len(raw), len(lines), int((found >> 32).max(initial=0)), size / max(1, n), hist[65:91].sum() / size, hist[48:58].sum() / size,
                 hist[[35, 42, 36, 37, 38, 124, 60, 62]].sum() / size, hist[[44, 46, 58, 59, 63]].sum() / size, hist[33] / size,
                 len(heads) / max(1, n), int((own[1:] == own[:-1]).sum()) / max(1, n), 1 - len(set(full)) / max(1, len(full)), most / max(1, n), hist[128:].sum() / size, hist[[9, 10, 11, 12, 13, 32]].sum() / size,
                 0 if recorded is None or recorded[k] is None else max(0, recorded[k]),
@@ -142,10 +144,6 @@ class Machine:
         return self
 
 
-def _features() -> Features:
-    return working_set("quality", Features)
-
-
 def _inputs(docs: DataFrame) -> DataFrame:
     length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), length.alias("recorded"))
@@ -161,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Machine
     rows = _inputs(docs).join(F.broadcast(chosen), "doc_id")  # at most `most` rows of two numbers
 
     def vectors(batches):
-        make = _features()
+        make = Features()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -184,7 +182,7 @@ def with_scores(docs: DataFrame, machine: Machine, name: str = "score") -> DataF
     recorded = "n_chars" if "n_chars" in docs.columns else None
 
     def kernel():
-        make, model = _features(), shared.value
+        make, model = Features(), shared.value
 
         def work(texts, lengths=None):
             out = [np.zeros(0)]

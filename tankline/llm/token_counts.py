@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 from tankline.llm.common import append_columns, materialize, slices
 from tankline.llm.memory import LONG
 from tankline.llm.vocab import Encoder, Vocabulary, encoder
+from tankline.llm.words import numbered
 
 #: Pre-tokens in a summary and in the table, those that a task holds meanwhile, and summaries merged by one task.
 FREQUENT, HELD, FAN = 65_536, 400_000, 64
@@ -68,8 +70,9 @@ def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for _, texts in slices(batch.column(0)):
-            for t in texts:
-                counts.update(t.split(" ")[1:])
+            distinct, numbers, offsets = numbered(texts, lambda a: pc.split_pattern(a, " "))
+            times = np.bincount(numbers, minlength=len(distinct)) - np.bincount(numbers[offsets[:-1]], minlength=len(distinct))
+            counts.update({c: n for c, n in zip(distinct.to_pylist(), times.tolist(), strict=True) if n})
             floor = 1
             while len(counts) > HELD:
                 counts = Counter({c: n for c, n in counts.items() if n > floor})

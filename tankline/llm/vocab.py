@@ -8,9 +8,12 @@ import os
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tankline.llm.chunks import cuttable
 from tankline.llm.memory import ENTRY, LONG, working_set
+from tankline.llm.words import numbered
 
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
@@ -83,34 +86,52 @@ class Encoder:
         """One value for each text, from the library or from chunks that it has encoded."""
         if not self.v.cut:
             return self.whole(texts)
-        split, fresh, odd = {}, set(), []
-        for i, t in enumerate(texts):
-            if cuttable(t, self.v.specials):
-                split[i] = parts = t.split(" ")
-                fresh.update(parts[1:])
-            else:
-                odd.append(i)
-        need = list(fresh.difference(self.cache))
-        self.held += sum(map(len, need)) + ENTRY * len(need)
-        if self.held > self.most:
-            # the chunks at hand stay, as frequent ones are always among them
-            stay = {c: self.cache[c] for c in fresh.difference(need) if len(c) <= LONG}
-            self.cache = self.pinned | stay
-            self.held = sum(map(len, stay)) + ENTRY * len(stay)
-        cache = self.cache
-        cache.update(zip(need, self.chunks(need), strict=True))
+        even = [i for i, t in enumerate(texts) if cuttable(t, self.v.specials)]
+        odd = sorted(set(range(len(texts))).difference(even))
         out: list = [None] * len(texts)
         for i, v in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = v
-        heads = self.whole([parts[0] for parts in split.values()])
-        get = cache.__getitem__
-        for (i, parts), head in zip(split.items(), heads, strict=True):
-            out[i] = head + (sum(map(get, parts[1:])) if self.lengths else b"".join(map(get, parts[1:])))
-        for c in need:
-            if len(c) > LONG:
-                del cache[c]
+        for i, v in zip(even, self._cut([texts[i] for i in even]), strict=True):
+            out[i] = v
         return out
 
+    def _cut(self, texts: list[str]) -> list:
+        """Of texts that may be cut at their spaces; each distinct chunk is looked up once."""
+        distinct, numbers, offsets = numbered(texts, lambda a: pc.split_pattern(a, " "))
+        rest = np.ones(len(numbers), bool)
+        rest[offsets[:-1]] = False  # what stands before a text's first space
+        numbers, offsets = numbers[rest], offsets - np.arange(len(offsets))
+        used = np.flatnonzero(np.bincount(numbers, minlength=len(distinct)))
+        values = self._values(distinct.take(pa.array(used)).to_pylist())
+        heads = self.whole([t.partition(" ")[0] for t in texts])
+        place = np.zeros(len(distinct), np.int64)
+        place[used] = np.arange(len(used))
+        numbers = place[numbers]
+        if self.lengths:
+            ends = np.concatenate(([0], np.cumsum(np.array(values, np.int64)[numbers])))[offsets]
+            return [h + n for h, n in zip(heads, np.diff(ends).tolist(), strict=True)]
+        parts = np.empty(len(values), object)
+        parts[:] = values
+        parts, bounds = parts[numbers].tolist(), offsets.tolist()
+        return [h + b"".join(parts[a:b]) for h, a, b in zip(heads, bounds, bounds[1:], strict=False)]
+
+    def _values(self, chunks: list[str]) -> list:
+        """What distinct chunks encode to, remembered within the bound."""
+        values = list(map(self.cache.get, chunks))
+        missing = [k for k, v in enumerate(values) if v is None]
+        need = [chunks[k] for k in missing]
+        self.held += sum(map(len, need)) + ENTRY * len(need)
+        if self.held > self.most:
+            # the chunks at hand stay, as frequent ones are always among them
+            stay = {c: v for c, v in zip(chunks, values, strict=True) if v is not None}
+            self.cache = self.pinned | stay
+            self.held = sum(map(len, need)) + sum(map(len, stay)) + ENTRY * (len(stay) + len(need))
+        made = self.chunks(need)
+        self.cache.update((c, v) for c, v in zip(need, made, strict=True) if len(c) <= LONG)
+        for k, v in zip(missing, made, strict=True):
+            values[k] = v
+        return values
+
 
 def encoder(shared, lengths: bool, table=None) -> Encoder:
     """One encoder in a worker for each vocabulary and use, so that its cache outlives a task."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tankline.llm import bpe, decontaminate, langid, lm_scoring, quality_fm, repetition, token_counts, token_files, warc
-from tankline.llm.common import shared_dir
+from tankline.llm.common import fresh_path
 
 ODD = [None, "", " ", "\n\t ", "a", "a  b \n c", "it's 12.5 <|endoftext|> ok", "x" * 5000, "é 字 🙂 ²½ \x1c\x85　z", ("lorem ipsum dolor " * 400).strip(), "of.\nThen, so.\n\nNext, 'twas"]
 
@@ -102,7 +102,7 @@ def test_two_vocabularies_in_one_worker(spark, tmp_path):
 
 
 def test_one_document_by_its_index(spark, docs):
-    out = f"{shared_dir(spark)}/one-document"
+    out = fresh_path(spark, "one-document")
     manifest = token_files.write(docs, P.path("byte_bpe_50k.json"), 2, out, 2).collect()
     found = [token_files.read_document(out, m.path, 9) for m in manifest]
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -300,7 +300,7 @@ def test_warc(spark):
 
 def test_warc_pushes_filters_down(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i % 7}</p>") for i in range(50)], "page_id long, url string, html string")
-    out = f"{shared_dir(spark)}/pushed"
+    out = fresh_path(spark, "pushed")
     warc.write(pages, out)
     rows = warc.read(spark, out).where((F.col("record_type") == "response") & (F.col("page_id") > 3))
     assert sorted((r.page_id, bytes(r.payload)) for r in rows.collect()) == [(i, f"<p>{i}</p>".encode()) for i in (4, 5, 6)]
