@@ -72,7 +72,7 @@ def store_number(raw: Column) -> Column:
     return F.when(raw.rlike(r"#\s*\d+\s*$"), F.regexp_extract(raw, r"#\s*(\d+)\s*$", 1).cast("long"))
 
 
-def display_case(text: Column, keep: tuple[str, ...] = ("BVD",)) -> Column:
+def display_case(text: Column, keep: tuple[str, ...]) -> Column:
     """A name without small letters in title case, but for words that stay as they are."""
     titled = F.array_join(F.transform(F.split(text, r"(?<=[^A-Za-z0-9'])|(?=[^A-Za-z0-9'])"), lambda w: F.when(w.isin(*keep), w).otherwise(_capital(w))), "")
     return F.when(text.rlike("[a-z]"), text).otherwise(titled)
@@ -182,9 +182,9 @@ def raw_resolved(resolved: Column, raw: Column, agrees: Column) -> Column:
     return F.struct(resolved.alias("resolved"), raw.alias("raw"), F.when(resolved.isNotNull() & (F.trim(raw) != ""), agrees).alias("agrees"))
 
 
-def station_label(brand: Column, number: Column, name: Column) -> Column:
-    """C19."""
-    return F.coalesce(F.when(number.isNotNull(), F.concat(brand, F.lit(" #"), number.cast("string"))), display_case(name))
+def station_label(brand: Column, number: Column, name: Column, keep: tuple[str, ...]) -> Column:
+    """Brand and store number, or the display-cased name."""
+    return F.coalesce(F.when(number.isNotNull(), F.concat(brand, F.lit(" #"), number.cast("string"))), display_case(name, keep))
 
 
 def neutral_keys(detail: Column) -> Column:
@@ -250,12 +250,47 @@ def round_up_to(x: Column, step: int) -> Column:
     return F.ceil(x / step) * step
 
 
+def infeasible_reason(code: Column, gap_start: Column, gap_end: Column, max_leg: Column, max_detour: Column | None = None) -> Column:
+    """A code, its gap and what would help; gap and suggestions only for a leg gap, a wider detour only where there is a cap."""
+    is_gap, gap = code == "LEG_GAP", gap_end - gap_start
+    wider = F.lit(None).cast("double") if max_detour is None else half_up(max_detour + 20, 1)
+    tip = lambda action, value: F.struct(F.lit(action).alias("action"), value.cast("double").alias("value"))
+    tips = F.filter(
+        F.array(F.when(wider.isNotNull(), tip("increaseDetour", wider)), tip("increaseMaxLeg", round_up_to(max_leg + gap, 50)), tip("allowOffNetworkStop", F.lit(None))), lambda x: x.isNotNull()
+    )
+    none = F.array().cast("array<struct<action:string,value:double>>")
+    return F.struct(
+        code.alias("code"), F.when(is_gap, gap_start).alias("gap_start"), F.when(is_gap, gap_end).alias("gap_end"), F.when(is_gap, gap).alias("gap_miles"), max_leg.alias("max_leg"), F.when(is_gap, tips).otherwise(none).alias("suggestions")
+    )
+
+
 def maps_link(origin: Column, destination: Column, stops: Column, most: int = 9) -> Column:
-    """A directions link with at most nine way points, from ordered 'lat,lng' texts."""
-    return F.concat(
+    """A directions link with ordered 'lat,lng' way points; more than nine are an error, none is left out in silence."""
+    link = F.concat(
         F.lit("https://www.google.com/maps/dir/?api=1&origin="), F.url_encode(origin), F.lit("&destination="), F.url_encode(destination),
-        F.when(F.size(stops) > 0, F.concat(F.lit("&waypoints="), F.url_encode(F.array_join(F.slice(stops, 1, most), "|")))).otherwise(""),
+        F.when(F.size(stops) > 0, F.concat(F.lit("&waypoints="), F.url_encode(F.array_join(stops, "|")))).otherwise(""), F.lit("&travelmode=driving"),
     )
+    return F.when(F.size(stops) > most, F.raise_error(F.concat(F.lit(f"a link takes {most} way points, not "), F.size(stops).cast("string")))).otherwise(link)
+
+
+def plan_defaults(request: dict[str, Column], profile: dict[str, Column]) -> dict[str, Column]:
+    """What a request leaves open is taken from the truck's profile, and the corridor from the constant.  A zero is a value; null
+    caps on detours and stops mean none and aren't filled."""
+    wide = {"max_leg": profile["max_leg"], "min_leg": profile["min_leg"], "corridor": F.lit(DEFAULT_CORRIDOR_MILES), "start": profile["tank"], "min_arrival": profile["reserve"] * profile["tank"]}
+    return {name: F.coalesce(request[name], value) if name in request else value for name, value in wide.items()}
+
+
+def metric_stops(stops: Column) -> Column:
+    """Stops (mile, leg_miles, gallons, unit_price) of a plan in kilometres, litres and money a litre."""
+    km, litres = METERS_PER_MILE / 1000, LITERS_PER_GALLON
+    return F.transform(stops, lambda s: F.struct(
+        (s["mile"] * km).alias("km"), (s["leg_miles"] * km).alias("leg_km"), (s["gallons"] * litres).alias("litres"), (s["unit_price"] / litres).alias("unit_price"),
+    ))
+
+
+def arrival_percent(arrival: Column, tank: Column) -> Column:
+    """Fuel on arrival as percent of the tank."""
+    return arrival / tank * 100
 
 
 def nice_step(largest: Column) -> Column:
@@ -282,11 +317,16 @@ def printed_parts(at: Column) -> Column:
     )
 
 
-# Address words and their short forms.
+# Address words and their short forms, and state names in the order of STATES.
 ADDRESS_WORDS = {
-    "street": "st", "avenue": "ave", "boulevard": "blvd", "road": "rd", "drive": "dr", "lane": "ln", "highway": "hwy", "parkway": "pkwy", "court": "ct", "place": "pl",
-    "north": "n", "south": "s", "east": "e", "west": "w", "suite": "ste", "apartment": "apt", "unit": "unit", "interstate": "i", "route": "rte",
+    "suite": "ste", "unit": "ste", "apartment": "ste", "apt": "ste", "#": "ste", "north": "n", "south": "s", "east": "e", "west": "w", "northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw", "street": "st",
+    "str": "st", "avenue": "ave", "boulevard": "blvd", "drive": "dr", "road": "rd", "lane": "ln", "court": "ct", "place": "pl", "parkway": "pkwy", "highway": "hwy", "circle": "cir", "trail": "trl", "terrace": "ter", "square": "sq",
 }
+STATE_NAMES = (
+    "alabama, alaska, arizona, arkansas, california, colorado, connecticut, delaware, district of columbia, florida, georgia, hawaii, idaho, illinois, indiana, iowa, kansas, kentucky, louisiana, maine, maryland, massachusetts, "
+    "michigan, minnesota, mississippi, missouri, montana, nebraska, nevada, new hampshire, new jersey, new mexico, new york, north carolina, north dakota, ohio, oklahoma, oregon, pennsylvania, rhode island, south carolina, "
+    "south dakota, tennessee, texas, utah, vermont, virginia, washington, west virginia, wisconsin, wyoming"
+).split(", ")
 
 
 @F.pandas_udf(T.StringType())
@@ -294,16 +334,26 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def normalize_address(raw: Column) -> Column:
-    """Lower case, punctuation to spaces, five-digit ZIP, short words; only texts beyond ASCII see Python."""
-    text = F.lower(raw)
-    text = F.regexp_replace(text, r"#\s*", " # ")
-    text = F.regexp_replace(text, r"(\d{5})-\d{4}\b", "$1")
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}#]+", " "), r"\s+", " "))
-    words = F.create_map(*[F.lit(x) for pair in ADDRESS_WORDS.items() for x in pair])
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(words, w), w)), " ")
-
-
 def nfkc(raw: Column) -> Column:
     """The compatibility form that C8 begins with; built-in functions have none."""
     return _nfkc(raw)
+
+
+def _table(pairs) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+
+
+def normalize_address(raw: Column) -> Column:
+    """Compatibility form, lower case, full stops and commas to spaces, five-digit ZIP, the state's name at the end and the known
+    words short.  Numbers, other words and their order stay, so unlike places keep unlike keys."""
+    text = F.regexp_replace(F.lower(nfkc(raw)), "#", " # ")
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, "[.,]", " "), r"(?U)\s+", " "))
+    code = F.regexp_extract(text, r"(?:^| )(\d{5})(?:-\d{4})?$", 1)
+    body = F.regexp_replace(text, r"(?:^| )\d{5}(?:-\d{4})?$", "")
+    longest = "|".join(sorted(STATE_NAMES, key=len, reverse=True))
+    state = F.regexp_extract(body, rf"(?:^| )({longest})$", 1)
+    short = F.try_element_at(_table(zip(STATE_NAMES, [s.lower() for s in STATES], strict=True)), state)
+    body = F.when(state != "", F.concat(F.substring(body, F.lit(1), F.length(body) - F.length(state)), short)).otherwise(body)
+    words = F.filter(F.split(body, " "), lambda w: w != "")
+    mapped = F.transform(words, lambda w: F.coalesce(F.try_element_at(_table(ADDRESS_WORDS.items()), w), w))
+    return F.concat_ws(" ", F.array_join(mapped, " "), F.when(code != "", code))

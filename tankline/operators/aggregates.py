@@ -147,8 +147,41 @@ def error_metrics(rows: DataFrame, part: str, error: Column) -> DataFrame:
     )
 
 
-def plan_summary(matches: DataFrame) -> DataFrame:
-    """Adherence by truck over matched, skipped and unplanned stops."""
-    kinds = {k: F.count_if(F.col("kind") == k) for k in ("matched", "skipped_recommendation", "unplanned_stop")}
-    out = matches.groupBy("truck_id").agg(*[v.alias(k) for k, v in kinds.items()])
-    return out.withColumn("adherence", exprs.ratio(F.col("matched") * 100, F.col("matched") + F.col("skipped_recommendation")))
+def plan_summary(deltas: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row: coverage (matched of all actual stops), adherence in percent (null without plans), and what was paid above plan."""
+    matched, skipped = F.count_if(F.col("kind") == "matched"), F.count_if(F.col("kind") == "skipped_recommendation")
+    own = deltas.agg(matched.alias("covered"), exprs.ratio(matched * 100, matched + skipped).alias("adherence"), F.coalesce(F.sum(F.when(F.col("delta_m") > 0, F.col("delta_m"))), F.lit(0)).alias("left_on_table_m"))
+    return own.join(F.broadcast(actual.agg(F.count("*").alias("total"))))  # one row each
+
+
+def truck_variance(deltas: DataFrame) -> DataFrame:
+    """Planned, actual and their difference, matches and skips of each truck with a plan; adherence is zero without either."""
+    own = deltas.where("plan_stop_id is not null")
+    sums = {c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("planned_m", "actual_m", "delta_m")}
+    out = own.groupBy("truck_id").agg(F.count_if(F.col("kind") == "matched").alias("matched"), F.count_if(F.col("kind") == "skipped_recommendation").alias("skipped"), *sums.values())
+    return out.withColumn("adherence", F.coalesce(exprs.ratio(F.col("matched") * 100, F.col("matched") + F.col("skipped")), F.lit(0.0)))
+
+
+def truck_days(stops: DataFrame, lines: DataFrame) -> DataFrame:
+    """Each truck and UTC day with diesel: its stations in the order of visits, and the diesel cost (quantity by billed price)."""
+    diesel = lines.where("product = 'TA'").groupBy("stop_id").agg(F.sum(F.col("qty_c") * F.col("billed_t")).alias("cost_m"))
+    own = stops.where("truck_id is not null and station_id is not null").join(diesel, "stop_id").groupBy("truck_id", F.to_date("occurred_at").alias("day"))
+    return own.agg(F.transform(F.array_sort(F.collect_list(F.struct("occurred_at", "stop_id", "station_id"))), lambda x: x["station_id"]).alias("stations"), F.sum("cost_m").alias("cost_m"))
+
+
+def express_week(charges: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Count and sums of the express rows of each week and currency; a week without rows has zeros."""
+    sums = charges.groupBy("invoice_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("amount_c", "fee_c", "total_c")])
+    return invoices.join(sums, "invoice_id", "left").fillna(0, ["n", "amount_c", "fee_c", "total_c"])
+
+
+def price_sheets(imports: DataFrame, prices: DataFrame) -> DataFrame:
+    """Completed imports with their rows and distinct stations; one without prices has none."""
+    counts = prices.groupBy("import_id").agg(F.countDistinct("station_id").alias("stations"))
+    return imports.where("status = 'completed'").join(counts, "import_id", "left").fillna(0, ["stations"])
+
+
+def weeks_with_invoices(invoices: DataFrame) -> DataFrame:
+    """Weeks, each with its invoices, CAD after USD and by id."""
+    own = F.transform(F.sort_array(F.collect_list(F.struct("currency", F.struct("invoice_id", "currency", "printed_start", "printed_end").alias("i"))), False), lambda x: x["i"])
+    return invoices.groupBy("week_end").agg(own.alias("invoices"))

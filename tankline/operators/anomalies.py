@@ -114,12 +114,51 @@ def load_thresholds(config: DataFrame | None) -> dict[str, dict]:
 
 
 def run(stops: DataFrame, lines: DataFrame, prices: DataFrame, thresholds: dict[str, dict] | None = None, rules: dict | None = None) -> DataFrame:
-    """All findings of all rules."""
-    config, out = thresholds or THRESHOLDS, None
-    for name, rule in (rules or RULES).items():
-        found = rule(stops, lines, prices, config[name])
-        out = found if out is None else out.unionByName(found)
-    return out
+    """All findings of all rules: lines are folded once to their stop, each stop yields the array of its findings; only neighbours in
+    time need an exchange of their own.  A choice of `rules` runs one by one."""
+    config = thresholds or THRESHOLDS
+    if rules is not None:
+        out = None
+        for name, rule in rules.items():
+            found = rule(stops, lines, prices, config[name])
+            out = found if out is None else out.unionByName(found)
+        return out
+    small, fuel, dear = config["sub_gallon"], config["charges_no_fuel"]["fuel_products"], config["price_above_published"]
+    least = lambda gallons: F.min(F.when(F.col("product").isin(*small["products"]) & (F.col("qty_c") > 0) & (gallons < small["min_gallons"]), F.struct("product", "qty_c")))
+    fold = lines.groupBy("stop_id").agg(
+        least(F.col("qty_c") / 100.0).alias("_small_us"), least(exprs.gallons_from_liters(F.col("qty_c") / 100.0)).alias("_small_ca"), F.coalesce(F.sum(F.when(F.col("product").isin(*fuel), F.col("qty_c"))), F.lit(0)).alias("_fuel"),
+        F.sum("amount_c").alias("_amount"), F.array_join(F.array_sort(F.collect_set("product")), ",").alias("_products"), F.sum(F.when(F.col("product") == "DF", F.col("amount_c"))).alias("_def"),
+        F.max(F.when(F.col("product") == dear["product"], F.col("billed_t"))).alias("_billed"),
+    )
+    p = prices.select("station_id", F.col("valid_on").alias("day"), F.col("price_t").alias("_price"))
+    own = stops.join(fold, "stop_id", "left").join(p, ["station_id", "day"], "left")
+    c, over, canada = F.col, F.col("_billed") - F.col("_price"), F.col("currency") == "CAD"
+    tiny = F.when(canada, c("_small_ca")).otherwise(c("_small_us"))
+    found = {
+        "sub_gallon": (tiny.isNotNull(), "red", tiny["qty_c"].cast("string")), "not_on_roster": (c("driver_id").isNull(), "red", c("card_id").cast("string")),
+        "unit_mismatch": (c("truck_id").isNotNull() & (F.trim("unit_raw") != "") & ~exprs.same_unit(c("unit_raw"), c("truck_id").cast("string")), "amber", F.trim("unit_raw")),
+        "no_truck_on_file": (c("truck_id").isNull(), "amber", F.when(c("driver_id").isNull(), "no_driver").otherwise("no_assignment")),
+        "unit_not_entered": (F.trim("unit_raw") == "", "amber", F.lit("")), "driver_not_entered": (F.trim("driver_raw") == "", "red", F.lit("")),
+        "charges_no_fuel": ((c("_fuel") <= 0) & (c("_amount") > 0), "amber", c("_products")), "def_in_canada": (canada & c("_def").isNotNull(), "amber", c("_def").cast("string")),
+        "price_above_published": (~canada & (over > dear["max_overage_t"]), "red", over.cast("string")),
+    }
+    each = [F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.alias("detail"))) for rule, (when, severity, detail) in found.items()]
+    per_stop = own.select(F.col("stop_id").alias("subject_id"), F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("_f")).select("_f.rule", "subject_id", "_f.severity", "_f.detail")
+    return per_stop.unionByName(too_close(stops, lines, prices, config["too_close"]))
+
+
+def rebuild(findings: DataFrame, invoices: DataFrame, folder: str) -> None:
+    """The findings (invoice_id and theirs) of these invoices in place of what they had; others stay.
+
+    A partition is an invoice.  Each gets a row without a rule, so that one whose findings are all gone is written too."""
+    marks = invoices.select("invoice_id").distinct()
+    rows = findings.join(marks, "invoice_id", "left_semi").unionByName(marks, allowMissingColumns=True)
+    rows.repartition("invoice_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("invoice_id").parquet(folder)
+
+
+def stored_findings(spark, folder: str) -> DataFrame:
+    """What :func:`rebuild` keeps."""
+    return spark.read.parquet(folder).where("rule is not null")
 
 
 def not_computable(stops: DataFrame, lines: DataFrame, prices: DataFrame, thresholds: dict[str, dict] | None = None) -> DataFrame:
@@ -133,3 +172,13 @@ def resolve_trucks(stops: DataFrame, assignments: DataFrame) -> DataFrame:
     found = effective_dated(stops.drop("truck_id"), assignments, "driver_id")
     agrees = F.when(F.col("truck_id").isNotNull() & (F.trim("unit_raw") != ""), exprs.same_unit(F.col("unit_raw"), F.col("truck_id").cast("string")))
     return found.withColumn("agrees", agrees).drop("valid_from", "valid_to")
+
+
+def preview(stops: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Q3: what a change of assignments would do, without writing it: stops whose truck moves, and whether they gain or lose the finding
+    that no truck is on file.  Both histories are resolved in one pass over the stops of each."""
+    old = resolve_trucks(stops, before).select("stop_id", F.col("truck_id").alias("_old"))
+    new = resolve_trucks(stops, after).select("stop_id", F.col("truck_id").alias("_new"))
+    moves = old.join(new, "stop_id").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    flag = F.when(F.col("_old").isNull(), "cleared").when(F.col("_new").isNull(), "appeared").otherwise("none")
+    return moves.select("stop_id", F.col("_old").cast("string").alias("before"), F.col("_new").cast("string").alias("after"), flag.alias("no_truck_flag"))

@@ -48,6 +48,18 @@ def filter_stops(
     return out
 
 
+def queue_scope(stops: DataFrame, *, week=None, currency=None, include_confirmed: bool = False) -> DataFrame:
+    """the receipt queue's scope; what isn't given doesn't narrow it, and confirmed stops are left out unless asked for."""
+    out = filter_stops(stops, week=week, currency=currency)
+    return out if include_confirmed else out.where("status <> 'confirmed'")
+
+
+def queue_order(spec: str) -> list[Column]:
+    """O2: orders of the receipt queue; each ends in the id."""
+    oldest = [F.asc("occurred_at"), F.asc("stop_id")]
+    return {"oldest": oldest, "newest": [F.desc("occurred_at"), F.asc("stop_id")], "exceptions": [F.desc(F.col("status") == "missing"), *oldest]}[spec]
+
+
 def overlapping(ranges: DataFrame, day_from, day_to) -> DataFrame:
     """ranges [start_day, end_day] that overlap a span; its bounds are swapped if reversed."""
     lo, hi = sorted([day_from, day_to])
@@ -56,7 +68,7 @@ def overlapping(ranges: DataFrame, day_from, day_to) -> DataFrame:
 
 def last_weeks(weeks: DataFrame, n: int = 4) -> DataFrame:
     """The latest n week ends of a table of distinct weeks."""
-    return weeks.withColumn("r", F.dense_rank().over(Window.orderBy(F.desc("week_end")))).where(F.col("r") <= n).drop("r")
+    return weeks.orderBy(F.desc("week_end")).limit(n)
 
 
 def price_basis(basis: str) -> Column:

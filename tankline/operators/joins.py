@@ -66,7 +66,7 @@ def match_units(rows: DataFrame, trucks: DataFrame, raw: str = "unit_raw") -> Da
 
 def match_gazetteer(stations: DataFrame, places: DataFrame) -> DataFrame:
     """Stations by state and normalised city."""
-    key = places.select(F.col("state").alias("_s"), F.col("name_normalized").alias("_c"), F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"))
+    key = places.select(F.col("state").alias("_s"), F.col("name_normalized").alias("_c"), F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"), "uncertainty_miles")
     on = (F.col("state") == F.col("_s")) & (exprs.normalize_city(F.col("city")) == F.col("_c"))
     return stations.join(key, on, "left").drop("_s", "_c")
 
@@ -80,16 +80,23 @@ def match_operator(stations: DataFrame, export: DataFrame) -> tuple[DataFrame, D
     return joined, bad
 
 
+def dispatched_stops(plans: DataFrame, plan_stops: DataFrame, periods: DataFrame) -> DataFrame:
+    """Fuel stops at a station of plans that were dispatched on a UTC day of an invoice's period."""
+    own = plan_stops.where("stop_type = 'fuel' and station_id is not null").join(plans.where("dispatched_at is not null"), "plan_id").withColumn("day", F.to_date("dispatched_at"))
+    return own.join(periods, (F.col("day") >= F.col("period_start")) & (F.col("day") <= F.col("period_end")))
+
+
 def plan_actual(planned: DataFrame, actual: DataFrame) -> DataFrame:
     """Each planned stop (plan_stop_id, truck_id, day, station_id, dispatched_at) and each actual one (stop_id, same keys,
-    occurred_at) used at most once.  Within a key the plan stop dispatched first chooses first, the actual nearest
-    in time, ties the earlier.  Leftovers: `skipped_recommendation` and `unplanned_stop`.
+    occurred_at, split_fill) used at most once; day is the UTC day of dispatch and of the fill.  Within a key the plan stop dispatched
+    first chooses first, the actual nearest in time, ties the earlier.  Leftovers: `skipped_recommendation` and `unplanned_stop`; split
+    fills and actuals without a station are left out (:func:`match_exclusions`).
 
-    Keys are independent.  A key with one plan stop or one actual is a plain ranking; only keys with more on both sides are
-    resolved in sequence, one small group at a time."""
+    Keys are independent, and a truck's fills at one station on one day are few.  A key with one plan stop is a plain ranking; only keys
+    with more are resolved in sequence."""
     keys = ["truck_id", "day", "station_id"]
-    a = actual.where("station_id is not null")
-    p = planned.select(*keys, "plan_stop_id", "dispatched_at")
+    a = actual.where("station_id is not null and not coalesce(split_fill, false)")
+    p = planned.where("dispatched_at is not null and truck_id is not null").select(*keys, "plan_stop_id", "dispatched_at")
     pairs = p.join(a.select(*keys, "stop_id", "occurred_at"), keys)
     w = Window.partitionBy(*keys)
     pairs = pairs.withColumn("_np", F.size(F.collect_set("plan_stop_id").over(w))).withColumn("away", F.abs(F.unix_micros("occurred_at") - F.unix_micros("dispatched_at")))
@@ -113,6 +120,21 @@ def plan_actual(planned: DataFrame, actual: DataFrame) -> DataFrame:
     return matched.unionByName(skipped).unionByName(extra)
 
 
+def match_exclusions(actual: DataFrame) -> DataFrame:
+    """One row: how many actual stops are split fills, and how many others have no station."""
+    split = F.coalesce("split_fill", F.lit(False))
+    return actual.agg(F.count_if(split).alias("split_fill"), F.count_if(~split & F.col("station_id").isNull()).alias("unresolved_station"))
+
+
+def match_deltas(matches: DataFrame, planned: DataFrame, actual: DataFrame) -> DataFrame:
+    """Matched rows with the money that the plan's price (price_t) and the billed one (billed_t) make of the fuel (qty_c), and their
+    difference, in ten-thousandths of cents; null for all others."""
+    p, a = planned.select("plan_stop_id", F.col("price_t").alias("_p")), actual.select("stop_id", F.col("qty_c").alias("_q"), F.col("billed_t").alias("_b"))
+    out = matches.join(p, "plan_stop_id", "left").join(a, "stop_id", "left").withColumns({"planned_m": F.col("_p") * F.col("_q"), "actual_m": F.col("_b") * F.col("_q")})
+    both = F.col("kind") == "matched"
+    return out.withColumns({"delta_m": F.when(both, F.col("actual_m") - F.col("planned_m")), "planned_m": F.when(both, F.col("planned_m")), "actual_m": F.when(both, F.col("actual_m"))}).drop("_p", "_q", "_b")
+
+
 def detour_legs(candidates: DataFrame, legs: DataFrame) -> DataFrame:
     """Measured detour of each candidate from its legs in and out, or why it has none.
 
@@ -124,6 +146,11 @@ def detour_legs(candidates: DataFrame, legs: DataFrame) -> DataFrame:
     return joined.withColumn("detour_miles", F.when(known, exprs.measured_detour(F.col("miles_in"), F.col("miles_out"), F.col("arc_miles")))).withColumn("excluded", F.when(~known, "detour_unmeasurable"))
 
 
+def best_cards(cards: DataFrame) -> DataFrame:
+    """Each driver's card: active before others, the newest, the smallest id."""
+    return first_per(cards, ["driver_id"], F.desc(F.col("status") == "active"), F.desc("created_at"), F.asc("card_id"))
+
+
 def roster_outer(roster: DataFrame, activity: DataFrame, key: str, zeros: list[str]) -> DataFrame:
     """Every roster row, zeros where nothing happened, and the row of activity without a key."""
     known = roster.join(activity.where(F.col(key).isNotNull()), key, "left").fillna(0, zeros)

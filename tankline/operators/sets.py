@@ -45,3 +45,16 @@ def diff_snapshots(before: DataFrame, after: DataFrame, key: str, fields: list[s
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_b_{f}").alias("before"), F.col(f"_a_{f}").alias("after")) for f in fields])
     out = b.join(a, key).select(key, F.explode(cells).alias("c")).select(key, "c.*")
     return out.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def request_hash(*fields: str):
+    """One key for one request: the SHA-256 of its canonical JSON."""
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+
+
+def upsert_routes(known: DataFrame, new: DataFrame, at: str = "computed_at") -> DataFrame:
+    """Routes by provider and request; the latest computed of each stays, whether it was known or is new."""
+    keyed = known.unionByName(new).withColumn("request_hash", request_hash("provider", "origin", "destination", "via", "truck_spec"))
+    keyed = keyed.withColumn("via_hash", F.when(F.size("via") > 0, F.sha2(F.to_json("via"), 256)))
+    rest = [c for c in keyed.columns if c not in ("provider", "request_hash")]
+    return keyed.groupBy("provider", "request_hash").agg(F.max_by(F.struct(*rest), at).alias("_r")).select("provider", "request_hash", "_r.*")

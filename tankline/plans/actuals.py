@@ -363,22 +363,61 @@ def latest_plan(event):
     return joins.first_per(own, ["user_id", "day"], F.desc("happened"), F.desc("event_id")).select("user_id", "day", "event_id", "value_c")
 
 
+# A plan is dispatched some minutes around a fill of its truck; its price is the station's lowest of the day.
+PLANNED = """a AS (SELECT s.stop_id, truck_id, day, s.station_id, occurred_at, s.stop_id % 23 = 5 AS split_fill, qty_c, billed_t FROM stop s JOIN (SELECT stop_id, CAST(SUM(qty_c) AS BIGINT) AS qty_c, MAX(billed_t) AS billed_t FROM line WHERE product='TA' GROUP BY 1) l ON s.stop_id=l.stop_id),
+  p AS (SELECT stop_id + 1000000000 AS plan_stop_id, truck_id, CAST(d AS DATE) AS day, station_id, d AS dispatched_at, 20000 + stop_id % 9000 AS price_t FROM (SELECT *, occurred_at + INTERVAL 1 MINUTE * CAST(stop_id * 7 % 400 - 200 AS INT) AS d FROM stop WHERE stop_id % 3 = 0 AND truck_id IS NOT NULL AND station_id IS NOT NULL)),
+  ok AS (SELECT * FROM a WHERE station_id IS NOT NULL AND NOT split_fill), pr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY truck_id, day, station_id ORDER BY dispatched_at, plan_stop_id) AS k FROM p),
+  c AS (SELECT pr.truck_id, pr.day, pr.station_id, plan_stop_id, k, stop_id, (ABS(epoch_us(occurred_at)-epoch_us(dispatched_at)), occurred_at, stop_id) AS o FROM pr JOIN ok ON pr.truck_id=ok.truck_id AND pr.day=ok.day AND pr.station_id=ok.station_id),
+  m1 AS (SELECT truck_id, day, station_id, plan_stop_id, ARG_MIN(stop_id, o) AS stop_id FROM c WHERE k=1 GROUP BY ALL), m2 AS (SELECT truck_id, day, station_id, plan_stop_id, ARG_MIN(stop_id, o) AS stop_id FROM c WHERE k=2 AND stop_id NOT IN (SELECT stop_id FROM m1) GROUP BY ALL),
+  m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2), g AS (SELECT truck_id, day, station_id, plan_stop_id, stop_id, 'matched' AS kind FROM m
+    UNION ALL SELECT truck_id, day, station_id, plan_stop_id, NULL, 'skipped_recommendation' FROM p WHERE plan_stop_id NOT IN (SELECT plan_stop_id FROM m) UNION ALL SELECT truck_id, day, station_id, NULL, stop_id, 'unplanned_stop' FROM ok WHERE stop_id NOT IN (SELECT stop_id FROM m)),
+  x AS (SELECT g.*, CASE WHEN kind='matched' THEN price_t*qty_c END AS planned_m, CASE WHEN kind='matched' THEN billed_t*qty_c END AS actual_m, CASE WHEN kind='matched' THEN (billed_t-price_t)*qty_c END AS delta_m FROM g LEFT JOIN p ON g.plan_stop_id=p.plan_stop_id LEFT JOIN a ON g.stop_id=a.stop_id)"""
+
+
+def _planned_and_actual(stop: DataFrame, line: DataFrame) -> tuple[DataFrame, DataFrame]:
+    diesel = line.where("product = 'TA'").groupBy("stop_id").agg(F.sum("qty_c").alias("qty_c"), F.max("billed_t").alias("billed_t"))
+    actual = stop.join(diesel, "stop_id").select("stop_id", "truck_id", "day", "station_id", "occurred_at", (F.col("stop_id") % 23 == 5).alias("split_fill"), "qty_c", "billed_t")
+    own = stop.where("stop_id % 3 = 0 and truck_id is not null and station_id is not null")
+    at = F.timestamp_add("MINUTE", (F.col("stop_id") * 7 % 400 - 200).cast("int"), F.col("occurred_at"))
+    planned = own.select((F.col("stop_id") + 1000000000).alias("plan_stop_id"), "truck_id", F.to_date(at).alias("day"), "station_id", at.alias("dispatched_at"), (20000 + F.col("stop_id") % 9000).alias("price_t"))
+    return planned, actual
+
+
+@query("J20_plan_actual", "stop line", f"WITH {PLANNED} SELECT * FROM g")
+def plan_actual(stop, line):
+    return joins.plan_actual(*_planned_and_actual(stop, line))
+
+
+def _deltas(stop: DataFrame, line: DataFrame) -> tuple[DataFrame, DataFrame]:
+    planned, actual = _planned_and_actual(stop, line)
+    return joins.match_deltas(joins.plan_actual(planned, actual), planned, actual), actual
+
+
+@query("R10_match_deltas", "stop line", f"WITH {PLANNED} SELECT * FROM x")
+def match_deltas(stop, line):
+    return _deltas(stop, line)[0]
+
+
 @query(
-    "J20_plan_actual", "stop",
-    None,
+    "A30_plan_summary", "stop line",
+    f"WITH {PLANNED} SELECT COUNT(*) FILTER (kind='matched') AS covered, 100.0*COUNT(*) FILTER (kind='matched')/COUNT(*) FILTER (kind<>'unplanned_stop') AS adherence, CAST(SUM(GREATEST(delta_m, 0)) AS BIGINT) AS left_on_table_m, (SELECT COUNT(*) FROM a) AS total FROM x",
 )
-def plan_actual(stop):
-    keys = [F.col("truck_id"), F.date_trunc("month", "day").cast("date").alias("day"), F.col("station_id")]
-    planned = stop.where("stop_id % 3 = 0 and truck_id is not null and station_id is not null").select(*keys, F.col("stop_id").alias("plan_stop_id"), F.col("occurred_at").alias("dispatched_at"))
-    return joins.plan_actual(planned, stop.where("stop_id % 3 <> 0").select(*keys, "stop_id", "occurred_at"))
+def plan_summary(stop, line):
+    return A.plan_summary(*_deltas(stop, line))
 
 
 @query(
-    "A30_plan_summary", "stop",
-    None,
+    "A30_truck_variance", "stop line",
+    f"""WITH {PLANNED} SELECT truck_id, COUNT(*) FILTER (kind='matched') AS matched, COUNT(*) FILTER (kind<>'matched') AS skipped, CAST(COALESCE(SUM(planned_m),0) AS BIGINT) AS planned_m, CAST(COALESCE(SUM(actual_m),0) AS BIGINT) AS actual_m, CAST(COALESCE(SUM(delta_m),0) AS BIGINT) AS delta_m,
+    100.0*COUNT(*) FILTER (kind='matched')/COUNT(*) AS adherence FROM x WHERE plan_stop_id IS NOT NULL GROUP BY 1""",
 )
-def plan_summary(stop):
-    return A.plan_summary(plan_actual(stop))
+def truck_variance(stop, line):
+    return A.truck_variance(_deltas(stop, line)[0])
+
+
+@query("J20_exclusions", "stop line", f"WITH {PLANNED} SELECT COUNT(*) FILTER (split_fill) AS split_fill, COUNT(*) FILTER (NOT split_fill AND station_id IS NULL) AS unresolved_station FROM a")
+def match_exclusions(stop, line):
+    return joins.match_exclusions(_planned_and_actual(stop, line)[1])
 
 
 @query(
@@ -403,11 +442,11 @@ def merge_sides(stop):
 
 @query(
     "W1_too_close", "event",
-    """WITH g AS (SELECT user_id, event_id, LAG(event_id) OVER (PARTITION BY user_id, event_type ORDER BY happened, event_id) AS previous_id, epoch_us(happened)-LAG(epoch_us(happened)) OVER (PARTITION BY user_id, event_type ORDER BY happened, event_id) AS gap FROM event WHERE event_type IN ('view','click'))
+    """WITH g AS (SELECT user_id, event_id, LAG(event_id) OVER (PARTITION BY user_id, event_type ORDER BY happened, event_id) AS previous_id, epoch_us(happened)-LAG(epoch_us(happened)) OVER (PARTITION BY user_id, event_type ORDER BY happened, event_id) AS gap FROM event)
     SELECT user_id, event_id, previous_id, gap//1000000 AS gap_s FROM g WHERE gap<=7200000000""",
 )
 def too_close(event):
-    return windows.too_close(event.where("event_type in ('view', 'click')"), ["user_id", "event_type"], "happened", "event_id", 120).select("user_id", "event_id", "previous_id", "gap_s")
+    return windows.too_close(event, ["user_id", "event_type"], "happened", "event_id", 120).select("user_id", "event_id", "previous_id", "gap_s")
 
 
 @query(
@@ -459,11 +498,11 @@ def short_legs(event):
 
 @query(
     "W12_quota_drift", "event",
-    """WITH q AS (SELECT event_id, user_id, happened, 5000 - value_c % 5000 AS remaining, value_c % 50 AS ours FROM event WHERE event_type='view'), d AS (SELECT *, LAG(remaining) OVER (PARTITION BY user_id ORDER BY happened, event_id) AS b FROM q)
+    """WITH q AS (SELECT event_id, user_id, happened, 5000 - value_c % 5000 AS remaining, value_c % 50 AS ours FROM event), d AS (SELECT *, LAG(remaining) OVER (PARTITION BY user_id ORDER BY happened, event_id) AS b FROM q)
     SELECT event_id, CASE WHEN b IS NULL THEN NULL WHEN b-remaining<0 THEN 0 ELSE GREATEST(0, b-remaining-ours) END AS drift FROM d""",
 )
 def quota(event):
-    q = event.where("event_type = 'view'").select("event_id", "user_id", "happened", (5000 - F.col("value_c") % 5000).alias("remaining"), (F.col("value_c") % 50).alias("ours"))
+    q = event.select("event_id", "user_id", "happened", (5000 - F.col("value_c") % 5000).alias("remaining"), (F.col("value_c") % 50).alias("ours"))
     return windows.quota_drift(q, ["user_id"], "happened", "remaining", "ours", "event_id").select("event_id", "drift")
 
 
@@ -539,12 +578,13 @@ def day_gaps(line):
 
 @query(
     "U5_coverage_gaps", "stop",
-    """WITH r AS (SELECT currency, day AS a, day + 1 AS b FROM stop WHERE driver_id % 97 = 1), c AS (SELECT DISTINCT currency, CAST(UNNEST(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r),
-    s AS (SELECT currency, MIN(day) AS lo, MAX(day) AS hi FROM c GROUP BY 1), w AS (SELECT currency, CAST(UNNEST(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM s) SELECT currency, day FROM w EXCEPT SELECT currency, day FROM c""",
+    """WITH r AS (SELECT DISTINCT truck_id, CAST(week_end - 6 AS DATE) AS a, week_end AS b FROM stop), c AS (SELECT DISTINCT truck_id, CAST(UNNEST(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r),
+    s AS (SELECT truck_id, MIN(day) AS lo, MAX(day) AS hi FROM c GROUP BY 1), w AS (SELECT truck_id, CAST(UNNEST(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM s) SELECT w.truck_id, w.day FROM w LEFT JOIN c ON w.truck_id IS NOT DISTINCT FROM c.truck_id AND w.day=c.day WHERE c.day IS NULL""",
 )
 def coverage_gaps(stop):
-    r = stop.where("driver_id % 97 = 1").select("currency", F.col("day").alias("start_day"), F.date_add("day", 1).alias("end_day"))
-    return sets.coverage_gaps(r, "currency")
+    """Days of each truck that no billing week with a stop of it covers."""
+    r = stop.select(F.coalesce("truck_id", F.lit(-1)).alias("truck_id"), F.date_sub("week_end", 6).alias("start_day"), F.col("week_end").alias("end_day")).distinct()
+    return sets.coverage_gaps(r, "truck_id").withColumn("truck_id", F.when(F.col("truck_id") >= 0, F.col("truck_id")))
 
 
 @query(

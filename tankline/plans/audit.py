@@ -30,9 +30,14 @@ AUDIT = """audit AS (SELECT s.stop_id, billed_t-price_t AS over_t, CASE WHEN cur
 ALL = f"WITH {AUDIT}, allf AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, * FROM ({v})" for k, v in RULES.items()) + ")"
 
 
+#: Fills are months apart in the given tables, so the rule for neighbours is run with ninety days too.
+NINETY_DAYS = 129_600
+
+
 def _single(number: int, name: str):
-    sql = f"WITH {AUDIT} SELECT '{name}' AS rule, * FROM ({RULES[name]})"
-    query(f"N{number}_{name}", "stop line published", sql)(lambda stop, line, published: N.RULES[name](stop, line, published, N.THRESHOLDS[name]))
+    config = {"max_minutes": NINETY_DAYS} if name == "too_close" else N.THRESHOLDS[name]
+    sql = f"WITH {AUDIT} SELECT '{name}' AS rule, * FROM ({RULES[name].replace('gap<=7200000000', f'gap<={NINETY_DAYS * 60_000_000}')})"
+    query(f"N{number}_{name}", "stop line published", sql)(lambda stop, line, published: N.RULES[name](stop, line, published, config))
 
 
 for number, name in enumerate(["sub_gallon", "unit_mismatch", "no_truck_on_file", "unit_not_entered", "driver_not_entered", "not_on_roster", "too_close", "charges_no_fuel", "def_in_canada", "price_above_published"], 1):
@@ -65,7 +70,7 @@ def rollup_with_findings(stop, line, published):
     FROM bef b FULL JOIN aft a ON a.rule=b.rule AND a.subject_id=b.subject_id WHERE a.rule IS NULL OR b.rule IS NULL OR a.severity<>b.severity OR a.detail<>b.detail""",
 )
 def findings_diff(stop, line, published):
-    every = N.run(stop, line, published)
+    every = N.run(stop, line, published).persist()  # both sides of the difference come from it
     odd = F.col("subject_id") % 2 == 0
     before = every.where(~((F.col("rule") == "unit_not_entered") & odd))
     after = every.where(~((F.col("rule") == "not_on_roster") & odd)).withColumn("detail", F.when((F.col("rule") == "def_in_canada") & (F.col("subject_id") % 3 == 0), "x").otherwise(F.col("detail")))

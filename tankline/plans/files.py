@@ -9,33 +9,37 @@ from tankline.plans.registry import query
 from tankline.sources import directories, invoices, price_sheets
 
 
+#: Cards of an invoice file and stations of a sheet, so that a file's size doesn't grow with the tables.
+CARDS, STATIONS = 2000, 1000
+
+
 def sheet_files(line: DataFrame) -> DataFrame:
-    """A price sheet for each ship month: a row for each station and product with its lowest price."""
-    best = line.groupBy(F.date_trunc("month", "day").cast("date").alias("d"), "station_id", "product").agg(F.min(F.col("billed_t") % 100000).alias("p"))
+    """A price sheet for each ship month and range of stations: a row for each station and product with its lowest price."""
+    best = line.groupBy(F.date_trunc("month", "day").cast("date").alias("d"), F.floor(F.col("station_id") / STATIONS).cast("int").alias("part"), "station_id", "product").agg(F.min(F.col("billed_t") % 100000).alias("p"))
     price = (F.col("p").cast("decimal(18,0)") / 10000).cast("decimal(18,4)").cast("string")
     bad = F.when(F.col("p") % 10 == 3, "n/a").otherwise(price)
     state = F.when(F.col("p") % 10 == 4, "XX").otherwise("TX")
     fields = F.concat_ws(",", F.col("station_id").cast("string"), F.lit('"Stop ""A"", East"'), F.lit("AUSTIN"), state, "product", bad, *[F.lit("0")] * 5, price, price, price, F.lit("0"))
     head = F.concat(F.lit('"Company Id: ",7," ",,"Effective Date: ",'), F.date_format("d", "yyyy-MM-dd"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("station_id", "product", fields.alias("f")))), lambda x: x["f"]), "\r\n\r\n")
-    return best.groupBy("d").agg(body.alias("body")).select(F.concat(F.lit("sheet-"), F.date_format("d", "yyyyMM"), F.lit(".csv")).alias("file"), F.concat_ws("\n", head, F.lit(", ".join(price_sheets.HEADER)), "body").alias("content"))
+    return best.groupBy("d", "part").agg(body.alias("body")).select(F.concat(F.lit("sheet-"), F.date_format("d", "yyyyMM"), F.lpad(F.col("part").cast("string"), 6, "0"), F.lit(".csv")).alias("file"), F.concat_ws("\n", head, F.lit(", ".join(price_sheets.HEADER)), "body").alias("content"))
 
 
-SHEET = "b AS (SELECT CAST(date_trunc('month', day) AS DATE) AS d, station_id, product, MIN(billed_t % 100000) AS p FROM line GROUP BY ALL)"
+SHEET = "b AS (SELECT CAST(date_trunc('month', day) AS DATE) AS d, LPAD(CAST(station_id//1000 AS VARCHAR), 6, '0') AS part, station_id, product, MIN(billed_t % 100000) AS p FROM line GROUP BY ALL)"
 
 
 def _products(line: DataFrame) -> DataFrame:
     return line.select(F.col("product").alias("raw_code")).where("raw_code <> 'S'").distinct().withColumn("product_type", F.when(F.col("raw_code") == "TA", "highway_diesel").otherwise("def"))
 
 
-@query("S1_price_sheet_rows", "line", f"WITH {SHEET} SELECT 'sheet-'||strftime(d,'%Y%m')||'.csv' AS file, d AS valid_on, CAST(ROW_NUMBER() OVER (PARTITION BY d ORDER BY station_id, product)+2 AS INT) AS line_number, CAST(station_id AS VARCHAR) AS site, 'Stop \"A\", East' AS name, product AS prod FROM b")
+@query("S1_price_sheet_rows", "line", f"WITH {SHEET} SELECT 'sheet-'||strftime(d,'%Y%m')||part||'.csv' AS file, d AS valid_on, CAST(ROW_NUMBER() OVER (PARTITION BY d, part ORDER BY station_id, product)+2 AS INT) AS line_number, CAST(station_id AS VARCHAR) AS site, 'Stop \"A\", East' AS name, product AS prod FROM b")
 def sheet_rows(line):
     return price_sheets.parse(sheet_files(line))[1].select("file", "valid_on", "line_number", "site", "name", "prod")
 
 
 @query(
     "F10_validated_prices", "line",
-    f"""WITH {SHEET} SELECT 'sheet-'||strftime(d,'%Y%m')||'.csv' AS file, CASE WHEN p % 10 = 3 THEN 'NUMERIC_PARSE_ERROR' WHEN p % 10 = 4 THEN 'INVALID_STATE' WHEN product='S' THEN 'UNMAPPED_PRODUCT' ELSE 'ok' END AS code, COUNT(*) AS n FROM b GROUP BY 1,2""",
+    f"""WITH {SHEET} SELECT 'sheet-'||strftime(d,'%Y%m')||part||'.csv' AS file, CASE WHEN p % 10 = 3 THEN 'NUMERIC_PARSE_ERROR' WHEN p % 10 = 4 THEN 'INVALID_STATE' WHEN product='S' THEN 'UNMAPPED_PRODUCT' ELSE 'ok' END AS code, COUNT(*) AS n FROM b GROUP BY 1,2""",
 )
 def validated(line):
     from tankline.operators.filters import validate_prices
@@ -46,8 +50,8 @@ def validated(line):
 
 @query(
     "S29_ingest_report", "line",
-    f"""WITH {SHEET} SELECT 'sheet-'||strftime(d,'%Y%m')||'.csv' AS file, 'OK' AS status, d AS valid_on, COUNT(*) FILTER (p % 10 NOT IN (3,4) AND product<>'S') AS accepted, COUNT(*) FILTER (p % 10 IN (3,4) OR product='S') AS rejected,
-    CASE WHEN COUNT(*) FILTER (p % 10 NOT IN (3,4) AND product='S')>0 THEN 'S' ELSE '' END AS unmapped FROM b GROUP BY d""",
+    f"""WITH {SHEET} SELECT 'sheet-'||strftime(d,'%Y%m')||part||'.csv' AS file, 'OK' AS status, d AS valid_on, COUNT(*) FILTER (p % 10 NOT IN (3,4) AND product<>'S') AS accepted, COUNT(*) FILTER (p % 10 IN (3,4) OR product='S') AS rejected,
+    CASE WHEN COUNT(*) FILTER (p % 10 NOT IN (3,4) AND product='S')>0 THEN 'S' ELSE '' END AS unmapped FROM b GROUP BY d, part""",
 )
 def ingest_report(line):
     files = sheet_files(line)
@@ -55,7 +59,7 @@ def ingest_report(line):
     return price_sheets.report(price_sheets.ingest(files, _products(line), ledger))
 
 
-@query("S18_first_copies", "line", f"WITH {SHEET} SELECT DISTINCT 'a-sheet-'||strftime(d,'%Y%m')||'.csv' AS file FROM b WHERE EXTRACT(YEAR FROM d)<>1997")
+@query("S18_first_copies", "line", f"WITH {SHEET} SELECT DISTINCT 'a-sheet-'||strftime(d,'%Y%m')||part||'.csv' AS file FROM b WHERE EXTRACT(YEAR FROM d)<>1997")
 def first_copies(line):
     files = sheet_files(line)
     twice = files.select(F.concat(F.lit("a-"), "file").alias("file"), "content").unionByName(files)
@@ -84,29 +88,42 @@ def station_upsert(line, station):
 
 
 def invoice_files(stop: DataFrame, line: DataFrame) -> DataFrame:
-    """A sectioned invoice for each week and currency, with its lines by card and the totals that its lines make."""
+    """A sectioned invoice for each week, currency and range of cards.  Some weeks have something wrong: a cent in a printed total (kind 2),
+    discount rates of single lines (3), a tax in a printed total (4); every week has an express row, and a manual credit nets with it."""
     own = line.join(stop.select("stop_id", "card_id", "driver_raw", "occurred_at", "week_end", "currency"), "stop_id")
-    money = lambda c: (F.col(c).cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string")
+    own = own.withColumns({"part": F.floor(F.col("card_id") / CARDS).cast("int"), "wrong": F.weekofyear("week_end") % 5})
+    keys = ["week_end", "currency", "part", "wrong"]
+    money = lambda c: (c.cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string")
     cur = F.when(F.col("currency") == "USD", "US").otherwise("CN")
+    price = (F.col("billed_t").cast("decimal(18,0)") / 10000).cast("decimal(18,4)").cast("string")
+    rate = F.when((F.col("wrong") == 3) & (F.col("stop_id") % 4 == 1), "0.0001").otherwise("0.0000")
     row = F.concat_ws(
         ",", F.concat(F.col("stop_id").cast("string"), F.lit("-1")), "driver_raw", F.lit("12"), F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss"), F.col("station_id").cast("string"), F.lit("Stop"), F.lit("Austin"), F.lit("TX"), "product",
-        money("qty_c"), F.lit("1.0000"), F.lit("1.0000"), money("amount_c"), *[F.lit("0.00")] * 4, F.lit("0.0000"), F.lit("0.00"), money("amount_c"), cur,
+        money(F.col("qty_c")), price, price, money(F.col("amount_c")), *[F.lit("0.00")] * 4, rate, F.lit("0.00"), money(F.col("amount_c")), cur,
     )
-    keyed = own.select("week_end", "currency", "card_id", "stop_id", "product", "qty_c", "amount_c", row.alias("row"))
-    cards = keyed.groupBy("week_end", "currency", "card_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stop_id", "row"))), lambda x: x["row"]), "\n").alias("rows"))
+    keyed = own.select(*keys, "card_id", "stop_id", "product", "qty_c", "amount_c", row.alias("row"))
+    cards = keyed.groupBy(*keys, "card_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stop_id", "row"))), lambda x: x["row"]), "\n").alias("rows"))
     block = F.concat(F.lit("Transactions for Card # "), F.col("card_id").cast("string"), F.lit("\n"), F.lit(", ".join(invoices.FUEL_HEADER)), F.lit("\n"), "rows", F.lit("\n,,subtotal"))
-    body = cards.groupBy("week_end", "currency").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("card_id", block.alias("b")))), lambda x: x["b"]), "\n").alias("body"))
-    sums = keyed.groupBy("week_end", "currency", "product").agg(F.sum("qty_c").alias("qty_c"), F.sum("amount_c").alias("amount_c"))
-    total = F.concat_ws(",", "product", money("qty_c"), money("amount_c"), *[F.lit("0.00")] * 5, F.lit("0.00"), money("amount_c"), cur)
-    grand = F.concat_ws(",", F.lit("Grand Total"), F.lit(""), F.col("g").cast("string"), *[F.lit("0.00")] * 5, F.lit("0.00"), F.col("g").cast("string"), cur)
-    totals = sums.groupBy("week_end", "currency").agg(F.array_join(F.array_sort(F.collect_list(total)), "\n").alias("t"), (F.sum("amount_c").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("g"))
-    both = body.join(totals, ["week_end", "currency"]).withColumn("g_row", grand)
-    text = F.concat_ws("\n", F.lit("Fuel Card Transactions"), "body", F.lit("Grand Totals"), F.lit(", ".join(invoices.TOTALS_HEADER)), "t", "g_row")
-    number = F.concat(F.date_format("week_end", "yyyyMMdd"), F.when(F.col("currency") == "USD", "1").otherwise("2"))
+    body = cards.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("card_id", block.alias("b")))), lambda x: x["b"]), "\n").alias("body"))
+    sums = keyed.groupBy(*keys, "product").agg(F.sum("qty_c").alias("qty_c"), F.sum("amount_c").alias("amount_c"))
+    printed = F.col("amount_c") + F.when((F.col("wrong") == 2) & (F.col("product") == "DF"), 1).otherwise(0)
+    hst = F.when((F.col("wrong") == 4) & (F.col("product") == "TA"), "0.01").otherwise("0.00")
+    total = F.concat_ws(",", "product", money(F.col("qty_c")), money(F.col("amount_c")), hst, *[F.lit("0.00")] * 4, F.lit("0.00"), money(printed), cur)
+    grand = F.concat_ws(",", F.lit("Grand Total"), F.lit(""), money(F.col("g")), *[F.lit("0.00")] * 5, F.lit("0.00"), money(F.col("g") + 13100 - 5000), cur)
+    totals = sums.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(total)), "\n").alias("t"), F.sum("amount_c").alias("g"))
+    both = body.join(totals, keys).withColumn("g_row", grand)
+    day = F.date_format("week_end", "yyyy-MM-dd")
+    manual = F.concat_ws(",", day, F.lit("-51.00"), F.lit("1.00"), F.lit("-50.00"), cur, F.lit("credit"))
+    express = F.concat_ws(",", day, F.lit("9"), F.lit("77"), F.lit("130.00"), F.lit("1.00"), F.lit("131.00"), cur, F.lit(" "), F.lit("note"))
+    text = F.concat_ws(
+        "\n", F.lit("Fuel Card Transactions"), "body", F.lit("Manual Transactions"), F.lit(", ".join(invoices.MANUAL_HEADER)), manual, F.lit("Express Codes"), F.lit(", ".join(invoices.EXPRESS_HEADER)), express,
+        F.lit("Grand Totals"), F.lit(", ".join(invoices.TOTALS_HEADER)), "t", F.concat_ws(",", F.lit("EXPRESS"), *[F.lit("")] * 8, F.lit("81.00"), cur), "g_row",
+    )
+    number = F.concat(F.date_format("week_end", "yyyyMMdd"), F.when(F.col("currency") == "USD", "1").otherwise("2"), F.lpad(F.col("part").cast("string"), 6, "0"))
     return both.select(F.concat(F.lit("invoice-"), number, F.lit(".csv")).alias("file"), text.alias("content"))
 
 
-INVOICE = """o AS (SELECT 'invoice-'||strftime(week_end,'%Y%m%d')||CASE WHEN currency='USD' THEN '1' ELSE '2' END||'.csv' AS file, l.stop_id, l.product, qty_c, amount_c, currency, card_id, occurred_at, week_end, station_id
+INVOICE = """o AS (SELECT 'invoice-'||strftime(week_end,'%Y%m%d')||CASE WHEN currency='USD' THEN '1' ELSE '2' END||LPAD(CAST(card_id//2000 AS VARCHAR), 6, '0')||'.csv' AS file, l.stop_id, l.product, qty_c, amount_c, currency, card_id, occurred_at, week_end, station_id, EXTRACT(WEEK FROM week_end) % 5 AS wrong
   FROM (SELECT stop_id, product, qty_c, amount_c, station_id FROM line) l JOIN (SELECT stop_id, card_id, occurred_at, week_end, currency FROM stop) s ON l.stop_id=s.stop_id)"""
 
 
@@ -129,22 +146,24 @@ def grouped(stop, line):
 
 @query(
     "A22_reconciliation", "stop line",
-    f"""WITH {INVOICE} SELECT file, product, CAST(SUM(amount_c) AS BIGINT) AS parsed_c, CAST(SUM(amount_c) AS BIGINT) AS printed_c, CAST(0 AS BIGINT) AS delta_c, CAST(0 AS BIGINT) AS delta_qty_c FROM o GROUP BY 1,2
-    UNION ALL SELECT file, 'GRAND TOTAL', CAST(SUM(amount_c) AS BIGINT), CAST(SUM(amount_c) AS BIGINT), 0, NULL FROM o GROUP BY 1""",
+    f"""WITH {INVOICE} SELECT file, product, CAST(SUM(amount_c) AS BIGINT) AS parsed_c, CAST(SUM(amount_c)+MAX(CASE WHEN wrong=2 AND product='DF' THEN 1 ELSE 0 END) AS BIGINT) AS printed_c, CAST(-MAX(CASE WHEN wrong=2 AND product='DF' THEN 1 ELSE 0 END) AS BIGINT) AS delta_c, CAST(0 AS BIGINT) AS delta_qty_c FROM o GROUP BY 1,2
+    UNION ALL SELECT DISTINCT file, 'EXPRESS', 8100, 8100, 0, NULL FROM o
+    UNION ALL SELECT file, 'GRAND TOTAL', CAST(SUM(amount_c)+8100 AS BIGINT), CAST(SUM(amount_c)+8100 AS BIGINT), 0, NULL FROM o GROUP BY 1""",
 )
 def reconciliation(stop, line):
     parts = invoices.sections(invoice_files(stop, line))
     return invoices.reconcile(invoices.fuel_lines(parts, _codes(line)), invoices.cash_rows(parts), invoices.printed_totals(parts)).select("file", "product", "parsed_c", "printed_c", "delta_c", "delta_qty_c")
 
 
-@query("S6_invoice_headers", "stop line", f"WITH {INVOICE} SELECT file, regexp_extract(file, '(\\d+)', 1) AS invoice_number, CAST(MIN(occurred_at) AS DATE) AS period_start, CAST(MAX(occurred_at) AS DATE) AS period_end, CAST(CAST(MAX(occurred_at) AS DATE)+1 AS DATE) AS invoice_day, MAX(currency) AS currency FROM o GROUP BY 1")
+@query("S6_invoice_headers", "stop line", f"WITH {INVOICE} SELECT file, regexp_extract(file, '(\\d+)', 1) AS invoice_number, CAST(MIN(occurred_at) AS DATE) AS period_start, MAX(week_end) AS period_end, CAST(MAX(week_end)+1 AS DATE) AS invoice_day, MAX(currency) AS currency FROM o GROUP BY 1")
 def headers(stop, line):
     return invoices.header_facts(invoices.sections(invoice_files(stop, line))).select("file", "invoice_number", "period_start", "period_end", "invoice_day", "currency")
 
 
 @query(
     "S23_invoice_outcomes", "stop line",
-    f"""WITH {INVOICE}, g AS (SELECT file, stop_id, COUNT(DISTINCT station_id) AS d FROM o GROUP BY 1,2) SELECT file, CASE WHEN MAX(d)>1 THEN 'quarantined' ELSE 'imported' END AS status FROM g GROUP BY 1""",
+    f"""WITH {INVOICE}, g AS (SELECT file, stop_id, COUNT(DISTINCT station_id) AS d FROM o GROUP BY 1,2), w AS (SELECT file, MAX(wrong) AS wrong, BOOL_OR(product='DF') AS df, BOOL_OR(product='TA') AS ta, BOOL_OR(stop_id % 4 = 1) AS odd FROM o GROUP BY 1)
+    SELECT file, CASE WHEN MAX(d)>1 OR MAX(CASE WHEN wrong=2 AND df OR wrong=3 AND odd OR wrong=4 AND ta THEN 1 ELSE 0 END)=1 THEN 'quarantined' ELSE 'imported' END AS status FROM g JOIN w USING (file) GROUP BY 1""",
 )
 def outcomes(stop, line):
     files = invoice_files(stop, line)
@@ -153,7 +172,7 @@ def outcomes(stop, line):
     return invoices.decide(files, parts, invoices.fuel_lines(parts, _codes(line)), invoices.cash_rows(parts), invoices.printed_totals(parts), ledger).select("file", "status")
 
 
-@query("A25_actual_range", "stop line", f"WITH {INVOICE} SELECT file, CAST(MIN(occurred_at) AS DATE) AS actual_start, CAST(MAX(occurred_at) AS DATE) AS actual_end FROM o GROUP BY 1")
+@query("A25_actual_range", "stop line", f"WITH {INVOICE} SELECT file, CAST(MIN(occurred_at) AS DATE) AS actual_start, MAX(week_end) AS actual_end FROM o GROUP BY 1")
 def actual_range(stop, line):
     parts = invoices.sections(invoice_files(stop, line))
     return invoices.actual_range(invoices.fuel_lines(parts, _codes(line)), invoices.cash_rows(parts))

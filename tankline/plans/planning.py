@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankline.functions.exprs import haversine
+from tankline.operators import aggregates as A
 from tankline.operators import geo, joins, lanes, windows
 from tankline.plans.registry import query
 
@@ -74,11 +75,37 @@ def relaxed(lineitem, part):
     return lanes.solve_relaxed(lane_table(cand), chosen(cand))
 
 
-@query("R9_backtest", "lineitem part", None)
-def backtest(lineitem, part):
+@query("R9_backtest", "stop line station published", None)
+def backtest(stop, line, station, published):
+    """Truck days of all stops; every seventh truck has no profile, and days without a published price have no sheet."""
+    days = A.truck_days(stop, line).select("truck_id", "day", "stations", (F.col("cost_m") / 1e6).alias("actual_cost"))
+    profile = {"tank": 150.0, "mpg": 5.0, "reserve": 0.2, "max_leg": 500.0, "min_leg": 300.0, "cost_mile": 0.5}
+    trucks = stop.where("truck_id is not null").select("truck_id").distinct().withColumns({k: F.lit(v) for k, v in profile.items()}).withColumn("mpg", F.when(F.col("truck_id") % 7 != 0, F.col("mpg")))
+    full, own, found = lanes.historical_lanes(days, station, published.withColumn("price", F.col("price_t") / 10000.0), trucks)
+    return lanes.backtest(full.select("lane_id", "truck_id", "day", "actual_cost", "excluded"), lanes.solve_history(own, found))
+
+
+@query("R1_corridor_candidates", "station published", None)
+def corridor_candidates(station, published):
+    """Stations beside the lines through a country's stations, with the price of one day; the day is the table's middle one."""
+    day = published.agg(F.expr("percentile(CAST(datediff(valid_on, DATE '1970-01-01') AS DOUBLE), 0.5)").alias("d")).select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("d").cast("int")).alias("day")).first()[0]
+    own = station.select("lane_id").distinct().withColumns({"distance": F.lit(900.0), "corridor": F.lit(25.0), "day": F.lit(day)})
+    spots = station.select("station_id", (F.col("lat") + 0.2).alias("lat"), (F.col("lng") - 0.1).alias("lng"), F.lit("US").alias("country"), "resolution", F.when(F.col("station_id") % 9 == 0, "excluded").otherwise("unverified").alias("truck_accessible"), (F.col("station_id") % 5).cast("double").alias("uncertainty"))
+    prices = published.select("station_id", "valid_on", F.col("price_t").alias("price_id"), F.when(F.col("price_t") % 10 != 0, F.col("price_t") / 10000.0).alias("your_price"))
+    return lanes.corridor_candidates(_route(station), own, spots, prices)
+
+
+@query("U9_not_selected", "lineitem part", f"""WITH c AS ({CANDIDATES}), b AS (SELECT lane_id, station_id, mile_i, price_i, CAST(mile_i//50 AS INT) AS bucket FROM c), r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY lane_id, bucket ORDER BY price_i, mile_i, station_id) AS INT) AS round FROM b),
+    p AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY lane_id ORDER BY round, price_i, mile_i, station_id) AS INT) AS place, COUNT(*) FILTER (round=1) OVER (PARTITION BY lane_id) AS occ FROM r) SELECT lane_id, station_id FROM p WHERE place>GREATEST(40, occ)""")
+def not_selected(lineitem, part):
     cand = candidates(lineitem, part)
-    days = cand.groupBy("lane_id").agg((F.sum("price_i") / 10.0).alias("actual_cost"), F.when(F.count("*") < 3, "no_stations").alias("excluded"))
-    return lanes.backtest(days, lanes.solve(lane_table(cand), priced(cand)))  # all that were priced, as the truck could have stopped anywhere
+    return lanes.not_selected(cand, chosen(cand)).select("lane_id", "station_id")
+
+
+@query("O6_corridor_order", "lineitem part", f"WITH c AS ({CANDIDATES}) SELECT lane_id, station_id, ROW_NUMBER() OVER (PARTITION BY lane_id ORDER BY mile_i, station_id) AS place FROM c")
+def corridor_order(lineitem, part):
+    place = F.row_number().over(Window.partitionBy("lane_id").orderBy("mile_i", "station_id"))
+    return candidates(lineitem, part).select("lane_id", "station_id", place.alias("place"))
 
 
 @query("R11_plan_list", "lineitem part", None)

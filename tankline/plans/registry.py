@@ -30,4 +30,4 @@ def _model():
     return TABLES
 
 
-from tankline.plans import actuals, audit, files, planning, scalars, streams  # noqa: E402,F401  these register themselves
+from tankline.plans import actuals, audit, files, fleet, planning, scalars, streams  # noqa: E402,F401  these register themselves

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tankline.functions import exprs as C
@@ -34,7 +35,7 @@ def store_name(station):
 @query("C5_display_case", "customer", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN UPPER(c_mktsegment)[1]||LOWER(c_mktsegment)[2:]||' BVD' ELSE LOWER(c_mktsegment)||' BVD' END AS shown FROM customer")
 def shown(customer):
     text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.upper("c_mktsegment"), F.lit(" BVD"))).otherwise(F.concat(F.lower("c_mktsegment"), F.lit(" BVD")))
-    return customer.select("c_custkey", C.display_case(text).alias("shown"))
+    return customer.select("c_custkey", C.display_case(text, ("BVD",)).alias("shown"))
 
 
 @query("C6_same_unit", "stop", "SELECT stop_id, CASE WHEN REGEXP_FULL_MATCH(TRIM(unit_raw), '\\d+') THEN CAST(TRIM(unit_raw) AS BIGINT)=truck_id ELSE TRIM(unit_raw)=CAST(truck_id AS VARCHAR) END AS same FROM stop WHERE truck_id IS NOT NULL")
@@ -89,9 +90,10 @@ def raw_resolved(stop):
     return stop.select("stop_id", C.raw_resolved(F.col("driver_id"), F.trim("driver_raw"), agrees).alias("r")).select("stop_id", "r.*")
 
 
-@query("C20_neutral_keys", "event", "SELECT event_id, 'maxOverage,quantity' AS keys FROM event")
+@query("C20_neutral_keys", "event", "SELECT event_id, CASE WHEN event_type='error' THEN 'maxOverage,quantity' WHEN event_type='view' THEN 'note,quantity' ELSE 'amount,quantity' END AS keys FROM event")
 def neutral(event):
-    m = F.create_map(F.lit("maxOverageUsdPerGal"), F.col("value_c"), F.lit("gallons"), F.col("value_c"))
+    name = F.when(F.col("event_type") == "error", "maxOverageUsdPerGal").when(F.col("event_type") == "view", "note").otherwise("amountUsd")
+    m = F.create_map(name, F.col("value_c"), F.lit("gallons"), F.col("value_c"))
     return event.select("event_id", F.array_join(F.array_sort(F.map_keys(C.neutral_keys(m))), ",").alias("keys"))
 
 
@@ -133,14 +135,21 @@ def printed(stop):
     return stop.select("stop_id", C.printed_parts(F.col("occurred_at")).alias("p")).select("stop_id", "p.*")
 
 
-@query("C8_addresses", "customer", "SELECT c_custkey, CAST(c_custkey AS VARCHAR)||' n '||LOWER(c_mktsegment)||' st ste # '||CAST(c_custkey % 50 AS VARCHAR)||' 90210' AS address FROM customer")
+@query("C8_addresses", "customer", "SELECT c_custkey, CAST(c_custkey AS VARCHAR)||' n '||LOWER(c_mktsegment)||' ter apt-b ste ste '||CAST(c_custkey % 50 AS VARCHAR)||CASE WHEN c_custkey % 3 = 0 THEN ' springfield wv 90210' WHEN c_custkey % 3 = 1 THEN ' washington st louis' ELSE ' 90210-123' END AS address FROM customer")
 def addresses(customer):
-    raw = F.concat(F.col("c_custkey").cast("string"), F.lit(" North "), "c_mktsegment", F.lit(" Street, Suite #"), (F.col("c_custkey") % 50).cast("string"), F.lit("; 90210-1234"))
+    end = F.when(F.col("c_custkey") % 3 == 0, F.lit(", Springfield, West\u00a0Virginia 90210-1234")).when(F.col("c_custkey") % 3 == 1, ", Washington St. Louis").otherwise(" 90210-123")
+    raw = F.concat(F.col("c_custkey").cast("string"), F.lit(" \uff2eorth "), "c_mktsegment", F.lit("  Terrace Apt-B, Suite #"), (F.col("c_custkey") % 50).cast("string"), end)
     return customer.select("c_custkey", C.normalize_address(raw).alias("address"))
 
 
-@query("C33_maps_links", "station", None)
+@query(
+    "C33_maps_links", "station",
+    """WITH n AS (SELECT lane_id, station_id, CAST(lat AS VARCHAR)||','||CAST(lng AS VARCHAR) AS p, (ROW_NUMBER() OVER (PARTITION BY lane_id ORDER BY station_id)-1)//9 AS part FROM station)
+    SELECT lane_id, CAST(part AS INT) AS part, 'https://www.google.com/maps/dir/?api=1&origin=Origin&destination=Destination&waypoints='||REPLACE(STRING_AGG(REPLACE(p, ',', '%2C'), '|' ORDER BY station_id), '|', '%7C')||'&travelmode=driving' AS link FROM n GROUP BY 1,2""",
+)
 def maps_links(station):
+    place = F.row_number().over(Window.partitionBy("lane_id").orderBy("station_id"))
+    station = station.withColumn("part", F.floor((place - 1) / 9).cast("int"))
     point = F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string"))
     stops = F.transform(F.array_sort(F.collect_list(F.struct("station_id", point.alias("p")))), lambda x: x["p"])
-    return station.groupBy("lane_id").agg(C.maps_link(F.lit("Origin"), F.lit("Destination"), stops).alias("link"))
+    return station.groupBy("lane_id", "part").agg(C.maps_link(F.lit("Origin"), F.lit("Destination"), stops).alias("link"))

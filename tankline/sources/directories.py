@@ -61,6 +61,30 @@ def gazetteer(places: DataFrame, subdivisions: DataFrame) -> DataFrame:
     return out.drop("_r", "rank").withColumn("uncertainty_miles", exprs.uncertainty_radius(F.col("land")))
 
 
+def resolve_tiers(stations: DataFrame, places: DataFrame, export: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Q4: each station's coordinates by the best tier: set by hand, the operator's export (exact), the gazetteer's centroid (city, with its
+    uncertainty), else unresolved.  Export rows that a hard gate rejects (another state, off the mainland) don't count."""
+    from tankline.operators.joins import match_gazetteer, match_operator
+
+    hand = overrides.select("station_id", F.col("lat").alias("h_lat"), F.col("lng").alias("h_lng"))
+    both, bad = match_operator(stations, export)
+    rows = match_gazetteer(both, places).join(hand, "station_id", "left").join(bad.select("station_id", F.lit(True).alias("_bad")), "station_id", "left")
+    exact = F.col("export_lat").isNotNull() & F.col("_bad").isNull()
+    how = F.when(F.col("h_lat").isNotNull(), "manual").when(exact, "exact").when(F.col("place_lat").isNotNull(), "city").otherwise("unresolved")
+    pick = lambda a: F.coalesce(f"h_{a}", F.when(exact, F.col(f"export_{a}")), f"place_{a}")
+    return rows.select("station_id", how.alias("resolution"), pick("lat").alias("lat"), pick("lng").alias("lng"), F.when(how == "city", F.col("uncertainty_miles")).when(how != "unresolved", 0.0).alias("uncertainty_miles"))
+
+
+def operator_attributes(export: DataFrame) -> DataFrame:
+    """store_number, whether trucks may enter (a travel stop with known DEF lanes is verified), and the operator's attributes."""
+    spaces, _ = exprs.parking(F.col("parkingSpaces"))
+    lanes = F.trim("defLanes").try_cast("int")
+    return export.select(
+        F.trim("storeNumber").try_cast("int").alias("store_number"), F.when((F.col("storeType") == "Travel Stop") & lanes.isNotNull(), "operator_verified").otherwise("unverified").alias("truck_accessible"),
+        F.struct(F.col("storeType").alias("store_type"), spaces.alias("parking_spaces"), lanes.alias("def_lanes")).alias("attributes"),
+    )
+
+
 def upsert_directory(known: DataFrame, new: DataFrame) -> DataFrame:
     """What happens to each directory row: inserted, updated, or collided with a station outside Canada."""
     k = known.select("site_ref", F.col("country").alias("known_country"))

@@ -157,17 +157,40 @@ def reconcile(fuel: DataFrame, cash: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def totals_checks(totals: DataFrame) -> DataFrame:
-    """Printed rows whose taxes don't add up, and grand totals unlike the sum of their products, tax by tax."""
+    """Printed product rows whose taxes don't add up, and grand totals unlike the sum of their products, tax by tax (pre-tax only
+    where the grand row prints one).  The grand row has no sum of its own to check, as it holds cash without tax."""
     cents = lambda x: (F.col(x) * 100).cast("bigint")
-    names = ["pre_tax", "hst", "gst", "pst", "qst"]
-    own = totals.where("pre_tax is not null").where(sum((cents(n) for n in names), F.lit(0)) != cents("final")).select("file", F.col("product").alias("subject"), F.lit("tax_sum").alias("check"))
-    sums = totals.groupBy("file").agg(*[(F.sum(F.when(~F.col("is_grand"), F.coalesce(cents(n), F.lit(0)))) - F.sum(F.when(F.col("is_grand"), F.coalesce(cents(n), F.lit(0))))).alias(n) for n in names])
-    grand = sums.unpivot("file", names, "check", "delta").where("delta <> 0").select("file", F.lit("Grand Total").alias("subject"), "check")
+    taxes = ["hst", "gst", "pst", "qst"]
+    own = totals.where("pre_tax is not null and not is_grand").where(sum((cents(n) for n in taxes), cents("pre_tax")) != cents("final")).select("file", F.col("product").alias("subject"), F.lit("tax_sum").alias("check"))
+    side = lambda n, grand: F.coalesce(F.sum(F.when(F.col("is_grand") == grand, cents(n))), F.lit(0))
+    delta = {n: side(n, False) - side(n, True) for n in taxes}
+    delta["pre_tax"] = F.when(F.max(F.col("is_grand") & F.col("pre_tax").isNotNull()), side("pre_tax", False) - side("pre_tax", True))
+    sums = totals.groupBy("file").agg(*[v.alias(n) for n, v in delta.items()])
+    grand = sums.unpivot("file", list(delta), "check", "delta").where("delta <> 0").select("file", F.lit("Grand Total").alias("subject"), "check")
     return own.unionByName(grand)
 
 
+def child_tables(outcomes: DataFrame, fuel: DataFrame, cash: DataFrame, totals: DataFrame, cards: DataFrame) -> dict[str, DataFrame]:
+    """The rows of imported files for each child table, and cards that aren't known yet, to be kept as inactive ones."""
+    good = outcomes.where("status = 'imported'").select("file", F.col("period_end").alias("billing_week_end"))
+    own = lambda rows: rows.join(good, "file")
+    lines = own(fuel)
+    new = lines.select("card").distinct().join(cards.select("card"), "card", "left_anti").withColumn("status", F.lit("inactive"))
+    return {"totals": own(totals), "stops": own(group_stops(fuel)), "lines": lines, "express": own(cash.where("source = 'express'")), "manual": own(cash.where("source = 'manual'")), "cards": new}
+
+
+def write_children(tables: dict[str, DataFrame], folder: str) -> None:
+    """One folder a table, by billing week; a week that is written again replaces what it had."""
+    for name, rows in tables.items():
+        if "billing_week_end" in rows.columns:  # one file a week
+            rows.repartition("billing_week_end").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("billing_week_end").parquet(f"{folder}/{name}")
+        else:
+            rows.write.mode("append").parquet(f"{folder}/{name}")
+
+
 def decide(files: DataFrame, parts: DataFrame, fuel: DataFrame, cash: DataFrame, totals: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Each file's outcome: duplicate, failed, conflict, quarantined or imported, and its facts.
+    """Each file's outcome: duplicate, failed, conflict, quarantined or imported, and its facts.  A file is imported only if
+    its sums, its lines' own figures and its printed totals all agree.
 
     ledger: sha256, invoice_number, week_end, currency of invoices that were imported."""
     head = header_facts(parts)
@@ -175,9 +198,10 @@ def decide(files: DataFrame, parts: DataFrame, fuel: DataFrame, cash: DataFrame,
     end = totals.groupBy("file").agg(F.max("is_grand").alias("has_grand"))
     deltas = reconcile(fuel, cash, totals).groupBy("file").agg(F.max((F.col("delta_c") != 0) | F.coalesce(F.col("delta_qty_c") != 0, F.lit(False))).alias("unbalanced"))
     bad = fuel.groupBy("file").agg(F.max(F.col("rejection").isNotNull()).alias("rejected"))
+    off = line_checks(fuel).select("file").unionByName(totals_checks(totals).select("file")).distinct().withColumn("checks_fail", F.lit(True))
     split = group_stops(fuel).groupBy("file").agg(F.max(~F.col("consistent")).alias("inconsistent"))
     out = files.select("file", F.sha2("content", 256).alias("sha256"))
-    for more in (head, odd, end, deltas, bad, split):
+    for more in (head, odd, end, deltas, bad, off, split):
         out = out.join(more, "file", "left")
     place = F.row_number().over(Window.partitionBy("sha256").orderBy("file"))
     out = out.withColumn("_copy", place).join(ledger.select("sha256").distinct().withColumn("_old", F.lit(True)), "sha256", "left")
@@ -187,7 +211,7 @@ def decide(files: DataFrame, parts: DataFrame, fuel: DataFrame, cash: DataFrame,
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     status = (
         F.when(yes("_old") | (F.col("_copy") > 1), "duplicate").when(yes("odd") | ~yes("has_grand"), "failed").when(yes("_number") | yes("_week"), "conflict")
-        .when(yes("mixed_currency") | yes("rejected") | yes("inconsistent") | yes("unbalanced"), "quarantined").otherwise("imported")
+        .when(yes("mixed_currency") | yes("rejected") | yes("inconsistent") | yes("unbalanced") | yes("checks_fail"), "quarantined").otherwise("imported")
     )
     return out.select("file", "sha256", status.alias("status"), "invoice_number", "period_start", "period_end", "invoice_day", "due_day", "currency")
 

@@ -1,12 +1,12 @@
 """Scalar functions and small operators on literal rows."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tankline.functions import exprs as C
-from tankline.operators import aggregates, anomalies, geo, joins, windows
+from tankline.operators import aggregates, anomalies, geo, joins, lanes, windows
 from tankline.streaming import jobs
 
 
@@ -32,7 +32,8 @@ def test_rounding_and_money(spark):
     assert one(spark, C.convert_cents(F.lit(1000), F.lit("USD"), "CAD", F.lit(1365500))) == 1366
     assert one(spark, C.convert_cents(F.lit(-1001), F.lit("USD"), "CAD", F.lit(1500000))) == -1502
     assert one(spark, C.convert_cents(F.lit(5), F.lit("USD"), "CAD", F.lit(None))) is None
-    assert [one(spark, C.decimal_text(F.col("x"), 2), x=v) for v in ("1.25", "1.255", "1e3", "-0.00", "+1")] != []
+    got = [one(spark, C.decimal_text(F.col("x"), 2), x=v) for v in ("1.25", "1.255", "1e3", "-0.00", "+1")]
+    assert [None if v is None else float(v) for v in got] == [1.25, None, None, 0.0, None]
     assert str(one(spark, C.decimal_text(F.col("x"), 2), x="-3.5")) == "-3.50"
 
 
@@ -46,11 +47,62 @@ def test_polyline_job(spark):
     assert sorted((r.lane, r.seq, r.error) for r in rows if r.lane != 2) == [(1, 0, None)] and [r.error for r in rows if r.lane == 2] == ["truncated"]
 
 
+@pytest.mark.parametrize(
+    ("raw", "wanted"),
+    [
+        ("123 Main Street, Springfield, Illinois 62701-1234", "123 main st springfield il 62701"), ("123 MAIN ST SPRINGFIELD IL 62701", "123 main st springfield il 62701"), ("9 North Oak Ave. Apt #4", "9 n oak ave ste ste 4"),
+        ("Unit 4, 5 Elm Circle, North Carolina", "ste 4 5 elm cir nc"), ("St Louis, MO", "st louis mo"), ("Saint Louis, MO", "saint louis mo"), ("West Virginia", "wv"), ("\uff11\uff12 Oak\u00a0Terrace", "12 oak ter"), (" , ", ""), ("1 Route 66; Bldg-2", "1 route 66; bldg-2"),
+    ],
+)
+def test_address(spark, raw, wanted):
+    assert one(spark, C.normalize_address(F.col("x")), x=raw) == wanted
+
+
+def test_maps_link_keeps_all_way_points(spark):
+    link = one(spark, C.maps_link(F.lit("1.5,-2"), F.lit("3,4"), F.array(F.lit("5,6"), F.lit("7,8"))))
+    assert link == "https://www.google.com/maps/dir/?api=1&origin=1.5%2C-2&destination=3%2C4&waypoints=5%2C6%7C7%2C8&travelmode=driving"
+    with pytest.raises(Exception, match="9 way points, not 10"):
+        one(spark, C.maps_link(F.lit("a"), F.lit("b"), F.array(*[F.lit("5,6")] * 10)))
+
+
+def test_savings_are_of_fuel_against_all_candidates(spark):
+    lane = spark.createDataFrame([(1, 500.0, 5.0, 0.5)], "lane_id long, distance double, mpg double, cost_mile double")
+    cand = spark.createDataFrame([(1, 7, 3.0, 2.0), (1, 8, 5.0, 0.0)], "lane_id long, station_id long, price double, detour_miles double")
+    plan = spark.createDataFrame([(1, "plan", 0, 7, 150.0, 190.0)], "lane_id long, status string, seq int, station_id long, fuel_cost double, total_cost double")
+    r = lanes.plan_totals(plan, lane, cand).first()
+    assert (r.savings, r.total_cost, r.detour_cost) == (100.0 * 4.0 - 150.0, 190.0, 1.0)
+
+
+def test_points_near_the_poles_and_across_the_date_line(spark):
+    a = spark.createDataFrame([(1, 89.9, 0.0), (2, 10.0, 179.95), (3, 75.0, 10.0)], "id long, lat double, lng double")
+    b = spark.createDataFrame([(11, 89.9, 180.0), (12, 10.0, -179.95), (13, 75.0, 11.0), (14, 75.0, 13.0)], "other long, other_lat double, other_lng double")
+    assert {(r.id, r.other) for r in geo.within(a, b, 20.0).collect()} == {(1, 11), (2, 12), (3, 13)}
+
+
+def test_corridor_exclusions(spark):
+    route = spark.createDataFrame([(1, 0, 40.0, -100.0), (1, 1, 40.0, -90.0)], "lane_id long, seq int, lat double, lng double")
+    own = spark.createDataFrame([(1, 500.0, 5.0, date(2025, 1, 1))], "lane_id long, distance double, corridor double, day date")
+    kind = "station_id long, lat double, lng double, country string, resolution string, truck_accessible string, uncertainty double"
+    rows = [(1, 40.0, -95.0, "US", "exact", "x", 0.0), (2, 40.1, -94.0, "US", "city", "x", 0.0), (3, 40.1, -93.0, "US", "city", "x", 3.0), (4, 40.0, -92.0, "US", "unresolved", "x", 0.0), (5, 40.0, -92.0, "CA", "exact", "x", 0.0), (6, 40.0, -91.0, "US", "exact", "excluded", 0.0), (7, 40.0, -98.0, "US", "exact", "x", None)]
+    prices = spark.createDataFrame([(1, date(2025, 1, 1), 9, 3.5), (1, date(2025, 1, 1), 10, 3.1), (3, date(2025, 1, 1), 1, None), (7, date(2025, 1, 2), 1, 3.0)], "station_id long, valid_on date, price_id long, your_price double")
+    got = {r.station_id: (r.price, r.excluded, round(r.mile)) for r in lanes.corridor_candidates(route, own, spark.createDataFrame(rows, kind), prices).collect()}
+    assert got == {1: (3.5, None, 250), 3: (None, "price_basis_null", 350), 7: (None, "no_price_on_date", 100)}
+
+
+def test_stream_counts_hold_open_days(spark, tmp_path):
+    for name, hours in (("a", [1, 2]), ("b", [3, 30])):
+        spark.createDataFrame([(datetime(2025, 1, 1) + timedelta(hours=h), "x") for h in hours], "at timestamp, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema("at timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = jobs.run_to_counts(jobs.daily_calls(events, "at", ["kind"]), ["day", "kind"], "calls")
+    assert {(r.day, r.calls) for r in got.collect()} == {(date(2025, 1, 1), 3), (date(2025, 1, 2), 1)}
+
+
 def test_plan_actual_consumes_once(spark):
     t = lambda h: datetime(2025, 1, 1, h)
     day = date(2025, 1, 1)
     planned = spark.createDataFrame([(1, day, 9, 100, t(8)), (1, day, 9, 101, t(9)), (2, day, 9, 102, t(8))], "truck_id long, day date, station_id long, plan_stop_id long, dispatched_at timestamp")
-    actual = spark.createDataFrame([(1, day, 9, 500, t(9)), (1, day, 9, 501, t(20)), (3, day, 9, 502, t(1)), (1, day, None, 503, t(1))], "truck_id long, day date, station_id long, stop_id long, occurred_at timestamp")
+    actual = spark.createDataFrame([(1, day, 9, 500, t(9)), (1, day, 9, 501, t(20)), (3, day, 9, 502, t(1)), (1, day, None, 503, t(1))], "truck_id long, day date, station_id long, stop_id long, occurred_at timestamp").withColumn("split_fill", F.col("stop_id") == 504)
+    assert joins.match_exclusions(actual).first() == (0, 1)
     got = {(r.plan_stop_id, r.stop_id, r.kind) for r in joins.plan_actual(planned, actual).collect()}
     assert got == {(100, 500, "matched"), (101, 501, "matched"), (102, None, "skipped_recommendation"), (None, 502, "unplanned_stop")}
 

@@ -77,6 +77,10 @@ def test_invoice_outcomes(spark):
     )
     status, parts, lines = decide(spark, f)
     assert status == {"a1": "imported", "a2": "duplicate", "b3": "quarantined", "c4": "failed", "d5": "failed", "e6": "failed", "f7": "quarantined", "g8": "quarantined"}
+    wrong_line = invoice().replace("672.10,0.00,0.00,0.00,0.00,0.0000", "672.00,0.00,0.00,0.00,0.00,0.0000")
+    wrong_total = invoice().replace("TA,130.00,672.10,,,,,,0.00", "TA,130.00,672.10,0.10,,,,,0.00")
+    assert wrong_line != invoice() != wrong_total
+    assert decide(spark, files(spark, h9=wrong_line, i10=wrong_total))[0] == {"h9": "quarantined", "i10": "quarantined"}
     head = invoices.header_facts(parts).where("file = 'a1'").first()
     assert (head.invoice_number, head.period_start, head.period_end, head.currency) == ("1", date(2025, 8, 1), date(2025, 8, 2), "USD")
     first = lines.where("file = 'a1'").first()
