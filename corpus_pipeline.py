@@ -1,8 +1,7 @@
 """A corpus pipeline of five stages, each one operator over all that the stage before it kept.
 
 Stages add their verdicts under names that start with an underscore and return the
-columns of documents as they came, so extra columns pass through.  A document is known by
-its doc_id; rows without one stay.
+columns of documents as they came, so extra columns pass through.  Rows without doc_id are documents like others.
 """
 
 from __future__ import annotations
@@ -27,9 +26,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of alike documents the one with the smallest doc_id."""
-    others = jaccard.jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of alike documents one row, that with the smallest doc_id.
+
+    Where a doc_id is missing or stands in several rows, rows are known by a number of their own, drawn once into a table."""
+    if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        others = jaccard.jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    groups = jaccard.jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row").join(numbered.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")).alias("_row"))
+    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
