@@ -323,3 +323,15 @@ def test_pipeline(spark, tmp_path):
         after = stage(spark, docs, d)
         assert after.columns == docs.columns and after.schema == docs.schema
         assert stage(spark, docs.limit(0), d).count() == 0
+
+
+def test_near_duplicates_of_rows_without_id(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, 1), (9, text + " x", 2), (None, text, 3), (4, "other words here", 4), (4, "other words here", 5), (None, None, 6), (7, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = sorted(r.k for r in kept.collect())
+    assert found in ([2, 4, 6, 7], [2, 5, 6, 7])
