@@ -6,9 +6,9 @@ a fifth as many word edits (insertions, deletions, replacements) as the item has
 0. *Pieces.*  The walks below drift apart with an item's length, so items of more than `PIECE` words are searched by
    pieces of like size, of `PIECE` words at most.  The edits of a match fall on the pieces, so one of them at least has no more
    than a fifth of its own words edited: to find each piece at its own bound loses no item.
-1. *Windows.*  With at most k edits, some run of three words of a piece stays whole (k is held below a third of the
-   words for that), so only places where three words of a piece stand together can begin a match.  Each such
-   place gives the window of the piece's size in which it would lie.
+1. *Windows.*  With at most a fifth of n words edited, some run of three words of a piece stays whole (two of five words, all of
+   fewer).  So a window is worth a look only if such a run stands in it where a piece of its size has it; the windows that come from a run
+   are those of each size and offset, however many pieces share it.
 2. *CGK embedding.*  A window and a piece are walked along by the same random bits: at each step the word
    at the pointer is written down and a bit that depends on step and word moves the pointer on.  Few
    edits give few differing places.
@@ -18,14 +18,17 @@ a fifth as many word edits (insertions, deletions, replacements) as the item has
 4. *Exact.*  A candidate is kept if the semi-global edit distance between the whole item and the words
    around the place where it would begin is within the bound.
 
-Items are taken in blocks of at most `BLOCK_BYTES`, so what is broadcast is bounded; documents are never shuffled.
+Words are what stands between white space and ASCII punctuation; each character of a script that is written without spaces is a
+word.  Items are taken in blocks of at most `BLOCK_BYTES` of text, whose index (sorted keys in numpy) takes some eight times as much, so what
+is broadcast is bounded; documents are never shuffled.
 
-Defined results: null and empty texts leak nothing; items with fewer than `LEAST_WORDS` words are too short to
-tell a leak from chance and are not searched; equal items each give a row; repeated rows are independent.
+Defined results: null and empty texts leak nothing; items without words are in no text; items of fewer than five words must stand
+word for word; equal items, and items without an id, each give a row; repeated rows are independent; long texts are searched whole.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import repeat
 
 import numpy as np
@@ -36,11 +39,14 @@ from pyspark.sql import types as T
 
 from tankline.llm.common import append_columns
 
-LEAST_WORDS = 5
 WALKS, DRAWS, SAMPLE = 16, 12, 4
 GRAM = 3
 PIECE = 50
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 8_000_000
+#: Windows that are walked at once, keys of pieces that are looked at at once.
+WINDOWS, PAIRS = 10_000, 2_000_000
+#: Thai, Lao, Myanmar, Khmer, kana and Han characters.
+ALONE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])")
 #: ASCII punctuation and controls become spaces, capitals small.
 TO_WORDS = bytes(ord(chr(b).lower()) if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
@@ -50,23 +56,37 @@ LEAKS = T.ArrayType(
 
 
 def words_of(text: str) -> list[bytes]:
+    if not text.isascii():
+        text = ALONE.sub(r" \1 ", text)
     return text.lower().encode("utf-8", "surrogatepass").translate(TO_WORDS).split()
 
 
 def most_edits(n: int) -> int:
-    """A fifth of the words, but so few that three neighbouring words stay whole."""
-    return min(n // 5, (n - GRAM) // GRAM)
+    """A fifth of the words."""
+    return n // 5
+
+
+def whole_run(n: int) -> int:
+    """Words that stand together in n words whatever is edited within the bound, three at most."""
+    edits = most_edits(n)
+    return min(GRAM, -(-(n - edits) // (edits + 1)))
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of several ranges, and which range each is of."""
+    many = last - first
+    owner = np.repeat(np.arange(len(many)), many)
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum())), owner
 
 
 class Items:
-    """A block of items: their words as numbers, the places of their trigrams, and their sampled embeddings."""
+    """A block of items: their words as numbers, where runs of words stand in pieces of each size, and the pieces' sampled embeddings."""
 
-    def __init__(self, ids: list[int], texts: list[str], seed: int = 7):
+    def __init__(self, ids: list[int | None], texts: list[str], seed: int = 7):
         self.vocab: dict[bytes, int] = {}
         self.ids, self.words = [], []
         for i, text in zip(ids, texts, strict=True):
-            w = words_of(text or "")
-            if i is not None and len(w) >= LEAST_WORDS:
+            if w := words_of(text or ""):
                 self.ids.append(i)
                 self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64))
         self.base = len(self.vocab) + 1
@@ -79,36 +99,37 @@ class Items:
                 self.item_of.append(k)
                 self.piece_at.append(at)
                 at += len(piece)
-        codes, owners, offsets = [], [], []
-        for k, w in enumerate(pieces):
-            c = (w[:-2] * self.base + w[1:-1]) * self.base + w[2:]
-            codes.append(c)
-            owners.append(np.full(len(c), k))
-            offsets.append(np.arange(len(c)))
-        codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.first = np.unique(codes[order], return_index=True)
-        self.last = np.append(self.first[1:], len(codes))
-        self.pieces = (np.concatenate(owners) if owners else codes)[order]
-        self.offsets = (np.concatenate(offsets) if offsets else codes)[order]
-        self.sizes = np.array([len(w) for w in pieces], np.int64)
-        self.rng_seed = seed
-        self.steps = 2 * int(self.sizes.max()) if len(self.sizes) else 0
-        rng = np.random.default_rng(seed)
-        self.bits = rng.integers(1, 1 << 62, (WALKS, max(1, self.steps)), np.int64) | 1
-        self.places = {int(n): np.sort(np.random.default_rng(seed + int(n)).integers(0, 3 * int(n) // 2, (WALKS, DRAWS, SAMPLE)), axis=2) for n in np.unique(self.sizes)}
-        self.buckets: dict[int, dict[tuple[int, int, int], list[int]]] = {}
+        self.item_of, self.piece_at = np.array(self.item_of, np.int64), np.array(self.piece_at, np.int64)
+        sizes = np.array([len(w) for w in pieces], np.int64)
+        # distinct (code of a run, size, offset), by the run's length
+        self.runs: dict[int, tuple[np.ndarray, ...]] = {}
+        for gram in range(1, GRAM + 1):
+            rows = [np.stack((self.codes(w, gram), np.full(len(w) - gram + 1, len(w)), np.arange(len(w) - gram + 1))) for w in pieces if whole_run(len(w)) == gram]
+            if rows:
+                code, size, offset = np.unique(np.concatenate(rows, axis=1), axis=1)
+                codes, first = np.unique(code, return_index=True)
+                self.runs[gram] = codes, first, np.append(first[1:], len(code)), size, offset
+        steps = 2 * int(sizes.max()) if len(sizes) else 0
+        self.bits = np.random.default_rng(seed).integers(1, 1 << 62, (WALKS, max(1, steps)), np.int64) | 1
+        self.places = {int(n): np.sort(np.random.default_rng(seed + int(n)).integers(0, max(1, 3 * int(n) // 2), (WALKS, DRAWS, SAMPLE)), axis=2) for n in np.unique(sizes)}
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in self.places:
-            own = np.flatnonzero(self.sizes == n)
+            own = np.flatnonzero(sizes == n)
             keys = self.sketch(np.stack([pieces[k] for k in own]), n)
-            table = self.buckets[n] = {}
-            for row, k in zip(keys.reshape(len(own), -1), own, strict=True):
-                for d, key in enumerate(row.tolist()):
-                    table.setdefault((d, key), []).append(int(k))
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.tables[n] = keys.ravel()[order], own[order // keys.shape[1]].astype(np.int32)
+
+    def codes(self, words: np.ndarray, gram: int) -> np.ndarray:
+        """One number for each run of so many words."""
+        out = words[: len(words) - gram + 1].copy()
+        for k in range(1, gram):
+            out = out * self.base + words[k : len(words) - gram + 1 + k]
+        return out
 
     def sketch(self, windows: np.ndarray, n: int) -> np.ndarray:
-        """Keys of all draws (windows, WALKS, DRAWS) of windows of n words."""
+        """Keys (windows, draws) of windows of n words; keys of different draws are never equal but by chance."""
         keys = np.zeros((len(windows), WALKS, DRAWS), np.uint64)
+        draws = np.arange(WALKS * DRAWS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         places = self.places[n]
         steps = int(places.max()) + 1
         walks = np.arange(WALKS)
@@ -129,7 +150,33 @@ class Items:
                     word = written[places[:, draw, k], :, walks].T
                     key = (key ^ (word + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
                 keys[lo : lo + 2000, :, draw] = key
-        return keys
+        return keys.reshape(len(windows), -1) + draws
+
+    def _windows(self, seq: np.ndarray, begin: np.ndarray) -> dict[int, np.ndarray]:
+        """Of each size the windows (text, start) that hold a whole run where a piece has it; a start may lie before its text."""
+        span = len(seq) + 2 * PIECE
+        out: dict[int, list[np.ndarray]] = {}
+        for gram, (codes, first, last, size, offset) in self.runs.items():
+            known = seq > 0
+            live = known[: len(seq) - gram + 1].copy()
+            for k in range(1, gram):
+                live &= known[k : len(seq) - gram + 1 + k]
+            place = np.flatnonzero(live)
+            code = self.codes(seq, gram)[place]
+            k = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            place, k = place[codes[k] == code], k[codes[k] == code]
+            ends = np.cumsum(last[k] - first[k])
+            lo = 0
+            while lo < len(place):  # a bounded number at once
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS)))
+                rows, owner = _ranges(first[k[lo:hi]], last[k[lo:hi]])
+                at, n = place[lo:hi][owner], size[rows]
+                window = (np.searchsorted(begin, at, "right") - 1) * span + at - offset[rows] + PIECE
+                for s in np.unique(n):
+                    out.setdefault(int(s), []).append(np.unique(window[n == s]))
+                lo = hi
+        merged = {n: np.unique(np.concatenate(w)) for n, w in out.items()}
+        return {n: np.stack((w // span, w % span - PIECE)) for n, w in merged.items()}
 
     def leaks(self, texts: list[str]) -> list[list[dict]]:
         """Leaks of each text."""
@@ -144,35 +191,25 @@ class Items:
         seq = np.zeros(int(begin[-1]), np.int64)
         for b, p in zip(begin, parts, strict=False):
             seq[b : b + len(p)] = p
-        live = np.flatnonzero((seq[:-2] > 0) & (seq[1:-1] > 0) & (seq[2:] > 0))
-        code = (seq[live] * self.base + seq[live + 1]) * self.base + seq[live + 2]
-        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        hit = self.codes[k] == code
-        live, k = live[hit], k[hit]
-        if not len(live):
-            return out
-        many = self.last[k] - self.first[k]
-        spread = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
-        piece, place = self.pieces[spread], np.repeat(live, many)
-        doc = np.searchsorted(begin, place, "right") - 1
-        start = place - self.offsets[spread]
-        n = self.sizes[piece]
-        # windows of one length, each once; those that pass a document's edge are moved inside or padded
         found: dict[tuple[int, int], set[int]] = {}
-        for size in np.unique(n):
-            own = np.flatnonzero(n == size)
-            spot = np.unique(np.stack((doc[own], start[own]), axis=1), axis=0)
-            for lo in range(0, len(spot), 20_000):
-                d, s = spot[lo : lo + 20_000].T
+        for size, windows in self._windows(seq, begin).items():
+            keys, owners = self.tables[size]
+            for lo in range(0, windows.shape[1], WINDOWS):
+                d, s = windows[:, lo : lo + WINDOWS]
                 places = s[:, None] + np.arange(size)[None, :]
                 inside = (places >= begin[d][:, None]) & (places < begin[d + 1][:, None] - GRAM)
-                windows = np.where(inside, seq[np.clip(places, 0, len(seq) - 1)], 0)
-                keys = self.sketch(windows, int(size)).reshape(len(d), -1)
-                table = self.buckets[int(size)]
-                for r in range(len(d)):
-                    for draw, key in enumerate(keys[r].tolist()):
-                        for k in table.get((draw, key), ()):
-                            found.setdefault((int(d[r]), self.item_of[k]), set()).add(int(s[r]) - self.piece_at[k])
+                sketch = self.sketch(np.where(inside, seq[np.clip(places, 0, len(seq) - 1)], 0), size)
+                first, last = np.searchsorted(keys, sketch.ravel(), "left"), np.searchsorted(keys, sketch.ravel(), "right")
+                hit = np.flatnonzero(last > first)
+                ends = np.cumsum(last[hit] - first[hit])
+                at = 0
+                while at < len(hit):
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS)))
+                    rows, owner = _ranges(first[hit[at:to]], last[hit[at:to]])
+                    pairs = np.unique(np.stack((hit[at:to][owner] // sketch.shape[1], owners[rows])), axis=1)
+                    for r, k in pairs.T.tolist():
+                        found.setdefault((int(d[r]), int(self.item_of[k])), set()).add(int(s[r]) - int(self.piece_at[k]))
+                    at = to
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for (d, k_item), starts in found.items():
             size, most = int(self.lengths[k_item]), most_edits(int(self.lengths[k_item]))
@@ -209,11 +246,11 @@ def semi_global(item: np.ndarray, words: np.ndarray) -> int:
 
 def item_blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES):
     """Items (ids, texts) in blocks of about `most_bytes`; each is collected alone."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = int(size // most_bytes) + 1
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = part.toArrow()
         yield rows.column(0).to_pylist(), rows.column(1).to_pylist()
 

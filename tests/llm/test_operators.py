@@ -184,7 +184,7 @@ def test_machine_equals_the_sum_over_pairs():
 def test_leaks(spark, docs, none):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(2000)]
-    items = [(k, " ".join(rng.sample(words, rng.randint(5, 60)))) for k in range(30)] + [(90, "too short"), (91, None), (92, "")]
+    items = [(k, " ".join(rng.sample(words, rng.randint(5, 60)))) for k in range(30)] + [(91, None), (92, ""), (None, " ".join(words[:20]))]
     rows, wanted = [(0, None), (1, "")], set()
     for i in range(2, 300):
         text = rng.choices(words, k=rng.randint(0, 120))
@@ -203,6 +203,37 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.where("item_id < 0")).count() == 0
 
 
+def test_leaks_against_all_windows_and_items():
+    """Items of every length from one word on, edits within and beyond the bound, edges of texts, shared runs; against the edit distance of
+    each item and text."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(700)]
+    common = words[:6]
+    items = [" ".join(rng.choices(words, k=n)) for n in [*range(1, 13), *range(13, 60, 3)] for _ in range(3)] + [" ".join([*common, *rng.choices(words, k=9)]) for _ in range(20)]
+    block = decontaminate.Items(list(range(len(items))), items)
+    texts = ["", "w1", " ".join(common)]
+    for i in range(400):
+        w = list(rng.choice(items).split())
+        for _ in range(rng.randint(0, len(w) // 4 + 1)):
+            at = rng.randrange(len(w) or 1)
+            w[at : at + 1] = rng.choice([[], [rng.choice(words)], [*w[at : at + 1], rng.choice(words)]])
+        texts.append(" ".join(rng.choices(words, k=rng.choice([0, 0, 3, 40])) + w + rng.choices(words, k=rng.choice([0, 0, 3, 40]))))
+    found = {(d, x["item_id"], x["distance"]) for d, leaks in enumerate(block.leaks(texts)) for x in leaks}
+    wanted = set()
+    for d, t in enumerate(texts):
+        seq = np.array([block.vocab.get(x, 0) for x in decontaminate.words_of(t)], np.int64)
+        for k, item in enumerate(block.words):
+            best = decontaminate.semi_global(item, seq)
+            if best <= len(item) // 5 and best < len(item):
+                wanted.add((d, k, best))
+    assert found <= wanted and len(found) >= 0.97 * len(wanted) > 300
+    short = {x for x in wanted if len(block.words[x[1]]) <= 12}
+    assert short <= found and {len(block.words[k]) for _, k, _ in short} == set(range(1, 13))
+    one = decontaminate.Items([1, 2], ["alpha beta gamma delta epsilon", "\u6771\u4eac\u90fd\u5e81"])
+    got = one.leaks(["x alpha beta CHANGED delta epsilon", "alpha beta gamma, more delta epsilon!", "\u3053\u308c\u306f\u6771\u4eac\u90fd\u5e81\u3067\u3059", "alpha beta"])
+    assert [[x["item_id"] for x in g] for g in got] == [[1], [1], [2], []]
+
+
 def test_long_items_are_found_at_the_edit_bound():
     rng = random.Random(6)
     words = [f"w{i}" for i in range(3000)]
