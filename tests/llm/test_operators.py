@@ -329,6 +329,52 @@ def test_warc(spark):
     assert small[9] == "response" and small[5] == "revisit"
 
 
+def hand_made(n):
+    """Records as other tools write them."""
+    out = ["WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Type: application/warc-fields\r\nContent-Length: 12\r\n\r\nsoftware: x\n\r\n\r\n".encode()]
+    for i in range(n):
+        body = f"<p>{i} WARC/1.0 \r\n\r\n é</p>".encode() * (1 + i % 40)
+        http = b"HTTP/1.1 200 OK\r\nServer: a\r\n\r\n" + body
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        request = b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"
+        out.append(f"WARC/1.0\r\nwarc-type: request\r\nWARC-Record-ID: <urn:uuid:q{i}>\r\nContent-Type: application/http; msgtype=request\r\nContent-Length: {len(request)}\r\n\r\n".encode() + request + b"\r\n\r\n")
+        out.append(
+            f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://h/{i}\r\nWARC-Record-ID: <urn:uuid:{i + 1}>\r\nX-Long: a\r\n  b\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(http)}\r\n\r\n".encode()
+            + http + b"\r\n\r\n"
+        )
+    return out
+
+
+def test_warc_of_other_tools(spark, tmp_path):
+    import gzip
+
+    records = hand_made(60)
+    for name, raw in {"a.warc": b"".join(records), "b.warc.gz": b"".join(map(gzip.compress, records)), "sub/c.warc.gz": gzip.compress(b"".join(records)), "notes.txt": b"no archive"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    wanted = sorted((f"http://h/{i}", f"<p>{i} WARC/1.0 \r\n\r\n é</p>".encode() * (1 + i % 40)) for i in range(60))
+    for path in (tmp_path / "a.warc", tmp_path / "b.warc.gz", tmp_path / "sub" / "c.warc.gz", f"file://{tmp_path}/b*.gz", f"{tmp_path}/sub/?.warc.gz"):
+        rows = warc.read(spark, str(path), verify=True).where("record_type = 'response'").collect()
+        assert sorted((r.target_uri, bytes(r.payload)) for r in rows) == wanted
+        assert all(r.payload_bytes == len(r.payload) and r.page_id is None for r in rows)
+    everything = warc.read(spark, str(tmp_path), payload=False)
+    assert {r.record_type: r["count"] for r in everything.groupBy("record_type").count().collect()} == {"warcinfo": 3, "request": 180, "response": 180}
+    assert everything.where("record_id = '<urn:uuid:q7>'").count() == 3
+    split = spark.read.format(warc.NAME).option("path", str(tmp_path / "b.warc.gz")).option("split_bytes", 3000).load()
+    assert split.rdd.getNumPartitions() > 4 and sorted((r.target_uri, bytes(r.payload)) for r in split.where("record_type = 'response'").collect()) == wanted
+    (tmp_path / "bad.warc").write_bytes(b"".join(records).replace(b"<p>7 ", b"<p>8 "))
+    with pytest.raises(Exception, match="damaged"):
+        warc.read(spark, str(tmp_path / "bad.warc"), verify=True).collect()
+
+
+def test_warc_revisits_name_their_response(spark):
+    pages = spark.createDataFrame([(5, "http://a/", "x" * 9), (2, "http://b/", "x" * 9), (None, "http://c/", "x" * 9)], "page_id long, url string, html string")
+    out = fresh_path(spark, "named")
+    warc.write(pages, out)
+    rows = {r.target_uri: r for r in warc.read(spark, out).collect()}
+    assert rows["http://a/"].refers_to_id == rows["http://c/"].refers_to_id == rows["http://b/"].record_id and rows["http://b/"].refers_to_id is None
+
+
 def test_warc_pushes_filters_down(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i % 7}</p>") for i in range(50)], "page_id long, url string, html string")
     out = fresh_path(spark, "pushed")
