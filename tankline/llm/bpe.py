@@ -10,7 +10,7 @@ The tables are made from the vocabulary file on the driver and broadcast; their
 size is that of the vocabulary (about 1 MB), whatever the data.
 
 Defined results: null is the empty text and gives no ids; any text round-trips to
-its UTF-8 bytes; repeated rows are independent; extra columns are kept.
+its UTF-8 bytes; repeated rows are independent; extra columns are kept, but for those with the name of a new one, which are replaced.
 """
 
 from __future__ import annotations

@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = getattr(spark.sparkContext, "_tankline_dir", None)
         if not named:
             named = spark.sparkContext._tankline_dir = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")

@@ -31,6 +31,8 @@ PROFILE = 400
 UNKNOWN = "und"
 #: Counting by dense trigram table needs at most this many different letters in a slice.
 DENSE_LETTERS = 200
+#: N-grams that a task holds before it gives their counts on.
+HELD = 400_000
 
 
 @cache
@@ -113,6 +115,12 @@ def learn(docs: DataFrame, size: int = PROFILE) -> DataFrame:
                     mine = sums.setdefault(lang, {})
                     for k, c in zip(keys.tolist(), n.tolist(), strict=True):
                         mine[k] = mine.get(k, 0) + c
+                if sum(map(len, sums.values())) > HELD:
+                    yield from give(sums)
+                    sums = {}
+        yield from give(sums)
+
+    def give(sums):
         for lang, mine in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], names=["lang", "gram", "n"])
 

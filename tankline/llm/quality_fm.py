@@ -13,7 +13,9 @@ the features of these rows, made by tasks, are all that reaches the driver.  The
 fixed 2.4 MB and is broadcast.
 
 Defined results: null and empty texts have structure features only; a document with several labels
-takes the largest; with no labelled rows every score is 0.5; repeated rows are independent.
+takes the largest; with no labelled rows every score is 0.5; repeated rows are scored alike, and of repeated labelled rows as many are
+fitted on as the bound leaves room for, in the order of id and text; extra columns are kept by :func:`with_scores`, but for one with the
+score's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -166,12 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Machine
                 index, value, begin = make([t or "" for t in part.column(0).to_pylist()], part.column(1).to_pylist())
                 bounds = pa.array(np.append(begin, len(index)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2), part.column(3), pa.ListArray.from_arrays(bounds, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(value.astype(np.float32)))],
-                    names=["doc_id", "label", "index", "value"],
+                    [part.column(2), part.column(3), part.column(4), pa.ListArray.from_arrays(bounds, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(value.astype(np.float32)))],
+                    names=["doc_id", "label", "mark", "index", "value"],
                 )
 
-    kind = "doc_id long, label double, index array<int>, value array<float>"
-    found = rows.select("text", "recorded", F.col("doc_id").cast("long"), "label").mapInArrow(vectors, kind).toArrow().sort_by("doc_id").slice(0, most)
+    kind = "doc_id long, label double, mark long, index array<int>, value array<float>"
+    inputs = rows.select("text", "recorded", F.col("doc_id").cast("long"), "label", F.xxhash64("text", "recorded").alias("mark"))  # rows of one id in a fixed order
+    found = inputs.mapInArrow(vectors, kind).toArrow().sort_by([("doc_id", "ascending"), ("mark", "ascending")]).slice(0, most)
     pairs = [(np.array(i.values), np.array(v.values)) for i, v in zip(found.column("index"), found.column("value"), strict=True)]
     return Machine().fit(pairs, found.column("label").to_numpy())
 

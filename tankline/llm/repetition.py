@@ -4,14 +4,14 @@ A document is a sequence of words.  The suffix array of a batch of documents is
 built by prefix doubling over word numbers, where each document has numbers of
 its own so that no repeat crosses documents.  Only suffixes that still
 share their rank are sorted again.  Longest common prefixes of neighbours come
-from the rank arrays of the doublings; each LCP interval of at least
-``min_words`` gives the occurrences of a maximal repeated substring.  Their spans
-are united, and a document fails if they cover too much of it or if one repeat is
-too long.
+from the rank arrays of the doublings.  An LCP interval of at least ``min_words`` holds the occurrences of
+a maximal repeated substring.  Intervals are nested, and the innermost one of a suffix has the
+larger of its LCPs with both neighbours, so the span of that length covers those of all intervals around it: the union over all
+suffixes is the union over all maximal repeats.  A document fails if it covers too much of it or if one repeat is too long.
 
 Defined results: null and empty texts have no words and fail the base rules;
 repeated rows and ties are independent rows; very long texts form a batch of
-their own; extra columns are kept by :func:`with_verdicts`.
+their own; extra columns are kept by :func:`with_verdicts`, but for those with the name of a new one, which are replaced.
 """
 
 from __future__ import annotations

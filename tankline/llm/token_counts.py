@@ -8,7 +8,7 @@ is ever shuffled and the driver gets one summary.  The table only saves work: ti
 every miss with the tokenizer's library and remembers it in a bounded worker cache.  Both tiers compare whole pre-tokens.
 
 Defined results: null counts as the empty text (0 bytes, 0 tokens); repeated rows
-are independent; extra columns are kept by :func:`with_counts`.
+are independent; extra columns are kept by :func:`with_counts`, but for one named n_tokens, which is replaced.
 """
 
 from __future__ import annotations

@@ -161,6 +161,31 @@ def test_language(spark, docs, none):
     assert sorted(zip(*map(list, a), strict=True)) == sorted(zip(*map(list, b), strict=True))
 
 
+def test_language_against_plain_counting(spark):
+    """Profiles and out-of-place distances made again with strings and dictionaries."""
+    rng = random.Random(12)
+    letters = {"aa": "abcdeéf", "bb": "efghijß", "cc": "abxyzя日"}
+    rows = [(i, " ".join("".join(rng.choices(letters[lang], k=rng.randint(1, 7))) for _ in range(rng.randint(1, 20))) + rng.choice(["", " 12!", "."]), lang) for i in range(200) for lang in [rng.choice(list(letters))]]
+
+    def grams(text):
+        words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+        x = " " + " ".join(words) + " "
+        out = Counter(c for c in x if c != " ") + Counter(x[i : i + 2] for i in range(len(x) - 1)) + Counter(x[i : i + 3] for i in range(len(x) - 2) if x[i + 1] != " ")
+        return sorted(out.items(), key=lambda g: (-g[1], sum(ord(c) << 21 * (len(g[0]) - 1 - k) for k, c in enumerate(g[0]))))
+
+    size = 60
+    train = {lang: " ".join(t for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5) for lang in letters}
+    ranks = {lang: {g: r for r, (g, _) in enumerate(grams(t)[:size])} for lang, t in train.items()}
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    profiles = langid.learn(table.where(~langid.held_out()), size)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.with_language(table, profiles, size).collect()}
+    for i, text, _ in rows:
+        own = [g for g, _ in grams(text)[:size]]
+        far = {lang: sum(abs(known[g] - r) if g in known else size for r, g in enumerate(own)) for lang, known in ranks.items()}
+        best = min(sorted(far), key=far.get)
+        assert found[i][0] == best and found[i][1] == pytest.approx(1 - far[best] / (len(own) * size))
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(2)
     good, bad = ["river", "stone", "window", "garden"], ["###", "$$$", "BUY!!", "|"]
