@@ -35,7 +35,7 @@ from tankline.llm.words import numbered
 
 MASK = (1 << 64) - 1
 #: Bytes of remembered space-led chunks.
-SPACED_BYTES = 100_000_000
+SPACED_BYTES = 60_000_000
 #: Odd 64-bit multipliers that spread a bucket's displacement over the slots.
 STEP, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -168,7 +168,7 @@ class Codec:
         self.tokens, self.hash, pattern, _ = tables
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.split = regex.compile(pattern).findall
-        self.pieces = Remembered(self._piece)
+        self.pieces = Remembered(self._piece, 24_000_000)
         self.spaced: dict[str, bytes] = {}
         self.held = 0
 

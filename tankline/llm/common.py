@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tankline.llm.memory import releasing
+
 #: Text bytes handed to a kernel at once; bounds a worker's memory whatever the batch size.
 SLICE_BYTES = 4_000_000
 
@@ -18,7 +20,19 @@ SLICE_BYTES = 4_000_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch on its way to Python, where the session sets no bound of its own.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches are bounded by rows alone unless this is set, and texts can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +57,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a table written to the shared folder, so that lost executors cost no recomputation."""
     path = fresh_path(df.sparkSession, label)
+    bound_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,6 +94,7 @@ def append_columns(
     of texts (and one of the values of the column `also`, if named) to one array per field.  A column of `df` with the name of a new field
     is replaced.  No shuffle; memory is bounded by SLICE_BYTES.
     """
+    bound_batches(df.sparkSession)
     names = {f.name for f in fields}
     base = df if not names & set(df.columns) else df.drop(*[c for c in df.columns if c in names])
     out = T.StructType(base.schema.fields + fields)
@@ -96,7 +112,7 @@ def append_columns(
                 made = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(list(cut.columns) + made, names=list(cut.schema.names) + new_names)
 
-    return base.mapInArrow(run, out)
+    return base.mapInArrow(releasing(run), out)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

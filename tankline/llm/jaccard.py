@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from tankline.llm.common import materialize, slices
 from tankline.llm.components import components
+from tankline.llm.memory import releasing
 from tankline.llm.words import hashed
 
 WIDTH = 5
@@ -140,7 +141,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         some = counts >= LEAST
         yield pa.RecordBatch.from_arrays([pa.array(keys[some]).view(pa.int64()), pa.array(counts[some])], names=["h", "n"])
 
-    sums = docs.select("text").mapInArrow(summarize, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    sums = docs.select("text").mapInArrow(releasing(summarize), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = sums.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     return top.column("h").to_numpy()[::-1].view(np.uint64), top.column("n").to_numpy()[::-1]
 
@@ -177,7 +178,7 @@ def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                     names=["doc_id", "n", "h1", "h2", "rare", "hot", "bits"],
                 )
 
-    found = docs.mapInArrow(run, "doc_id long, n int, h1 long, h2 long, rare array<long>, hot array<long>, bits binary")
+    found = docs.mapInArrow(releasing(run), "doc_id long, n int, h1 long, h2 long, rare array<long>, hot array<long>, bits binary")
     return found.withColumn("node", node("h1"))
 
 
@@ -199,7 +200,7 @@ def classes_of(found: DataFrame) -> DataFrame:
 def shared_postings(reps: DataFrame) -> DataFrame:
     """token, node, n of shingles that two classes or more of like size hold."""
     rows = reps.select(F.explode("rare").alias("token"), "node", "n")
-    runs = rows.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_runs, "token long, node long, n int")
+    runs = rows.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(releasing(_runs), "token long, node long, n int")
     return runs.unionByName(reps.select(F.explode("hot").alias("token"), "node", "n"))
 
 
@@ -321,7 +322,7 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_tiles(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(work, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(releasing(work), schema)
 
 
 def arrays_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -350,7 +351,7 @@ def arrays_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["node", "s"])
 
-    return docs.withColumn("place", place).select("node", "text", "place").mapInArrow(run, "node long, s binary")
+    return docs.withColumn("place", place).select("node", "text", "place").mapInArrow(releasing(run), "node long, s binary")
 
 
 class Tiles:

@@ -6,8 +6,9 @@ set of one operator at a time: :func:`working_set` drops any other first.
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 
@@ -37,6 +38,24 @@ class Remembered(dict):
         return value
 
 
+def release() -> None:
+    """Give freed memory back to the system, as a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back at its end."""
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
 _WORKING: dict[Hashable, object] = {}
 
 
@@ -45,6 +64,6 @@ def working_set(key: Hashable, make: Callable[[], object]):
     if key not in _WORKING:
         _WORKING.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        release()
         _WORKING[key] = make()
     return _WORKING[key]
