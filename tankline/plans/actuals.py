@@ -181,17 +181,6 @@ def price_sheets(line):
     return line.where("product = 'DF'").groupBy("day").agg(F.count("*").alias("n_rows"), F.count_distinct("station_id").alias("stations"))
 
 
-@query(
-    "A28_freshness", "stop event",
-    """SELECT (SELECT MAX(day) FROM stop) AS latest_day, (SELECT MAX(week_end) FROM stop) AS latest_week, (SELECT COUNT(*) FROM event WHERE event_type='error') AS open_findings,
-    (SELECT GREATEST(0, 100000-COUNT(*)) FROM event WHERE event_type='view') AS remaining""",
-)
-def freshness(stop, event):
-    days = stop.agg(F.max("day").alias("latest_day"), F.max("week_end").alias("latest_week"))
-    calls = event.agg(F.count_if(F.col("event_type") == "error").alias("open_findings"), F.greatest(F.lit(0), 100000 - F.count_if(F.col("event_type") == "view")).alias("remaining"))
-    return days.join(calls)  # one row each
-
-
 @query(
     "A33_top_and_rest", "stop",
     """WITH s AS (SELECT currency, driver_id, CAST(SUM(total_c) AS BIGINT) AS total_c FROM stop WHERE driver_id IS NOT NULL GROUP BY ALL), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY currency ORDER BY total_c DESC, driver_id) AS p FROM s)

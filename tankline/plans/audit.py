@@ -49,6 +49,17 @@ def all_rules(stop, line, published):
     return N.run(stop, line, published)
 
 
+@query(
+    "A28_freshness", "stop line published event",
+    f"""{ALL} SELECT (SELECT MAX(valid_on) FROM published) AS latest_sheet, (SELECT MAX(week_end) FROM stop) AS latest_week, (SELECT COUNT(*) FROM allf WHERE subject_id % 5 <> 0) AS open_findings, (SELECT GREATEST(0, 100000-COUNT(*)) FROM event WHERE event_type='view') AS remaining""",
+)
+def freshness(stop, line, published, event):
+    """One row; every fifth stop's findings are dismissed."""
+    sheet = published.agg(F.max("valid_on").alias("latest_sheet")).join(stop.agg(F.max("week_end").alias("latest_week")))
+    found = N.run(stop, line, published).agg(F.count_if(F.col("subject_id") % 5 != 0).alias("open_findings"))
+    return sheet.join(found).join(event.agg(F.greatest(F.lit(0), 100000 - F.count_if(F.col("event_type") == "view")).alias("remaining")))
+
+
 @query("N10_not_computable", "stop line published", f"WITH {AUDIT} SELECT stop_id, status FROM audit WHERE status NOT IN ('flagged','clean')")
 def not_computable(stop, line, published):
     return N.not_computable(stop, line, published)

@@ -88,7 +88,7 @@ def station_upsert(line, station):
 
 
 def invoice_files(stop: DataFrame, line: DataFrame) -> DataFrame:
-    """A sectioned invoice for each week, currency and range of cards.  Some weeks have something wrong: a cent in a printed total (kind 2),
+    """A sectioned invoice for each week, currency and range of cards.  Lines of a stop name one site in weeks of kind 0 and 1.  Some weeks have something wrong: a cent in a printed total (kind 2),
     discount rates of single lines (3), a tax in a printed total (4); every week has an express row, and a manual credit nets with it."""
     own = line.join(stop.select("stop_id", "card_id", "driver_raw", "occurred_at", "week_end", "currency"), "stop_id")
     own = own.withColumns({"part": F.floor(F.col("card_id") / CARDS).cast("int"), "wrong": F.weekofyear("week_end") % 5})
@@ -96,9 +96,10 @@ def invoice_files(stop: DataFrame, line: DataFrame) -> DataFrame:
     money = lambda c: (c.cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string")
     cur = F.when(F.col("currency") == "USD", "US").otherwise("CN")
     price = (F.col("billed_t").cast("decimal(18,0)") / 10000).cast("decimal(18,4)").cast("string")
+    site = F.when(F.col("wrong") < 2, F.col("stop_id") % 100).otherwise(F.col("station_id")).cast("string")
     rate = F.when((F.col("wrong") == 3) & (F.col("stop_id") % 4 == 1), "0.0001").otherwise("0.0000")
     row = F.concat_ws(
-        ",", F.concat(F.col("stop_id").cast("string"), F.lit("-1")), "driver_raw", F.lit("12"), F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss"), F.col("station_id").cast("string"), F.lit("Stop"), F.lit("Austin"), F.lit("TX"), "product",
+        ",", F.concat(F.col("stop_id").cast("string"), F.lit("-1")), "driver_raw", F.lit("12"), F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss"), site, F.lit("Stop"), F.lit("Austin"), F.lit("TX"), "product",
         money(F.col("qty_c")), price, price, money(F.col("amount_c")), *[F.lit("0.00")] * 4, rate, F.lit("0.00"), money(F.col("amount_c")), cur,
     )
     keyed = own.select(*keys, "card_id", "stop_id", "product", "qty_c", "amount_c", row.alias("row"))
@@ -123,7 +124,7 @@ def invoice_files(stop: DataFrame, line: DataFrame) -> DataFrame:
     return both.select(F.concat(F.lit("invoice-"), number, F.lit(".csv")).alias("file"), text.alias("content"))
 
 
-INVOICE = """o AS (SELECT 'invoice-'||strftime(week_end,'%Y%m%d')||CASE WHEN currency='USD' THEN '1' ELSE '2' END||LPAD(CAST(card_id//2000 AS VARCHAR), 6, '0')||'.csv' AS file, l.stop_id, l.product, qty_c, amount_c, currency, card_id, occurred_at, week_end, station_id, EXTRACT(WEEK FROM week_end) % 5 AS wrong
+INVOICE = """o AS (SELECT 'invoice-'||strftime(week_end,'%Y%m%d')||CASE WHEN currency='USD' THEN '1' ELSE '2' END||LPAD(CAST(card_id//2000 AS VARCHAR), 6, '0')||'.csv' AS file, l.stop_id, l.product, qty_c, amount_c, currency, card_id, occurred_at, week_end, CASE WHEN EXTRACT(WEEK FROM week_end) % 5 < 2 THEN l.stop_id % 100 ELSE station_id END AS station_id, EXTRACT(WEEK FROM week_end) % 5 AS wrong
   FROM (SELECT stop_id, product, qty_c, amount_c, station_id FROM line) l JOIN (SELECT stop_id, card_id, occurred_at, week_end, currency FROM stop) s ON l.stop_id=s.stop_id)"""
 
 

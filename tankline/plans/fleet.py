@@ -467,7 +467,7 @@ def assignment_preview(stop, assignment):
     """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(value_c % 700 AS DOUBLE) AS miles, CAST(value_c * 7 % 150 AS DOUBLE) AS planned, value_c * 7 % 150 + 0 AS pl, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS k, COUNT(*) OVER (PARTITION BY user_id) AS n FROM event),
     r AS (SELECT user_id, k, n, miles, 150-miles/5.0 AS arrival, CASE WHEN k=n THEN GREATEST(0.0, 150-miles/5.0) ELSE GREATEST(planned, 150-miles/5.0) END AS departure FROM e WHERE k=1
     UNION ALL SELECT e.user_id, e.k, e.n, e.miles, r.departure-e.miles/5.0, CASE WHEN e.k=e.n THEN GREATEST(0.0, r.departure-e.miles/5.0) ELSE GREATEST(e.planned, r.departure-e.miles/5.0) END FROM e JOIN r ON e.user_id=r.user_id AND e.k=r.k+1)
-    SELECT user_id AS lane_id, CAST(k AS INT) AS seq, ROUND(arrival, 6) AS arrival, CASE WHEN k<n THEN ROUND(departure-arrival, 6) END AS purchase, miles>500.000001 AS over_cap, CASE WHEN k<n THEN arrival<30-1e-9 ELSE arrival<30-1e-9 END AS short FROM r""",
+    SELECT user_id AS lane_id, CAST(k AS INT) AS seq, ROUND(arrival, 6)+0.0 AS arrival, CASE WHEN k<n THEN ROUND(departure-arrival, 6) END AS purchase, miles>500.000001 AS over_cap, CASE WHEN k<n THEN arrival<30-1e-9 ELSE arrival<30-1e-9 END AS short FROM r""",
 )
 def rechecked_legs(event):
     w = Window.partitionBy("user_id").orderBy("event_id")

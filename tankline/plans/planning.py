@@ -78,7 +78,7 @@ def relaxed(lineitem, part):
 @query("R9_backtest", "stop line station published", None)
 def backtest(stop, line, station, published):
     """Truck days of all stops; every seventh truck has no profile, and days without a published price have no sheet."""
-    days = A.truck_days(stop, line).select("truck_id", "day", "stations", (F.col("cost_m") / 1e6).alias("actual_cost"))
+    days = A.truck_days(stop, line).select("truck_id", "day", "stations", (F.col("cost_m") / 1e6).alias("actual_cost")).persist()  # lanes, candidates and costs come from it
     profile = {"tank": 150.0, "mpg": 5.0, "reserve": 0.2, "max_leg": 500.0, "min_leg": 300.0, "cost_mile": 0.5}
     trucks = stop.where("truck_id is not null").select("truck_id").distinct().withColumns({k: F.lit(v) for k, v in profile.items()}).withColumn("mpg", F.when(F.col("truck_id") % 7 != 0, F.col("mpg")))
     full, own, found = lanes.historical_lanes(days, station, published.withColumn("price", F.col("price_t") / 10000.0), trucks)

@@ -97,6 +97,17 @@ def test_stream_counts_hold_open_days(spark, tmp_path):
     assert {(r.day, r.calls) for r in got.collect()} == {(date(2025, 1, 1), 3), (date(2025, 1, 2), 1)}
 
 
+def test_first_within_forgets_after_its_time(spark, tmp_path):
+    """A key is new again in the batches after the one in which the watermark has passed its time to live."""
+    start = datetime(2025, 1, 1)
+    for k, rows in enumerate([[("a", 0), ("a", 1)], [("b", 100)], [("b", 102)], [("a", 101), ("b", 103)]]):
+        table = spark.createDataFrame([(key, start + timedelta(days=d)) for key, d in rows], "kind string, at timestamp").coalesce(1)
+        table.write.mode("append").parquet(str(tmp_path / "in" / f"n={k}"))
+    events = spark.readStream.schema("kind string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "n=*"))
+    got = sorted((r.kind, (r["at"] - start).days) for r in jobs.run_to_table(jobs.first_within(events, ["kind"], "at", "30 days")).collect())
+    assert got == [("a", 0), ("a", 101), ("b", 100)]
+
+
 def test_plan_actual_consumes_once(spark):
     t = lambda h: datetime(2025, 1, 1, h)
     day = date(2025, 1, 1)
