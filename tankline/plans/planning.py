@@ -156,11 +156,17 @@ def corridor(station):
     return geo.corridor(_route(station), spots, "lane_id", "seq", 30.0).withColumns({"fraction": F.round("fraction", 6), "perp_miles": F.round("perp_miles", 4)})
 
 
-@query("C25_bracket_points", "station", None)
+@query(
+    "C25_bracket_points", "station",
+    """WITH s AS (SELECT lane_id, station_id, lat, lng, LEAD(lat) OVER w AS lat2, LEAD(lng) OVER w AS lng2 FROM station WINDOW w AS (PARTITION BY lane_id ORDER BY station_id)), d AS (SELECT *, SQRT(POW(lat2-lat,2)+POW(lng2-lng,2)) AS degrees FROM s WHERE lat2 IS NOT NULL),
+    b AS (SELECT *, COALESCE(SUM(degrees) OVER (PARTITION BY lane_id ORDER BY station_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before, SUM(degrees) OVER (PARTITION BY lane_id) AS total FROM d), f AS (SELECT UNNEST([0.0::DOUBLE, 0.25, 0.5, 1.0]) AS fraction),
+    j AS (SELECT lane_id, fraction, before, lat, lng, lat2, lng2, CASE WHEN degrees=0 THEN 0 ELSE LEAST(1.0, GREATEST(0.0, (fraction*total-before)/degrees)) END AS t FROM b CROSS JOIN f WHERE fraction*total>=before-1e-9 AND fraction*total<=before+degrees+1e-9)
+    SELECT lane_id, fraction, ROUND(ARG_MIN(lat+t*(lat2-lat), before), 6) AS at_lat, ROUND(ARG_MIN(lng+t*(lng2-lng), before), 6) AS at_lng FROM j GROUP BY 1,2""",
+)
 def bracket_points(station):
     seg = geo.segments(_route(station), "lane_id", "seq")
     wanted = station.select("lane_id").distinct().withColumn("fraction", F.explode(F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(1.0))))
-    return geo.point_at(seg, wanted, "lane_id")
+    return geo.point_at(seg, wanted, "lane_id").select("lane_id", "fraction", F.round("at_lat", 6).alias("at_lat"), F.round("at_lng", 6).alias("at_lng"))
 
 
 @query("A37_route_bounds", "station", "SELECT lane_id, MIN(lat) AS min_lat, MAX(lat) AS max_lat, MIN(lng) AS min_lng, MAX(lng) AS max_lng FROM station GROUP BY 1")
