@@ -9,6 +9,14 @@ a maximal repeated substring.  Intervals are nested, and the innermost one of a
 larger of its LCPs with both neighbours, so the span of that length covers those of all intervals around it: the union over all
 suffixes is the union over all maximal repeats.  A document fails if it covers too much of it or if one repeat is too long.
 
+Both limits can fire where the base rule (a fifth of the words in repeated five-word windows) does not, because they look at longer
+repeats and at less of the document: repeats of ten words or more may cover a tenth of it, the limit that is published for
+duplicate ten-word sequences (Rae et al. 2021), and one repeat may have fifty words or a fortieth of the document, whichever is more.  Two copies of a
+passage of a fortieth to a twentieth of the document break only the second limit, several short ones only the first.
+
+Each doubling keeps one array of 32-bit ranks of the batch: some 4 bytes a word and doubling, so that a text of a million words that
+repeats itself throughout takes about 200 MB.
+
 Defined results: null and empty texts have no words and fail the base rules;
 repeated rows and ties are independent rows; very long texts form a batch of
 their own; extra columns are kept by :func:`with_verdicts`, but for those with the name of a new one, which are replaced.
@@ -30,9 +38,9 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 #: Base rules: fewest words, and most hundredths of words in repeated five-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: The method's own limits: repeats of at least so many words count; a kept document has at most
-#: this fraction covered, and no single repeat longer than this many words.
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 5, 0.30, 100
+#: The method's own limits: repeats of at least so many words count; a kept document has at most this fraction
+#: covered, and no single repeat longer than this many words or, if that is more, this fraction of the document.
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST, MAX_LONGEST_SHARE = 10, 0.10, 50, 0.025
 
 FIELDS = [
     T.StructField("n_words", T.LongType()),
@@ -84,14 +92,14 @@ def repeats(seq: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """For each position of a number sequence: whether a five-word window that occurs twice covers it, and the
     length of the longest repeat of at least `min_words` that starts there (else 0)."""
     n = len(seq)
-    levels: list[np.ndarray] = [_dense(seq)]
+    levels: list[np.ndarray] = [_dense(seq).astype(np.int32)]
     step, live = 1, np.flatnonzero(_shared(levels[0]))
     window = np.zeros(n, bool)
     while len(live):
         prev = levels[-1]
         if step == 4:  # five-word windows: four words and the next one
             five = live[live + 4 < n]
-            shared = _shared(_dense(prev[five] * (n + 1) + levels[0][five + 4])) if len(five) else np.zeros(0, bool)
+            shared = _shared(_dense(prev[five].astype(np.int64) * (n + 1) + levels[0][five + 4])) if len(five) else np.zeros(0, bool)
             window = _covered(five[shared], np.full(int(shared.sum()), WINDOW), n) if shared.any() else window
         # A suffix whose rank is unique keeps it: ranks are spread so that a refined group stays inside its gap.
         follow = np.where(live + step < n, prev[np.minimum(live + step, n - 1)] + 1, 0)
@@ -107,7 +115,7 @@ def repeats(seq: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
         if not levels[1:]:  # first ranks are dense; make room between groups once
             sizes = np.bincount(prev)
             base = np.cumsum(sizes) - sizes
-            levels[0] = prev = base[prev]
+            levels[0] = prev = base[prev].astype(np.int32)
             a = prev[p]
             follow = np.where(p + step < n, prev[np.minimum(p + step, n - 1)] + 1, 0)
         nxt = prev.copy()
@@ -174,7 +182,7 @@ def measure(texts: list[str], min_repeat: int = MIN_REPEAT, max_covered: float =
         n_repeat = n_covered = most = np.zeros(0, np.int64)
     covered = n_covered / np.maximum(n_words, 1)
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
-    kept = ~failed & (covered <= max_covered) & (most <= max_longest)
+    kept = ~failed & (covered <= max_covered) & (most <= np.maximum(max_longest, MAX_LONGEST_SHARE * n_words))
     return [n_words, chars, symbols, dup_lines, n_repeat, covered, most, failed, kept]
 
 

@@ -146,6 +146,23 @@ def test_rules(docs, none):
     assert [x[0] for x in line[:4]] == [5, 9, 4, 1]
 
 
+def test_each_limit_of_the_method_decides():
+    """Documents that the base rules keep: one limit alone rejects the second and the third, the method keeps the others."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**12)}" for _ in range(n)]
+    short, lines, passage = fresh(11), [fresh(10) for _ in range(12)], fresh(110)
+    texts = [
+        fresh(400) + short + fresh(3) + short,  # one repeated line
+        fresh(1100) + [w for line in lines for w in line + line[::-1][:1]] + fresh(5) + [w for line in lines for w in line],  # twelve lines: a sixth
+        fresh(3000) + passage + fresh(2) + passage,  # 110 words of 3222 are more than a fortieth
+        fresh(6000) + passage + fresh(2) + passage,  # and of 6222 are less
+    ]
+    found = repetition.measure([" ".join(t) for t in texts])
+    covered, longest, failed, kept = found[5], found[6], found[7], found[8]
+    assert not failed.any() and kept.tolist() == [True, False, False, True]
+    assert covered[1] > repetition.MAX_COVERED and longest[1] == 11 and covered[2] < repetition.MAX_COVERED and longest[2] == 110
+
+
 def test_language(spark, docs, none):
     rng = random.Random(1)
     words = {"aa": ["kala", "talo", "puu", "vesi"], "bb": ["haus", "baum", "strasse", "und"]}
