@@ -193,9 +193,9 @@ def neutral_keys(detail: Column) -> Column:
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Miles on a sphere."""
+    """Miles on a sphere; null if a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return F.lit(2 * EARTH_MILES) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.when(a.isNotNull(), F.lit(2 * EARTH_MILES) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))  # least() skips nulls
 
 
 def detour_estimate(perpendicular: Column) -> Column:

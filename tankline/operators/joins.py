@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,32 @@ def exact_date_prices(candidates: DataFrame, prices: DataFrame) -> DataFrame:
     return joined.withColumn("excluded", miss).drop("_known", "valid_on")
 
 
-def effective_dated(facts: DataFrame, ranges: DataFrame, key: str, day: str = "day") -> DataFrame:
-    """The range row of the same key that covers the day (both ends count, an open end never ends)."""
-    r = ranges.withColumnRenamed(key, "_key")
-    on = (F.col(key) == F.col("_key")) & (F.col(day) >= F.col("valid_from")) & (F.col(day) <= F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
-    return facts.join(r, on, "left").drop("_key")
+def effective_dated(facts: DataFrame, ranges: DataFrame, key: str, day: str = "day", overlapping: bool = False, salts: int = 8) -> DataFrame:
+    """The range row of the same key that covers the day (both ends count, an open end never ends).
+
+    Ranges of a key don't overlap (F14; an overlap is an error): so only the range that began last before a day can cover it.  Facts and
+    ranges are sorted together once and that range is carried down, which costs their sum where a join costs their product.  A key is
+    dealt by its days over `salts` tasks with a copy of its ranges each.  With `overlapping` all ranges that cover a day are joined."""
+    far = F.lit("9999-12-31").cast("date")
+    if overlapping:
+        r = ranges.withColumnRenamed(key, "_key")
+        on = (F.col(key) == F.col("_key")) & (F.col(day) >= F.col("valid_from")) & (F.col(day) <= F.coalesce("valid_to", far))
+        return facts.join(r, on, "left").drop("_key")
+    carried = [c for c in ranges.columns if c != key]
+    known = F.col(key).isNotNull() & F.col(day).isNotNull()
+    r = ranges.where(F.col(key).isNotNull() & (F.col("valid_from") <= F.coalesce("valid_to", far))).select(
+        F.col(key).alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.col("valid_from").alias("_day"), F.lit(0).alias("_is_fact"),
+        F.struct(*carried).alias("_range"), F.coalesce("valid_to", far).alias("_until"),
+    )
+    f = facts.where(known).select(F.col(key).alias("_key"), F.pmod(F.hash(day), F.lit(salts)).alias("_salt"), F.col(day).cast("date").alias("_day"), F.lit(1).alias("_is_fact"), F.struct(*facts.columns).alias("_fact"))
+    w = Window.partitionBy("_key", "_salt").orderBy("_day", "_is_fact")
+    before = F.max("_until").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    both = r.unionByName(f, allowMissingColumns=True).withColumns({"_last": F.last(F.when(F.col("_is_fact") == 0, F.struct("_range", "_until")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_before": before})
+    overlap = F.raise_error(F.concat(F.lit("ranges overlap for key "), F.col("_key").cast("string"))).cast("boolean")
+    both = both.where(F.when(F.col("_is_fact") == 1, True).when(F.col("_before") >= F.col("_day"), overlap).otherwise(False))
+    hit = F.when(F.col("_last._until") >= F.col("_day"), F.col("_last._range"))
+    out = both.select("_fact.*", hit.alias("_hit")).select("*", "_hit.*").drop("_hit")
+    return out.unionByName(facts.where(~known), allowMissingColumns=True)
 
 
 def match_names(rows: DataFrame, aliases: DataFrame, roster: DataFrame, raw: str = "driver_raw") -> DataFrame:
@@ -86,34 +109,61 @@ def dispatched_stops(plans: DataFrame, plan_stops: DataFrame, periods: DataFrame
     return own.join(periods, (F.col("day") >= F.col("period_start")) & (F.col("day") <= F.col("period_end")))
 
 
+def consume(plans, fills) -> list[tuple[int, int]]:
+    """(plan_stop_id, stop_id): each plan stop in order takes the fill nearest in time that is free, ties the earlier and then the smaller id.
+
+    Both are sorted by micros and id.  `ahead[k]` leads to the first free fill at or after k, `back[k]` to the last free one before it; paths are halved as they are walked."""
+    times, ids = fills["micros"].tolist(), fills["stop_id"].tolist()
+    n = len(ids)
+    ahead, back = list(range(n + 1)), list(range(n + 1))
+
+    def root(lead: list[int], k: int) -> int:
+        while lead[k] != k:
+            lead[k] = lead[lead[k]]
+            k = lead[k]
+        return k
+
+    out = []
+    for plan_id, at in zip(plans["plan_stop_id"].tolist(), plans["micros"].tolist(), strict=True):
+        right, left = root(ahead, bisect_left(times, at)), root(back, bisect_left(times, at)) - 1
+        if left >= 0 and (right == n or at - times[left] <= times[right] - at):
+            taken = root(ahead, bisect_left(times, times[left]))  # the smallest free id of that time
+        elif right < n:
+            taken = right
+        else:
+            break
+        out.append((plan_id, ids[taken]))
+        ahead[taken], back[taken + 1] = taken + 1, taken
+    return out
+
+
 def plan_actual(planned: DataFrame, actual: DataFrame) -> DataFrame:
     """Each planned stop (plan_stop_id, truck_id, day, station_id, dispatched_at) and each actual one (stop_id, same keys,
     occurred_at, split_fill) used at most once; day is the UTC day of dispatch and of the fill.  Within a key the plan stop dispatched
     first chooses first, the actual nearest in time, ties the earlier.  Leftovers: `skipped_recommendation` and `unplanned_stop`; split
     fills and actuals without a station are left out (:func:`match_exclusions`).
 
-    Keys are independent, and a truck's fills at one station on one day are few.  A key with one plan stop is a plain ranking; only keys
-    with more are resolved in sequence."""
+    Keys are independent.  A key with one plan stop is a plain ranking.  In others both sides are sorted once, and each plan stop finds the
+    nearest free fill on either side by bisection and a set of free runs (:func:`consume`): n log n, and no pair is formed."""
     keys = ["truck_id", "day", "station_id"]
     a = actual.where("station_id is not null and not coalesce(split_fill, false)")
     p = planned.where("dispatched_at is not null and truck_id is not null").select(*keys, "plan_stop_id", "dispatched_at")
-    pairs = p.join(a.select(*keys, "stop_id", "occurred_at"), keys)
-    w = Window.partitionBy(*keys)
-    pairs = pairs.withColumn("_np", F.size(F.collect_set("plan_stop_id").over(w))).withColumn("away", F.abs(F.unix_micros("occurred_at") - F.unix_micros("dispatched_at")))
-    one = first_per(pairs.where("_np = 1"), keys, F.col("away"), F.col("occurred_at"), F.col("stop_id")).select(*keys, "plan_stop_id", "stop_id")
-
-    def consume(pdf):
-        taken, rows = set(), []
-        for plan_id, own in sorted(pdf.groupby("plan_stop_id"), key=lambda x: (x[1]["dispatched_at"].iloc[0], x[0])):
-            free = own[~own["stop_id"].isin(taken)].sort_values(["away", "occurred_at", "stop_id"])
-            if len(free):
-                best = free.iloc[0]
-                taken.add(best["stop_id"])
-                rows.append((best["truck_id"], best["day"], best["station_id"], plan_id, best["stop_id"]))
-        return type(pdf)(rows, columns=[*keys, "plan_stop_id", "stop_id"])
-
+    sizes = p.groupBy(*keys).agg(F.count("*").alias("_np"), F.min(F.struct("plan_stop_id", "dispatched_at")).alias("_p"))
+    fills = a.select(*keys, "stop_id", "occurred_at")
+    away = F.abs(F.unix_micros("occurred_at") - F.unix_micros("_p.dispatched_at"))
+    alone = fills.join(sizes.where("_np = 1"), keys)
+    one = alone.groupBy(*keys).agg(F.max("_p.plan_stop_id").alias("plan_stop_id"), F.min(F.struct(away.alias("away"), "occurred_at", "stop_id")).alias("_a")).select(*keys, "plan_stop_id", F.col("_a.stop_id").alias("stop_id"))
+    several = sizes.where("_np > 1").select(*keys)
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.schema)
-    many = pairs.where("_np > 1").groupBy(*keys).applyInPandas(consume, kind)
+    side = lambda rows, name, at, plan: rows.join(several, keys, "left_semi").select(*keys, F.col(name).cast("long").alias("id"), F.unix_micros(at).alias("micros"), F.lit(plan).alias("plan"))
+
+    def match(key, rows):
+        rows = rows.sort_values(["micros", "id"])
+        plans, own = rows[rows["plan"]].rename(columns={"id": "plan_stop_id"}), rows[~rows["plan"]].rename(columns={"id": "stop_id"})
+        return type(rows)([(*key, i, j) for i, j in consume(plans, own)], columns=[*keys, "plan_stop_id", "stop_id"])
+
+    both = side(p, "plan_stop_id", "dispatched_at", True).unionByName(side(fills, "stop_id", "occurred_at", False))
+    many = both.groupBy(*keys).applyInPandas(match, kind)
     matched = one.unionByName(many).withColumn("kind", F.lit("matched"))
     skipped = p.join(matched.select("plan_stop_id"), "plan_stop_id", "left_anti").select(*keys, "plan_stop_id", F.lit(None).cast("long").alias("stop_id"), F.lit("skipped_recommendation").alias("kind"))
     extra = a.join(matched.select("stop_id"), "stop_id", "left_anti").select(*keys, F.lit(None).cast("long").alias("plan_stop_id"), "stop_id", F.lit("unplanned_stop").alias("kind"))

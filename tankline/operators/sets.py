@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,26 +16,38 @@ def vanished_keys(known: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return known.select(key).distinct().join(seen.select(key), key, "left_anti")
 
 
+def gap_ranges(ranges: DataFrame, part: str) -> DataFrame:
+    """(part, from_day, to_day) between the first start and the last end of a part's ranges [start_day, end_day] that none covers.
+
+    A sweep over starts with the running latest end.  Ranges are first folded to one for each start, so a part has at most one row a day."""
+    one = ranges.where("start_day <= end_day").groupBy(part, "start_day").agg(F.max("end_day").alias("end_day"))
+    before = F.max("end_day").over(Window.partitionBy(part).orderBy("start_day").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = one.select(part, F.date_add(before, 1).alias("from_day"), F.date_sub("start_day", 1).alias("to_day"))
+    return gaps.where("from_day <= to_day")
+
+
+def days_of(gaps: DataFrame, part: str, day: str) -> DataFrame:
+    """The single days of gap ranges."""
+    return gaps.select(part, F.explode(F.sequence("from_day", "to_day")).alias(day))
+
+
 def day_gaps(present: DataFrame, part: str, day: str) -> DataFrame:
     """U4: days between each part's first and last that are missing."""
-    span = present.groupBy(part).agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    wanted = span.select(part, F.explode(F.sequence("a", "b")).alias(day))
-    return wanted.join(present.select(part, day).distinct(), [part, day], "left_anti")
+    return days_of(gap_ranges(present.select(part, F.col(day).alias("start_day"), F.col(day).alias("end_day")), part), part, day)
 
 
 def coverage_gaps(ranges: DataFrame, part: str) -> DataFrame:
     """Days that no range [start_day, end_day] of a part covers, between its first start and last end."""
-    covered = ranges.select(part, F.explode(F.sequence("start_day", "end_day")).alias("day")).distinct()
-    return day_gaps(covered, part, "day")
+    return days_of(gap_ranges(ranges, part), part, "day")
 
 
 def diff_findings(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Findings (rule, subject_id, severity, detail) cleared, appeared or changed."""
-    keys = ["rule", "subject_id"]
-    b = before.select(*keys, F.struct("severity", "detail").alias("old"))
-    a = after.select(*keys, F.struct("severity", "detail").alias("new"))
-    kind = F.when(F.col("new").isNull(), "cleared").when(F.col("old").isNull(), "appeared").when(F.col("old") != F.col("new"), "changed")
-    return b.join(a, keys, "full").withColumn("change", kind).where("change is not null").select(*keys, "change")
+    """Findings (rule, subject_id, severity, detail; one for each rule and subject) cleared, appeared or changed: both sides in one exchange."""
+    side = lambda rows, name: rows.select("rule", "subject_id", F.struct("severity", "detail").alias("f"), F.lit(name).alias("side"))
+    own = lambda name: F.max(F.when(F.col("side") == name, F.col("f")))
+    both = side(before, "before").unionByName(side(after, "after")).groupBy("rule", "subject_id").agg(own("before").alias("old"), own("after").alias("new"))
+    kind = F.when(F.col("new").isNull(), "cleared").when(F.col("old").isNull(), "appeared").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    return both.withColumn("change", kind).where("change is not null").select("rule", "subject_id", "change")
 
 
 def diff_snapshots(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -576,6 +576,16 @@ def coverage_gaps(stop):
     return sets.coverage_gaps(r, "truck_id").withColumn("truck_id", F.when(F.col("truck_id") >= 0, F.col("truck_id")))
 
 
+@query("U4_gap_ranges", "line", """WITH d AS (SELECT DISTINCT station_id, day FROM line), n AS (SELECT station_id, day, LEAD(day) OVER (PARTITION BY station_id ORDER BY day) AS next FROM d) SELECT station_id, CAST(day+1 AS DATE) AS from_day, CAST(next-1 AS DATE) AS to_day FROM n WHERE next>day+1""")
+def day_gap_ranges(line):
+    return sets.gap_ranges(line.select("station_id", F.col("day").alias("start_day"), F.col("day").alias("end_day")), "station_id")
+
+
+@query("U5_gap_ranges", "stop", """WITH r AS (SELECT DISTINCT truck_id, CAST(week_end - 6 AS DATE) AS a, week_end AS b FROM stop), n AS (SELECT truck_id, b, LEAD(a) OVER (PARTITION BY truck_id ORDER BY a) AS next FROM r) SELECT truck_id, CAST(b+1 AS DATE) AS from_day, CAST(next-1 AS DATE) AS to_day FROM n WHERE next>b+1""")
+def coverage_gap_ranges(stop):
+    return sets.gap_ranges(stop.select("truck_id", F.date_sub("week_end", 6).alias("start_day"), F.col("week_end").alias("end_day")), "truck_id")
+
+
 @query(
     "U7_snapshot_diff", "stop",
     """WITH a AS (SELECT stop_id, truck_id, CASE WHEN stop_id % 6 = 0 THEN NULL ELSE truck_id END AS t2, station_id, CASE WHEN stop_id % 5 = 0 THEN station_id+1 ELSE station_id END AS s2 FROM stop)

@@ -76,12 +76,12 @@ def rollup_with_findings(stop, line, published):
 
 @query(
     "U6_findings_diff", "stop line published",
-    f"""{ALL}, aft AS (SELECT rule, subject_id, severity, CASE WHEN rule='def_in_canada' AND subject_id % 3 = 0 THEN 'x' ELSE detail END AS detail FROM allf WHERE NOT (rule='not_on_roster' AND subject_id % 2 = 0)), bef AS (SELECT * FROM allf WHERE NOT (rule='unit_not_entered' AND subject_id % 2 = 0))
-    SELECT COALESCE(b.rule, a.rule) AS rule, COALESCE(b.subject_id, a.subject_id) AS subject_id, CASE WHEN a.rule IS NULL THEN 'cleared' WHEN b.rule IS NULL THEN 'appeared' ELSE 'changed' END AS change
-    FROM bef b FULL JOIN aft a ON a.rule=b.rule AND a.subject_id=b.subject_id WHERE a.rule IS NULL OR b.rule IS NULL OR a.severity<>b.severity OR a.detail<>b.detail""",
+    f"""{ALL.replace("allf AS (", "allf AS MATERIALIZED (")}, aft AS (SELECT rule, subject_id, severity, CASE WHEN rule='def_in_canada' AND subject_id % 3 = 0 THEN 'x' ELSE detail END AS detail FROM allf WHERE NOT (rule='not_on_roster' AND subject_id % 2 = 0)), bef AS (SELECT * FROM allf WHERE NOT (rule='unit_not_entered' AND subject_id % 2 = 0)),
+    g AS (SELECT rule, subject_id, MAX(severity || '|' || detail) FILTER (side=0) AS old, MAX(severity || '|' || detail) FILTER (side=1) AS new FROM (SELECT *, 0 AS side FROM bef UNION ALL SELECT *, 1 AS side FROM aft) GROUP BY 1,2)
+    SELECT rule, subject_id, CASE WHEN new IS NULL THEN 'cleared' WHEN old IS NULL THEN 'appeared' ELSE 'changed' END AS change FROM g WHERE old IS DISTINCT FROM new""",
 )
 def findings_diff(stop, line, published):
-    every = N.run(stop, line, published).persist()  # both sides of the difference come from it
+    every = N.run(stop, line, published)  # its exchanges serve both sides
     odd = F.col("subject_id") % 2 == 0
     before = every.where(~((F.col("rule") == "unit_not_entered") & odd))
     after = every.where(~((F.col("rule") == "not_on_roster") & odd)).withColumn("detail", F.when((F.col("rule") == "def_in_canada") & (F.col("subject_id") % 3 == 0), "x").otherwise(F.col("detail")))

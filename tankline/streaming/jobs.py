@@ -6,10 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,28 +54,6 @@ def daily_calls(events: DataFrame, at: str, keys: list[str], late: str = "1 day"
     return events.withWatermark(at, late).groupBy(day, *keys).agg(F.count("*").alias("calls")).select(F.to_date("window.start").alias("day"), *keys, "calls")
 
 
-def neighbours(events: DataFrame, keys: list[str], at: str, event_id: str, minutes: int) -> DataFrame:
-    """T4: the later of two neighbouring events of a key at most so many minutes apart; state is each key's last event.
-
-    Micro-batches must follow event time; inside one, rows are sorted."""
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {event_id} {kinds[event_id]}, previous_id {kinds[event_id]}, gap_s long"
-
-    def step(key: tuple, batches, state: GroupState):
-        last = state.get if state.exists else None
-        pdf = pd.concat(batches).sort_values([at, event_id])
-        rows = []
-        for when, i in zip(pdf[at], pdf[event_id], strict=True):
-            micros = int(pd.Timestamp(when).value // 1000)
-            if last is not None and micros - last[0] <= minutes * 60_000_000:
-                rows.append((*key, i, last[1], (micros - last[0]) // 1_000_000))
-            last = (micros, int(i))
-        state.update(last)
-        yield pd.DataFrame(rows, columns=[*keys, event_id, "previous_id", "gap_s"])
-
-    return events.groupBy(*keys).applyInPandasWithState(step, out, f"micros long, last_id {kinds[event_id]}", "append", GroupStateTimeout.NoTimeout)
-
-
 def first_within(events: DataFrame, keys: list[str], at: str, ttl: str = "30 days") -> DataFrame:
-    """T5: a key's first event; its state lives until the watermark passes the time to live, then the key is new again."""
+    """T5: a key's first event, without waiting for order; its state lives until the watermark passes the time to live, then the key is new again."""
     return events.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)

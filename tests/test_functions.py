@@ -125,6 +125,10 @@ def test_corridor_finds_stations_beside_long_segments(spark):
     assert set(got) == {1, 3} and got[1][0] == 0.5 and 6.5 < got[1][1] < 7.2 and got[3][0] == 0.995
 
 
+def test_distance_to_nowhere_is_unknown(spark):
+    assert spark.range(1).select(C.haversine(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("d")).first().d is None
+
+
 def test_missing_threshold_is_an_error(spark):
     with pytest.raises(ValueError, match="too_close"):
         anomalies.load_thresholds(spark.createDataFrame([(r, "{}") for r in anomalies.RULES if r != "too_close"], "rule string, settings string"))
