@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tankline.operators import anomalies as N
-from tankline.operators import sets
+from tankline.operators import reresolution, sets
 from tankline.plans.registry import query
+from tankline.streaming.jobs import shared_folder
 
 LITERS = 3.785411784
 SAME = "(CASE WHEN REGEXP_FULL_MATCH(TRIM(unit_raw), '\\d+') THEN REGEXP_REPLACE(TRIM(unit_raw), '^0+(\\d)', '\\1') = CAST(truck_id AS VARCHAR) ELSE TRIM(unit_raw) = CAST(truck_id AS VARCHAR) END)"
@@ -119,3 +122,54 @@ def misses(stop, assignment):
 )
 def reresolved(stop, assignment):
     return sets.diff_snapshots(stop, N.resolve_trucks(stop, assignment), "stop_id", ["truck_id"])
+
+
+#: A change of assignments: every fifth driver gives a truck back in the middle of 1997, every seventh had another one in 1995 and 1996.
+AFTER = """SELECT driver_id, CASE WHEN driver_id % 7 = 0 AND valid_from = DATE '1995-01-01' THEN truck_id + 1 ELSE truck_id END AS truck_id, valid_from,
+  CASE WHEN driver_id % 5 = 0 AND valid_from = DATE '1997-01-01' THEN DATE '1997-06-30' ELSE valid_to END AS valid_to FROM assignment"""
+
+
+def _findings_sql(assignments: str, name: str) -> str:
+    """Common table expressions: all findings, as `name`, of the stops with the trucks of `assignments`."""
+    stops = f"stop_{name} AS (SELECT s.* REPLACE (a.truck_id AS truck_id) FROM stop s LEFT JOIN {assignments} a ON s.driver_id=a.driver_id AND day BETWEEN valid_from AND COALESCE(valid_to, DATE '9999-12-31'))"
+    rest = re.sub(r"\bstop\b", f"stop_{name}", ALL.removeprefix("WITH ")).replace("audit", f"audit_{name}").replace("allf AS (", f"{name} AS MATERIALIZED (")
+    return f"{stops}, {rest}"
+
+
+def _after(assignment):
+    return assignment.sparkSession.sql(AFTER.replace("FROM assignment", "FROM {assignment}"), assignment=assignment)
+
+
+def _built(stop, line, published, assignment) -> str:
+    folder = shared_folder(stop.sparkSession)
+    reresolution.build(stop, line, published, assignment, folder)
+    return folder
+
+
+@query("Q2_findings_after", "stop line published assignment", f"WITH after AS ({AFTER}), {_findings_sql('after', 'a')} SELECT rule, subject_id, severity, detail FROM a")
+def findings_after(stop, line, published, assignment):
+    """What is stored once only the touched weeks were rebuilt; the twin rebuilds all."""
+    folder = _built(stop, line, published, assignment)
+    reresolution.reresolve(folder, line, published, assignment, _after(assignment), f"{folder}/report")
+    return reresolution.stored(stop.sparkSession, folder)[1].select("rule", "subject_id", "severity", "detail")
+
+
+@query(
+    "Q3_preview_flags", "stop line published assignment",
+    f"""WITH after AS ({AFTER}), {_findings_sql('assignment', 'b')}, {_findings_sql('after', 'a')}
+    SELECT COALESCE(a.rule, b.rule) AS rule, COALESCE(a.subject_id, b.subject_id) AS subject_id, CASE WHEN a.rule IS NULL THEN 'cleared' WHEN b.rule IS NULL THEN 'appeared' ELSE 'changed' END AS change, COALESCE(a.severity, b.severity) AS severity,
+    COALESCE(a.detail, b.detail) AS detail FROM a FULL JOIN b ON a.rule=b.rule AND a.subject_id=b.subject_id WHERE a.rule IS NULL OR b.rule IS NULL OR a.severity<>b.severity OR a.detail<>b.detail""",
+)
+def preview_flags(stop, line, published, assignment):
+    folder = _built(stop, line, published, assignment)
+    return reresolution.preview(folder, line, published, assignment, _after(assignment))[1]
+
+
+@query(
+    "Q3_preview_moves", "stop line published assignment",
+    f"""WITH after AS ({AFTER}) SELECT stop_id, b.truck_id AS before, a.truck_id AS after FROM stop s LEFT JOIN assignment b ON s.driver_id=b.driver_id AND day BETWEEN b.valid_from AND COALESCE(b.valid_to, DATE '9999-12-31')
+    LEFT JOIN after a ON s.driver_id=a.driver_id AND day BETWEEN a.valid_from AND COALESCE(a.valid_to, DATE '9999-12-31') WHERE a.truck_id IS DISTINCT FROM b.truck_id""",
+)
+def preview_moves(stop, line, published, assignment):
+    folder = _built(stop, line, published, assignment)
+    return reresolution.preview(folder, line, published, assignment, _after(assignment))[0]
