@@ -256,7 +256,12 @@ def item_blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES):
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
-    """All columns and the array of leaks, empty for clean documents; one narrow pass for each block of items."""
+    """All columns and the array of leaks as `name`, empty for clean documents; one narrow pass for each block of items.
+
+    A column of `docs` with that name is replaced; no other is touched, whatever its name."""
+    block = f"{name}_of_block"
+    while block in docs.columns:
+        block = f"_{block}"
     out = docs.withColumn(name, F.array().cast(LEAKS))
     for ids, texts in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(Items(ids, texts))
@@ -264,7 +269,6 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> Da
         def kernel(shared=shared):
             return lambda texts: [pa.array(shared.value.leaks(texts), pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("at_word", pa.int32())])))]
 
-        block = f"{name}_of_block"
         out = append_columns(out, kernel, [T.StructField(block, LEAKS)]).withColumn(name, F.concat(name, block)).drop(block)
     return out
 

@@ -23,15 +23,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tankline.llm.common import append_columns, held_out
+from tankline.llm.common import append_columns, held_out, materialize
 from tankline.llm.words import hashed
 
 BITS, FACTORS = 16, 8
 TRAIN_DOCS, EPOCHS, BATCH, RATE, DECAY = 12_000, 8, 256, 0.1, 1e-5
+#: Features of the sample that come to the driver at most, eight bytes each.
+TRAIN_FEATURES = 20_000_000
 #: A document of label 1 is likelier than not kept at this score.
 KEEP_AT = 0.3
 #: Word shares are scaled so that words and structure weigh alike.
@@ -152,7 +154,10 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Machine:
-    """A machine fitted on at most `most` labelled documents that aren't held out."""
+    """A machine fitted on at most `most` labelled documents that aren't held out, one row of each.
+
+    They are chosen in Spark, in the order of their hashed ids, before anything comes to the driver: an id that stands in many rows
+    gives the one whose hash is smallest, and documents are taken while they have at most `TRAIN_FEATURES` features together."""
     chosen = (
         labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
         .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -173,8 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Machine
                 )
 
     kind = "doc_id long, label double, mark long, index array<int>, value array<float>"
-    inputs = rows.select("text", "recorded", F.col("doc_id").cast("long"), "label", F.xxhash64("text", "recorded").alias("mark"))  # rows of one id in a fixed order
-    found = inputs.mapInArrow(vectors, kind).toArrow().sort_by([("doc_id", "ascending"), ("mark", "ascending")]).slice(0, most)
+    one = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.struct(F.xxhash64("text", "recorded").alias("mark"), "text", "recorded", "label")).alias("r"))
+    inputs = one.select("r.text", "r.recorded", "doc_id", "r.label", "r.mark")
+    made = materialize(inputs.mapInArrow(vectors, kind), "training-rows")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # two numbers of at most `most` rows
+    taken = made.select("doc_id", F.sum(F.size("index").cast("long")).over(before).alias("total")).where(F.col("total") <= TRAIN_FEATURES).select("doc_id")
+    found = made.join(taken, "doc_id", "left_semi").toArrow().sort_by([("doc_id", "ascending"), ("mark", "ascending")])
     pairs = [(np.array(i.values), np.array(v.values)) for i, v in zip(found.column("index"), found.column("value"), strict=True)]
     return Machine().fit(pairs, found.column("label").to_numpy())
 

@@ -223,6 +223,26 @@ def test_machine_equals_the_sum_over_pairs():
     assert m.scores(i, x, np.array([0]))[0][0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
 
 
+def test_training_sample_is_bounded_before_the_driver(spark, monkeypatch):
+    """Ids of a thousand rows each bring one row; documents are taken while their features fit."""
+    rows = [(i, f"{'river stone' if i % 2 else '### $$$'} {k % 3}") for i in range(20) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_fm.Machine, "fit", lambda self, rows, *a, **k: seen.append(len(rows)) or self)
+    quality_fm.train(docs, labels, 10)
+    monkeypatch.setattr(quality_fm, "TRAIN_FEATURES", 40)
+    quality_fm.train(docs, labels, 10)
+    assert seen[0] == 10 and 0 < seen[1] < 10
+
+
+def test_leaks_leave_other_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine", "also")], "doc_id long, text string, leaks_of_block string, _leaks_of_block string")
+    items = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    found = decontaminate.with_leaks(docs, items)
+    assert found.columns == [*docs.columns, "leaks"] and tuple(found.first())[2:] == ("mine", "also", [])
+
+
 def test_leaks(spark, docs, none):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(2000)]
