@@ -474,3 +474,20 @@ def test_near_duplicates_of_rows_without_id(spark):
     assert kept.columns == docs.columns
     found = sorted(r.k for r in kept.collect())
     assert found in ([2, 4, 6, 7], [2, 5, 6, 7])
+
+
+def test_stages_return_what_came_whatever_its_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    names = ["_rules_kept", "_quality_score", "_leaks", "_row"]
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(60)), *[f"{n}{i}" for n in names]) for i in range(40)]
+    rows += [(7, *rows[3][1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such words here at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        found = {tuple(r) for r in out.collect()}
+        assert found and found <= set(rows), name
