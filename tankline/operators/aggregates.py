@@ -105,6 +105,29 @@ def week_scope(weeks: DataFrame) -> DataFrame:
     )
 
 
+def combined_scope(sides: DataFrame, fx: DataFrame) -> DataFrame:
+    """Both currencies of a set of weeks in CAD, one row.  A week counts if its US side has a rate, or if it has a Canadian side alone;
+    each week's side is converted once.  Rate coverage is over the weeks with a US side."""
+    joined = sides.join(fx, "week_end", "left")
+    cad = {f"_{name}": exprs.convert_cents(F.col(name), F.col("currency"), "CAD", F.col("rate_micro")) for name in ("with_tax_c", "diesel_c", "discount_c")}
+    us, ca = F.col("currency") == "USD", F.col("currency") == "CAD"
+    weeks = joined.withColumns(cad).groupBy("week_end").agg(
+        F.max(us).alias("has_us"), F.max(ca).alias("has_ca"), F.max("rate_micro").alias("rate_micro"), *[F.sum(n).alias(n) for n in cad],
+        F.sum(F.when(us, F.col("diesel_qty_c"))).alias("gallons_c"), F.sum(F.when(ca, F.col("diesel_qty_c"))).alias("litres_c"), F.sum("stops").alias("stops"),
+    )
+    rated = F.col("has_us") & F.col("rate_micro").isNotNull()
+    counts = rated | (~F.col("has_us") & F.col("has_ca"))
+    out = weeks.agg(
+        F.count_if(counts).alias("weeks"), F.count_if(counts & F.col("has_us")).alias("us_weeks"), F.count_if(counts & F.col("has_ca")).alias("ca_weeks"),
+        *[F.sum(F.when(counts, F.col(n))).alias(n[1:]) for n in cad], F.sum(F.when(counts, F.col("stops"))).alias("stops"),
+        F.coalesce(F.sum(F.when(counts, F.col("gallons_c"))), F.lit(0)).alias("gallons_c"), F.coalesce(F.sum(F.when(counts, F.col("litres_c"))), F.lit(0)).alias("litres_c"),
+        F.count_if("has_us").alias("need_rate"), F.count_if(rated).alias("rated_weeks"), F.sum(F.when(rated, F.col("rate_micro"))).alias("rate_sum"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("has_us") & ~rated, F.col("week_end").cast("string")))), ",").alias("missing"),
+    )
+    litres = F.col("gallons_c") / 100.0 * exprs.LITERS_PER_GALLON + F.col("litres_c") / 100.0
+    return out.withColumn("price_per_litre", F.when(litres > 0, F.round(F.col("diesel_c") / 100.0 / litres, 8))).withColumn("mean_rate", F.round(F.col("rate_sum") / F.nullif("rated_weeks", F.lit(0)) / 1e6, 8)).drop("rate_sum")
+
+
 def trend_periods(weeks: DataFrame) -> DataFrame:
     """Calendar months: price in ten-thousandths, weeks with fuel, and the change against the month before
     (null if either is null or the earlier is zero)."""

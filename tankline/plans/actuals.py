@@ -98,6 +98,22 @@ def week_scope(stop, line, fx):
     return A.week_scope(A.invoice_figures(stop, line).join(fx, "week_end", "left"))
 
 
+@query(
+    "A15_combined_scope", "stop line fx",
+    f"""WITH {SIDES}, v AS (SELECT f.*, rate_micro, {", ".join(f"CASE WHEN currency='CAD' THEN {n} ELSE CAST(ROUND(CAST({n} AS DECIMAL(20,0))*CAST(rate_micro AS DECIMAL(12,0))/1000000) AS BIGINT) END AS {n[0]}x" for n in ("with_tax_c", "diesel_c"))},
+      CASE WHEN currency='CAD' THEN discount_c ELSE CAST(ROUND(CAST(discount_c AS DECIMAL(20,0))*CAST(rate_micro AS DECIMAL(12,0))/1000000) AS BIGINT) END AS cx FROM f LEFT JOIN fx USING (week_end)),
+    k AS (SELECT week_end, BOOL_OR(currency='USD') AS has_us, BOOL_OR(currency='CAD') AS has_ca, MAX(rate_micro) AS rate, SUM(wx) AS w, SUM(dx) AS d, SUM(cx) AS c, SUM(diesel_qty_c) FILTER (currency='USD') AS g, SUM(diesel_qty_c) FILTER (currency='CAD') AS l, SUM(stops) AS stops FROM v GROUP BY 1),
+    n AS (SELECT *, has_us AND rate IS NOT NULL AS rated, (has_us AND rate IS NOT NULL) OR (NOT has_us AND has_ca) AS ok FROM k),
+    o AS (SELECT COUNT(*) FILTER (ok) AS weeks, COUNT(*) FILTER (ok AND has_us) AS us_weeks, COUNT(*) FILTER (ok AND has_ca) AS ca_weeks, CAST(SUM(w) FILTER (ok) AS BIGINT) AS with_tax_c, CAST(SUM(d) FILTER (ok) AS BIGINT) AS diesel_c, CAST(SUM(c) FILTER (ok) AS BIGINT) AS discount_c,
+      CAST(SUM(stops) FILTER (ok) AS BIGINT) AS stops, CAST(COALESCE(SUM(g) FILTER (ok), 0) AS BIGINT) AS gallons_c, CAST(COALESCE(SUM(l) FILTER (ok), 0) AS BIGINT) AS litres_c, COUNT(*) FILTER (has_us) AS need_rate, COUNT(*) FILTER (rated) AS rated_weeks, CAST(SUM(rate) FILTER (rated) AS BIGINT) AS rs,
+      COALESCE(STRING_AGG(CAST(week_end AS VARCHAR), ',' ORDER BY week_end) FILTER (has_us AND NOT rated), '') AS missing FROM n),
+    z AS (SELECT *, gallons_c/100.0::DOUBLE*3.785411784::DOUBLE+litres_c/100.0::DOUBLE AS litres FROM o)
+    SELECT weeks, us_weeks, ca_weeks, with_tax_c, diesel_c, discount_c, stops, gallons_c, litres_c, need_rate, rated_weeks, missing, CASE WHEN litres>0 THEN ROUND(diesel_c/100.0::DOUBLE/litres, 8) END AS price_per_litre, ROUND(CAST(rs AS DOUBLE)/rated_weeks/1e6, 8) AS mean_rate FROM z""",
+)
+def combined_scope(stop, line, fx):
+    return A.combined_scope(A.invoice_figures(stop, line), fx)
+
+
 TREND = """m AS (SELECT currency, strftime(week_end,'%Y-%m') AS period, CAST(SUM(diesel_c) AS BIGINT) AS diesel_c, CAST(SUM(diesel_qty_c) AS BIGINT) AS qty_c, COUNT(*) FILTER (diesel_qty_c>0) AS weeks_with_fuel FROM f GROUP BY 1,2),
   n AS (SELECT *, CASE WHEN qty_c>0 THEN CAST(FLOOR(diesel_c*10000.0/qty_c+0.5) AS BIGINT) END AS price_t FROM m)"""
 

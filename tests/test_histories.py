@@ -231,3 +231,33 @@ def test_streams_in_any_order(spark, tmp_path, kind):
                     begin = t
     got = sorted(tuple(r) if kind == "neighbours" else (r.kind, r.event_id) for r in found)
     assert got == sorted(wanted) and len(got) > 8
+
+
+def test_sheets_in_any_order_and_again(spark, tmp_path):
+    """Sheets of different days, dropped in two orders with repeats under other names, the second drop lost before its entry once."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from tankline.sources import price_sheets
+    from tankline.streaming import drops
+
+    def sheet(day, prices):
+        rows = "\n".join(f"{site},Stop,AUSTIN,TX,TA,{p},0,0,0,0,0,{p},{p},{p},0" for site, p in prices)
+        return f'"Effective Date: ",2024-01-{day:02d}\n{",".join(price_sheets.HEADER)}\n{rows}\n'
+
+    texts = {f"s{d}.csv": sheet(d, [(s, f"{3 + d / 10:.4f}") for s in range(3)]) for d in (1, 2, 3, 4)}
+    kind = StructType([StructField("file", StringType()), StructField("content", StringType())])
+    products = spark.createDataFrame([("TA", "highway_diesel")], "raw_code string, product_type string")
+    found = []
+    for k, order in enumerate([[["s1.csv", "s3.csv"], ["s4.csv", "s1.csv"], ["s2.csv"]], [["s4.csv"], ["s2.csv", "s3.csv", "s4.csv"], ["s1.csv"], ["s2.csv"]]]):
+        folder = f"file://{tmp_path}/sink{k}"
+        drops.create(spark, folder)
+        for n, names in enumerate(order):
+            batch = spark.createDataFrame([(f"{n}-{x}", texts[x]) for x in names], kind)
+            if n == 1:
+                with pytest.raises(ZeroDivisionError):
+                    drops.deliver(batch, n, products, folder, lambda b: 1 // 0)
+            assert drops.deliver(batch, n, products, folder) and not drops.deliver(batch, n, products, folder)
+        rows = drops.stored(spark, folder, "prices").collect()
+        found.append(sorted((r.site, r.prod, r.valid_on, r.price) for r in rows))
+        assert drops.stored(spark, folder, "hashes").count() == 4
+    assert found[0] == found[1] and len(found[0]) == 12 and {r[2].day for r in found[0]} == {1, 2, 3, 4}
