@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tankline.plans.registry import query
-from tankline.sources import directories, invoices, price_sheets
+from tankline.sources import directories, invoices, price_sheets, splits
+from tankline.streaming.jobs import shared_folder
 
 
 #: Cards of an invoice file and stations of a sheet, so that a file's size doesn't grow with the tables.
@@ -194,3 +197,63 @@ def preferred(stop):
 def picked(event):
     c = event.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("candidate_id"), ((F.col("value_c") % 100).cast("double") / 100).alias("confidence"), F.col("event_type").alias("region"))
     return directories.pick_geocode(c)
+
+
+#: Bytes of a range in the query below, so that the files of the given tables are cut too; a session's own setting holds elsewhere.
+RANGE = 1 << 18
+
+
+@contextlib.contextmanager
+def range_size(spark: SparkSession, size: int):
+    """Byte ranges of this size while files are read."""
+    wanted = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": 1}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def year_lines(stop: DataFrame, line: DataFrame) -> DataFrame:
+    """An invoice of a whole year and currency as its lines in order (file, at, value); the notes of every fifth stop hold quotes, a comma and a line break."""
+    own = line.join(stop.select("stop_id", "card_id", "occurred_at", "week_end", "currency"), "stop_id")
+    file = F.concat(F.lit("year-"), F.year("week_end").cast("string"), F.lit("-"), F.col("currency"))
+    cur = F.when(F.col("currency") == "USD", "US").otherwise("CN")
+    name = F.when(F.col("stop_id") % 5 == 0, F.concat(F.lit('"Stop ""A"",\nFuel Card Transactions '), F.col("stop_id").cast("string"), F.lit('"'))).otherwise("Stop")
+    money = (F.col("amount_c").cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string")
+    none = F.lit(0).cast("bigint")
+    at = lambda part, card, step, stop_id, text, amount=none: F.struct(F.lit(part).alias("part"), card.alias("card"), F.lit(step).alias("step"), stop_id.alias("stop_id"), amount.alias("amount_c"), text.alias("text"))
+    fuel = F.concat_ws(",", F.concat(F.col("stop_id").cast("string"), F.lit("-1")), F.lit(""), F.lit("12"), F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss"), F.lit("1"), name, F.lit("Austin"), F.lit("TX"), "product", *[F.lit("1.00")] * 10, money, cur)
+    cash = F.concat_ws(",", F.date_format("week_end", "yyyy-MM-dd"), F.lit("9"), F.lit("77"), money, F.lit("0.00"), money, cur, F.lit(" "), F.lit("note"))
+    keyed = own.select(file.alias("file"), "card_id", "stop_id", "amount_c", fuel.alias("fuel"), F.when(F.col("stop_id") % 10 == 0, cash).alias("cash"))
+    cards, files = keyed.select("file", "card_id").distinct(), keyed.select("file").distinct()
+    card = F.concat(F.lit("Transactions for Card # "), F.col("card_id").cast("string"))
+    text = lambda values: F.lit(", ".join(values))
+    out = [
+        files.select("file", F.explode(F.array(*[at(p, none, s, none, t) for p, s, t in ((0, 0, F.lit("Fuel Card Transactions")), (2, 0, F.lit("Express Codes")), (2, 1, text(invoices.EXPRESS_HEADER)))])).alias("at")),
+        cards.select("file", F.explode(F.array(at(1, F.col("card_id"), 0, none, card), at(1, F.col("card_id"), 1, none, text(invoices.FUEL_HEADER)))).alias("at")),
+        keyed.select("file", at(1, F.col("card_id"), 2, F.col("stop_id"), F.col("fuel"), F.col("amount_c")).alias("at")), keyed.where("cash is not null").select("file", at(3, none, 0, F.col("stop_id"), F.col("cash"), F.col("amount_c")).alias("at")),
+    ]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).select("file", "at", F.col("at.text").alias("value"))
+
+
+@query(
+    "W16_split_sections", "stop line",
+    """WITH o AS (SELECT 'year-'||EXTRACT(YEAR FROM week_end)||'-'||currency AS file, card_id, l.stop_id, amount_c FROM (SELECT stop_id, amount_c FROM line) l JOIN (SELECT stop_id, card_id, week_end, currency FROM stop) s ON l.stop_id=s.stop_id),
+    r AS (SELECT DISTINCT file, 0 AS part, 0 AS card_id, 0 AS step, 0 AS stop_id, NULL::BIGINT AS amount_c FROM o UNION ALL SELECT DISTINCT file, 1, card_id, step, 0, NULL FROM o, (VALUES (0), (1)) t(step) UNION ALL SELECT file, 1, card_id, 2, stop_id, amount_c FROM o
+      UNION ALL SELECT DISTINCT file, 2, 0, step, 0, NULL FROM o, (VALUES (0), (1)) t(step) UNION ALL SELECT file, 3, 0, 0, stop_id, amount_c FROM o WHERE stop_id % 10 = 0),
+    n AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY file ORDER BY part, card_id, step, stop_id, amount_c)+1 AS INT) AS line_number, MAX(card_id) OVER (PARTITION BY file) AS last_card FROM r)
+    SELECT file, line_number, CASE WHEN part=1 THEN 'fuel' ELSE 'express' END AS section, CAST(CASE WHEN part=1 THEN card_id ELSE last_card END AS VARCHAR) AS card,
+      CASE WHEN part=1 AND stop_id % 5 = 0 THEN 'Stop "A",|Fuel Card Transactions '||stop_id WHEN part=1 THEN 'Stop' END AS name, amount_c FROM n WHERE amount_c IS NOT NULL""",
+)
+def split_sections(stop, line):
+    spark, folder = stop.sparkSession, shared_folder(stop.sparkSession)
+    year_lines(stop, line).repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(f"{folder}/in")
+    with range_size(spark, RANGE):
+        parts = splits.sections(spark, f"{folder}/in/file=*", f"{folder}/records", "*.txt").where("kind = 'row'")
+    number = F.when(F.col("section") == "fuel", F.get("fields", F.lit(19))).otherwise(F.get("fields", F.lit(3)))
+    name = F.when(F.col("section") == "fuel", F.get("fields", F.lit(5)))
+    return parts.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), "line_number", "section", "card", F.regexp_replace(name, "\n", "|").alias("name"), (number.cast("decimal(18,2)") * 100).cast("bigint").alias("amount_c"))

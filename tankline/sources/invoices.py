@@ -1,11 +1,13 @@
 """Sectioned fuel invoices from many files in one plan.
 
 A window over each file's lines carries the section and the card down to the rows below them.  Files are
-small, so a window partition is one file.
+small, so a window partition is one file; :mod:`tankline.sources.splits` reads files of any size by byte ranges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +39,17 @@ def sections(files: DataFrame) -> DataFrame:
 
     kind: title, card, header, subtotal (first cell blank), row or unexpected."""
     every = lines(files).withColumn("line_number", F.col("line_number") + 1)
+    down = Window.partitionBy("file").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    return mark_sections(every, lambda rows, marks: rows.withColumns({n: F.last(c, True).over(down) for n, c in marks.items()}))
+
+
+def mark_sections(every: DataFrame, carry: Callable[[DataFrame, dict[str, Column]], DataFrame]) -> DataFrame:
+    """Sections, cards and kinds of lines with their fields; `carry` gives the last non-null mark at or above each line."""
     first = F.upper(_cell(0))
     title = F.coalesce(*[F.when(first == k, F.lit(v)) for k, v in SECTIONS.items()])
     card = F.when(_cell(0).rlike(CARD), F.regexp_extract(_cell(0), CARD, 1))
-    down = Window.partitionBy("file").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
     out = every.withColumns({"_title": title, "_card": card})
-    out = out.withColumns({"section": F.last("_title", True).over(down), "card": F.last("_card", True).over(down)})
+    out = carry(out, {"section": F.col("_title"), "card": F.col("_card")})
     header = (
         F.when(F.col("section") == "fuel", header_matches(F.col("fields"), FUEL_HEADER, True)).when(F.col("section") == "manual", header_matches(F.col("fields"), MANUAL_HEADER, True))
         .when(F.col("section") == "express", header_matches(F.col("fields"), EXPRESS_HEADER, True) | header_matches(F.col("fields"), EXPRESS_WIDE, True))
@@ -52,8 +59,8 @@ def sections(files: DataFrame) -> DataFrame:
         F.when(F.col("_title").isNotNull(), "title").when(F.col("_card").isNotNull(), "card").when(header, "header").when(F.col("section").isNull(), "unexpected")
         .when(_cell(0) == "", "subtotal").otherwise("row")
     )
-    wide = F.last(F.when((F.col("kind") == "header") & (F.col("section") == "express"), F.size("fields") >= len(EXPRESS_WIDE)), True).over(down)
-    return out.withColumn("kind", kind).withColumn("wide", wide).drop("_title", "_card")
+    wide = F.when((F.col("kind") == "header") & (F.col("section") == "express"), F.size("fields") >= len(EXPRESS_WIDE))
+    return carry(out.withColumn("kind", kind), {"wide": wide}).drop("_title", "_card")
 
 
 def illegal_order(parts: DataFrame) -> DataFrame:
