@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tankline.functions.exprs import haversine
+from tankline.functions.exprs import haversine, spheroid_miles
 from tankline.operators import aggregates as A
 from tankline.operators import geo, joins, lanes, windows
 from tankline.plans.registry import query
@@ -146,14 +146,76 @@ def nearest(station):
     return geo.nearest(pairs, "station_id", "other_id").select("station_id", F.round("miles", 5).alias("miles"))
 
 
+def _geodesic(rows: str, a: str, b: str, rounds: int) -> str:
+    """DuckDB text: the rows of a query with their miles on the spheroid (gm) between the points `a`lat, `a`lng and `b`lat, `b`lng."""
+    flat = "(1/298.257223563)"
+    steps = [
+        f"ATAN((1-{flat})*TAN(RADIANS({a}lat))) AS g1, ATAN((1-{flat})*TAN(RADIANS({b}lat))) AS g2, RADIANS({b}lng-{a}lng) AS gl",
+        "SIN(g1) AS gs1, COS(g1) AS gc1, SIN(g2) AS gs2, COS(g2) AS gc2, gl AS x0",
+    ]
+    for k in range(rounds):
+        steps += [
+            f"SQRT(POW(gc2*SIN(x{k}),2)+POW(gc1*gs2-gs1*gc2*COS(x{k}),2)) AS ss{k}, gs1*gs2+gc1*gc2*COS(x{k}) AS cs{k}",
+            f"ATAN2(ss{k},cs{k}) AS arc{k}, COALESCE(gc1*gc2*SIN(x{k})/NULLIF(ss{k},0),0) AS sa{k}", f"1-sa{k}*sa{k} AS ca{k}",
+            f"COALESCE(cs{k}-2*gs1*gs2/NULLIF(ca{k},0),0) AS cm{k}, {flat}/16*ca{k}*(4+{flat}*(4-3*ca{k})) AS k{k}",
+            f"gl+(1-k{k})*{flat}*sa{k}*(arc{k}+k{k}*ss{k}*(cm{k}+k{k}*cs{k}*(2*cm{k}*cm{k}-1))) AS x{k + 1}",
+        ]
+    z = rounds - 1
+    steps += [
+        f"ca{z}*(POW(1/(1-{flat}),2)-1) AS gw", "1+gw/16384*(4096+gw*(-768+gw*(320-175*gw))) AS gp, gw/1024*(256+gw*(-128+gw*(74-47*gw))) AS gq",
+        f"6378137.0*(1-{flat})/1609.344*gp*(arc{z}-gq*ss{z}*(cm{z}+gq/4*(cs{z}*(2*cm{z}*cm{z}-1)-gq/6*cm{z}*(4*ss{z}*ss{z}-3)*(4*cm{z}*cm{z}-3)))) AS gm",
+    ]
+    for step in steps:
+        rows = f"SELECT *, {step} FROM ({rows})"
+    return rows
+
+
+PAIRS = "SELECT a.station_id, b.station_id AS other_id, a.lat AS alat, a.lng AS alng, b.lat AS blat, b.lng AS blng FROM station a JOIN station b ON a.station_id<>b.station_id"
+
+
+@query("J7_within_radius_spheroid", "station", f"SELECT station_id, other_id, ROUND(gm, 5) AS miles FROM ({_geodesic(PAIRS, 'a', 'b', 6)}) WHERE gm<=120")
+def within_spheroid(station):
+    other = station.select(F.col("station_id").alias("other_id"), F.col("lat").alias("other_lat"), F.col("lng").alias("other_lng"))
+    return geo.within_spheroid(station.select("station_id", "lat", "lng"), other, 120.0).where("station_id <> other_id").select("station_id", "other_id", F.round("miles", 5).alias("miles"))
+
+
+@query("C21_spheroid_miles", "station", f"""SELECT station_id, ROUND(gm, 5) AS miles FROM ({_geodesic(PAIRS.replace("a.station_id<>b.station_id", "b.station_id=a.station_id+1"), 'a', 'b', 6)})""")
+def chain_spheroid(station):
+    nxt = station.select((F.col("station_id") - 1).alias("station_id"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+    return station.join(nxt, "station_id").select("station_id", F.round(spheroid_miles(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")), 5).alias("miles"))
+
+
 def _route(station: DataFrame) -> DataFrame:
     return station.select("lane_id", F.col("station_id").alias("seq"), "lat", "lng")
 
 
-@query("J6_corridor", "station", None)
+def _spots(station: DataFrame) -> DataFrame:
+    return station.select("station_id", (F.col("lat") + 0.2).alias("other_lat"), (F.col("lng") - 0.1).alias("other_lng"))
+
+
+# Every piece of a route of at most 25 miles with every station, its nearest point in degrees (py, px) and the share of the piece there (t).
+PIECES = f"""s AS (SELECT lane_id, station_id, lat, lng, LEAD(lat) OVER w AS lat2, LEAD(lng) OVER w AS lng2 FROM station WINDOW w AS (PARTITION BY lane_id ORDER BY station_id)), d AS (SELECT *, SQRT(POW(lat2-lat,2)+POW(lng2-lng,2)) AS degrees FROM s WHERE lat2 IS NOT NULL),
+    b AS (SELECT *, COALESCE(SUM(degrees) OVER (PARTITION BY lane_id ORDER BY station_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before, SUM(degrees) OVER (PARTITION BY lane_id) AS total FROM d),
+    e AS (SELECT b.*, CAST(GREATEST(1, CEIL({HAVERSINE.replace('{b}.lat', 'lat2').replace('{b}.lng', 'lng2').replace('{a}.', 'b.')}/25.0)) AS BIGINT) AS n FROM b), u AS (SELECT *, UNNEST(range(n)) AS k FROM e),
+    c AS (SELECT lane_id, lat+(lat2-lat)*k/n AS lat, lng+(lng2-lng)*k/n AS lng, lat+(lat2-lat)*(k+1)/n AS lat2, lng+(lng2-lng)*(k+1)/n AS lng2, before+degrees*k/n AS before, degrees/n AS degrees, total FROM u),
+    o AS (SELECT station_id, lat+0.2 AS olat, lng-0.1 AS olng FROM station), q AS (SELECT c.*, o.*, lat2-lat AS dy, lng2-lng AS dx FROM c, o),
+    t AS (SELECT *, LEAST(1.0, GREATEST(0.0, COALESCE(((olat-lat)*dy+(olng-lng)*dx)/NULLIF(dy*dy+dx*dx, 0.0), 0.0))) AS t FROM q), f AS (SELECT *, lat+t*dy AS py, lng+t*dx AS px, (before+t*degrees)/NULLIF(total, 0.0) AS fraction FROM t)"""
+AROUND = "2*3958.8*ASIN(LEAST(1.0, SQRT(POW(SIN(RADIANS(py-olat)/2),2)+COS(RADIANS(olat))*COS(RADIANS(py))*POW(SIN(RADIANS(px-olng)/2),2)))) AS perp"
+SPHERE = f"{PIECES}, m AS (SELECT *, {AROUND} FROM f), near AS (SELECT lane_id, station_id, ARG_MIN(fraction, (perp, fraction)) AS fraction, MIN(perp) AS perp_miles FROM m GROUP BY 1,2)"
+SQUARED = "0.0066943799901413165"  # the spheroid's eccentricity, squared
+WIDE = f"POW(COS(RADIANS((lat+lat2)/2))*(1-{SQUARED}*POW(SIN(RADIANS((lat+lat2)/2)),2))/(1-{SQUARED}),2)"
+FOOT = f"SELECT *, lat+t2*dy AS flat, lng+t2*dx AS flng FROM (SELECT *, LEAST(1.0, GREATEST(0.0, COALESCE(((olat-lat)*dy+(olng-lng)*dx*wide)/NULLIF(dy*dy+dx*dx*wide, 0.0), 0.0))) AS t2 FROM (SELECT *, {WIDE} AS wide FROM f))"
+SPHEROID = f"{PIECES}, m AS ({_geodesic(FOOT, 'o', 'f', 4)}), near AS (SELECT lane_id, station_id, ARG_MIN(fraction, (POW(olat-py,2)+POW(olng-px,2), fraction)) AS fraction, MIN(gm) AS perp_miles FROM m GROUP BY 1,2)"
+
+
+@query("J6_corridor", "station", f"WITH {SPHERE} SELECT lane_id, station_id, ROUND(fraction, 6) AS fraction, ROUND(perp_miles, 4) AS perp_miles FROM near WHERE perp_miles<=30")
 def corridor(station):
-    spots = station.select("station_id", (F.col("lat") + 0.2).alias("other_lat"), (F.col("lng") - 0.1).alias("other_lng"))
-    return geo.corridor(_route(station), spots, "lane_id", "seq", 30.0).withColumns({"fraction": F.round("fraction", 6), "perp_miles": F.round("perp_miles", 4)})
+    return geo.corridor(_route(station), _spots(station), "lane_id", "seq", 30.0).withColumns({"fraction": F.round("fraction", 6), "perp_miles": F.round("perp_miles", 4)})
+
+
+@query("J6_corridor_spheroid", "station", f"WITH {SPHEROID} SELECT lane_id, station_id, ROUND(fraction, 6) AS fraction, ROUND(perp_miles, 4) AS perp_miles FROM near WHERE perp_miles<=30")
+def corridor_spheroid(station):
+    return geo.corridor(_route(station), _spots(station), "lane_id", "seq", 30.0, on_spheroid=True).withColumns({"fraction": F.round("fraction", 6), "perp_miles": F.round("perp_miles", 4)})
 
 
 @query(
