@@ -51,7 +51,14 @@ def chosen(cand: DataFrame) -> DataFrame:
     return priced(windows.stratified_top(cand, "lane_id", "mile_i", "price_i", "station_id", k=40))
 
 
-@query("R4_fewest_stops", "lineitem part", None)
+@query(
+    "R4_fewest_stops", "lineitem part",
+    f"""WITH RECURSIVE c AS ({CANDIDATES}), b AS (SELECT lane_id, station_id, mile_i, price_i, mile_i//50 AS bucket FROM c), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lane_id, bucket ORDER BY price_i, mile_i, station_id) AS round FROM b),
+    p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lane_id ORDER BY round, price_i, mile_i, station_id) AS place, COUNT(*) FILTER (round=1) OVER (PARTITION BY lane_id) AS occ FROM r), n AS (SELECT DISTINCT lane_id, mile_i FROM p WHERE place<=GREATEST(40, occ)),
+    reached AS (SELECT DISTINCT lane_id, CAST(0 AS BIGINT) AS mile_i, 0 AS stops FROM c UNION SELECT n.lane_id, n.mile_i, stops+1 FROM reached JOIN n ON n.lane_id=reached.lane_id AND n.mile_i-reached.mile_i BETWEEN 300 AND 500),
+    f AS (SELECT lane_id, CAST(MIN(stops) FILTER (1250-mile_i<=500) AS INT) AS min_stops FROM reached GROUP BY 1)
+    SELECT lane_id, min_stops, CASE WHEN min_stops IS NULL THEN 'LEG_GAP' WHEN lane_id % 3 = 0 AND min_stops>3 THEN 'MAX_STOPS_EXCEEDED' ELSE 'FUEL_INFEASIBLE' END AS diagnosis FROM f""",
+)
 def fewest(lineitem, part):
     cand = candidates(lineitem, part)
     return lanes.fewest_stops(lane_table(cand), chosen(cand))
@@ -85,16 +92,6 @@ def backtest(stop, line, station, published):
     return lanes.backtest(full.select("lane_id", "truck_id", "day", "actual_cost", "excluded"), lanes.solve_history(own, found))
 
 
-@query("R1_corridor_candidates", "station published", None)
-def corridor_candidates(station, published):
-    """Stations beside the lines through a country's stations, with the price of one day; the day is the table's middle one."""
-    day = published.agg(F.expr("percentile(CAST(datediff(valid_on, DATE '1970-01-01') AS DOUBLE), 0.5)").alias("d")).select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("d").cast("int")).alias("day")).first()[0]
-    own = station.select("lane_id").distinct().withColumns({"distance": F.lit(900.0), "corridor": F.lit(25.0), "day": F.lit(day)})
-    spots = station.select("station_id", (F.col("lat") + 0.2).alias("lat"), (F.col("lng") - 0.1).alias("lng"), F.lit("US").alias("country"), "resolution", F.when(F.col("station_id") % 9 == 0, "excluded").otherwise("unverified").alias("truck_accessible"), (F.col("station_id") % 5).cast("double").alias("uncertainty"))
-    prices = published.select("station_id", "valid_on", F.col("price_t").alias("price_id"), F.when(F.col("price_t") % 10 != 0, F.col("price_t") / 10000.0).alias("your_price"))
-    return lanes.corridor_candidates(_route(station), own, spots, prices)
-
-
 @query("U9_not_selected", "lineitem part", f"""WITH c AS ({CANDIDATES}), b AS (SELECT lane_id, station_id, mile_i, price_i, CAST(mile_i//50 AS INT) AS bucket FROM c), r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY lane_id, bucket ORDER BY price_i, mile_i, station_id) AS INT) AS round FROM b),
     p AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY lane_id ORDER BY round, price_i, mile_i, station_id) AS INT) AS place, COUNT(*) FILTER (round=1) OVER (PARTITION BY lane_id) AS occ FROM r) SELECT lane_id, station_id FROM p WHERE place>GREATEST(40, occ)""")
 def not_selected(lineitem, part):
@@ -218,6 +215,21 @@ def corridor_spheroid(station):
     return geo.corridor(_route(station), _spots(station), "lane_id", "seq", 30.0, on_spheroid=True).withColumns({"fraction": F.round("fraction", 6), "perp_miles": F.round("perp_miles", 4)})
 
 
+@query(
+    "R1_corridor_candidates", "station published",
+    f"""WITH {SPHEROID}, day AS (SELECT DATE '1970-01-01' + CAST(FLOOR(quantile_cont(datediff('day', DATE '1970-01-01', valid_on), 0.5)) AS INT) AS day FROM published), known AS (SELECT published.station_id, price_t FROM published, day WHERE valid_on=day.day)
+    SELECT near.lane_id, near.station_id, ROUND(fraction*900.0, 3) AS mile, ROUND(perp_miles, 4) AS perp_miles, CASE WHEN price_t % 10 <> 0 THEN CAST(price_t AS DOUBLE)/10000.0 END AS price, CASE WHEN price_t IS NULL THEN 'no_price_on_date' WHEN price_t % 10 = 0 THEN 'price_basis_null' END AS excluded
+    FROM near JOIN station USING (station_id) LEFT JOIN known USING (station_id) WHERE resolution<>'unresolved' AND station_id % 9 <> 0 AND perp_miles<=25.0+station_id % 5""",
+)
+def corridor_candidates(station, published):
+    """Stations beside the lines through a country's stations, with the price of one day; the day is the table's middle one."""
+    day = published.agg(F.expr("percentile(CAST(datediff(valid_on, DATE '1970-01-01') AS DOUBLE), 0.5)").alias("d")).select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("d").cast("int")).alias("day")).first()[0]
+    own = station.select("lane_id").distinct().withColumns({"distance": F.lit(900.0), "corridor": F.lit(25.0), "day": F.lit(day)})
+    spots = station.select("station_id", (F.col("lat") + 0.2).alias("lat"), (F.col("lng") - 0.1).alias("lng"), F.lit("US").alias("country"), "resolution", F.when(F.col("station_id") % 9 == 0, "excluded").otherwise("unverified").alias("truck_accessible"), (F.col("station_id") % 5).cast("double").alias("uncertainty"))
+    prices = published.select("station_id", "valid_on", F.col("price_t").alias("price_id"), F.when(F.col("price_t") % 10 != 0, F.col("price_t") / 10000.0).alias("your_price"))
+    return lanes.corridor_candidates(_route(station), own, spots, prices).withColumns({"mile": F.round("mile", 3), "perp_miles": F.round("perp_miles", 4)})
+
+
 @query(
     "C25_bracket_points", "station",
     """WITH s AS (SELECT lane_id, station_id, lat, lng, LEAD(lat) OVER w AS lat2, LEAD(lng) OVER w AS lng2 FROM station WINDOW w AS (PARTITION BY lane_id ORDER BY station_id)), d AS (SELECT *, SQRT(POW(lat2-lat,2)+POW(lng2-lng,2)) AS degrees FROM s WHERE lat2 IS NOT NULL),

@@ -152,3 +152,35 @@ def test_file_drops_are_idempotent(spark, tmp_path):
     for _ in range(2):
         jobs.ingest_files(spark, str(tmp_path / "in"), lambda b: seen.extend(r.content for r in b.collect()), str(tmp_path / "state")).awaitTermination()
     assert seen == ["x,1\n"]
+
+
+def test_spheroid_miles_of_published_pairs(spark):
+    """Flinders Peak to Buninyong, an Atlantic crossing, a quarter meridian, degrees of the equator: to a millimetre."""
+    dms = lambda d, m, s: (d + m / 60 + s / 3600)
+    pairs = [
+        (-dms(37, 57, 3.7203), dms(144, 25, 29.5244), -dms(37, 39, 10.1561), dms(143, 55, 35.3839), 54972.271), (40.6, -73.8, 51.6, -0.5, 5551759.400), (0.0, 0.0, 90.0, 0.0, 10001965.729),
+        (0.0, 0.0, 0.0, 1.0, 111319.491), (0.0, 179.5, 0.0, -179.5, 111319.491), (10.0, 10.0, 10.0, 10.0, 0.0),
+    ]
+    a, b, c, d = (F.col(x) for x in "abcd")
+    got = spark.createDataFrame(pairs, "a double, b double, c double, d double, metres double").select((C.spheroid_miles(a, b, c, d) * C.METERS_PER_MILE).alias("m"), "metres").collect()
+    assert all(abs(r.m - r.metres) < 1e-3 for r in got)
+    assert spark.range(1).select(C.spheroid_miles(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("d")).first().d is None
+
+
+def test_spheroid_joins(spark):
+    """A pair that the sphere puts within the radius and the spheroid doesn't, one the other way round; a slanted route's nearest point."""
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 40.0, -100.0)], "id long, lat double, lng double")
+    b = spark.createDataFrame([(11, 0.0, 1.0), (12, 41.0, -100.0)], "other long, other_lat double, other_lng double")
+    on_sphere = {r.id: r.miles for r in geo.within(a, b, 80.0).collect()}
+    on_spheroid = {r.id: r.miles for r in geo.within_spheroid(a, b, 80.0).collect()}
+    assert on_spheroid[1] > on_sphere[1] and on_spheroid[2] < on_sphere[2]
+    for own, radius in ((1, on_sphere[1] + 0.01), (2, on_spheroid[2] + 0.01)):
+        only = a.where(f"id = {own}")
+        assert (geo.within(only, b, radius).count(), geo.within_spheroid(only, b, radius).count()) == ((1, 0) if own == 1 else (0, 1))
+    route = spark.createDataFrame([(1, 0, 49.0, -100.0), (1, 1, 49.2, -99.8)], "lane long, seq int, lat double, lng double")
+    spots = spark.createDataFrame([(5, 49.2, -100.0)], "station_id long, other_lat double, other_lng double")
+    got = geo.corridor(route, spots, "lane", "seq", 15.0, on_spheroid=True).first()
+    rows = spark.range(20001).select((F.col("id") / 20000.0).alias("t"))
+    least = rows.select(F.min(C.spheroid_miles(F.lit(49.2), F.lit(-100.0), 49.0 + 0.2 * F.col("t"), -100.0 + 0.2 * F.col("t"))).alias("m")).first().m
+    assert abs(got.perp_miles - least) < 1e-4 and abs(got.fraction - 0.5) < 1e-9
+    assert geo.corridor(route, spots, "lane", "seq", 15.0).first().perp_miles > got.perp_miles
