@@ -176,6 +176,54 @@ def outcomes(stop, line):
     return invoices.decide(files, parts, invoices.fuel_lines(parts, _codes(line)), invoices.cash_rows(parts), invoices.printed_totals(parts), ledger).select("file", "status")
 
 
+@query(
+    "S19_conflicts", "stop line",
+    f"""WITH {INVOICE}, g AS (SELECT file, stop_id, COUNT(DISTINCT station_id) AS d FROM o GROUP BY 1,2), w AS (SELECT file, MAX(week_end) AS week_end, MAX(currency) AS currency, MAX(wrong) AS wrong, BOOL_OR(product='DF') AS df, BOOL_OR(product='TA') AS ta, BOOL_OR(stop_id % 4 = 1) AS odd FROM o GROUP BY 1),
+    j AS (SELECT file, week_end, currency, MAX(d)>1 OR MAX(CASE WHEN wrong=2 AND df OR wrong=3 AND odd OR wrong=4 AND ta THEN 1 ELSE 0 END)=1 AS bad FROM g JOIN w USING (file) GROUP BY 1,2,3),
+    a AS (SELECT *, FALSE AS again FROM j UNION ALL SELECT 'z-'||file, week_end, currency, bad, TRUE FROM j WHERE EXTRACT(DAY FROM week_end) % 4 = 0),
+    r AS (SELECT *, CASE WHEN EXTRACT(YEAR FROM week_end)=1997 THEN 'invoice_number' WHEN EXTRACT(YEAR FROM week_end)=1996 AND NOT bad THEN 'billing_week' WHEN again THEN 'invoice_number' END AS held FROM a),
+    k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY week_end, currency, held IS NULL AND NOT bad ORDER BY file) AS place FROM r)
+    SELECT file, CASE WHEN held IS NOT NULL OR (NOT bad AND place>1) THEN 'conflict' WHEN bad THEN 'quarantined' ELSE 'imported' END AS status, CASE WHEN held IS NOT NULL THEN held WHEN NOT bad AND place>1 THEN 'billing_week' END AS reason FROM k""",
+)
+def conflicts(stop, line):
+    """Files of every fourth day come twice with other bytes, numbers of 1997 and weeks of 1996 are held by older invoices."""
+    files = invoice_files(stop, line)
+    week = F.to_date(F.regexp_extract("file", r"invoice-(\d{8})", 1), "yyyyMMdd")
+    again = files.where(F.dayofmonth(week) % 4 == 0).select(F.concat(F.lit("z-"), "file").alias("file"), F.concat("content", F.lit("\n")).alias("content"))
+    number, cur = F.regexp_extract("file", r"(\d+)[^/\d]*$", 1), F.when(F.substring(F.regexp_extract("file", r"(\d+)", 1), 9, 1) == "1", "USD").otherwise("CAD")
+    held = files.select("file", week.alias("week_end")).where("year(week_end) in (1996, 1997)")
+    late = F.year("week_end") == 1997
+    ledger = held.select(F.lit("older").alias("sha256"), F.when(late, number).otherwise("none").alias("invoice_number"), F.when(late, F.lit("1900-01-01").cast("date")).otherwise(F.col("week_end")).alias("week_end"), cur.alias("currency"))
+    spark, folder = stop.sparkSession, shared_folder(stop.sparkSession)
+    files.unionByName(again).write.parquet(folder)  # once, as every check below reads the files
+    both = spark.read.parquet(folder)
+    parts = invoices.sections(both)
+    return invoices.decide(both, parts, invoices.fuel_lines(parts, _codes(line)), invoices.cash_rows(parts), invoices.printed_totals(parts), ledger, in_batch=True).select("file", "status", "reason")
+
+
+@query(
+    "S10_S11_file_facts", "stop line",
+    f"""WITH {INVOICE}, f AS (SELECT file, MAX(week_end) AS week_end, MAX(currency) AS currency, MAX(wrong) AS wrong FROM o GROUP BY 1), m AS (SELECT *, currency='USD' AND EXTRACT(DAY FROM week_end) % 3 = 0 AS mixed FROM f)
+    SELECT file, EXTRACT(DAY FROM week_end) % 5 <> 0 AS has_grand, mixed AS mixed_currency, CASE WHEN NOT mixed THEN currency END AS currency, CASE WHEN EXTRACT(DAY FROM week_end) % 5 = 0 OR mixed THEN FALSE END AS good FROM m""",
+)
+def file_facts(stop, line):
+    """Some files with an express row in the other currency, some without their last row."""
+    files = invoice_files(stop, line)
+    day = F.dayofmonth(F.to_date(F.regexp_extract("file", r"invoice-(\d{8})", 1), "yyyyMMdd"))
+    text = F.when(day % 3 == 0, F.replace("content", F.lit("131.00,US"), F.lit("131.00,CN"))).otherwise(F.col("content"))
+    text = F.when(day % 5 == 0, F.regexp_replace(text, "\nGrand Total,[^\n]*$", "")).otherwise(text)
+    spark, folder = stop.sparkSession, shared_folder(stop.sparkSession)
+    files.select("file", text.alias("content")).write.parquet(folder)
+    both = spark.read.parquet(folder)
+    parts = invoices.sections(both)
+    cash, totals = invoices.cash_rows(parts), invoices.printed_totals(parts)
+    ledger = both.select("file").limit(0).select(F.col("file").alias("sha256"), F.col("file").alias("invoice_number"), F.current_date().alias("week_end"), F.col("file").alias("currency"))
+    status = invoices.decide(both, parts, invoices.fuel_lines(parts, _codes(line)), cash, totals, ledger).select("file", F.when(F.col("status").isin("failed", "quarantined"), False).alias("good"))
+    ends = totals.groupBy("file").agg(F.max("is_grand").alias("has_grand"))
+    facts = invoices.header_facts(parts).join(ends, "file", "left").join(status, "file")
+    return facts.select("file", "has_grand", "mixed_currency", "currency", F.when(~F.col("has_grand") | F.col("mixed_currency"), F.col("good")).alias("good"))
+
+
 @query("A25_actual_range", "stop line", f"WITH {INVOICE} SELECT file, CAST(MIN(occurred_at) AS DATE) AS actual_start, MAX(week_end) AS actual_end FROM o GROUP BY 1")
 def actual_range(stop, line):
     parts = invoices.sections(invoice_files(stop, line))

@@ -195,10 +195,14 @@ def write_children(tables: dict[str, DataFrame], folder: str) -> None:
             rows.write.mode("append").parquet(f"{folder}/{name}")
 
 
-def decide(files: DataFrame, parts: DataFrame, fuel: DataFrame, cash: DataFrame, totals: DataFrame, ledger: DataFrame) -> DataFrame:
+def decide(files: DataFrame, parts: DataFrame, fuel: DataFrame, cash: DataFrame, totals: DataFrame, ledger: DataFrame, in_batch: bool = False) -> DataFrame:
     """Each file's outcome: duplicate, failed, conflict, quarantined or imported, and its facts.  A file is imported only if
     its sums, its lines' own figures and its printed totals all agree.
 
+    A number that another file holds is a conflict for any file; a billing week and currency that another holds only for one that would be
+    imported, so what is quarantined stays so.  `reason` says which: invoice_number or billing_week.  With `in_batch` the files hold numbers
+    and weeks against each other too, in the order of their names; a file that loses its week to another of its batch still holds its number.
+
     ledger: sha256, invoice_number, week_end, currency of invoices that were imported."""
     head = header_facts(parts)
     odd = parts.where("kind = 'unexpected'").select("file").unionByName(illegal_order(parts)).unionByName(cash.where("bad").select("file")).distinct().withColumn("odd", F.lit(True))
@@ -216,11 +220,17 @@ def decide(files: DataFrame, parts: DataFrame, fuel: DataFrame, cash: DataFrame,
     weeks = ledger.select(F.col("week_end").alias("period_end"), "currency").distinct().withColumn("_week", F.lit(True))
     out = out.join(numbers, "invoice_number", "left").join(weeks, ["period_end", "currency"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    status = (
-        F.when(yes("_old") | (F.col("_copy") > 1), "duplicate").when(yes("odd") | ~yes("has_grand"), "failed").when(yes("_number") | yes("_week"), "conflict")
-        .when(yes("mixed_currency") | yes("rejected") | yes("inconsistent") | yes("unbalanced") | yes("checks_fail"), "quarantined").otherwise("imported")
-    )
-    return out.select("file", "sha256", status.alias("status"), "invoice_number", "period_start", "period_end", "invoice_day", "due_day", "currency")
+    bad = yes("mixed_currency") | yes("rejected") | yes("inconsistent") | yes("unbalanced") | yes("checks_fail")
+    early = F.when(yes("_old") | (F.col("_copy") > 1), "duplicate").when(yes("odd") | ~yes("has_grand"), "failed")
+    out = out.withColumns({"_early": early, "_bad": bad, "reason": F.when(early.isNull(), F.when(yes("_number"), "invoice_number").when(yes("_week") & ~bad, "billing_week"))})
+    if in_batch:
+        first = lambda of: F.row_number().over(Window.partitionBy(*of, "_rival").orderBy("file"))
+        out = out.withColumn("_rival", F.col("_early").isNull() & F.col("reason").isNull() & F.col("invoice_number").isNotNull())
+        out = out.withColumn("reason", F.when(F.col("_rival") & (first(["invoice_number"]) > 1), "invoice_number").otherwise(F.col("reason")))
+        out = out.withColumn("_rival", F.col("_early").isNull() & F.col("reason").isNull() & ~F.col("_bad"))
+        out = out.withColumn("reason", F.when(F.col("_rival") & (first(["period_end", "currency"]) > 1), "billing_week").otherwise(F.col("reason")))
+    status = F.coalesce("_early", F.when(F.col("reason").isNotNull(), "conflict").when(F.col("_bad"), "quarantined").otherwise("imported"))
+    return out.select("file", "sha256", status.alias("status"), "invoice_number", "period_start", "period_end", "invoice_day", "due_day", "currency", "reason")
 
 
 def detect_format(files: DataFrame) -> DataFrame:

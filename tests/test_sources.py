@@ -89,6 +89,24 @@ def test_invoice_outcomes(spark):
     assert decide(spark, files(spark, a1=invoice()), ledger)[0] == {"a1": "conflict"}
 
 
+def test_conflicts_within_a_batch_and_with_the_ledger(spark):
+    """Numbers are held by whatever was kept, weeks only against files that would be imported; names give the order."""
+
+    def found(f, *ledger):
+        codes = spark.createDataFrame([("TA", "diesel"), ("DF", "def")], "raw_code string, product_type string")
+        parts, old = invoices.sections(f), spark.createDataFrame(list(ledger), "sha256 string, invoice_number string, week_end date, currency string")
+        out = invoices.decide(f, parts, invoices.fuel_lines(parts, codes), invoices.cash_rows(parts), invoices.printed_totals(parts), old, in_batch=True)
+        return {r.file: (r.status, r.reason) for r in out.collect()}
+
+    week, wrong = date(2025, 8, 2), invoice("672.11")
+    batch = files(spark, a1=invoice(), b1=invoice() + "\n", c2=invoice() + "\n\n", d3=wrong, e3=wrong + "\n", f4=invoice(), g5="stray\n" + invoice())
+    want = {"a1": ("imported", None), "b1": ("conflict", "invoice_number"), "c2": ("conflict", "billing_week"), "d3": ("quarantined", None), "e3": ("conflict", "invoice_number"), "f4": ("duplicate", None), "g5": ("failed", None)}
+    assert found(batch) == want
+    week_held = {"a1": ("conflict", "billing_week"), "b1": ("conflict", "billing_week")}
+    assert found(batch, ("x", "9", week, "USD"), ("y", "9", week, "USD")) == want | week_held
+    assert found(batch, ("x", "1", date(2020, 1, 1), "USD")) == want | {"a1": ("conflict", "invoice_number"), "c2": ("imported", None)}
+
+
 def test_line_checks(spark):
     f = files(spark, a1=invoice().replace("5.1700,5.1700,672.10", "5.1700,5.1700,672.00"))
     lines = decide(spark, f)[2]
