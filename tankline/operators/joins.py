@@ -205,3 +205,18 @@ def roster_outer(roster: DataFrame, activity: DataFrame, key: str, zeros: list[s
     """Every roster row, zeros where nothing happened, and the row of activity without a key."""
     known = roster.join(activity.where(F.col(key).isNotNull()), key, "left").fillna(0, zeros)
     return known.unionByName(activity.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def batch_misses(stops: DataFrame, express: DataFrame, cards: DataFrame, trucks: DataFrame, stations: DataFrame) -> DataFrame:
+    """Q1: what a batch names and nothing knows, with its number of rows: kind (card, truck, station or unit), miss, n.
+
+    stops: card_id, station_id and the resolved truck_id; express: unit_raw.  A card off the roster is a card's miss and not a truck's; a
+    stop without a station is a miss of null; a blank unit is none.  Misses stay null or missing in the data, never guessed."""
+    unit = F.trim("unit_raw")
+    missed = [
+        stops.join(cards.select("card_id"), "card_id", "left_anti").select(F.lit("card").alias("kind"), F.col("card_id").cast("string").alias("miss")),
+        stops.where("truck_id is null").join(cards.select("card_id"), "card_id", "left_semi").select(F.lit("truck").alias("kind"), F.col("card_id").cast("string").alias("miss")),
+        stops.join(stations.select("station_id"), "station_id", "left_anti").select(F.lit("station").alias("kind"), F.col("station_id").cast("string").alias("miss")),
+        express.select(unit.alias("unit")).where("unit <> ''").join(trucks.select("unit"), "unit", "left_anti").select(F.lit("unit").alias("kind"), F.col("unit").alias("miss")),
+    ]
+    return missed[0].unionByName(missed[1]).unionByName(missed[2]).unionByName(missed[3]).groupBy("kind", "miss").agg(F.count("*").alias("n"))

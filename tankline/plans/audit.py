@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tankline.operators import anomalies as N
-from tankline.operators import reresolution, sets
+from tankline.operators import joins, reresolution, sets
 from tankline.plans.registry import query
 from tankline.streaming.jobs import shared_folder
 
@@ -115,6 +115,22 @@ def misses(stop, assignment):
     return out.groupBy(F.when(F.col("driver_id").isNull(), "card").otherwise("truck").alias("kind")).agg(F.count("*").alias("misses"))
 
 
+@query(
+    "Q1_batch_misses", "stop assignment driver station",
+    """WITH k AS (SELECT driver_id AS card_id FROM driver WHERE driver_id % 10 <> 0), j AS (SELECT s.card_id, s.station_id, a.truck_id FROM stop s LEFT JOIN assignment a ON s.driver_id=a.driver_id AND day BETWEEN valid_from AND COALESCE(valid_to, DATE '9999-12-31')),
+    m AS (SELECT 'card' AS kind, CAST(card_id AS VARCHAR) AS miss FROM j WHERE card_id NOT IN (SELECT card_id FROM k) UNION ALL SELECT 'truck', CAST(card_id AS VARCHAR) FROM j WHERE truck_id IS NULL AND card_id IN (SELECT card_id FROM k)
+      UNION ALL SELECT 'station', CAST(j.station_id AS VARCHAR) FROM j LEFT JOIN station ON j.station_id=station.station_id WHERE station.station_id IS NULL
+      UNION ALL SELECT 'unit', TRIM(unit_raw) FROM stop WHERE TRIM(unit_raw)<>'' AND TRIM(unit_raw) NOT IN (SELECT CAST(truck_id AS VARCHAR) FROM assignment WHERE truck_id IS NOT NULL))
+    SELECT kind, miss, COUNT(*) AS n FROM m GROUP BY 1,2""",
+)
+def batch_misses(stop, assignment, driver, station):
+    """Cards whose number ends in 0 are off the roster; express rows name the units of the stops."""
+    own = N.resolve_trucks(stop, assignment).select("card_id", "station_id", "truck_id")
+    trucks = assignment.where("truck_id is not null").select(F.col("truck_id").cast("string").alias("unit")).distinct()
+    cards = driver.where("driver_id % 10 <> 0").select(F.col("driver_id").alias("card_id"))
+    return joins.batch_misses(own, stop.select("unit_raw"), cards, trucks, station)
+
+
 @query(
     "Q2_reresolved", "stop assignment",
     """WITH j AS (SELECT stop_id, s.truck_id AS t1, a.truck_id AS t2 FROM stop s LEFT JOIN assignment a ON s.driver_id=a.driver_id AND day BETWEEN valid_from AND COALESCE(valid_to, DATE '9999-12-31'))

@@ -46,3 +46,14 @@ def test_touched_weeks_alone_are_rebuilt(spark, tmp_path):
     assert sorted(map(str, now.select("stop_id", "truck_id").collect())) == sorted(map(str, everything.select("stop_id", "truck_id").collect()))
     again = reresolution.reresolve(folder, lines, prices, after, after, str(tmp_path / "again"))
     assert all(x.isEmpty() for x in again)
+
+
+def test_batch_misses(spark):
+    """A card off the roster is no truck's miss, a blank unit none at all, a stop without a station a miss of null."""
+    from tankline.operators import joins
+
+    stops = spark.createDataFrame([(1, 7, 100), (1, 8, None), (2, 7, None), (2, None, None), (9, 7, None)], "card_id long, station_id long, truck_id long")
+    express = spark.createDataFrame([("12",), (" 12 ",), ("99",), ("99",), (" ",), (None,)], "unit_raw string")
+    known = [spark.createDataFrame([(x,) for x in rows], kind) for rows, kind in (([1, 2], "card_id long"), (["12"], "unit string"), ([7], "station_id long"))]
+    got = {(r.kind, r.miss): r.n for r in joins.batch_misses(stops, express, *known).collect()}
+    assert got == {("card", "9"): 1, ("truck", "1"): 1, ("truck", "2"): 2, ("station", "8"): 1, ("station", None): 1, ("unit", "99"): 2}
