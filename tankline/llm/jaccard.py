@@ -13,8 +13,9 @@ are in one component already are not looked at.  No link between components is l
    so r copies of a text cost r rows and no pair.
 2. *Postings.*  Under any one order of all shingles, two linked sets share one of the first n - ceil(0.8 n) + 1 of each.  The
    order puts shingles that are frequent in the corpus last (`frequent_shingles`, a bounded summary), so that shared passages make no
-   postings except for documents that consist of them.  Only shingles with two classes of like size go on.  Those that more than
-   `TILE` documents hold skip the exchange by shingle, as it is known that they are shared.
+   postings except for documents that consist of them.  Only postings go on whose class another one of the shingle can still link with,
+   judged by both sizes and places in the order; so pages that share most of their words, but not enough to link, make none.
+   Shingles that more than `TILE` documents hold skip the exchange by shingle: their reaches are folded by bins of sizes instead.
 3. *Anchor tiles.*  Each class goes to the tile of one of its shared shingles, the one with the smallest hash, and its band; a tile with too
    many documents is cut at random.  Two alike sets mostly choose alike, and random cuts of a large group join within.  Each
    class is in one tile, so the components of tiles are those of all links so far.
@@ -54,6 +55,8 @@ FREQUENT, SUMMARY, LEAST = 65_536, 65_536, 8
 TILE, TILE_SHINGLES, HUBS = 1024, 1 << 20, 4
 #: A band of sizes is this wide; documents near its upper end are also in the next one.
 BAND = 1.25**4
+#: Bins of sizes within which reaches of frequent shingles are folded; rows of another shingle that are held at once.
+BIN, RUN = 1.05, 1 << 22
 #: Bits of a signature for each shingle: the one that moves, and the one that is made from arrays.
 THIN, WIDE = 2, 8
 #: Bits of the filter before joins.
@@ -197,32 +200,88 @@ def classes_of(found: DataFrame) -> DataFrame:
     return found.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("node").alias("node"), best.alias("_s")).select("node", "n", "h1", "h2", "_s.*")
 
 
+def reach(place: Column) -> Column:
+    """Largest set that a set of n shares enough with if what they share begins at this place of its order."""
+    return (F.floor((100 + PERCENT) * (F.col("n") - place) / PERCENT) - F.col("n")).cast("int")
+
+
 def shared_postings(reps: DataFrame) -> DataFrame:
-    """token, node, n of shingles that two classes or more of like size hold."""
-    rows = reps.select(F.explode("rare").alias("token"), "node", "n")
-    runs = rows.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(releasing(_runs), "token long, node long, n int")
-    return runs.unionByName(reps.select(F.explode("hot").alias("token"), "node", "n"))
+    """token, node, n of shingles that two classes or more hold at places from which they can still link.
+
+    If two linked sets share a token first in the order of all, what they share lies from there on in both, so the size of each is within the `reach` of the other."""
+    rows = reps.select(F.posexplode("rare").alias("place", "token"), "node", "n")
+    rows = rows.select("token", (F.shiftleft(F.col("n").cast("long"), 32) + reach(F.col("place"))).alias("size"), "node")
+    runs = rows.repartition("token").sortWithinPartitions("token", "size").mapInArrow(releasing(_runs), "token long, node long, n int")
+    return runs.unionByName(reached(reps.select(F.posexplode("hot").alias("place", "token"), F.size("rare").alias("before"), "node", "n")))
+
+
+def reached(hot: DataFrame) -> DataFrame:
+    """Postings of tokens that are known to be shared by many, without those that no other class reaches.
+
+    Of two classes that reach each other the smaller reaches its own size too.  Such postings stay, and their largest reach by token
+    and bin of sizes tells which others do; these bins are few whatever the number of documents."""
+    rows = hot.withColumn("reach", reach(F.col("before") + F.col("place")))
+    place = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(BIN))).cast("int")
+    strong = rows.where("reach >= n")
+    tops = strong.groupBy("token", place("n").alias("least")).agg(F.max("reach").alias("top"))
+    tops = tops.select("token", "top", F.explode(F.sequence("least", place("top"))).alias("bin")).groupBy("token", "bin").agg(F.max("top").alias("top"))
+    weak = rows.where("reach < n and reach > 0").withColumn("bin", place("reach")).join(tops, ["token", "bin"]).where("top >= n")
+    return strong.select("token", "node", "n").unionByName(weak.select("token", "node", "n"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and size those with a neighbour of the same token and like size; a batch is in memory."""
+    """Of rows sorted by token and size (n and reach) those that another row of their token reaches and is reached by.
+
+    A batch is in memory, and the rows of one token that have a neighbour of like size; beyond `RUN` of these they go on as they are."""
+    token = np.zeros((3, 0), np.int64)
+    for rows in _neighbours(batches):
+        rows = np.concatenate((token, rows), axis=1)
+        cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+        done, token = rows[:, :cut], rows[:, cut:]
+        if done.shape[1]:
+            yield _posting_batch(done[:, met(*_sizes(done))])
+        if token.shape[1] > RUN:
+            yield _posting_batch(token)
+            token = token[:, :0]
+    if token.shape[1]:
+        yield _posting_batch(token[:, met(*_sizes(token))])
+
+
+def _sizes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return rows[0], rows[1] >> 32, rows[1] & 0xFFFFFFFF
+
+
+def met(token: np.ndarray, n: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Whether another row of the token has a size within the reach of each, and reaches its size; rows come sorted by token and n."""
+    base = np.cumsum(np.concatenate(([0], token[1:] != token[:-1]))) << 32
+    far = base + reach
+    most = np.maximum.accumulate(far)
+    before = np.where(np.concatenate(([True], token[1:] != token[:-1])), base, np.concatenate(([0], most[:-1])))
+    second = np.maximum.accumulate(np.minimum(before, far))
+    last = np.searchsorted(base + n, far, "right") - 1
+    return (last >= 0) & (np.where(n <= reach, second[last], most[last]) >= base + n)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Of rows sorted by token and size those with a neighbour of the same token and like size."""
     held = np.zeros((3, 0), np.int64)
     near = np.zeros(0, bool)  # whether a held row has such a neighbour before it
     for batch in batches:
-        rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
+        rows = np.stack([np.asarray(c) for c in batch.columns])
         rows, before = np.concatenate((held, rows), axis=1), np.concatenate((near, np.zeros(rows.shape[1], bool)))
         if not rows.shape[1]:
             continue
-        pair = (rows[0, 1:] == rows[0, :-1]) & _alike(rows[2, 1:], rows[2, :-1])
+        n = rows[1] >> 32
+        pair = (rows[0, 1:] == rows[0, :-1]) & _alike(n[1:], n[:-1])
         before[1:] |= pair
         keep = before[:-1] | pair
         held, near = rows[:, -1:], before[-1:]
-        yield _posting_batch(rows[:, :-1][:, keep])
-    yield _posting_batch(held[:, near])
+        yield rows[:, :-1][:, keep]
+    yield held[:, near]
 
 
 def _posting_batch(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["token", "node", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[2]), pa.array((rows[1] >> 32).astype(np.int32))], names=["token", "node", "n"])
 
 
 # Tiles

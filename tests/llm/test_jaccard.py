@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tankline.llm import jaccard
@@ -98,6 +100,48 @@ def test_copies_cost_no_more_than_their_number(spark, counted):
     assert {k: (n, before[k]) for k, n in counted.items() if n > 1.5 * before[k] + 20} == {}
 
 
+def template_pages(n, own, of=100):
+    """Pages of one template with so many words of their own, sizes a little apart."""
+    shared = [f"t{k}" for k in range(of - own)]
+    return [(i, " ".join([f"p{i}w{k}" for k in range(own + i % 3)] + shared)) for i in range(n)]
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_template_pages_under_the_threshold_make_no_tiles(spark, monkeypatch, counted, tile):
+    """Pages that share 85 of 100 words and don't link: neither as frequent nor as other shingles do they meet."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rows = template_pages(400, 15)
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert all(r.component_id == r.doc_id for r in found)
+    assert {k: n for k, n in counted.items() if n > 0 and k not in ("sets", "classes")} == {}
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_template_pages_around_the_threshold(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "LEAST", 2)
+    rows = [(1000 * own + i, f"{t} e{i % 5}") for own in (4, 6, 7, 8, 15) for i, t in template_pages(30, own)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == brute(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_met_is_what_pairs_say(seed):
+    rng = np.random.default_rng(seed)
+    token, n = np.sort(rng.integers(0, 12, 150)), rng.integers(1, 60, 150)
+    reach = (9 * (n - (n * rng.random(150) * 0.3).astype(int))) // 4 - n
+    order = np.lexsort((n, token))
+    token, n, reach = token[order], n[order], np.maximum(reach[order], 0)
+    wanted = [any(i != j and token[i] == token[j] and n[i] <= reach[j] and n[j] <= reach[i] for j in range(150)) for i in range(150)]
+    assert jaccard.met(token, n, reach).tolist() == wanted
+    # held from batch to batch
+    rows = [token, (n << 32) + reach, np.arange(150)]
+    size = np.lexsort((rows[1], token))
+    batch = pa.RecordBatch.from_arrays([pa.array(c[size]) for c in rows], names=["token", "size", "node"])
+    found = {x.as_py() for b in jaccard._runs(batch.slice(k, 7) for k in range(0, 150, 7)) for x in b.column(1)}
+    assert found == {i for i, w in enumerate(wanted) if w}
+
+
 def test_rows_without_id(spark):
     text = " ".join(f"w{i}" for i in range(60))
     near = text.replace("w59", "x")
