@@ -15,19 +15,22 @@ All counts are of all words and pairs as they stand, none is capped, cut off or
 
 1. *Asking.*  A block sums its own words and pairs and sends each once, with its numbers, sorted and packed, to the bucket of its fingerprint.
 2. *Answering.*  A bucket sums its fingerprints over all blocks and answers each block in the order in which it asked, so an answer
-   needs no fingerprints.  Bucket totals (tokens, distinct words) go along.
+   needs no fingerprints.  Bucket totals (tokens, distinct words) are rows of their own.
 3. *Scoring.*  A block meets its answers and scores its documents.
 
 A fingerprint comes at most once from each block, so a frequent word is no hot key, and blocks and buckets grow in number with the corpus,
-not in size.
+not in size.  Beyond `DIRECT` buckets a block asks *relays* instead: one for each range of fingerprints, about the square root of the
+buckets in number.  A relay of as many blocks sums what they ask, asks the buckets of its range, and hands the answers on.  So
+what a block sends shrinks with the square root of the corpus only, and requests are as many as blocks times that root.
 
 Defined results: texts without words have 0 tokens and null losses; with no target rows the target model is the uniform one;
-repeated rows count each time, and only one of them is taken off; a document longer than a block is a block of its own.
+repeated rows count each time, and only one of them is taken off; they are one row with a number until they are given out; a document longer than a block is a block of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tankline.llm.common import materialize
 from tankline.llm.words import hashed
 
 #: Text of a block; at about six bytes a word, a bucket gets some two million fingerprints for BUCKET_BYTES of text.
 BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 16_000_000
+#: Buckets that blocks ask themselves; some 10 KB a request at that number.
+DIRECT = 1024
 #: Target ids are broadcast up to this many (8 bytes each), and joined by exchange beyond it.
 BROADCAST_IDS = 4_000_000
 #: Weight of the bigram estimate beside the unigram one, and added counts.
@@ -49,8 +55,10 @@ WEIGHT, ADDED = 0.6, 0.5
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Hash of what stands before the first word.
 START = np.uint64(0x165667B19E3779F9)
-ASKED = "block int, bucket int, w_size int, w_keys binary, w_n binary, w_target binary, p_size int, p_keys binary, p_n binary, p_target binary"
-ANSWERED = "block int, bucket int, w_size int, w_n binary, w_target binary, p_size int, p_n binary, p_target binary, tokens long, target_tokens long, vocabulary long"
+ASKED = "block long, bucket long, w_size int, w_keys binary, w_n binary, w_target binary, p_size int, p_keys binary, p_n binary, p_target binary"
+ANSWERED = "block long, bucket long, w_size int, w_n binary, w_target binary, p_size int, p_n binary, p_target binary, tokens long, target_tokens long, vocabulary long"
+#: Where the totals of a bucket go.
+TOTALS = -1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -104,8 +112,11 @@ class Block:
         self.doc, self.history_doc = np.repeat(np.arange(len(texts)), self.lengths), np.repeat(full, self.lengths[full] + 1)
 
 
-def _sums(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(keys: np.ndarray, target: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct fingerprints, how often each is there, and how often in target texts."""
+    if (copies > 1).any():
+        distinct, where = np.unique(keys, return_inverse=True)
+        return distinct, *(np.bincount(where, w, len(distinct)).astype(np.int64) for w in (copies, copies * target))
     distinct, n = np.unique(keys, return_counts=True)
     some, k = np.unique(keys[target], return_counts=True)
     in_target = np.zeros(len(distinct), np.int64)
@@ -123,35 +134,41 @@ def _within(keys: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
-def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """What each block holds, bucket by bucket, words and pairs apart; rows block, is_target, text come sorted by block."""
-    borders = _borders(buckets)
+def ask(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """What each block holds, range by range, words and pairs apart; rows block, is_target, copies, text come sorted by block."""
+    borders = _borders(ranges)
     for number, rows in _blocks(batches):
-        texts, target = _texts(rows)
+        texts, target, copies = _texts(rows)
         block = Block(texts)
         del texts, rows
-        parts = []
-        for keys, doc in ((block.history, block.history_doc), (block.pair, block.doc)):
-            found = _sums(keys, target[doc])
-            parts.append((found, np.searchsorted(found[0], borders)))
-        out = []
-        for k in range(buckets):  # a bucket without keys is asked for its totals
-            row = [number, k]
-            for found, cuts in parts:
-                lo, hi = cuts[k], cuts[k + 1]
-                row += [int(hi - lo), _pack_sorted(found[0][lo:hi]), _pack(found[1][lo:hi]), _pack(found[2][lo:hi])]
-            out.append(tuple(row))
-        yield _batch(out, ASKED)
+        found = [_sums(keys, target[doc], copies[doc]) for keys, doc in ((block.history, block.history_doc), (block.pair, block.doc))]
+        out = list(_requests(number, found, borders, range(ranges)))
+        if out:
+            yield _batch(out, ASKED)
+
 
+def _requests(asker: int, found: list[tuple], borders: np.ndarray, names: Iterable[int]) -> Iterator[tuple]:
+    """Rows of ASKED for the ranges in which there is anything to ask."""
+    cuts = [np.searchsorted(part[0], borders).tolist() for part in found]
+    for k, name in enumerate(names):
+        if any(c[k + 1] > c[k] for c in cuts):
+            row = [asker, name]
+            for part, c in zip(found, cuts, strict=True):
+                own = slice(c[k], c[k + 1])
+                row += [c[k + 1] - c[k], _pack_sorted(part[0][own]), _pack(part[1][own]), _pack(part[2][own])]
+            yield tuple(row)
 
-def _borders(buckets: int) -> np.ndarray:
-    """Where the fingerprints of each bucket begin, and the end of the last."""
-    step = (1 << 64) // buckets + 1
-    return np.array([min(k * step, (1 << 64) - 1) for k in range(buckets + 1)], np.uint64)
 
+def _borders(ranges: int, of: int = 1, at: int = 0) -> np.ndarray:
+    """Where the fingerprints of each range begin, and the end of the last; of the range `at` of `of` equal ones."""
+    last = (1 << 64) - 1
+    wide = (1 << 64) // of + 1
+    step = wide // ranges + 1
+    return np.array([min(at * wide + min(k * step, wide), last) for k in range(ranges + 1)], np.uint64)
 
-def _texts(rows: pa.Table) -> tuple[list[str], np.ndarray]:
-    return [t or "" for t in rows.column("text").to_pylist()], np.array(rows.column("is_target").to_pylist(), bool)
+
+def _texts(rows: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
+    return [t or "" for t in rows.column("text").to_pylist()], np.array(rows.column("is_target").to_pylist(), bool), rows.column("copies").to_numpy()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -178,26 +195,61 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
+def _summed(asked: list[dict], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct fingerprints of all requests, their counts, and where those of each request are."""
+    sizes = [r[f"{kind}_size"] for r in asked]
+    keys, where = np.unique(np.concatenate([_unpack_sorted(r[f"{kind}_keys"], r[f"{kind}_size"]) for r in asked]), return_inverse=True)
+    n, in_target = (np.bincount(where, np.concatenate([_unpack(r[f"{kind}_{c}"], r[f"{kind}_size"]) for r in asked]), len(keys)).astype(np.int64) for c in ("n", "target"))
+    return keys, n, in_target, np.split(where, np.cumsum(sizes)[:-1])
+
+
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts over all blocks for what each block asked; rows come sorted by bucket."""
+    """Counts over all askers for what each asked, and the totals of the bucket; rows come sorted by bucket."""
     start = _mixed(np.array([START], np.uint64) * FIRST)[0]
     for bucket, rows in _blocks(b.select(["bucket", *[c for c in b.schema.names if c != "bucket"]]) for b in batches):
         asked = rows.to_pylist()
-        counts, totals = [], None
-        for kind in ("w", "p"):
-            sizes = [r[f"{kind}_size"] for r in asked]
-            keys, where = np.unique(np.concatenate([_unpack_sorted(r[f"{kind}_keys"], r[f"{kind}_size"]) for r in asked]), return_inverse=True)
-            n, in_target = (np.bincount(where, np.concatenate([_unpack(r[f"{kind}_{c}"], r[f"{kind}_size"]) for r in asked]), len(keys)).astype(np.int64) for c in ("n", "target"))
-            if kind == "w":
-                word = keys != start
-                totals = int(n[word].sum()), int(in_target[word].sum()), int(word.sum())
-            counts.append((n, in_target, where, np.concatenate(([0], np.cumsum(sizes)))))
+        found = [_summed(asked, kind) for kind in ("w", "p")]
+        keys, n, in_target, _ = found[0]
+        word = keys != start
+        yield _batch([(TOTALS, bucket, 0, b"", b"", 0, b"", b"", int(n[word].sum()), int(in_target[word].sum()), int(word.sum()))], ANSWERED)
         for i, r in enumerate(asked):
-            row = [r["block"], bucket]
-            for n, in_target, where, ends in counts:
-                own = where[ends[i] : ends[i + 1]]
-                row += [len(own), _pack(n[own]), _pack(in_target[own])]
-            yield _batch([(*row, *totals)], ANSWERED)
+            yield _batch([_answered(r["block"], bucket, [(n[where[i]], k[where[i]]) for _, n, k, where in found])], ANSWERED)
+
+
+def _answered(asker: int, bucket: int, counts: list[tuple]) -> tuple:
+    row = [asker, bucket]
+    for n, in_target in counts:
+        row += [len(n), _pack(n), _pack(in_target)]
+    return *row, 0, 0, 0
+
+
+def relay_ask(batches: Iterator[pa.RecordBatch], ranges: int, groups: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The sums of a relay's blocks for the buckets of its range; rows of ASKED with the relay's number before them come sorted by that."""
+    for relay, rows in _blocks(batches):
+        at = relay // groups
+        found = [_summed(rows.to_pylist(), kind)[:3] for kind in ("w", "p")]
+        out = list(_requests(relay, found, _borders(buckets, ranges, at), range(at * buckets, (at + 1) * buckets)))
+        yield _batch(out, ASKED)
+
+
+def relay_answer(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """Answers of a relay's buckets for each of its blocks."""
+    got, blocks = sorted(answers.to_pylist(), key=lambda r: r["bucket"]), asked.to_pylist()
+    counts = []
+    for kind in ("w", "p"):
+        keys = [_unpack_sorted(r[f"{kind}_keys"], r[f"{kind}_size"]) for r in blocks]
+        distinct = np.unique(np.concatenate(keys))
+        counts.append((distinct, keys, *(_whole(got, f"{kind}_{c}", f"{kind}_size") for c in ("n", "target"))))
+    out = []
+    for i, r in enumerate(blocks):
+        own = [(np.searchsorted(distinct, keys[i]), n, k) for distinct, keys, n, k in counts]
+        out.append(_answered(r["block"], r["bucket"], [(n[where], k[where]) for where, n, k in own]))
+    return pa.Table.from_batches([_batch(out, ANSWERED)])
+
+
+def _whole(got: list[dict], column: str, size: str) -> np.ndarray:
+    """A column of all answers together, which come sorted by bucket."""
+    return np.concatenate([np.zeros(0, np.int64), *(_unpack(r[column], r[size]).astype(np.int64) for r in got)])
 
 
 def _losses(pair: np.ndarray, history: np.ndarray, word: np.ndarray, tokens: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -207,24 +259,22 @@ def _losses(pair: np.ndarray, history: np.ndarray, word: np.ndarray, tokens: np.
     return -np.log(np.where(seen, WEIGHT * pair / np.maximum(history, 1), 0) + np.where(seen, 1 - WEIGHT, 1) * unigram)
 
 
-def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-    """doc_id, n_tokens and mean losses of a block's documents."""
-    texts, target = _texts(rows)
+def score(rows: pa.Table, answers: pa.Table, total: int, in_target: int, vocabulary: int) -> pa.Table:
+    """doc_id, n_tokens and mean losses of a block's documents, and how many copies there are."""
+    texts, target, copies = _texts(rows)
     block = Block(texts)
     got = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-    total, in_target, vocabulary = (sum(r[c] for r in got) for c in ("tokens", "target_tokens", "vocabulary"))
-    whole = lambda c, size: np.concatenate([_unpack(r[c], r[size]) for r in got]).astype(np.int64)
     found = {}
     for kind, keys, doc in (("w", block.history, block.history_doc), ("p", block.pair, block.doc)):
         where = np.searchsorted(np.unique(keys), keys)
-        found[kind] = *(whole(f"{kind}_{c}", f"{kind}_size")[where] for c in ("n", "target")), _within(keys, doc, len(texts))
+        found[kind] = *(_whole(got, f"{kind}_{c}", f"{kind}_size")[where] for c in ("n", "target")), _within(keys, doc, len(texts))
     lengths, sums = block.lengths[block.doc], []
     for k, tokens, off in ((1, in_target, target[block.doc].astype(np.int64)), (0, total, np.int64(1))):
         pair, history, word = found["p"][k] - found["p"][2] * off, *(found["w"][k][at] - found["w"][2][at] * off for at in (block.place, block.place + 1))
         sums.append(np.bincount(block.doc, _losses(pair, history, word, tokens - lengths * off, vocabulary), len(texts)))
     some = block.lengths > 0
     means = [pa.array(s / np.maximum(block.lengths, 1), mask=~some) for s in (*sums, sums[0] - sums[1])]
-    return pa.table([rows.column("doc_id"), pa.array(block.lengths), *means], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+    return pa.table([rows.column("doc_id"), pa.array(block.lengths), *means, pa.array(copies)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference", "copies"])
 
 
 def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -235,13 +285,35 @@ def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(marks) if few else marks, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
 
 
+def _answers(asked: DataFrame, ranges: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Counts for what blocks asked of ranges, beyond `DIRECT` buckets through relays; and the totals of all buckets."""
+    if ranges == buckets:
+        got = materialize(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWERED), "answers")
+        return got.where(F.col("block") != TOTALS), got.where(F.col("block") == TOTALS)
+    each = -(-buckets // ranges)
+    relayed = asked.withColumn("relay", F.col("bucket") * ranges + F.pmod(F.xxhash64("block"), F.lit(ranges)))
+    relayed = materialize(relayed.select("relay", *asked.columns), "relayed")
+    relays = relayed.repartition(ranges * ranges, "relay").sortWithinPartitions("relay").mapInArrow(lambda batches: relay_ask(batches, ranges, ranges, each), ASKED)
+    got = materialize(relays.repartition(ranges * each, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWERED), "answers")
+    back = relayed.groupBy("relay").cogroup(got.where(F.col("block") != TOTALS).withColumn("relay", F.col("block")).groupBy("relay")).applyInArrow(relay_answer, ANSWERED)
+    return back, got.where(F.col("block") == TOTALS)
+
+
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id and losses of every document; `targets` lists the doc_ids of the target corpus."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     blocks, buckets = int(size // BLOCK_BYTES) + 1, int(size // BUCKET_BYTES) + 1
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    rows = _marked(docs, targets).select(block.alias("block"), "doc_id", "text", "is_target").repartition(blocks, "block")
-    asked = rows.sortWithinPartitions("block").mapInArrow(lambda batches: ask(batches, buckets), ASKED)
-    answered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWERED)
-    kind = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
-    return rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, kind)
+    ranges = buckets if buckets <= DIRECT else math.isqrt(buckets - 1) + 1
+    rows = _marked(docs, targets)
+    repeated = not rows.groupBy(F.xxhash64("doc_id", "text")).count().where("count > 1").isEmpty()
+    rows = rows.groupBy("doc_id", "text", "is_target").agg(F.count("*").alias("copies")) if repeated else rows.withColumn("copies", F.lit(1).cast("long"))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
+    rows = rows.select(block, "doc_id", "text", "is_target", "copies").repartition(blocks, "block")
+    asked = rows.sortWithinPartitions("block").mapInArrow(lambda batches: ask(batches, ranges), ASKED)
+    given, totals = _answers(asked, ranges, buckets)
+    totals = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "target_tokens", "vocabulary")]).first()
+    kind = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double, copies long"
+    scored = rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lambda own, answers: score(own, answers, *totals), kind)
+    if repeated:
+        scored = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return scored.select("doc_id", "n_tokens", "target_loss", "background_loss", "difference")

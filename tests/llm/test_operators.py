@@ -341,13 +341,17 @@ def test_cross_entropy_difference(spark, docs, none):
     assert lm_scoring.cross_entropy_difference(docs, targets.limit(0)).count() == len(ODD) * 2
 
 
-def test_cross_entropy_difference_counts_every_word_and_pair(spark, monkeypatch):
-    """More words than any fixed vocabulary, hot, rare and repeated pairs, and many blocks and buckets, against plain counting."""
+@pytest.mark.parametrize("direct", [1024, 1])
+def test_cross_entropy_difference_counts_every_word_and_pair(spark, monkeypatch, direct):
+    """Asked directly and through relays.  More words than any fixed vocabulary, hot, rare and repeated pairs, and many blocks and buckets, against plain counting."""
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 70_000)
-    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 150_000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 150_000 if direct > 1 else 60_000)
+    monkeypatch.setattr(lm_scoring, "DIRECT", direct)
     rng = random.Random(8)
     texts = [" ".join(["The"] * rng.randint(0, 3) + [f"w{int(60_000 * rng.random() ** 2)}" for _ in range(rng.randint(0, 60))] + ["the end"] * rng.randint(0, 2)) for _ in range(2600)] + [None, "", "x", "x"]
     rows = [(None if i % 97 == 0 else i // 2 if i % 50 == 1 else i, t) for i, t in enumerate(texts)]
+    if direct == 1:
+        rows += 40 * [rows[14]] + 3 * [rows[97]] + 25 * [rows[15]] + 2 * [(7000, "")]
     marked = {i for i in range(0, 2600, 7)}
     words, pairs, total, vocabulary = ({}, {}), ({}, {}), [0, 0], set()
     for i, t in rows:
