@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tankline.llm.common import materialize
+from tankline.llm.memory import release, releasing
 from tankline.llm.words import hashed
 
 #: Text of a block; at about six bytes a word, a bucket gets some two million fingerprints for BUCKET_BYTES of text.
@@ -57,6 +58,8 @@ FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 START = np.uint64(0x165667B19E3779F9)
 ASKED = "block long, bucket long, w_size int, w_keys binary, w_n binary, w_target binary, p_size int, p_keys binary, p_n binary, p_target binary"
 ANSWERED = "block long, bucket long, w_size int, w_n binary, w_target binary, p_size int, p_n binary, p_target binary, tokens long, target_tokens long, vocabulary long"
+#: Tokens whose losses are worked out at once.
+STEP = 1 << 18
 #: Where the totals of a bucket go.
 TOTALS = -1
 
@@ -108,8 +111,8 @@ class Block:
         last[begin + self.lengths[full]] = True
         self.history, self.pair = _mixed(before * FIRST), _mixed((before[~last] * SECOND + np.uint64(1)) ^ (words * FIRST + np.uint64(3)))
         #: The history of each pair; its word is the next one.
-        self.place = np.flatnonzero(~last)
-        self.doc, self.history_doc = np.repeat(np.arange(len(texts)), self.lengths), np.repeat(full, self.lengths[full] + 1)
+        self.place = np.flatnonzero(~last).astype(np.int32)
+        self.doc, self.history_doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths), np.repeat(full.astype(np.int32), self.lengths[full] + 1)
 
 
 def _sums(keys: np.ndarray, target: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def _sums(keys: np.ndarray, target: np.ndarray, copies: np.ndarray) -> tuple[np.
 
 def _within(keys: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
     """How often the text of each place has its fingerprint."""
-    out, bounds = np.empty(len(keys), np.int64), np.searchsorted(doc, np.arange(texts + 1))
+    out, bounds = np.empty(len(keys), np.int32), np.searchsorted(doc, np.arange(texts + 1))
     for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
         if b > a:
             _, back, times = np.unique(keys[a:b], return_inverse=True, return_counts=True)
@@ -248,8 +251,8 @@ def relay_answer(asked: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def _whole(got: list[dict], column: str, size: str) -> np.ndarray:
-    """A column of all answers together, which come sorted by bucket."""
-    return np.concatenate([np.zeros(0, np.int64), *(_unpack(r[column], r[size]).astype(np.int64) for r in got)])
+    """A column of all answers together, which come sorted by bucket, in numbers no wider than they need."""
+    return np.concatenate([np.zeros(0, np.uint8), *(_unpack(r[column], r[size]) for r in got)])
 
 
 def _losses(pair: np.ndarray, history: np.ndarray, word: np.ndarray, tokens: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -263,17 +266,26 @@ def score(rows: pa.Table, answers: pa.Table, total: int, in_target: int, vocabul
     """doc_id, n_tokens and mean losses of a block's documents, and how many copies there are."""
     texts, target, copies = _texts(rows)
     block = Block(texts)
+    del texts
     got = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
     found = {}
     for kind, keys, doc in (("w", block.history, block.history_doc), ("p", block.pair, block.doc)):
-        where = np.searchsorted(np.unique(keys), keys)
-        found[kind] = *(_whole(got, f"{kind}_{c}", f"{kind}_size")[where] for c in ("n", "target")), _within(keys, doc, len(texts))
-    lengths, sums = block.lengths[block.doc], []
-    for k, tokens, off in ((1, in_target, target[block.doc].astype(np.int64)), (0, total, np.int64(1))):
-        pair, history, word = found["p"][k] - found["p"][2] * off, *(found["w"][k][at] - found["w"][2][at] * off for at in (block.place, block.place + 1))
-        sums.append(np.bincount(block.doc, _losses(pair, history, word, tokens - lengths * off, vocabulary), len(texts)))
+        where = np.searchsorted(np.unique(keys), keys).astype(np.int32)
+        found[kind] = *(_whole(got, f"{kind}_{c}", f"{kind}_size")[where] for c in ("n", "target")), _within(keys, doc, len(copies))
+    del got, where, keys, doc, block.history, block.pair
+    sums = []
+    for k, tokens, off in ((1, in_target, target.astype(np.int64)), (0, total, np.ones(len(copies), np.int64))):
+        losses = np.empty(len(block.doc))
+        for s in range(0, len(losses), STEP):
+            own = slice(s, s + STEP)
+            doc, at = block.doc[own], block.place[own]
+            pair, history, word = found["p"][k][own] - found["p"][2][own] * off[doc], *(found["w"][k][i] - found["w"][2][i] * off[doc] for i in (at, at + 1))
+            losses[own] = _losses(pair, history, word, (tokens - block.lengths * off)[doc], vocabulary)
+        sums.append(np.bincount(block.doc, losses, len(copies)))
     some = block.lengths > 0
     means = [pa.array(s / np.maximum(block.lengths, 1), mask=~some) for s in (*sums, sums[0] - sums[1])]
+    del losses, found, block.doc, block.history_doc, block.place
+    release()
     return pa.table([rows.column("doc_id"), pa.array(block.lengths), *means, pa.array(copies)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference", "copies"])
 
 
@@ -288,13 +300,13 @@ def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
 def _answers(asked: DataFrame, ranges: int, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Counts for what blocks asked of ranges, beyond `DIRECT` buckets through relays; and the totals of all buckets."""
     if ranges == buckets:
-        got = materialize(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWERED), "answers")
+        got = materialize(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(answer), ANSWERED), "answers")
         return got.where(F.col("block") != TOTALS), got.where(F.col("block") == TOTALS)
     each = -(-buckets // ranges)
     relayed = asked.withColumn("relay", F.col("bucket") * ranges + F.pmod(F.xxhash64("block"), F.lit(ranges)))
     relayed = materialize(relayed.select("relay", *asked.columns), "relayed")
-    relays = relayed.repartition(ranges * ranges, "relay").sortWithinPartitions("relay").mapInArrow(lambda batches: relay_ask(batches, ranges, ranges, each), ASKED)
-    got = materialize(relays.repartition(ranges * each, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWERED), "answers")
+    relays = relayed.repartition(ranges * ranges, "relay").sortWithinPartitions("relay").mapInArrow(releasing(lambda batches: relay_ask(batches, ranges, ranges, each)), ASKED)
+    got = materialize(relays.repartition(ranges * each, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(answer), ANSWERED), "answers")
     back = relayed.groupBy("relay").cogroup(got.where(F.col("block") != TOTALS).withColumn("relay", F.col("block")).groupBy("relay")).applyInArrow(relay_answer, ANSWERED)
     return back, got.where(F.col("block") == TOTALS)
 
@@ -309,7 +321,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     rows = rows.groupBy("doc_id", "text", "is_target").agg(F.count("*").alias("copies")) if repeated else rows.withColumn("copies", F.lit(1).cast("long"))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
     rows = rows.select(block, "doc_id", "text", "is_target", "copies").repartition(blocks, "block")
-    asked = rows.sortWithinPartitions("block").mapInArrow(lambda batches: ask(batches, ranges), ASKED)
+    asked = rows.sortWithinPartitions("block").mapInArrow(releasing(lambda batches: ask(batches, ranges)), ASKED)
     given, totals = _answers(asked, ranges, buckets)
     totals = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "target_tokens", "vocabulary")]).first()
     kind = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double, copies long"
