@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,15 @@ from tankline.llm.words import numbered
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 
+#: Bytes that are ASCII letters, those that end a run of letters (the apostrophe is left out, so that "it's" stays one), and visible ASCII.
+LETTER, STOP, VISIBLE = np.zeros((3, 256), bool)
+LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+STOP[:128] = ~LETTER[:128]
+STOP[ord("'")] = False
+VISIBLE[33:127] = True
+#: Parts whose ids are gathered at once.
+PARTS = 200_000
+
 
 class Vocabulary:
     """A tokenizer file as the driver read it; what is broadcast is its contents, never a path."""
@@ -37,17 +47,81 @@ class Vocabulary:
         self.key = hashlib.sha256(self.raw).hexdigest()
 
 
+def pieces(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Chunks (large_string) cut again where an ASCII letter meets an ASCII character that is none, and where a lone
+    line break behind a visible character meets an ASCII letter; and the number of each chunk's first piece, and of all.
+
+    No match of the byte-level pattern goes beyond the end of a run of letters, and white space before a letter is looked at
+    as a run, here of one, so that each piece has the tokens that it has within the text."""
+    _, raw_ends, raw = chunks.buffers()
+    borders = np.frombuffer(raw_ends, np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+    if not borders[-1]:
+        return chunks, np.arange(len(chunks) + 1)
+    data = np.frombuffer(raw, np.uint8, borders[-1])
+    breaks = np.flatnonzero(data[1:-1] == 10) + 1
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-1] = LETTER[data[:-1]] & STOP[data[1:]]
+    begins[breaks[VISIBLE[data[breaks - 1]] & LETTER[data[breaks + 1]]] + 1] = True
+    begins[: borders[0]] = False
+    begins[borders] = True
+    ends = np.flatnonzero(begins)
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), raw), np.searchsorted(ends, borders)
+
+
+def gathered(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The given spans of `ids`, one after the other."""
+    out, at = np.empty(int(sizes.sum()), ids.dtype), 0
+    for k in range(0, len(sizes), PARTS):
+        some = sizes[k : k + PARTS]
+        ends = np.cumsum(some)
+        out[at : at + ends[-1]] = ids[np.repeat(begins[k : k + PARTS] - ends + some, some) + np.arange(ends[-1])]
+        at += int(ends[-1])
+    return out
+
+
+class Store:
+    """Ids of numbered pieces in one array, and the numbers of pieces: of those that follow a space and of those within chunks."""
+
+    def __init__(self):
+        self.ids, self.ends, self.n, self.held = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0, 0
+        self.led: dict[str, int] = {}
+        self.inner: dict[str, int] = {}
+
+    def add(self, numbers: dict[str, int], keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces; long ones are forgotten with the store."""
+        begin, n = int(self.ends[self.n]), self.n
+        if begin + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[:begin], np.zeros(begin + 2 * len(ids), "<u4")))
+        if n + len(keys) >= len(self.ends):
+            self.ends = np.concatenate((self.ends[: n + 1], np.zeros(n + 2 * len(keys), np.int64)))
+        self.ids[begin : begin + len(ids)] = ids
+        self.ends[n + 1 : n + len(keys) + 1] = begin + np.cumsum(sizes)
+        self.n = n + len(keys)
+        numbers.update(zip(keys, range(n, self.n), strict=True))
+        for k in keys:
+            if len(k) > LONG:
+                del numbers[k]
+        self.held += sum(map(len, keys)) + ENTRY * len(keys)
+        return np.arange(n, self.n)
+
+    def spans(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins = self.ends[numbers]
+        return begins, self.ends[numbers + 1] - begins
+
+
 class Encoder:
     """Ids (as little-endian unsigned 32-bit bytes) or counts of whole texts.
 
     Chunks that a worker has not met are encoded together, as one text: each begins with a space, so each of its
-    tokens that begins with one begins a chunk.  `pinned` chunks are always known.
+    tokens that begins with one begins a chunk.  `pinned` chunks are always known to counts.  For ids, chunks are cut
+    into :func:`pieces`, of which there are fewer distinct ones.
     """
 
     def __init__(self, vocabulary: Vocabulary, lengths: bool, pinned: dict | None = None, most: int = 150_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.v, self.lengths, self.pinned, self.most = vocabulary, lengths, pinned or {}, most
         self.cache, self.held = dict(self.pinned), 0
+        self.store = Store()
         if vocabulary.kind == "sentencepiece":
             import sentencepiece
 
@@ -68,22 +142,36 @@ class Encoder:
         ids = self.library(texts) if texts else []
         return [len(x) for x in ids] if self.lengths else [array("I", x).tobytes() for x in ids]
 
-    def chunks(self, chunks: list[str]) -> list:
-        """Of chunks without their leading space."""
+    def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks (without their leading space), one after the other, and how many each has."""
         if not chunks:
-            return []
+            return self.alone(chunks)
         ids = np.array(self.library([" " + " ".join(chunks)])[0], "<u4")
         begin = np.flatnonzero(self.leads[ids])
         if len(begin) != len(chunks):  # a vocabulary that doesn't keep the space at a token's head
-            return self.whole([" " + c for c in chunks])
-        ends = np.append(begin[1:], len(ids))
+            return self.alone([" " + c for c in chunks])
+        return ids, np.diff(np.append(begin, len(ids)))
+
+    def alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts by the library alone, one after the other, and how many each has."""
+        found = self.library(texts) if texts else []
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def chunks(self, chunks: list[str]) -> list:
+        """Of chunks without their leading space."""
+        ids, sizes = self.joined(chunks)
         if self.lengths:
-            return (ends - begin).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip((4 * begin).tolist(), (4 * ends).tolist(), strict=True)]
+            return sizes.tolist()
+        raw, ends = ids.tobytes(), 4 * np.cumsum(sizes)
+        return [raw[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> list:
         """One value for each text, from the library or from chunks that it has encoded."""
+        if not self.lengths:
+            ids, bounds = self.flat(texts)
+            raw, bounds = ids.tobytes(), (4 * bounds).tolist()
+            return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         if not self.v.cut:
             return self.whole(texts)
         even = [i for i, t in enumerate(texts) if cuttable(t, self.v.specials)]
@@ -95,6 +183,56 @@ class Encoder:
             out[i] = v
         return out
 
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text begins and the last one ends."""
+        even = [self.v.cut and cuttable(t, self.v.specials) for t in texts]
+        # what stands before a text's first space, and texts that aren't cut
+        head_ids, head_sizes = self.alone([t.partition(" ")[0] if e else t for t, e in zip(texts, even, strict=True)])
+        if not any(even):
+            return head_ids, np.concatenate(([0], np.cumsum(head_sizes)))
+        distinct, numbers, offsets = numbered([t if e else "" for t, e in zip(texts, even, strict=True)], lambda a: pc.split_pattern(a, " "))
+        heads, rest = offsets[:-1], np.ones(len(numbers), bool)
+        rest[heads] = False
+        used = np.flatnonzero(np.bincount(numbers[rest], minlength=len(distinct)))
+        ids, ends = self._chunk_ids(distinct.take(pa.array(used)))
+        place = np.zeros(len(distinct), np.int64)
+        place[used] = np.arange(len(used))
+        numbers = place[numbers]
+        begins, sizes = np.append(ends, 0)[numbers], np.append(np.diff(ends), 0)[numbers]
+        begins[heads], sizes[heads] = len(ids) + np.cumsum(head_sizes) - head_sizes, head_sizes
+        return gathered(np.concatenate((ids, head_ids)), begins, sizes), np.concatenate(([0], np.cumsum(sizes)))[offsets]
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks (without their leading space) one after the other, and where each begins and the last one ends."""
+        if not len(chunks):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        parts, first = pieces(chunks)
+        led = np.zeros(len(parts), bool)
+        led[first[:-1]] = True
+        numbers, at_hand = np.empty(len(parts), np.int64), []
+        for mask, known, encode in ((led, self.store.led, self.joined), (~led, self.store.inner, self.alone)):
+            coded = parts.filter(pa.array(mask)).dictionary_encode()
+            keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+            missing = np.flatnonzero(found < 0)
+            need = [keys[k] for k in missing.tolist()]
+            found[missing] = self.store.add(known, need, *encode(need))
+            numbers[mask] = found[np.asarray(coded.indices)]
+            at_hand.append((keys, found))
+        begins, sizes = self.store.spans(numbers)
+        ids, ends = gathered(self.store.ids, begins, sizes), np.concatenate(([0], np.cumsum(sizes)))[first]
+        if self.store.held > self.most:
+            self._renew(*at_hand)
+        return ids, ends
+
+    def _renew(self, led: tuple[list[str], np.ndarray], inner: tuple[list[str], np.ndarray]) -> None:
+        """A new store.  The pieces at hand stay if they take half of the bound at most, as frequent ones are always among them."""
+        old, self.store = self.store, Store()
+        if sum(len(k) + ENTRY for keys, _ in (led, inner) for k in keys) <= self.most // 2:
+            for known, (keys, found) in ((self.store.led, led), (self.store.inner, inner)):
+                begins, sizes = old.spans(found)
+                self.store.add(known, keys, gathered(old.ids, begins, sizes), sizes)
+
     def _cut(self, texts: list[str]) -> list:
         """Of texts that may be cut at their spaces; each distinct chunk is looked up once."""
         distinct, numbers, offsets = numbered(texts, lambda a: pc.split_pattern(a, " "))
