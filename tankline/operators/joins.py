@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,9 +115,16 @@ def dispatched_stops(plans: DataFrame, plan_stops: DataFrame, periods: DataFrame
 def consume(plans, fills) -> list[tuple[int, int]]:
     """(plan_stop_id, stop_id): each plan stop in order takes the fill nearest in time that is free, ties the earlier and then the smaller id.
 
-    Both are sorted by micros and id.  `ahead[k]` leads to the first free fill at or after k, `back[k]` to the last free one before it; paths are halved as they are walked."""
-    times, ids = fills["micros"].tolist(), fills["stop_id"].tolist()
-    n = len(ids)
+    Both are sorted by micros and id."""
+    ids, plan_ids = fills["stop_id"].tolist(), plans["plan_stop_id"].tolist()
+    return [(plan_ids[i], ids[j]) for i, j in enumerate(_nearest_free(plans["micros"].tolist(), fills["micros"].tolist()))]
+
+
+def _nearest_free(wanted: list[int], times: list[int]) -> list[int]:
+    """For each time wanted, in order, the place of the nearest of `times` (sorted) that is free yet; shorter when none is left.
+
+    `ahead[k]` leads to the first free place at or after k, `back[k]` to the last free one before it; paths are halved as they are walked."""
+    n = len(times)
     ahead, back = list(range(n + 1)), list(range(n + 1))
 
     def root(lead: list[int], k: int) -> int:
@@ -124,50 +134,99 @@ def consume(plans, fills) -> list[tuple[int, int]]:
         return k
 
     out = []
-    for plan_id, at in zip(plans["plan_stop_id"].tolist(), plans["micros"].tolist(), strict=True):
-        right, left = root(ahead, bisect_left(times, at)), root(back, bisect_left(times, at)) - 1
+    for at in wanted:
+        k = bisect_left(times, at)
+        right, left = root(ahead, k), root(back, k) - 1
         if left >= 0 and (right == n or at - times[left] <= times[right] - at):
             taken = root(ahead, bisect_left(times, times[left]))  # the smallest free id of that time
         elif right < n:
             taken = right
         else:
             break
-        out.append((plan_id, ids[taken]))
+        out.append(taken)
         ahead[taken], back[taken + 1] = taken + 1, taken
     return out
 
 
-def plan_actual(planned: DataFrame, actual: DataFrame) -> DataFrame:
+def _key_runs(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Places at which a run of equal keys begins; rows are sorted by them and no key is null."""
+    new = np.zeros(max(0, len(table) - 1), bool)
+    for k in keys:
+        column = table[k].combine_chunks()
+        new |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.concatenate((np.zeros(min(1, len(table)), np.int64), np.flatnonzero(new) + 1))
+
+
+def _match_runs(table: pa.Table, keys: list[str], plan_figures: list[str], fill_figures: list[str]) -> pa.RecordBatch:
+    """All rows of :func:`plan_actual` for whole keys, whose plan stops and fills are sorted by micros and id together."""
+    starts, plan = _key_runs(table, keys), table["plan"].to_numpy()
+    ends = np.append(starts[1:], len(table))
+    before = np.concatenate(([0], np.cumsum(plan)))
+    n_plans = before[ends] - before[starts]
+    mate = np.full(len(table), -1)
+    micros = table["micros"].to_numpy()
+    for start, end in zip(*(x[(n_plans > 0) & (n_plans < ends - starts)].tolist() for x in (starts, ends)), strict=True):
+        own = plan[start:end]
+        wanted, fills = np.flatnonzero(own) + start, np.flatnonzero(~own) + start
+        found = _nearest_free(micros[wanted].tolist(), micros[fills].tolist())
+        mate[wanted[: len(found)]] = fills[found]
+    used = np.zeros(len(table), bool)
+    used[mate[mate >= 0]] = True
+    kept = np.flatnonzero(plan | ~used)
+    own, ids = plan[kept], table["id"].combine_chunks()
+    fill = pa.array(np.where(own, mate[kept], kept), mask=own & (mate[kept] < 0))
+    out = {k: table[k].take(pa.array(kept)).combine_chunks() for k in keys}
+    out["plan_stop_id"], out["stop_id"] = ids.take(pa.array(kept, mask=~own)), ids.take(fill)
+    out["kind"] = pa.array(np.where(own, np.where(mate[kept] >= 0, "matched", "skipped_recommendation"), "unplanned_stop"), pa.string())
+    out |= {c: table[c].combine_chunks().take(pa.array(kept, mask=~own)) for c in plan_figures}
+    out |= {c: table[c].combine_chunks().take(fill) for c in fill_figures}
+    return pa.RecordBatch.from_pydict(out)
+
+
+def plan_actual(planned: DataFrame, actual: DataFrame, plan_figures: tuple[str, ...] = (), fill_figures: tuple[str, ...] = ()) -> DataFrame:
     """Each planned stop (plan_stop_id, truck_id, day, station_id, dispatched_at) and each actual one (stop_id, same keys,
     occurred_at, split_fill) used at most once; day is the UTC day of dispatch and of the fill.  Within a key the plan stop dispatched
     first chooses first, the actual nearest in time, ties the earlier.  Leftovers: `skipped_recommendation` and `unplanned_stop`; split
     fills and actuals without a station are left out (:func:`match_exclusions`).
 
-    Keys are independent.  A key with one plan stop is a plain ranking.  In others both sides are sorted once, and each plan stop finds the
-    nearest free fill on either side by bisection and a set of free runs (:func:`consume`): n log n, and no pair is formed."""
+    Both sides are sorted together once, by key and time, and a task matches its keys as they pass: each plan stop finds the nearest free fill
+    on either side by bisection and a set of free runs, n log n a key, and no pair is formed.  The named figures of either side go along with
+    their rows, so nothing need be joined to the matches again."""
     keys = ["truck_id", "day", "station_id"]
     a = actual.where("station_id is not null and not coalesce(split_fill, false)")
-    p = planned.where("dispatched_at is not null and truck_id is not null").select(*keys, "plan_stop_id", "dispatched_at")
-    sizes = p.groupBy(*keys).agg(F.count("*").alias("_np"), F.min(F.struct("plan_stop_id", "dispatched_at")).alias("_p"))
-    fills = a.select(*keys, "stop_id", "occurred_at")
-    away = F.abs(F.unix_micros("occurred_at") - F.unix_micros("_p.dispatched_at"))
-    alone = fills.join(sizes.where("_np = 1"), keys)
-    one = alone.groupBy(*keys).agg(F.max("_p.plan_stop_id").alias("plan_stop_id"), F.min(F.struct(away.alias("away"), "occurred_at", "stop_id")).alias("_a")).select(*keys, "plan_stop_id", F.col("_a.stop_id").alias("stop_id"))
-    several = sizes.where("_np > 1").select(*keys)
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.schema)
-    side = lambda rows, name, at, plan: rows.join(several, keys, "left_semi").select(*keys, F.col(name).cast("long").alias("id"), F.unix_micros(at).alias("micros"), F.lit(plan).alias("plan"))
-
-    def match(key, rows):
-        rows = rows.sort_values(["micros", "id"])
-        plans, own = rows[rows["plan"]].rename(columns={"id": "plan_stop_id"}), rows[~rows["plan"]].rename(columns={"id": "stop_id"})
-        return type(rows)([(*key, i, j) for i, j in consume(plans, own)], columns=[*keys, "plan_stop_id", "stop_id"])
-
-    both = side(p, "plan_stop_id", "dispatched_at", True).unionByName(side(fills, "stop_id", "occurred_at", False))
-    many = both.groupBy(*keys).applyInPandas(match, kind)
-    matched = one.unionByName(many).withColumn("kind", F.lit("matched"))
-    skipped = p.join(matched.select("plan_stop_id"), "plan_stop_id", "left_anti").select(*keys, "plan_stop_id", F.lit(None).cast("long").alias("stop_id"), F.lit("skipped_recommendation").alias("kind"))
-    extra = a.join(matched.select("stop_id"), "stop_id", "left_anti").select(*keys, F.lit(None).cast("long").alias("plan_stop_id"), "stop_id", F.lit("unplanned_stop").alias("kind"))
-    return matched.unionByName(skipped).unionByName(extra)
+    p = planned.where("dispatched_at is not null and truck_id is not null")
+    side = lambda rows, name, at, plan, figures: rows.select(*keys, F.lit(plan).alias("plan"), F.col(name).cast("long").alias("id"), F.unix_micros(at).alias("micros"), *figures)
+    both = side(p, "plan_stop_id", "dispatched_at", True, plan_figures).unionByName(side(a, "stop_id", "occurred_at", False, fill_figures), allowMissingColumns=True)
+    known = F.concat(*[F.col(c).cast("string") for c in (*keys, "micros")]).isNotNull()
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+    figures = [*plan_figures, *fill_figures]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "plan_stop_id long, stop_id long, kind string", *(f"{c} {kinds[c]}" for c in figures)])
+
+    def match(batches):
+        held: list[pa.RecordBatch] = []  # rows of a key that may go on
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if len(table) and held:
+                last = pa.Table.from_batches([held[-1].slice(len(held[-1]) - 1), batch.slice(0, 1)])
+                if len(_key_runs(last, keys)) > 1:
+                    yield _match_runs(pa.Table.from_batches(held), keys, plan_figures, fill_figures)
+                    held = []
+            starts = _key_runs(table, keys)
+            cut = int(starts[-1]) if len(starts) else 0
+            if cut:
+                yield _match_runs(pa.Table.from_batches([*held, batch.slice(0, cut)]), keys, plan_figures, fill_figures)
+                held = []
+            if len(table):
+                held.append(batch.slice(cut))
+        if held:
+            yield _match_runs(pa.Table.from_batches(held), keys, plan_figures, fill_figures)
+
+    matched = both.where(known).repartition(*keys).sortWithinPartitions(*keys, "micros", "id").mapInArrow(match, schema)
+    alone = both.where(~known).select(
+        *keys, F.when(F.col("plan"), F.col("id")).alias("plan_stop_id"), F.when(~F.col("plan"), F.col("id")).alias("stop_id"),
+        F.when(F.col("plan"), "skipped_recommendation").otherwise("unplanned_stop").alias("kind"), *figures,
+    )
+    return matched.unionByName(alone)
 
 
 def match_exclusions(actual: DataFrame) -> DataFrame:
@@ -176,13 +235,13 @@ def match_exclusions(actual: DataFrame) -> DataFrame:
     return actual.agg(F.count_if(split).alias("split_fill"), F.count_if(~split & F.col("station_id").isNull()).alias("unresolved_station"))
 
 
-def match_deltas(matches: DataFrame, planned: DataFrame, actual: DataFrame) -> DataFrame:
-    """Matched rows with the money that the plan's price (price_t) and the billed one (billed_t) make of the fuel (qty_c), and their
-    difference, in ten-thousandths of cents; null for all others."""
-    p, a = planned.select("plan_stop_id", F.col("price_t").alias("_p")), actual.select("stop_id", F.col("qty_c").alias("_q"), F.col("billed_t").alias("_b"))
-    out = matches.join(p, "plan_stop_id", "left").join(a, "stop_id", "left").withColumns({"planned_m": F.col("_p") * F.col("_q"), "actual_m": F.col("_b") * F.col("_q")})
+def match_deltas(planned: DataFrame, actual: DataFrame) -> DataFrame:
+    """The rows of :func:`plan_actual` with the money that the plan's price (price_t) and the billed one (billed_t) make of the fuel (qty_c) of
+    matched ones, and their difference, in ten-thousandths of cents; null for all others."""
+    out = plan_actual(planned, actual, ("price_t",), ("qty_c", "billed_t")).withColumns({"planned_m": F.col("price_t") * F.col("qty_c"), "actual_m": F.col("billed_t") * F.col("qty_c")})
     both = F.col("kind") == "matched"
-    return out.withColumns({"delta_m": F.when(both, F.col("actual_m") - F.col("planned_m")), "planned_m": F.when(both, F.col("planned_m")), "actual_m": F.when(both, F.col("actual_m"))}).drop("_p", "_q", "_b")
+    out = out.withColumn("delta_m", F.when(both, F.col("actual_m") - F.col("planned_m"))).withColumns({c: F.when(both, F.col(c)) for c in ("planned_m", "actual_m")})
+    return out.select("truck_id", "day", "station_id", "plan_stop_id", "stop_id", "kind", "planned_m", "actual_m", "delta_m")
 
 
 def detour_legs(candidates: DataFrame, legs: DataFrame) -> DataFrame:

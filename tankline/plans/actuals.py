@@ -395,7 +395,7 @@ def plan_actual(stop, line):
 
 def _deltas(stop: DataFrame, line: DataFrame) -> tuple[DataFrame, DataFrame]:
     planned, actual = _planned_and_actual(stop, line)
-    return joins.match_deltas(joins.plan_actual(planned, actual), planned, actual), actual
+    return joins.match_deltas(planned, actual), actual
 
 
 @query("R10_match_deltas", "stop line", f"WITH {PLANNED} SELECT * FROM x")
