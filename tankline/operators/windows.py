@@ -59,12 +59,13 @@ def realize_fuel(stops: DataFrame, lane: str, order: str, start: Column, leg_gal
 
 
 def reproject(rows: DataFrame, lane: str, order: str, old: str, anchor: str) -> DataFrame:
-    """Positions between anchors moved linearly onto the anchors' new positions, clamped to them."""
-    back = Window.partitionBy(lane).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(lane).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    """Positions between anchors moved linearly onto the anchors' new positions, clamped to them.
+
+    Both neighbours are found by windows that grow from a lane's start or its end: one that shrinks would be read anew for every row."""
+    back, ahead = (Window.partitionBy(lane).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (order, F.desc(order)))
     at = F.when(F.col(anchor).isNotNull(), F.col(old))
     lo_old, lo_new = F.last(at, True).over(back), F.last(anchor, True).over(back)
-    hi_old, hi_new = F.first(at, True).over(ahead), F.first(anchor, True).over(ahead)
+    hi_old, hi_new = F.last(at, True).over(ahead), F.last(anchor, True).over(ahead)
     share = F.when(hi_old > lo_old, (F.col(old) - lo_old) / (hi_old - lo_old)).otherwise(0.0)
     return rows.withColumn("moved", F.coalesce(lo_new + F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * (hi_new - lo_new), lo_new, hi_new))
 

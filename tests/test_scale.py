@@ -1,9 +1,12 @@
 """Queries that larger tables broke: the same rows as plain Python, by plans whose cost grows with the rows."""
 
 import random
+import time
 from datetime import date, datetime, timedelta
 
-from tankline.operators import joins
+from pyspark.sql import functions as F
+
+from tankline.operators import joins, windows
 
 T0 = datetime(2024, 1, 1)
 
@@ -43,3 +46,24 @@ def test_matching_is_one_sorted_pass(spark):
     assert any(r[5] == "matched" for r in wanted)
     plan = plan_of(joins.plan_actual(p, a))
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan and "Join" not in plan
+
+
+def test_long_lane_is_reprojected_in_passes(spark):
+    """A lane of 60,000 positions with anchors at its ends: minutes if each row read the rest of the lane."""
+    n = 60_000
+    rows = spark.range(n + 1).select(F.lit(1).alias("lane"), F.col("id").cast("double").alias("old"), F.when(F.col("id") % n == 0, F.col("id") / 2.0).alias("anchor"))
+    began = time.monotonic()
+    moved = windows.reproject(rows, "lane", "old", "old", "anchor")
+    assert moved.where(F.abs(F.col("moved") - F.col("old") / 2) > 1e-6).isEmpty() and moved.count() == n + 1
+    assert time.monotonic() - began < 20
+
+
+def test_reprojection_against_interpolation(spark):
+    rng = random.Random(8)
+    rows = [(lane, float(old), rng.choice([None, None, old * 3.0])) for lane in range(5) for old in rng.sample(range(100), 30)]
+    got = {(r.lane, r.old): r.moved for r in windows.reproject(spark.createDataFrame(rows, "lane int, old double, anchor double"), "lane", "old", "old", "anchor").collect()}
+    for lane, old, _ in rows:
+        known = sorted((o, a) for k, o, a in rows if k == lane and a is not None)
+        low, high = [x for x in known if x[0] <= old], [x for x in known if x[0] >= old]
+        wanted = low[-1][1] if not high else high[0][1] if not low else old * 3.0
+        assert abs(got[lane, old] - wanted) < 1e-9
