@@ -6,11 +6,11 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankline.functions import exprs
+from tankline.operators.runs import key_runs, whole_runs
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -148,18 +148,9 @@ def _nearest_free(wanted: list[int], times: list[int]) -> list[int]:
     return out
 
 
-def _key_runs(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Places at which a run of equal keys begins; rows are sorted by them and no key is null."""
-    new = np.zeros(max(0, len(table) - 1), bool)
-    for k in keys:
-        column = table[k].combine_chunks()
-        new |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-    return np.concatenate((np.zeros(min(1, len(table)), np.int64), np.flatnonzero(new) + 1))
-
-
 def _match_runs(table: pa.Table, keys: list[str], plan_figures: list[str], fill_figures: list[str]) -> pa.RecordBatch:
     """All rows of :func:`plan_actual` for whole keys, whose plan stops and fills are sorted by micros and id together."""
-    starts, plan = _key_runs(table, keys), table["plan"].to_numpy()
+    starts, plan = key_runs(table, keys), table["plan"].to_numpy()
     ends = np.append(starts[1:], len(table))
     before = np.concatenate(([0], np.cumsum(plan)))
     n_plans = before[ends] - before[starts]
@@ -203,23 +194,8 @@ def plan_actual(planned: DataFrame, actual: DataFrame, plan_figures: tuple[str,
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "plan_stop_id long, stop_id long, kind string", *(f"{c} {kinds[c]}" for c in figures)])
 
     def match(batches):
-        held: list[pa.RecordBatch] = []  # rows of a key that may go on
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if len(table) and held:
-                last = pa.Table.from_batches([held[-1].slice(len(held[-1]) - 1), batch.slice(0, 1)])
-                if len(_key_runs(last, keys)) > 1:
-                    yield _match_runs(pa.Table.from_batches(held), keys, plan_figures, fill_figures)
-                    held = []
-            starts = _key_runs(table, keys)
-            cut = int(starts[-1]) if len(starts) else 0
-            if cut:
-                yield _match_runs(pa.Table.from_batches([*held, batch.slice(0, cut)]), keys, plan_figures, fill_figures)
-                held = []
-            if len(table):
-                held.append(batch.slice(cut))
-        if held:
-            yield _match_runs(pa.Table.from_batches(held), keys, plan_figures, fill_figures)
+        for table in whole_runs(batches, keys):
+            yield _match_runs(table, keys, plan_figures, fill_figures)
 
     matched = both.where(known).repartition(*keys).sortWithinPartitions(*keys, "micros", "id").mapInArrow(match, schema)
     alone = both.where(~known).select(

@@ -1,12 +1,16 @@
 """Queries that larger tables broke: the same rows as plain Python, by plans whose cost grows with the rows."""
 
+import math
 import random
 import time
 from datetime import date, datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tankline.operators import joins, windows
+from tankline.functions import exprs as C
+from tankline.operators import geo, joins, windows
 
 T0 = datetime(2024, 1, 1)
 
@@ -67,3 +71,70 @@ def test_reprojection_against_interpolation(spark):
         low, high = [x for x in known if x[0] <= old], [x for x in known if x[0] >= old]
         wanted = low[-1][1] if not high else high[0][1] if not low else old * 3.0
         assert abs(got[lane, old] - wanted) < 1e-9
+
+
+@pytest.mark.parametrize("on_spheroid", [False, True])
+def test_pruned_pieces_hold_the_nearest(on_spheroid):
+    """Against all pieces: the nearest in miles and the nearest in degrees are kept, and few others."""
+    rng = np.random.default_rng(3)
+    for at in (0.0, 40.0, 58.0):
+        piece = {"lat": at + rng.uniform(-1, 1, 400), "lng": rng.uniform(-101, -99, 400)}
+        piece |= {"lat2": piece["lat"] + rng.uniform(-0.1, 0.1, 400), "lng2": piece["lng"] + rng.uniform(-0.1, 0.1, 400)}
+        lat, lng = at + rng.uniform(-1.5, 1.5, 300), rng.uniform(-101.5, -98.5, 300)
+        dy, dx = (piece[b] - piece[a] for a, b in (("lat", "lat2"), ("lng", "lng2")))
+        t = np.clip(((lat[:, None] - piece["lat"]) * dy + (lng[:, None] - piece["lng"]) * dx) / (dy * dy + dx * dx), 0, 1)
+        y, x = piece["lat"] + t * dy, piece["lng"] + t * dx
+        off = (lat[:, None] - y) ** 2 + (lng[:, None] - x) ** 2
+        a = np.sin(np.radians(y - lat[:, None]) / 2) ** 2 + np.cos(np.radians(y)) * np.cos(np.radians(lat[:, None])) * np.sin(np.radians(x - lng[:, None]) / 2) ** 2
+        miles = 2 * 3958.8 * np.arcsin(np.sqrt(a))
+        i, j = geo.nearest_pieces(piece, lat, lng, 20.0, on_spheroid)
+        kept = set(zip(i.tolist(), j.tolist(), strict=True))
+        near = miles.min(1) <= 20
+        best = off if on_spheroid else miles
+        assert all((s, int(best[s].argmin())) in kept for s in np.flatnonzero(near)) and len(kept) < 8 * 300
+
+
+def sphere(lat, lng, y, x):
+    h = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(lat)) * math.sin(math.radians(x - lng) / 2) ** 2
+    return 2 * 3958.8 * math.asin(math.sqrt(h))
+
+
+@pytest.mark.parametrize("on_spheroid", [False, True])
+def test_corridor_of_a_dense_route(spark, on_spheroid):
+    """A route that crosses itself all over a region: what all pieces give, by a plan that joins no pieces with stations."""
+    rng = random.Random(2)
+    spots = [(i, 35 + rng.random() * 5, -100 + rng.random() * 5) for i in range(60)]
+    route = [(7, i, 35 + rng.random() * 5, -100 + rng.random() * 5) for i in range(40)]
+    r, s = spark.createDataFrame(route, "lane long, seq int, lat double, lng double"), spark.createDataFrame(spots, "station_id long, other_lat double, other_lng double")
+    found = geo.corridor(r, s, "lane", "seq", 30.0, on_spheroid=on_spheroid)
+    plan = plan_of(found)
+    assert "MapInArrow" in plan and "lambda" not in plan
+    got = {x.station_id: (x.perp_miles, x.fraction) for x in found.collect()}
+    lengths = [((b[2] - a[2]) ** 2 + (b[3] - a[3]) ** 2) ** 0.5 for a, b in zip(route, route[1:], strict=False)]
+    pieces = []
+    for k, (a, b) in enumerate(zip(route, route[1:], strict=False)):
+        n = max(1, math.ceil(sphere(a[2], a[3], b[2], b[3]) / 25.0))
+        cut = [(a[2] + (b[2] - a[2]) * q / n, a[3] + (b[3] - a[3]) * q / n) for q in range(n + 1)]
+        pieces += [(*cut[q], *cut[q + 1], sum(lengths[:k]) + lengths[k] * q / n, lengths[k] / n) for q in range(n)]
+    for i, lat, lng in spots:
+        best = []
+        for y1, x1, y2, x2, before, length in pieces:
+            t = max(0.0, min(1.0, ((lat - y1) * (y2 - y1) + (lng - x1) * (x2 - x1)) / length**2))
+            y, x = y1 + t * (y2 - y1), x1 + t * (x2 - x1)
+            miles = sphere(lat, lng, y, x)
+            best.append(((lat - y) ** 2 + (lng - x) ** 2 if on_spheroid else miles, (before + t * length) / sum(lengths), miles))
+        _, fraction, miles = min(best)
+        if miles < 29 / 1.5:
+            assert abs(got[i][1] - fraction) < 1e-7 and (on_spheroid or abs(got[i][0] - miles) < 1e-6)
+            assert got[i][0] <= miles * 1.01
+
+
+def test_compiled_spheroid_distance_is_the_formula(spark):
+    rng = random.Random(9)
+    spots = [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(300)]
+    rows = [(*a, a[0] + rng.uniform(-3, 3), a[1] + rng.uniform(-3, 3)) for a in spots] + [(1.0, 2.0, 1.0, 2.0), (None, 1.0, 2.0, 3.0), (10.0, 179.9, 10.0, -179.9)]
+    df = spark.createDataFrame(rows, "lat double, lng double, other_lat double, other_lng double")
+    both = C.with_spheroid_miles(df, ("lat", "lng", "other_lat", "other_lng"), "miles").withColumn("plain", C.spheroid_miles(*[F.col(c) for c in df.columns]))
+    assert all((r.miles is None) == (r.plain is None) and (r.miles is None or abs(r.miles - r.plain) < 1e-9) for r in both.collect())
+    others = df.select("other_lat", "other_lng")
+    assert "lambda" not in plan_of(geo.within_spheroid(df.select("lat", "lng"), others, 50.0))
