@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tankline.functions import exprs as C
 from tankline.operators import geo, joins, windows
+from tankline.sources import invoices
 
 T0 = datetime(2024, 1, 1)
 
@@ -138,3 +139,16 @@ def test_compiled_spheroid_distance_is_the_formula(spark):
     assert all((r.miles is None) == (r.plain is None) and (r.miles is None or abs(r.miles - r.plain) < 1e-9) for r in both.collect())
     others = df.select("other_lat", "other_lng")
     assert "lambda" not in plan_of(geo.within_spheroid(df.select("lat", "lng"), others, 50.0))
+
+
+def test_sections_of_whole_files_move_no_lines(spark):
+    text = "Fuel Card Transactions\nTransactions for Card # 12\nx,1\n\nTransactions for Card # 13\n,,sub\ny,\"2,3\"\nExpress Codes\n" + ", ".join(invoices.EXPRESS_WIDE) + "\n2024-01-01,9\ndate, no header\nz"
+    parts = invoices.sections(spark.createDataFrame([("a", text), ("b", "lost\n" + text), ("c", "")], "file string, content string"))
+    plan = plan_of(parts)
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    rows = {f: [tuple(r) for r in parts.where(F.col("file") == f).orderBy("line_number").select("line_number", "section", "card", "wide", "kind", F.size("fields")).collect()] for f in "abc"}
+    assert rows["a"] == [
+        (2, "fuel", None, None, "title", 1), (3, "fuel", "12", None, "card", 1), (4, "fuel", "12", None, "row", 2), (5, "fuel", "13", None, "card", 1), (6, "fuel", "13", None, "subtotal", 2), (7, "fuel", "13", None, "row", 2),
+        (8, "express", "13", None, "title", 1), (9, "express", "13", True, "header", 14), (10, "express", "13", True, "row", 2), (11, "express", "13", True, "row", 2), (12, "express", "13", True, "row", 1),
+    ]
+    assert rows["b"] == [(2, None, None, None, "unexpected", 1), *((n + 1, *r) for n, *r in rows["a"])] and rows["c"] == []
